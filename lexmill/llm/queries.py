@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, mixing
+from lexmill.llm import chat, html, mixing, tokens
 from lexmill.session import table
 
 
@@ -19,12 +19,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "source", words.alias("n_tokens"), "mix_epoch", "mix_block", "mix_weight")
 
 
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.document_tokens(table(spark, sf_dir, "documents"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op5_mixing": op5_mixing,
+    "op8_tokens": op8_tokens,
+    "op10_html": op10_html,
 }
 
 ORACLE = {
     "op1_chat": chat.SQL,
     "op5_mixing": mixing.SQL,
+    "op8_tokens": tokens.SQL,
 }
