@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, html, mixing, tokens
+from lexmill.llm import chat, html, mixing, tokens, toxicity
 from lexmill.session import table
 
 
@@ -13,6 +13,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.with_fixture(table(spark, sf_dir, "conversations")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("toxic_spans").alias("n_spans"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     words = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
@@ -29,6 +34,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op8_tokens": op8_tokens,
     "op10_html": op10_html,
