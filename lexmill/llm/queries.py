@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, html, mixing, tokens, toxicity
+from lexmill.llm import chat, html, mixing, tokens, toxicity, vectors
 from lexmill.session import table
 
 
@@ -13,6 +13,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.with_fixture(table(spark, sf_dir, "conversations")))
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("toxic_spans").alias("n_spans"))
@@ -28,20 +32,27 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_vectors": op2_vectors,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op8_tokens": op8_tokens,
+    "op9_neighbours": op9_neighbours,
     "op10_html": op10_html,
 }
 
 ORACLE = {
     "op1_chat": chat.SQL,
+    "op2_vectors": vectors.NEAR_SQL,
     "op5_mixing": mixing.SQL,
     "op8_tokens": tokens.SQL,
 }
