@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, html, mixing, tokens, toxicity, vectors
+from lexmill.llm import bpe, chat, html, mixing, tokens, toxicity, vectors
 from lexmill.session import table
 
 
@@ -28,6 +29,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "source", words.alias("n_tokens"), "mix_epoch", "mix_block", "mix_weight")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_tokens(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op2_vectors": op2_vectors,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op6_bpe": op6_bpe,
     "op8_tokens": op8_tokens,
     "op9_neighbours": op9_neighbours,
     "op10_html": op10_html,
