@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, chat, html, mixing, tokens, toxicity, vectors
+from lexmill.llm import bpe, chat, html, mixing, repeats, tokens, toxicity, vectors
 from lexmill.session import table
 
 
@@ -18,6 +18,10 @@ def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("toxic_spans").alias("n_spans"))
@@ -48,6 +52,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_vectors": op2_vectors,
+    "op3_repeats": op3_repeats,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_bpe": op6_bpe,
@@ -59,6 +64,7 @@ QUERIES = {
 ORACLE = {
     "op1_chat": chat.SQL,
     "op2_vectors": vectors.NEAR_SQL,
+    "op3_repeats": repeats.SQL,
     "op5_mixing": mixing.SQL,
     "op8_tokens": tokens.SQL,
 }
