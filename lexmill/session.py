@@ -35,13 +35,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-ckpt-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, placed: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written rows.
 
-    Later stages then read the same rows whatever executors are lost, and the plan stays short.
+    Later stages then read the same rows whatever executors are lost, and the plan stays short. With ``placed``
+    Spark goes on knowing how the rows are partitioned, so joins on those keys don't move them again (adaptive plans
+    forget it).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    if not placed:
+        return df.checkpoint(eager=True)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def ship_package(spark: SparkSession) -> None:
