@@ -42,7 +42,7 @@ def tie_of(text: str | None) -> int:
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """``chunk, payload``, written: rows of ``docs(doc_id, text, ...)`` in chunks, ordered by doc_id (null first) and text inside each."""
+    """``chunk, payload``, written and partitioned by chunk, so that answers come to it and it never moves again: rows of ``docs(doc_id, text, ...)`` in chunks, ordered by doc_id (null first) and text inside each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, n = [], 0, TaskContext.get().partitionId() << 32
@@ -68,7 +68,7 @@ def pack(docs: DataFrame) -> DataFrame:
         if held:
             yield chunk()
 
-    return cut(docs.mapInArrow(run, "chunk long, payload binary"))
+    return cut(docs.mapInArrow(run, "chunk long, payload binary").repartition(partitions(docs), "chunk"), placed=True)
 
 
 def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -105,16 +105,41 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def encoded(rows: np.ndarray) -> bytes:
+    """Rows of a message, field by field and byte by byte: differences of the first, sorted field, then the others."""
+    fields = [rows[f] for f in rows.dtype.names] if rows.dtype.names else [rows]
+    fields[0] = np.diff(fields[0], prepend=fields[0].dtype.type(0))
+    planes = [np.ascontiguousarray(np.ascontiguousarray(f).view(np.uint8).reshape(len(rows), -1).T).tobytes() for f in fields]
+    return len(rows).to_bytes(4, "little") + pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def decoded(raw: bytes, kind: np.dtype) -> np.ndarray:
+    n, at = int.from_bytes(raw[:4], "little"), 0
+    flat = np.frombuffer(pa.decompress(raw[4:], n * kind.itemsize, "zstd", asbytes=True), np.uint8)
+    rows = np.empty(n, kind)
+    for i, f in enumerate(kind.names or [None]):
+        own = kind[f] if f else kind
+        part = np.ascontiguousarray(flat[at : at + n * own.itemsize].reshape(own.itemsize, n).T).view(own)[:, 0]
+        at += n * own.itemsize
+        part = np.cumsum(part, dtype=own) if i == 0 else part
+        if f:
+            rows[f] = part
+        else:
+            rows = part
+    return rows
+
+
 ASKED = "bucket int, chunk long, keys binary"
 
 
 def ask(chunk: int, first: np.ndarray, rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """One row per bucket of a chunk's keys. ``first`` is sorted and deals them; ``rows`` is what is sent of each."""
+    """One row per bucket of a chunk's keys. ``first`` is sorted and deals them; ``rows`` is what is sent of each,
+    its first field (or all of it) sorted as well."""
     if len(first):
         of = bucket_of(first, buckets)
         order = np.argsort(of, kind="stable")
         found, starts = np.unique(of[order], return_index=True)
-        sent = [rows[order[a:b]].tobytes() for a, b in zip(starts, [*starts[1:], len(order)], strict=True)]
+        sent = [encoded(rows[order[a:b]]) for a, b in zip(starts, [*starts[1:], len(order)], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.full(len(found), chunk), pa.int64()), pa.array(sent, pa.binary())], names=["bucket", "chunk", "keys"])
 
 
@@ -133,7 +158,7 @@ def answers(asked: DataFrame, kind: np.dtype, decide: Callable[[np.ndarray, np.n
         held, now = [], None
 
         def bucket() -> pa.RecordBatch:
-            parts = [np.frombuffer(raw, kind) for _, raw in held]
+            parts = [decoded(raw, kind) for _, raw in held]
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             marks = decide(np.concatenate(parts), np.repeat(np.arange(len(parts)), np.diff(bounds)))
             bits = [np.packbits(marks[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lexmill.llm import chunks
 from lexmill.llm.chunks import mix
 
-WINDOW, ROUNDS, LEAST, FAR = 20, 3, 3, 1 << 40
+WINDOW, ROUNDS, LEAST, FAR = 20, 2, 2, 1 << 40
 #: A window as it is asked: 96 bits of its name, then where the chunk has it first.
 ASK = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<i4")])
 
@@ -167,35 +167,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield from chunks.ask(row["chunk"], w.names << np.uint64(16), w.names << np.uint64(1) | w.twice.astype(np.uint64), buckets)
 
     symbols = chunks.answers(packed.mapInArrow(ask_symbols, chunks.ASKED), np.dtype("<u8"), _symbols_twice)
-    told = packed.join(symbols.hint("shuffle_hash"), "chunk", "left")
-
-    def candidates(row: dict) -> tuple[_Work, np.ndarray]:
-        w = _Work(chunks.unpacked(row["payload"]))
-        shared = w.twice | chunks.marked(w.names << np.uint64(16), row["answer"], buckets)
-        return w, w.candidates(shared)
-
-    def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents without a candidate are done; the others go on, in a chunk with the candidates' places."""
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places of the candidates, a bit per word."""
         for row in each(batches):
-            w, starts = candidates(row)
-            open_docs = np.zeros(w.batch.num_rows, bool)
-            open_docs[w.doc[starts]] = True
+            w = _Work(chunks.unpacked(row["payload"]))
+            starts = w.candidates(w.twice | chunks.marked(w.names << np.uint64(16), row["answer"], buckets))
             places = np.zeros(len(w.hash), bool)
             places[starts] = True
-            left = w.batch.filter(pa.array(open_docs))
-            bits = np.packbits(places[open_docs[w.doc]]).tobytes()
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([row["chunk"]], pa.int64()), "payload": pa.array([chunks.packed(left) if left.num_rows else None], pa.binary()), "places": pa.array([bits], pa.binary()), "done": pa.array([chunks.packed(w.batch.filter(pa.array(~open_docs)))], pa.binary())})
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([np.packbits(places).tobytes()], pa.binary())], names=["chunk", "places"])
 
-    settled = chunks.cut(told.mapInArrow(settle, "chunk long, payload binary, places binary, done binary"))
-    pending = settled.filter("payload IS NOT NULL").select("chunk", "payload", "places")
+    places = chunks.cut(packed.join(symbols.hint("shuffle_hash"), "chunk", "left").mapInArrow(find, "chunk long, places binary"))
+    placed = packed.join(places.hint("shuffle_hash"), "chunk")
 
-    def placed(row: dict) -> tuple[_Work, np.ndarray]:
+    def candidates(row: dict) -> tuple[_Work, np.ndarray]:
         w = _Work(chunks.unpacked(row["payload"]), symbols=False)
         return w, np.flatnonzero(np.unpackbits(np.frombuffer(row["places"], np.uint8), count=len(w.hash)))
 
     def ask_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each(batches):
-            w, starts = placed(row)
+            w, starts = candidates(row)
             key, first, _ = w.windows(starts)
             rows = np.zeros(len(key), ASK)
             ids = w.batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
@@ -203,26 +193,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             rows["a"], rows["b"], rows["doc"], rows["tie"], rows["start"] = key["a"], key["b"], ids[w.doc[first]], ties[w.doc[first]], first - w.bounds[w.doc[first]]
             yield from chunks.ask(row["chunk"], key["a"], rows, buckets)
 
-    windows = chunks.answers(pending.mapInArrow(ask_windows, chunks.ASKED), ASK, _windows_first)
+    windows = chunks.answers(placed.mapInArrow(ask_windows, chunks.ASKED), ASK, _windows_first)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each(batches):
-            w, starts = placed(row)
+            w, starts = candidates(row)
             key, first, number = w.windows(starts)
             keeps = chunks.marked(key["a"], row["answer"], buckets)
             gone = starts[~(keeps[number] & (first[number] == starts))]
             yield _results(w.batch, w.bounds, _covered(gone, len(w.hash)))
 
-    def pass_on(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw in b.column("done"):
-                batch = chunks.unpacked(raw.as_buffer())
-                bounds = chunks.words(batch.column("text"))[0]
-                yield _results(batch, bounds, np.zeros(bounds[-1], bool))
-
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_words long, n_removed long, removed array<struct<start:long,stop:long>>, kept_text string"
-    repeated = pending.join(windows.hint("shuffle_hash"), "chunk", "left").mapInArrow(finish, schema)
-    return settled.select("done").mapInArrow(pass_on, schema).unionByName(repeated)
+    return placed.join(windows.hint("shuffle_hash"), "chunk", "left").mapInArrow(finish, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
