@@ -188,3 +188,38 @@ def marked(first: np.ndarray, answer: list[dict] | None, buckets: int) -> np.nda
         bits = {a["bucket"]: a["bits"] for a in answer or []}
         out[order] = np.concatenate([np.unpackbits(np.frombuffer(bits[k], np.uint8), count=c).astype(bool) for k, c in zip(found.tolist(), counts.tolist(), strict=True)])
     return out
+
+
+def each(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of chunk tables; payloads as buffers."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {c: b.column(c)[i].as_buffer() if c == "payload" else b.column(c)[i].as_py() for c in b.schema.names}
+
+
+SLICED = "slice int, counts binary"
+
+
+def sliced(sums: np.ndarray, slices: int) -> pa.RecordBatch:
+    """A float64 array, along its last axis, as packed rows that can be added up apart."""
+    parts = np.split(sums, slices, axis=-1)
+    return pa.RecordBatch.from_pydict({"slice": pa.array(range(slices), pa.int32()), "counts": [pa.compress(np.ascontiguousarray(p).tobytes(), "zstd", asbytes=True) for p in parts]})
+
+
+def totals(partial: DataFrame, shape: tuple[int, ...], slices: int) -> np.ndarray:
+    """The sum of all sliced arrays. Slices are added up in parallel, as they stream by; the driver gets one array of the given size."""
+    own = (*shape[:-1], shape[-1] // slices)
+    size = int(np.prod(own)) * 8
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, raw in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                held[i] = held.get(i, 0) + np.frombuffer(pa.decompress(raw, size, "zstd", asbytes=True))
+        if held:
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(held, pa.int32()), "counts": [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in held.values()]})
+
+    out = np.zeros(shape)
+    for r in partial.repartition(max(1, slices // 4), "slice").mapInArrow(add, SLICED).collect():
+        out[..., r["slice"] * own[-1] : (r["slice"] + 1) * own[-1]] = np.frombuffer(pa.decompress(bytes(r["counts"]), size, "zstd", asbytes=True)).reshape(own)
+    return out

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, chat, html, mixing, repeats, tokens, toxicity, vectors
+from lexmill.llm import bpe, chat, html, jaccard, mixing, repeats, tokens, toxicity, vectors
 from lexmill.session import table
 
 
@@ -37,6 +37,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, _ = jaccard.join(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return classes.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_tokens(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_bpe": op6_bpe,
+    "op7_jaccard": op7_jaccard,
     "op8_tokens": op8_tokens,
     "op9_neighbours": op9_neighbours,
     "op10_html": op10_html,
@@ -66,5 +72,6 @@ ORACLE = {
     "op2_vectors": vectors.NEAR_SQL,
     "op3_repeats": repeats.SQL,
     "op5_mixing": mixing.SQL,
+    "op7_jaccard": jaccard.SQL,
     "op8_tokens": tokens.SQL,
 }

@@ -156,20 +156,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n = chunks.partitions(docs)
     buckets = n * chunks.PER_PARTITION
 
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            for i in range(b.num_rows):
-                yield {c: b.column(c)[i].as_buffer() if c == "payload" else b.column(c)[i].as_py() for c in b.schema.names}
-
     def ask_symbols(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in each(batches):
+        for row in chunks.each(batches):
             w = _Work(chunks.unpacked(row["payload"]))
             yield from chunks.ask(row["chunk"], w.names << np.uint64(16), w.names << np.uint64(1) | w.twice.astype(np.uint64), buckets)
 
     symbols = chunks.answers(packed.mapInArrow(ask_symbols, chunks.ASKED), np.dtype("<u8"), _symbols_twice)
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The places of the candidates, a bit per word."""
-        for row in each(batches):
+        for row in chunks.each(batches):
             w = _Work(chunks.unpacked(row["payload"]))
             starts = w.candidates(w.twice | chunks.marked(w.names << np.uint64(16), row["answer"], buckets))
             places = np.zeros(len(w.hash), bool)
@@ -184,7 +179,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return w, np.flatnonzero(np.unpackbits(np.frombuffer(row["places"], np.uint8), count=len(w.hash)))
 
     def ask_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in each(batches):
+        for row in chunks.each(batches):
             w, starts = candidates(row)
             key, first, _ = w.windows(starts)
             rows = np.zeros(len(key), ASK)
@@ -196,7 +191,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     windows = chunks.answers(placed.mapInArrow(ask_windows, chunks.ASKED), ASK, _windows_first)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in each(batches):
+        for row in chunks.each(batches):
             w, starts = candidates(row)
             key, first, number = w.windows(starts)
             keeps = chunks.marked(key["a"], row["answer"], buckets)

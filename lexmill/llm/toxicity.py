@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm import chunks
 from lexmill.session import cut
 
 BITS, STEM, Z, DRIFT, PRIOR = 18, 5, 4.0, 0.05, 0.05
@@ -78,20 +79,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in (0, 1):
                     ok = (where[:, k] >= 0) & (n > 0)
                     sums[row] += np.bincount(where[ok, k], n[ok], 2 * CELLS)
-    step = 2 * CELLS // SLICES
-    if sums.any():
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": [pa.compress(sums[:, i * step : (i + 1) * step].astype(np.float64).tobytes(), "zstd", asbytes=True) for i in range(SLICES)]})
-
-
-def _add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the slices that reach this task, as they stream by."""
-    held: dict[int, np.ndarray] = {}
-    size = 3 * 2 * CELLS // SLICES * 8
-    for b in batches:
-        for i, raw in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            held[i] = held.get(i, 0) + np.frombuffer(pa.decompress(raw, size, "zstd", asbytes=True))
-    if held:
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(held, pa.int32()), "counts": [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in held.values()]})
+    yield chunks.sliced(sums, SLICES)
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -208,11 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000) -> Model
     share = min(1.0, max_labelled / max(n, 1))
     sample = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left")  # at most about max_labelled rows of two numbers
-    partial = known.select("text", "label").mapInArrow(_count, "slice int, counts binary")
-    counts = np.zeros((3, 2 * CELLS))
-    step = 2 * CELLS // SLICES
-    for r in partial.repartition(SLICES // 4, "slice").mapInArrow(_add, "slice int, counts binary").collect():
-        counts[:, r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(pa.decompress(bytes(r["counts"]), 3 * step * 8, "zstd", asbytes=True)).reshape(3, step)
+    counts = chunks.totals(known.select("text", "label").mapInArrow(_count, chunks.SLICED), (3, 2 * CELLS), SLICES)
     model = Model(log_odds(counts))
     model.scale = scale_of(model.score, counts[0])
 
