@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Digit alphabets, marks to delete, affixes and their order, trimmed signs.
 EASTERN, PERSIAN, WESTERN = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "0123456789"
@@ -23,7 +24,7 @@ ARTICLE_PREFIXES = ("لل", "بال", "وال", "فال", "كال")
 TATWEEL_PREFIX = "بـال"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC; null stays null."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))

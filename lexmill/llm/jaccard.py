@@ -31,8 +31,10 @@ from lexmill.llm.components import components
 from lexmill.session import cut
 
 BITS, SLICES, CUTS, SPREAD = 18, 64, 4, 8
+#: Bits of a set's parity sketch: two sets differ in at least as many n-grams as their sketches in bits.
+SKETCH = 2048
 #: An n-gram of a set's beginning as it is sent: its place in the order, the document, the set's size, its place in it.
-SENT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("group", "<i8"), ("size", "<u4"), ("at", "<u4")])
+SENT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("size", "<u4"), ("at", "<u4")])
 
 
 def sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,15 +45,20 @@ def sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     h = chunks.hashes(distinct)[codes, 0]
     length = np.diff(bounds)
     doc = np.repeat(np.arange(batch.num_rows), length)
-    # each word with those that follow it, up to n, within its document; short texts are taken from their start
-    place = np.arange(len(h)) - bounds[doc]
-    take = (place + n <= length[doc]) | ((length[doc] < n) & (place == 0))
-    gram, at = np.zeros(len(h), np.uint64), np.flatnonzero(take)
+    # each word with the n - 1 that follow it in its document; short texts as a whole
+    rows, gram = doc[: len(h) - n + 1], np.zeros(max(len(h) - n + 1, 0), np.uint64)
     for j in range(n):
-        inside = at + j < bounds[doc[at] + 1]
-        gram[at[inside]] = mix(gram[at[inside]] * np.uint64(5) + h[at[inside] + j])
-    rows, gram = doc[at], gram[at]
-    order = np.lexsort((gram, rows))
+        gram = mix(gram * np.uint64(5) + h[j : j + len(gram)])
+    inside = rows == doc[n - 1 :]
+    rows, gram = rows[inside], gram[inside]
+    short = np.flatnonzero((length > 0) & (length < n))
+    if len(short):
+        more = np.zeros(len(short), np.uint64)
+        for j in range(n - 1):
+            has = length[short] > j
+            more[has] = mix(more[has] * np.uint64(5) + h[bounds[short[has]] + j])
+        rows, gram = np.concatenate([rows, short]), np.concatenate([gram, mix(more + np.uint64(1))])
+    order = chunks.order_by(rows, gram)
     rows, gram = rows[order], gram[order]
     fresh = np.concatenate([[True], (rows[1:] != rows[:-1]) | (gram[1:] != gram[:-1])])
     return rows[fresh], gram[fresh]
@@ -64,7 +71,7 @@ def _cell(gram: np.ndarray) -> np.ndarray:
 def _ordered(rows: np.ndarray, gram: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sets in the order of all n-grams; its keys hold the rank of the n-gram's cell, then its hash."""
     key = rank[_cell(gram)] << np.uint64(56) | gram >> np.uint64(8)
-    order = np.lexsort((key, rows))
+    order = chunks.order_by(rows, key)
     return rows[order], key[order]
 
 
@@ -85,6 +92,11 @@ def _may_link(rows: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> n
     return (rows["doc"][x] != rows["doc"][y]) & (most >= _needed(a, b, percent))
 
 
+def _sketches(rows: np.ndarray, gram: np.ndarray, n: int) -> pa.Array:
+    odd = np.bincount(rows * SKETCH + (gram % np.uint64(SKETCH)).astype(np.int64), minlength=n * SKETCH).astype(np.uint8) & 1
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(odd).view(np.int64)), SKETCH // 64).cast(pa.list_(pa.int64()))
+
+
 def _leaders(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Groups of equal keys: rows sorted by key, size and document, bounds of the groups, and each row's leader (the group's smallest document)."""
     rows = rows[np.lexsort((rows["doc"], rows["size"], rows["key"]))]
@@ -96,36 +108,37 @@ def _leaders(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return rows, bounds, leader, fresh
 
 
-def _meet(rows: np.ndarray, percent: int, again: bool) -> np.ndarray:
-    """Pairs of documents (and sizes) to verify from one bucket of sent n-grams.
-
-    First each row with its group's leader and with the next in size. ``again``: all others whose documents are in
-    different components.
-    """
-    rows, bounds, leader, fresh = _leaders(rows)
+def _meet(rows: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of documents (and sizes) to try first in one bucket of sent n-grams: each row with its group's leader and with the next in size."""
+    rows, _, leader, fresh = _leaders(rows)
+    next_to = np.flatnonzero(~fresh)
     found = []
-    if not again:
-        next_to = np.flatnonzero(~fresh)
-        for x, y in ((np.arange(len(rows)), leader), (next_to - 1, next_to)):
-            ok = _may_link(rows, x, y, percent)
-            found.append((x[ok], y[ok]))
-    else:
-        differs = np.minimum.reduceat(rows["group"], bounds[:-1]) < np.maximum.reduceat(rows["group"], bounds[:-1])
-        for g in np.flatnonzero(differs & (np.diff(bounds) > 2)).tolist():
-            a, b = int(bounds[g]), int(bounds[g + 1])
-            size = rows["size"][a:b].astype(np.int64)
-            reach = a + np.searchsorted(size, size * 100 // percent, "right")  # sizes beyond can't link
-            for x in range(a, b - 2):
-                y = np.arange(x + 2, int(reach[x - a]))
-                y = y[(rows["group"][y] != rows["group"][x]) & (leader[x] != x) & (leader[x] != y)]
-                y = y[_may_link(rows, np.full(len(y), x), y, percent)]
-                found.append((np.full(len(y), x), y))
-    x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-    y = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+    for x, y in ((np.arange(len(rows)), leader), (next_to - 1, next_to)):
+        ok = _may_link(rows, x, y, percent)
+        found.append(_as_pairs(rows, x[ok], y[ok]))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _meet_others(rows: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
+    """All other pairs of a group whose documents are in different components; ``rows`` by size, then document."""
+    size = rows["size"].astype(np.int64)
+    reach = np.searchsorted(size, size * 100 // percent, "right")  # sizes beyond can't link
+    leader = int(np.argmin(rows["doc"]))
+    found = [np.zeros((0, 4), np.int64)]
+    for x in range(len(rows) - 2):
+        if x != leader:
+            y = np.arange(x + 2, int(reach[x]))
+            y = y[(label[y] != label[x]) & (y != leader)]
+            y = y[_may_link(rows, np.full(len(y), x), y, percent)]
+            found.append(_as_pairs(rows, np.full(len(y), x), y))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _as_pairs(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     pairs = np.stack([rows["doc"][x], rows["doc"][y], rows["size"][x], rows["size"][y]], 1).astype(np.int64).reshape(-1, 4)
     swap = pairs[:, 0] > pairs[:, 1]
     pairs[swap] = pairs[swap][:, [1, 0, 3, 2]]
-    return np.unique(pairs, axis=0)
+    return pairs
 
 
 class Join:
@@ -151,7 +164,7 @@ class Join:
         return np.clip(np.floor(4 * np.log2((counts + 1) / (counts.mean() + 1))), 0, 255).astype(np.uint64)
 
     def classes(self) -> DataFrame:
-        """chunk, row, doc_id, n_shingles, class_id (smallest doc_id with the same set; null without a set) of every row."""
+        """chunk, row, doc_id, n_shingles, sketch, class_id (smallest doc_id with the same set; null without a set) of every row."""
         n = self.n
 
         def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,27 +174,25 @@ class Join:
                 bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
                 names = [xxhash.xxh3_128_digest(gram[a:b].tobytes()) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(batch.num_rows, row["chunk"])), pa.array(np.arange(batch.num_rows)), batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(names, pa.binary())],
-                    names=["chunk", "row", "doc_id", "n_shingles", "name"],
+                    [pa.array(np.full(batch.num_rows, row["chunk"])), pa.array(np.arange(batch.num_rows)), batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(names, pa.binary()), _sketches(rows, gram, batch.num_rows)],
+                    names=["chunk", "row", "doc_id", "n_shingles", "name", "sketch"],
                 )
 
-        every = cut(self.packed.mapInArrow(digest, "chunk long, row long, doc_id long, n_shingles long, name binary"))
+        every = cut(self.packed.mapInArrow(digest, "chunk long, row long, doc_id long, n_shingles long, name binary, sketch array<long>"))
         least = every.filter("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("class_id"))
         return cut(every.join(least, "name", "left").drop("name"))
 
     def sent(self, members: DataFrame, rank: np.ndarray) -> DataFrame:
-        """Beginnings of the sets of ``members(chunk, row, group)``, as messages to the fragments."""
+        """Beginnings of the sets of ``members(chunk, row)``, as messages to the fragments, written in their order."""
         n, percent, buckets = self.n, self.percent, self.buckets
         shared = members.sparkSession.sparkContext.broadcast(rank)
-        rows = members.groupBy("chunk").agg(F.collect_list(F.struct("row", "group")).alias("members"))  # rows of one chunk
+        rows = members.groupBy("chunk").agg(F.collect_list("row").alias("members"))  # rows of one chunk
 
         def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in chunks.each(batches):
-                batch, found = chunks.unpacked(row["payload"]), row["members"]
-                group = np.full(batch.num_rows, -1, np.int64)
+                batch = chunks.unpacked(row["payload"])
                 picked = np.zeros(batch.num_rows, bool)
-                for m in found:
-                    group[m["row"]], picked[m["row"]] = m["group"], True
+                picked[row["members"]] = True
                 rows, key = _ordered(*sets(batch, n), shared.value)
                 bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
                 size, at = np.diff(bounds), np.arange(len(rows)) - bounds[rows]
@@ -189,29 +200,64 @@ class Join:
                 use = first & picked[rows]
                 out = np.zeros(int(use.sum()), SENT)
                 ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-                out["key"], out["doc"], out["group"], out["size"], out["at"] = key[use], ids[rows[use]], group[rows[use]], size[rows[use]], at[use]
+                out["key"], out["doc"], out["size"], out["at"] = key[use], ids[rows[use]], size[rows[use]], at[use]
                 out = out[np.argsort(out["key"], kind="stable")]
                 yield from chunks.ask(row["chunk"], _hash_of(out["key"]), out, buckets)
 
-        return self.packed.join(rows.hint("shuffle_hash"), "chunk").mapInArrow(send, chunks.ASKED)
+        asked = self.packed.join(rows.hint("shuffle_hash"), "chunk").mapInArrow(send, chunks.ASKED)
+        return cut(asked.repartition(self.parts, "bucket").sortWithinPartitions("bucket"))
 
-    def pairs(self, sent: DataFrame, again: bool) -> DataFrame:
-        """a, b and their sizes: distinct pairs that met in a fragment."""
+    def pairs(self, sent: DataFrame) -> DataFrame:
+        """a, b and their sizes: the first pairs that meet in the fragments."""
         percent = self.percent
 
         def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in _buckets(batches):
+                yield _pairs(_meet(rows, percent))
+
+        return sent.mapInArrow(meet, PAIRS).distinct()
+
+    def other_pairs(self, sent: DataFrame, groups: DataFrame) -> DataFrame:
+        """a, b and their sizes: what ``pairs`` left out and is in different components of ``groups(id, component_id)``."""
+        percent = self.percent
+
+        def large(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The rows of groups of three and more; two have met already."""
+            for rows in _buckets(batches):
+                rows = rows[np.argsort(rows["key"], kind="stable")]
+                _, of, n = np.unique(rows["key"], return_inverse=True, return_counts=True)
+                rows = rows[n[of] > 2]
+                yield pa.RecordBatch.from_arrays([pa.array(rows["key"].view(np.int64)), *(pa.array(rows[f].astype(np.int64)) for f in ("doc", "size", "at"))], names=["key", "doc", "size", "at"])
+
+        rows = sent.mapInArrow(large, "key long, doc long, size long, at long").join(groups, F.col("doc") == F.col("id"), "left")
+        rows = rows.select("key", "doc", "size", "at", F.coalesce("component_id", "doc").alias("label"))
+        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+        rows = rows.join(mixed, "key").repartition(self.parts, "key").sortWithinPartitions("key", "size", "doc")
+
+        def others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, now = [], None
             for b in batches:
-                for own, raw in zip(b.column("bucket").to_pylist(), b.column("keys").to_pylist(), strict=True):
-                    if own != now and held:
-                        yield _pairs(_meet(np.concatenate(held), percent, again))
-                        held = []
-                    now = own
-                    held.append(chunks.decoded(raw, SENT))
+                key = b.column("key").to_numpy()
+                table = np.stack([b.column(c).to_numpy() for c in ("doc", "size", "at", "label")], 1)
+                for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
+                    if len(part):
+                        if key[part[0]] != now and held:
+                            yield _pairs(_meet_others(*_group(held), percent))
+                            held = []
+                        now = key[part[0]]
+                        held.append(table[part])
             if held:
-                yield _pairs(_meet(np.concatenate(held), percent, again))
+                yield _pairs(_meet_others(*_group(held), percent))
+
+        return rows.mapInArrow(others, PAIRS).distinct()
 
-        return cut(sent.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, size_a long, size_b long").distinct())
+    def likely(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
+        """The pairs whose sketches don't already show that their sets differ too much."""
+        sketch = lambda side: members.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"sketch_{side}"))
+        apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        both = F.col("size_a") + F.col("size_b")
+        allowed = both - 2 * F.ceil(both * self.percent / (100 + self.percent))
+        return cut(pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(apart <= allowed).select("a", "b", "size_a", "size_b").distinct())
 
     def verified(self, pairs: DataFrame, members: DataFrame, rank: np.ndarray) -> DataFrame:
         """a and b of the pairs that link: overlaps counted per fragment and summed per pair.
@@ -271,6 +317,30 @@ class Join:
         return linked.select("a", "b").distinct()
 
 
+PAIRS = "a long, b long, size_a long, size_b long"
+
+
+def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The sent n-grams of one bucket after the other."""
+    held, now = [], None
+    for b in batches:
+        for own, raw in zip(b.column("bucket").to_pylist(), b.column("keys").to_pylist(), strict=True):
+            if own != now and held:
+                yield np.concatenate(held)
+                held = []
+            now = own
+            held.append(chunks.decoded(raw, SENT))
+    if held:
+        yield np.concatenate(held)
+
+
+def _group(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    table = np.concatenate(held)
+    rows = np.zeros(len(table), SENT)
+    rows["doc"], rows["size"], rows["at"] = table[:, 0], table[:, 1], table[:, 2]
+    return rows, table[:, 3]
+
+
 def _pairs(found: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(4)], names=["a", "b", "size_a", "size_b"])
 
@@ -284,14 +354,12 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Dat
     work = Join(docs, n, percent)
     rank = work.rank()
     every = work.classes()
-    members = every.filter("class_id = doc_id").select("chunk", "row", "doc_id")
-    pairs = work.pairs(work.sent(members.withColumn("group", F.lit(-1).cast("long")), rank), again=False)
-    links = cut(work.verified(pairs, members, rank))
-    groups = components(links)
-    grouped = members.join(groups, members.doc_id == groups.id, "left").select("chunk", "row", F.coalesce("component_id", "doc_id").alias("group"))
-    more = work.pairs(work.sent(grouped, rank), again=True)
+    members = every.filter("class_id = doc_id").select("chunk", "row", "doc_id", "sketch")
+    sent = work.sent(members, rank)
+    links = cut(work.verified(work.likely(work.pairs(sent), members), members, rank))
+    more = work.likely(work.other_pairs(sent, components(links)), members)
     links = cut(links.union(work.verified(more, members, rank)).distinct())
-    groups = components(links.select("a", "b"))
+    groups = components(links)
     out = every.join(groups, every.class_id == groups.id, "left")
     return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id", "doc_id").alias("component_id")), links
 

@@ -29,7 +29,10 @@ def usable(v: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _blocks(df: DataFrame, id_type: str, rows: int) -> DataFrame:
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def _blocks(df: DataFrame, id_type: str, arrow: pa.DataType, rows: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, held = 0, {}
         for b in batches:
@@ -45,7 +48,7 @@ def _blocks(df: DataFrame, id_type: str, rows: int) -> DataFrame:
             yield out(k, n, ids, vs)
 
     def out(k: tuple, n: int, ids: list, vs: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"dim": pa.array([k[0]], pa.int32()), "label": [k[1]], "block": pa.array([(TaskContext.get().partitionId() << 32) + n], pa.int64()), "ids": [ids], "vs": [np.array(vs, float).tobytes()]})
+        return pa.RecordBatch.from_pydict({"dim": pa.array([k[0]], pa.int32()), "label": [k[1]], "block": pa.array([(TaskContext.get().partitionId() << 32) + n], pa.int64()), "ids": pa.array([ids], pa.list_(arrow)), "vs": [np.array(vs, float).tobytes()]})
 
     return df.mapInArrow(run, f"dim int, label string, block long, ids array<{id_type}>, vs binary")
 
@@ -62,8 +65,8 @@ def topk(queries: DataFrame, nodes: DataFrame, k: Column | int) -> DataFrame:
     slots = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-queries.count() // SLOT)))
     id_type = nodes.schema["node_id"].dataType.simpleString()
     qid_type = queries.schema["qid"].dataType.simpleString()
-    asked = _blocks(ask.repartition(slots, "id"), f"struct<qid:{qid_type},k:int>", SLOT).select(F.pmod(F.shiftright("block", 32), F.lit(slots)).cast("int").alias("slot"), "dim", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
-    spread = _blocks(have, id_type, BLOCK).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    asked = _blocks(ask.repartition(slots, "id"), f"struct<qid:{qid_type},k:int>", pa.struct([("qid", ARROW[qid_type]), ("k", pa.int32())]), SLOT).select(F.pmod(F.shiftright("block", 32), F.lit(slots)).cast("int").alias("slot"), "dim", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
+    spread = _blocks(have, id_type, ARROW[id_type], BLOCK).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     met = spread.join(asked, ["slot", "dim"])
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,8 +83,7 @@ def topk(queries: DataFrame, nodes: DataFrame, k: Column | int) -> DataFrame:
                         rows += [(q["qid"], q["k"], r["label"], ids[j], float(s[j])) for j in keep.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(types)], names=["qid", "k", "label", "node_id", "score"])
 
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    types = [arrow[qid_type], pa.int32(), pa.string(), arrow[id_type], pa.float64()]
+    types = [ARROW[qid_type], pa.int32(), pa.string(), ARROW[id_type], pa.float64()]
     found = met.mapInArrow(search, f"qid {qid_type}, k int, label string, node_id {id_type}, score double")
     w = W.partitionBy("qid", "label").orderBy(F.desc(F.round("score", 12)), "node_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("k"))
