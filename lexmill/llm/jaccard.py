@@ -18,11 +18,12 @@ doc_id link with nothing and have no component; other columns don't matter; an e
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import chunks
@@ -31,8 +32,9 @@ from lexmill.llm.components import components
 from lexmill.session import cut
 
 BITS, SLICES, CUTS, SPREAD = 18, 64, 4, 8
-#: Bits of a set's parity sketch: two sets differ in at least as many n-grams as their sketches in bits.
-SKETCH = 2048
+#: Bits of a set's parity sketch, and 64-bit words of its short form: two sets differ in at least as many n-grams as
+#: their sketches, or short forms, in bits.
+SKETCH, FOLD = 2048, 8
 #: An n-gram of a set's beginning as it is sent: its place in the order, the document, the set's size, its place in it.
 SENT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("size", "<u4"), ("at", "<u4")])
 
@@ -119,8 +121,9 @@ def _meet(rows: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0)
 
 
-def _meet_others(rows: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
-    """All other pairs of a group whose documents are in different components; ``rows`` by size, then document."""
+def _meet_others(rows: np.ndarray, label: np.ndarray, fold: np.ndarray, percent: int) -> np.ndarray:
+    """All other pairs of a group whose documents are in different components and whose short sketches don't show
+    that they differ too much; ``rows`` by size, then document."""
     size = rows["size"].astype(np.int64)
     reach = np.searchsorted(size, size * 100 // percent, "right")  # sizes beyond can't link
     leader = int(np.argmin(rows["doc"]))
@@ -130,6 +133,8 @@ def _meet_others(rows: np.ndarray, label: np.ndarray, percent: int) -> np.ndarra
             y = np.arange(x + 2, int(reach[x]))
             y = y[(label[y] != label[x]) & (y != leader)]
             y = y[_may_link(rows, np.full(len(y), x), y, percent)]
+            most = size[x] + size[y] - 2 * _needed(size[y], size[x], percent)
+            y = y[np.bitwise_count(fold[y] ^ fold[x]).sum(axis=1) <= most]
             found.append(_as_pairs(rows, np.full(len(y), x), y))
     return np.unique(np.concatenate(found), axis=0)
 
@@ -217,8 +222,11 @@ class Join:
 
         return sent.mapInArrow(meet, PAIRS).distinct()
 
-    def other_pairs(self, sent: DataFrame, groups: DataFrame) -> DataFrame:
-        """a, b and their sizes: what ``pairs`` left out and is in different components of ``groups(id, component_id)``."""
+    def other_pairs(self, sent: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
+        """a, b and their sizes: what ``pairs`` left out and is in different components of ``groups(id, component_id)``.
+
+        Rows carry their sketch, folded to FOLD words, so that only pairs that may link leave a group.
+        """
         percent = self.percent
 
         def large(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +237,9 @@ class Join:
                 rows = rows[n[of] > 2]
                 yield pa.RecordBatch.from_arrays([pa.array(rows["key"].view(np.int64)), *(pa.array(rows[f].astype(np.int64)) for f in ("doc", "size", "at"))], names=["key", "doc", "size", "at"])
 
-        rows = sent.mapInArrow(large, "key long, doc long, size long, at long").join(groups, F.col("doc") == F.col("id"), "left")
-        rows = rows.select("key", "doc", "size", "at", F.coalesce("component_id", "doc").alias("label"))
+        folded = F.array(*(reduce(Column.bitwiseXOR, [F.col("sketch")[i] for i in range(k, SKETCH // 64, FOLD)]) for k in range(FOLD)))
+        known = members.select("doc_id", folded.alias("fold")).join(groups, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("label"), "fold")
+        rows = sent.mapInArrow(large, "key long, doc long, size long, at long").join(known, F.col("doc") == F.col("doc_id")).drop("doc_id")
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
         rows = rows.join(mixed, "key").repartition(self.parts, "key").sortWithinPartitions("key", "size", "doc")
 
@@ -238,7 +247,7 @@ class Join:
             held, now = [], None
             for b in batches:
                 key = b.column("key").to_numpy()
-                table = np.stack([b.column(c).to_numpy() for c in ("doc", "size", "at", "label")], 1)
+                table = np.concatenate([np.stack([b.column(c).to_numpy() for c in ("doc", "size", "at", "label")], 1), b.column("fold").flatten().to_numpy().reshape(-1, FOLD)], 1)
                 for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
                     if len(part):
                         if key[part[0]] != now and held:
@@ -334,11 +343,11 @@ def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _group(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _group(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table = np.concatenate(held)
     rows = np.zeros(len(table), SENT)
     rows["doc"], rows["size"], rows["at"] = table[:, 0], table[:, 1], table[:, 2]
-    return rows, table[:, 3]
+    return rows, table[:, 3], table[:, 4:]
 
 
 def _pairs(found: np.ndarray) -> pa.RecordBatch:
@@ -357,7 +366,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Dat
     members = every.filter("class_id = doc_id").select("chunk", "row", "doc_id", "sketch")
     sent = work.sent(members, rank)
     links = cut(work.verified(work.likely(work.pairs(sent), members), members, rank))
-    more = work.likely(work.other_pairs(sent, components(links)), members)
+    more = work.likely(work.other_pairs(sent, components(links), members), members)
     links = cut(links.union(work.verified(more, members, rank)).distinct())
     groups = components(links)
     out = every.join(groups, every.class_id == groups.id, "left")
