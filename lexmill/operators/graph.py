@@ -78,10 +78,20 @@ def hierarchy_edges(chunks: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, found).filter("src IS NOT NULL AND dst IS NOT NULL")
 
 
-def next_edges(articles: DataFrame) -> DataFrame:
-    """NEXT between articles that follow each other by number in a law."""
-    after = F.lead("node_id").over(W.partitionBy("law_id").orderBy("article_number", "chunk_order"))
-    return edges(articles.filter("node_type = 'Article'").withColumn("after", after).filter("after IS NOT NULL"), F.col("node_id"), F.col("after"), "NEXT")
+def next_edges(articles: DataFrame, bucket: int = 10_000) -> DataFrame:
+    """NEXT between articles that follow each other by number in a law.
+
+    Buckets of numbers are ordered apart; the last article of one goes on to the first of the next that has any, so
+    no task holds a whole law.
+    """
+    rows = articles.filter("node_type = 'Article'").select("law_id", "node_id", "article_number", "chunk_order", F.floor(F.col("article_number") / bucket).alias("_b"))
+    order = F.struct("article_number", "chunk_order")
+    heads = rows.groupBy("law_id", "_b").agg(F.min_by("node_id", order).alias("head"))
+    heads = heads.select("law_id", "_b", F.lead("head").over(W.partitionBy("law_id").orderBy("_b")).alias("head"))
+    after = F.lead("node_id").over(W.partitionBy("law_id", "_b").orderBy("article_number", "chunk_order"))
+    found = rows.withColumn("after", after).join(heads, ["law_id", "_b"], "left")
+    found = found.withColumn("after", F.coalesce("after", "head"))
+    return edges(found.filter("after IS NOT NULL"), F.col("node_id"), F.col("after"), "NEXT")
 
 
 def segment_edges(chunks: DataFrame) -> DataFrame:

@@ -1,6 +1,409 @@
-"""Registry of the library's own queries and their SQL."""
+"""Registry of the library's own queries over the driver's tables, each with SQL for the same rows.
+
+Orders stand in for articles (with customers, nations and regions above them), line items for segments and
+references, conversations for paged documents. Each query runs one operator over whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.functions import spans
+from lexmill.functions import text as T
+from lexmill.operators import annotate, chunking, context, graph, presentation, quality, retrieval, structure, vector
+from lexmill.session import table
+from lexmill.sources.files import pages_of
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: White space as the patterns of the library see it, for SQL whose own class is ASCII only.
+SPACE = r"[\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def sha(c: Column) -> Column:
+    return F.sha2(c, 256)
+
+
+def joined(c: Column) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+# -- text --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(translate(text, '0123456789', '٠١٢٣٤٥٦٧٨٩')) AS eastern, sha256(text) AS western FROM documents WHERE text IS NOT NULL")
+def text_digits(spark, sf):
+    east = T.eastern_digits(F.col("text"))
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", sha(east).alias("eastern"), sha(T.western_digits(east)).alias("western"))
+
+
+@query(f"SELECT doc_id, greatest(1, round_even(length(text) / 3.4::DOUBLE, 0))::INT AS tokens, sha256(trim(regexp_replace(text, '{SPACE}+', ' ', 'g'))) AS flat FROM documents WHERE text IS NOT NULL")
+def text_flat_and_size(spark, sf):
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), sha(T.squeeze(F.col("text"))).alias("flat"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN contains(t, chr(10) || chr(10)) THEN split_part(t, chr(10) || chr(10), 1) ELSE '' END AS crumb FROM (SELECT conv_id, turn, role || chr(10) || chr(10) || text AS t FROM conversations WHERE text IS NOT NULL)")
+def text_breadcrumb_of(spark, sf):
+    text = F.concat("role", F.lit("\n\n"), "text")
+    return table(spark, sf, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", T.breadcrumb_of(text).alias("crumb"))
+
+
+@query(
+    "SELECT c_custkey, concat_ws(' ← ', 'الكتاب ' || n_regionkey || ': ' || n_name, CASE WHEN c_nationkey % 5 > 0 THEN 'الباب ' || c_nationkey END, 'المادة (' || c_custkey || ')') AS crumb FROM customer JOIN nation ON c_nationkey = n_nationkey"
+)
+def text_breadcrumb(spark, sf):
+    df = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    part = F.when(F.col("c_nationkey") % 5 > 0, F.col("c_nationkey"))
+    return df.select("c_custkey", T.breadcrumb(F.col("n_regionkey"), F.col("n_name"), part, F.lit(""), F.lit(None).cast("int"), F.lit(None).cast("string"), F.col("c_custkey")).alias("crumb"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN printf('%03d', p_size) ELSE left(regexp_replace(p_name, '\\s+', '-', 'g'), 40) END AS slug FROM part")
+def text_slug(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.slug(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_size"))).alias("slug"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(the)', '<mark>\\1</mark>', 'gi'), '(mark)', '<mark>\\1</mark>', 'gi')) AS marked FROM documents WHERE text IS NOT NULL")
+def text_highlight(spark, sf):
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", sha(T.highlight(F.col("text"), F.lit("the of? mark!"))).alias("marked"))
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 100 > 9 THEN (o_orderkey % 10) * 10 + o_orderkey % 100 // 10 ELSE o_orderkey % 100 END::INT AS stored, (o_orderkey % 100)::INT AS typed FROM orders"
+)
+def text_numbers(spark, sf):
+    east = T.eastern_digits((F.col("o_orderkey") % 100).cast("string"))
+    return table(spark, sf, "orders").select("o_orderkey", T.page_int(east).alias("stored"), T.typed_int(east).alias("typed"))
+
+
+# -- pages, structure, chunks ------------------------------------------------------------------------------------
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_num"), F.coalesce("text", F.lit("")).alias("cleaned_text"))
+
+
+PAGES = "p AS (SELECT conv_id AS doc_id, turn::INT AS page_num, coalesce(text, '') AS t FROM conversations), o AS (SELECT doc_id, page_num, (sum(length(t) + 1) OVER w - length(t) - 1)::INT AS ps, (sum(length(t) + 1) OVER w - 1)::INT AS pe FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page_num))"
+
+
+@query(f"WITH {PAGES} SELECT doc_id, page_num, ps, pe FROM o")
+def pages_offsets(spark, sf):
+    return spans.page_offsets(_pages(spark, sf))
+
+
+@query(f"WITH {PAGES} SELECT doc_id, sha256(string_agg(t, ' ' ORDER BY page_num)) AS text_sha FROM p GROUP BY doc_id")
+def pages_concatenated(spark, sf):
+    return spans.concatenate(_pages(spark, sf)).select("doc_id", sha(F.col("text")).alias("text_sha"))
+
+
+@query(f"WITH {PAGES} SELECT doc_id, k, string_agg(page_num, ',' ORDER BY page_num) AS source_pages FROM o JOIN (SELECT DISTINCT doc_id, unnest(range(0, 20))::INT AS k FROM p) s USING (doc_id) WHERE pe > k * 100 AND ps < k * 100 + 150 GROUP BY doc_id, k")
+def pages_of_spans(spark, sf):
+    pages = _pages(spark, sf)
+    ranges = pages.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
+    ranges = ranges.select("doc_id", "k", (F.col("k") * 100).alias("char_start"), (F.col("k") * 100 + 150).alias("char_end"))
+    return spans.spanned_pages(ranges, spans.page_offsets(pages), ["k"]).withColumn("source_pages", joined(F.col("source_pages")))
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_pages, length(text) - len(string_split(text, chr(10))) + 1 AS n_chars FROM documents WHERE text IS NOT NULL")
+def source_pages_of_documents(spark, sf):
+    pages = pages_of(table(spark, sf, "documents").filter("text IS NOT NULL"))
+    return pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum(F.length("raw_text")).alias("n_chars"))
+
+
+@query(
+    "WITH a AS (SELECT o_custkey AS doc_id, row_number() OVER w AS n, o_orderpriority AS body, 'مادة (' || row_number() OVER w || '): ' AS head FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) "
+    "SELECT doc_id, n::INT AS article_number, body AS body_text, 1 AS book_number, 'عام' AS book_title, (17 + sum(length(head || body) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(head || body) - 1)::INT AS char_start FROM a"
+)
+def structure_articles(spark, sf):
+    """A text per customer: a book header, then an article per order."""
+    from pyspark.sql.window import Window as W
+
+    rows = table(spark, sf, "orders").withColumn("n", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")))
+    rows = rows.withColumn("t", F.concat(F.lit("مادة ("), F.col("n").cast("string"), F.lit("): "), "o_orderpriority"))
+    texts = rows.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat_ws(" ", F.lit("الكتاب الأول عام"), F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"])).alias("text"))
+    return structure.parse(texts).select("doc_id", "article_number", "body_text", "book_number", "book_title", "char_start")
+
+
+@query(
+    "SELECT k AS o_orderkey, i::INT AS number FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN [1, 2, 3, 4] WHEN o_orderkey % 4 = 1 THEN [2, 3, 6, 7] WHEN o_orderkey % 4 = 2 THEN [1, 2, 1, 2] ELSE [1, 2, 3, 1] END AS l FROM orders), LATERAL (SELECT unnest(l) AS i)"
+)
+def structure_renumbering(spark, sf):
+    """Four patterns of read numbers: unread, near, far ahead and back."""
+    pick = F.element_at(F.array(F.array(F.lit(1), F.lit(None), F.lit(9), F.lit(None)), F.array(F.lit(2), F.lit(None), F.lit(6), F.lit(99)), F.array(F.lit(1), F.lit(2), F.lit(1), F.lit(None)), F.array(F.lit(None), F.lit(2), F.lit(99), F.lit(1))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", F.explode(structure.renumber(pick)).alias("number"))
+
+
+@query(
+    "WITH b AS (SELECT l_orderkey, min({'n': l_linenumber, 'f': l_returnflag}) AS m, count(*) AS n FROM lineitem GROUP BY l_orderkey) "
+    "SELECT l_orderkey, n::INT AS n_parts, 'تمهيد' || CASE WHEN n < 2 THEN ' ' ELSE chr(10) || chr(10) END || m.n || '- ' || m.f || '.' AS first FROM b"
+)
+def chunk_segments(spark, sf):
+    """A body per order, a preamble and a mark per line item."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.col("l_linenumber").cast("string"), F.lit("- "), "l_returnflag", F.lit(".")).alias("t")))).alias("m"))
+    parts = chunking.segments(F.concat(F.lit("تمهيد "), F.array_join(F.transform("m", lambda x: x["t"]), " ")))
+    return lines.select("l_orderkey", F.size(parts).alias("n_parts"), F.get(parts, F.lit(0)).alias("first"))
+
+
+# -- annotation and routing --------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH t AS (SELECT l_orderkey, l_linenumber, (l_partkey % 400)::INT AS a, (l_suppkey % 50)::INT AS b, (l_orderkey % 300)::INT AS c FROM lineitem) "
+    "SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct(list_filter([a, b, c], lambda x: x BETWEEN 1 AND 298 AND x <> b + 1))), ',') AS refs, 'قانون العمل رقم ' || a || ' لسنة 2003' AS laws FROM t"
+)
+def annotate_references(spark, sf):
+    a, b, c = (F.col(k).cast("int") % m for k, m in (("l_partkey", 400), ("l_suppkey", 50), ("l_orderkey", 300)))
+    s = lambda x: x.cast("string")
+    text = F.concat(F.lit("وفقا للمادة "), s(a), F.lit(" من المواد ("), s(b), F.lit("، "), s(c), F.lit(") من قانون  العمل رقم "), s(a), F.lit(" لسنة 2003"))
+    refs = annotate.cross_refs(text, F.lit(298), b + 1)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", joined(refs).alias("refs"), F.array_join(annotate.external_refs(text), "|").alias("laws"))
+
+
+@query(
+    "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'الأجر' WHEN 1 THEN 'الأجر,العامل' ELSE 'العامل' END AS terms FROM orders"
+)
+def annotate_terms(spark, sf):
+    """Texts with surface forms of one or both of two terms; the third has two words and is never found."""
+    forms = F.element_at(F.array(F.lit("يصرف للأجر"), F.lit("أجور العاملين والأجر"), F.lit("على عامل واحد صاحب العمل")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    texts = table(spark, sf, "orders").select(F.col("o_orderkey").alias("node_id"), forms.alias("text"))
+    terms = spark.createDataFrame([("الأجر",), ("العامل",), ("صاحب العمل",)], "term string").select("term", T.term_variants(F.col("term")).alias("variants"))
+    return annotate.terms_used(texts, terms).select(F.col("node_id").alias("o_orderkey"), F.array_join("defined_terms_used", ",").alias("terms"))
+
+
+@query(
+    "WITH t AS (SELECT o_orderkey, (o_orderkey % 400)::INT AS a, (o_custkey % 310)::INT AS b, (o_custkey % 310 + o_orderkey % 90 - 30)::INT AS c0 FROM orders), u AS (SELECT *, greatest(c0, 0) AS c FROM t) "
+    "SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter(list_concat([a], CASE WHEN b BETWEEN 1 AND 298 AND c BETWEEN 1 AND 298 AND abs(b - c) <= 50 THEN range(least(b, c), greatest(b, c) + 1) ELSE [b, c] END), lambda x: x BETWEEN 1 AND 298))), ',') AS refs FROM u"
+)
+def route_questions(spark, sf):
+    a, b = F.col("o_orderkey") % 400, F.col("o_custkey") % 310
+    c = F.greatest(b + F.col("o_orderkey") % 90 - 30, F.lit(0))
+    question = F.concat(F.lit("ما حكم المادة "), a.cast("string"), F.lit(" مع المواد "), b.cast("string"), F.lit(" إلى "), c.cast("string"), F.lit("؟"))
+    return table(spark, sf, "orders").select("o_orderkey", joined(retrieval.route(question)).alias("refs"))
+
+
+@query(
+    "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'user' END AS mode, CASE WHEN turn % 2 = 0 THEN turn::INT ELSE 5 END AS primary_k, 12 AS max_context_chunks FROM conversations"
+)
+def route_profiles(spark, sf):
+    asked = table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("mode"), F.when(F.col("turn") % 2 == 0, F.col("turn").cast("int")).alias("primary_k"))
+    return retrieval.resolved(asked).select("conv_id", "turn", "mode", "primary_k", "max_context_chunks")
+
+
+# -- graph -------------------------------------------------------------------------------------------------------
+
+
+def _statute(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(
+        F.concat(F.lit("art"), F.col("o_orderkey").cast("string")).alias("node_id"), F.lit("Article").alias("node_type"), F.lit("L").alias("law_id"), F.col("n_regionkey").alias("book_number"), F.lit("b").alias("book_title"),
+        F.when(F.col("n_nationkey") % 7 > 0, F.col("n_nationkey")).alias("part_number"), F.col("n_name").alias("part_title"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey")).alias("chapter_number"), F.col("o_orderpriority").alias("chapter_title"),
+        F.col("o_orderkey").cast("int").alias("article_number"), F.col("o_orderkey").alias("chunk_order"),
+    )
+
+
+STATUTE = (
+    "a AS (SELECT 'art' || o_orderkey AS node_id, 'L' AS law_id, n_regionkey AS b, CASE WHEN n_nationkey % 7 > 0 THEN n_nationkey END AS p, CASE WHEN c_custkey % 3 > 0 THEN c_custkey END AS c, n_name, o_orderpriority, o_orderkey "
+    "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
+)
+
+
+@query(f"WITH {STATUTE} SELECT law_id, b AS book_number, p AS part_number, c AS number, min_by(o_orderpriority, o_orderkey) AS title FROM a WHERE p IS NOT NULL AND c IS NOT NULL GROUP BY ALL")
+def graph_chapters(spark, sf):
+    return graph.hierarchy_nodes(_statute(spark, sf), "chapter")
+
+
+@query(
+    f"WITH {STATUTE}, i AS (SELECT *, 'book:L/' || b || '/' AS bi, 'part:L/' || b || '/' || p || '/' AS pi, 'chapter:L/' || b || '/' || p || '/' || c || '/' AS ci FROM a), "
+    "e AS (SELECT law_id AS src, bi AS dst, 'HAS_BOOK' AS type FROM i UNION SELECT bi, pi, 'HAS_PART' FROM i UNION SELECT pi, ci, 'HAS_CHAPTER' FROM i UNION SELECT CASE WHEN c IS NOT NULL THEN ci ELSE pi END, node_id, 'HAS_ARTICLE' FROM i) "
+    "SELECT src, dst, type FROM e WHERE src IS NOT NULL AND dst IS NOT NULL"
+)
+def graph_hierarchy_edges(spark, sf):
+    return graph.hierarchy_edges(_statute(spark, sf)).select("src", "dst", "type")
+
+
+@query(f"WITH {STATUTE}, n AS (SELECT node_id AS src, lead(node_id) OVER (ORDER BY o_orderkey) AS dst, 'NEXT' AS type FROM a) SELECT * FROM n WHERE dst IS NOT NULL")
+def graph_next_edges(spark, sf):
+    return graph.next_edges(_statute(spark, sf)).select("src", "dst", "type")
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem")
+    own = F.concat(F.lit("art"), F.col("l_orderkey").cast("string"), F.lit("-seg"), F.col("l_linenumber").cast("string"))
+    return lines.select(own.alias("node_id"), F.lit("ArticleSegment").alias("node_type"), F.lit("L").alias("law_id"), F.col("l_orderkey").cast("int").alias("article_number"), F.col("l_linenumber").cast("int").alias("segment_index"), F.lit(7).alias("segment_total"), F.array(F.col("l_partkey").cast("int"), F.col("l_suppkey").cast("int")).alias("cross_refs"))
+
+
+@query("SELECT DISTINCT 'art' || l_orderkey AS src, 'art' || l_orderkey || '-seg' || l_linenumber AS dst, 'HAS_SEGMENT' AS type, l_linenumber::INT AS idx, 7 AS total FROM lineitem SEMI JOIN orders ON l_orderkey = o_orderkey")
+def graph_segment_edges(spark, sf):
+    return graph.segment_edges(_statute(spark, sf).unionByName(_segments(spark, sf), allowMissingColumns=True))
+
+
+@query("SELECT DISTINCT 'art' || l_orderkey || '-seg' || l_linenumber AS src, 'art' || r AS dst, 'REFERENCES' AS type FROM (SELECT l_orderkey, l_linenumber, unnest([l_partkey, l_suppkey]) AS r FROM lineitem) SEMI JOIN orders ON r = o_orderkey WHERE r <> l_orderkey")
+def graph_reference_edges(spark, sf):
+    return graph.reference_edges(_statute(spark, sf).unionByName(_segments(spark, sf), allowMissingColumns=True)).select("src", "dst", "type")
+
+
+@query("SELECT p_brand, max_by(p_name, p_partkey) AS p_name, max(p_partkey) AS p_partkey FROM part GROUP BY p_brand")
+def graph_upsert(spark, sf):
+    return graph.upserted(table(spark, sf, "part").select("p_brand", "p_name", "p_partkey"), "p_brand", "p_partkey")
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def graph_duplicates(spark, sf):
+    return graph.duplicates(table(spark, sf, "orders"), "o_custkey")
+
+
+# -- retrieval ---------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    vectors = table(spark, sf, "embeddings")
+    return vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding"), vectors.select(F.col("vec_id").alias("node_id"), F.pmod("label", F.lit(3)).cast("string").alias("label"), "embedding")
+
+
+NEAREST = (
+    "s AS (SELECT q.vec_id AS qid, (n.label % 3)::VARCHAR AS label, n.vec_id AS node_id, (1 + list_cosine_similarity(q.embedding::DOUBLE[], n.embedding::DOUBLE[])) / 2 AS score FROM embeddings q, embeddings n WHERE q.vec_id % 100 = 0), "
+    "l AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY round(score, 12) DESC, node_id) AS n FROM s)"
+)
+
+
+@query(f"WITH {NEAREST} SELECT qid, label, node_id, round(score, 9) AS score, n::INT AS rank FROM l WHERE n <= 5")
+def vector_topk(spark, sf):
+    return vector.topk(*_vectors(spark, sf), 5).select("qid", "label", "node_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query(f"WITH {NEAREST}, m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, label, node_id) AS r FROM l WHERE n <= 8) SELECT qid, label, node_id, round(score, 9) AS score, r::INT AS rank FROM m WHERE r <= 8")
+def vector_topk_merged(spark, sf):
+    return vector.topk_merged(*_vectors(spark, sf), 8, ("0", "1", "2")).select("qid", "label", "node_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query(
+    "WITH s AS (SELECT DISTINCT o_custkey AS qid, o_orderkey AS node_id FROM orders), m AS (SELECT DISTINCT qid, node_id, l_partkey AS target FROM s JOIN lineitem ON node_id = l_orderkey), "
+    "c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY node_id, target) AS n FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY qid, node_id ORDER BY target) AS j FROM c WHERE n <= 100), "
+    "f AS (SELECT qid, target, min(node_id) AS node_id FROM k WHERE j <= 3 GROUP BY qid, target) SELECT qid, target, row_number() OVER (PARTITION BY qid ORDER BY node_id, target)::INT AS pos FROM f"
+)
+def retrieval_hop(spark, sf):
+    seeds = table(spark, sf, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("node_id"))
+    edges = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return retrieval.hop(seeds, edges, 3)
+
+
+@query("SELECT o_custkey AS qid, 'art' || o_orderkey AS node_id, o_orderkey::INT AS article_number, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS pos, 1.0::DOUBLE AS score FROM orders")
+def retrieval_explicit(spark, sf):
+    asked = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("qid")).agg(F.collect_list(F.col("o_orderkey").cast("int")).alias("refs"))
+    nodes = _statute(spark, sf).select("node_id", "node_type", "article_number", F.lit("a\n\nb").alias("text"))
+    return retrieval.explicit(asked, nodes).select("qid", "node_id", "article_number", "pos", "score")
+
+
+def _found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    source = F.element_at(F.array(*map(F.lit, retrieval.SOURCES)), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    return rows.select(
+        F.col("o_custkey").alias("qid"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("node_id"), F.when(F.col("l_linestatus") == "F", F.lit("Definition")).otherwise(F.lit("Article")).alias("node_type"),
+        F.col("l_partkey").cast("int").alias("article_number"), F.lit("").alias("breadcrumb"), F.concat(F.lit("text "), F.col("l_partkey").cast("string")).alias("text"), (F.col("l_discount") / 3).alias("score"), source.alias("source"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("int").alias("pos"),
+    )
+
+
+FOUND = (
+    "f AS (SELECT o_custkey AS qid, 'p' || l_partkey AS node_id, CASE WHEN l_linestatus = 'F' THEN 'Definition' ELSE 'Article' END AS node_type, l_partkey::INT AS article_number, 'text ' || l_partkey AS text, l_discount / 3 AS score, "
+    "l_linenumber % 4 AS pri, ['explicit', 'primary', 'definition', 'cross_ref'][l_linenumber % 4 + 1] AS source, (l_orderkey * 10 + l_linenumber)::INT AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey), "
+    "d AS (SELECT *, row_number() OVER (PARTITION BY qid, node_id ORDER BY pri, pos) AS n FROM f), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pri, pos, node_id)::INT AS rank FROM d WHERE n = 1), k AS (SELECT * FROM r WHERE rank <= 12)"
+)
+
+
+@query(f"WITH {FOUND} SELECT qid, node_id, source, pos, rank FROM k")
+def retrieval_dedupe_and_cap(spark, sf):
+    return retrieval.dedupe_and_cap(_found(spark, sf), 12).select("qid", "node_id", "source", "pos", "rank")
+
+
+@query(
+    f"WITH {FOUND}, s AS (SELECT *, CASE WHEN source = 'explicit' THEN 0 WHEN node_type = 'Definition' THEN 1 WHEN source = 'primary' THEN 2 WHEN source = 'cross_ref' THEN 3 END AS section FROM k), "
+    "h AS (SELECT qid, section, chr(10) || ['[المواد المطلوبة صراحة]', '[تعريفات]', '[المواد الأساسية]', '[المواد المُحال إليها]'][section + 1] || chr(10) || string_agg(text || chr(10) || '---', chr(10) ORDER BY rank) AS part FROM s WHERE section IS NOT NULL GROUP BY qid, section), "
+    "g AS (SELECT qid, string_agg(part, chr(10) ORDER BY section) AS parts FROM h GROUP BY qid) "
+    "SELECT qid, sha256('السؤال: q' || qid || chr(10) || chr(10) || 'النصوص المرجعية:' || coalesce(chr(10) || parts, '')) AS prompt FROM (SELECT DISTINCT qid FROM f) LEFT JOIN g USING (qid)"
+)
+def context_prompts(spark, sf):
+    found = retrieval.dedupe_and_cap(_found(spark, sf), 12)
+    asked = _found(spark, sf).select("qid").distinct().withColumn("question", F.concat(F.lit("q"), F.col("qid").cast("string")))
+    return context.prompts(asked, found).select("qid", sha(F.col("prompt")).alias("prompt"))
+
+
+@query(f"WITH {FOUND} SELECT qid, count(*)::INT AS n, min_by(node_id, rank) AS first_node, min_by(round_even(score, 3), rank) AS first_score, min_by(left(text, 300), rank) AS first_excerpt FROM k GROUP BY qid")
+def context_sources(spark, sf):
+    listed = context.sources(retrieval.dedupe_and_cap(_found(spark, sf), 12))
+    first = F.get("sources", F.lit(0))
+    return listed.select("qid", F.size("sources").alias("n"), first["node_id"].alias("first_node"), first["score"].alias("first_score"), first["excerpt"].alias("first_excerpt"))
+
+
+# -- presentation ------------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT event_id, event_id % 1000 + user_id AS total, CASE WHEN event_type = 'click' THEN 'direct' WHEN event_id % 8 > 0 THEN printf('similarity %.3f', (event_id % 8) / 8) ELSE 'expansion' END AS label, "
+    "CASE event_id % 4 WHEN 0 THEN 'paused' WHEN 1 THEN 'missing_model' WHEN 2 THEN 'authentication' ELSE 'backend' END AS error FROM events WHERE event_type IS NOT NULL"
+)
+def presentation_labels(spark, sf):
+    events = table(spark, sf, "events").filter("event_type IS NOT NULL")
+    elapsed = F.create_map(F.lit("route"), F.col("event_id") % 1000, F.lit("embed"), F.col("user_id"))
+    source = F.when(F.col("event_type") == "click", F.lit("explicit")).otherwise(F.lit("primary"))
+    message = F.element_at(F.array(F.lit("Instance is PAUSED"), F.lit("DeploymentNotFound"), F.lit("HTTP 401"), F.lit("other")), (F.col("event_id") % 4 + 1).cast("int"))
+    return events.select("event_id", presentation.total_latency(elapsed).alias("total"), presentation.score_label(source, (F.col("event_id") % 8) / 8).alias("label"), presentation.error_class(message).alias("error"))
+
+
+@query("SELECT n_nationkey, CASE WHEN contains(n_name, 'IA') THEN 'x,y' WHEN contains(n_name, 'AN') THEN 'z' ELSE 'd' END AS shown FROM nation")
+def presentation_suggestions(spark, sf):
+    return table(spark, sf, "nation").select("n_nationkey", F.array_join(presentation.suggestions(F.col("n_name"), {"IA": ["x", "y"], "AN": ["z"]}, ["d"]), ",").alias("shown"))
+
+
+@query(f"WITH {FOUND} SELECT qid, 'question' AS src, 'article_' || article_number AS dst FROM k GROUP BY ALL")
+def presentation_star(spark, sf):
+    return presentation.star(retrieval.dedupe_and_cap(_found(spark, sf), 12))["edges"]
+
+
+@query(f"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda w: w <> ''))::INT AS n FROM documents WHERE text IS NOT NULL")
+def presentation_words(spark, sf):
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.size(presentation.answer_words(F.col("text"))).alias("n"))
+
+
+# -- checks ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT number FROM (SELECT unnest(range(1, (SELECT max(l_suppkey * 3) FROM lineitem) + 1)) AS number) WHERE number NOT IN (SELECT l_suppkey * 3 FROM lineitem)")
+def quality_gaps(spark, sf):
+    return quality.gaps(table(spark, sf, "lineitem").select((F.col("l_suppkey") * 3).alias("n")), "n")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey * 31 AS p_partkey FROM lineitem WHERE l_suppkey * 31 NOT IN (SELECT p_partkey FROM part)")
+def quality_dangling(spark, sf):
+    return quality.dangling(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") * 31).alias("p_partkey")), table(spark, sf, "part"), "p_partkey").select("l_orderkey", "l_linenumber", "p_partkey")
+
+
+@query(
+    "WITH s AS (SELECT list_sort(list(n_chars)) AS l, count(*) AS n FROM documents WHERE n_chars IS NOT NULL) SELECT n, floor((l[(n - 1) // 2 + 1] + l[n // 2 + 1]) / 2)::INT AS p50, l[floor(n * 0.9)::BIGINT + 1] AS p90, l[floor(n * 0.99)::BIGINT + 1] AS p99, l[n] AS max FROM s"
+)
+def quality_percentiles(spark, sf):
+    return quality.at_index(table(spark, sf, "documents"), "n_chars", (0.9, 0.99))
+
+
+@query(
+    "WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 7 END AS lo, o_custkey FROM orders), b AS (SELECT *, coalesce(last_value(lo + 1 IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a) "
+    "SELECT o_orderkey, before::INT AS before FROM b WHERE lo IS NOT NULL AND lo < before - 1"
+)
+def quality_page_order(spark, sf):
+    lo = (F.col("o_orderkey") % 7).cast("int")
+    pages = F.when(F.col("o_orderkey") % 5 > 0, F.array(lo, lo + 1)).otherwise(F.array().cast("array<int>"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("law_id"), F.col("o_orderkey").alias("article_number"), F.col("o_orderkey").alias("chunk_order"), pages.alias("source_pages"))
+    return quality.page_violations(rows).select("o_orderkey", "before")
