@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lexmill.llm.common import lean
+
 # Letters and numbers that Unicode has only since 17.0 or that the vocabulary's own pattern
 # engine (16.0) doesn't know; it takes them as signs.
 NEW_LETTERS = (
@@ -203,7 +205,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = [encoder.encode(t.as_py() or "") for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -216,7 +218,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [encoder.decode(i.as_py() or b"") for i in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -234,4 +236,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 text_hex.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import lean
 from lexmill.session import cut
 
 CHUNK_BYTES, PER_PARTITION = 2 << 20, 4
@@ -68,7 +69,7 @@ def pack(docs: DataFrame) -> DataFrame:
         if held:
             yield chunk()
 
-    return cut(docs.mapInArrow(run, "chunk long, payload binary").repartition(partitions(docs), "chunk"), placed=True)
+    return cut(docs.mapInArrow(lean(run), "chunk long, payload binary").repartition(partitions(docs), "chunk"), placed=True)
 
 
 def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -188,7 +189,7 @@ def answers(asked: DataFrame, kind: np.dtype, decide: Callable[[np.ndarray, np.n
         if held:
             yield bucket()
 
-    told = asked.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, "chunk long, bucket int, bits binary")
+    told = asked.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(lean(run), "chunk long, bucket int, bits binary")
     return told.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("answer"))  # a short row per bucket
 
 
@@ -234,6 +235,6 @@ def totals(partial: DataFrame, shape: tuple[int, ...], slices: int) -> np.ndarra
             yield pa.RecordBatch.from_pydict({"slice": pa.array(held, pa.int32()), "counts": [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in held.values()]})
 
     out = np.zeros(shape)
-    for r in partial.repartition(max(1, slices // 4), "slice").mapInArrow(add, SLICED).collect():
+    for r in partial.repartition(max(1, slices // 4), "slice").mapInArrow(lean(add), SLICED).collect():
         out[..., r["slice"] * own[-1] : (r["slice"] + 1) * own[-1]] = np.frombuffer(pa.decompress(bytes(r["counts"]), size, "zstd", asbytes=True)).reshape(own)
     return out

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import chunks
 from lexmill.llm.chunks import mix
+from lexmill.llm.common import lean
 from lexmill.llm.components import components
 from lexmill.session import cut
 
@@ -165,7 +166,7 @@ class Join:
                 sums += np.bincount(_cell(sets(chunks.unpacked(row["payload"]), n)[1]), minlength=1 << BITS)
             yield chunks.sliced(sums, SLICES)
 
-        counts = chunks.totals(self.packed.mapInArrow(count, chunks.SLICED), (1 << BITS,), SLICES)
+        counts = chunks.totals(self.packed.mapInArrow(lean(count), chunks.SLICED), (1 << BITS,), SLICES)
         return np.clip(np.floor(4 * np.log2((counts + 1) / (counts.mean() + 1))), 0, 255).astype(np.uint64)
 
     def classes(self) -> DataFrame:
@@ -183,7 +184,7 @@ class Join:
                     names=["chunk", "row", "doc_id", "n_shingles", "name", "sketch"],
                 )
 
-        every = cut(self.packed.mapInArrow(digest, "chunk long, row long, doc_id long, n_shingles long, name binary, sketch array<long>"))
+        every = cut(self.packed.mapInArrow(lean(digest), "chunk long, row long, doc_id long, n_shingles long, name binary, sketch array<long>"))
         least = every.filter("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("class_id"))
         return cut(every.join(least, "name", "left").drop("name"))
 
@@ -209,7 +210,7 @@ class Join:
                 out = out[np.argsort(out["key"], kind="stable")]
                 yield from chunks.ask(row["chunk"], _hash_of(out["key"]), out, buckets)
 
-        asked = self.packed.join(rows.hint("shuffle_hash"), "chunk").mapInArrow(send, chunks.ASKED)
+        asked = self.packed.join(rows.hint("shuffle_hash"), "chunk").mapInArrow(lean(send), chunks.ASKED)
         return cut(asked.repartition(self.parts, "bucket").sortWithinPartitions("bucket"))
 
     def pairs(self, sent: DataFrame) -> DataFrame:
@@ -220,7 +221,7 @@ class Join:
             for rows in _buckets(batches):
                 yield _pairs(_meet(rows, percent))
 
-        return sent.mapInArrow(meet, PAIRS).distinct()
+        return sent.mapInArrow(lean(meet), PAIRS).distinct()
 
     def other_pairs(self, sent: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
         """a, b and their sizes: what ``pairs`` left out and is in different components of ``groups(id, component_id)``.
@@ -239,7 +240,7 @@ class Join:
 
         folded = F.array(*(reduce(Column.bitwiseXOR, [F.col("sketch")[i] for i in range(k, SKETCH // 64, FOLD)]) for k in range(FOLD)))
         known = members.select("doc_id", folded.alias("fold")).join(groups, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("label"), "fold")
-        rows = sent.mapInArrow(large, "key long, doc long, size long, at long").join(known, F.col("doc") == F.col("doc_id")).drop("doc_id")
+        rows = sent.mapInArrow(lean(large), "key long, doc long, size long, at long").join(known, F.col("doc") == F.col("doc_id")).drop("doc_id")
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
         rows = rows.join(mixed, "key").repartition(self.parts, "key").sortWithinPartitions("key", "size", "doc")
 
@@ -258,7 +259,7 @@ class Join:
             if held:
                 yield _pairs(_meet_others(*_group(held), percent))
 
-        return rows.mapInArrow(others, PAIRS).distinct()
+        return rows.mapInArrow(lean(others), PAIRS).distinct()
 
     def likely(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
         """The pairs whose sketches don't already show that their sets differ too much."""
@@ -303,7 +304,7 @@ class Join:
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("cut", pa.int32()), ("block", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("part", pa.binary())]))
 
         schema = "cut int, block int, a long, b long, part binary"
-        segments = self.packed.join(wanted.hint("shuffle_hash"), "chunk").mapInArrow(parts, schema)
+        segments = self.packed.join(wanted.hint("shuffle_hash"), "chunk").mapInArrow(lean(parts), schema)
         asked = dealt.select(F.explode(F.array(*(F.lit(c) for c in range(CUTS)))).alias("cut"), "block", "a", "b", F.lit(None).cast("binary").alias("part"))
         # a block's parts come before its pairs
         met = segments.union(asked).repartition(self.parts, "cut", "block").sortWithinPartitions("cut", "block", F.col("b").asc_nulls_first(), "a")
@@ -321,7 +322,7 @@ class Join:
                         found.append((x, y, max((len(p) + len(q) - len(np.unique(np.concatenate([p, q]))) for p in held.get(x, ()) for q in held.get(y, ())), default=0)))
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=["a", "b", "shared"])
 
-        sums = met.mapInArrow(overlap, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+        sums = met.mapInArrow(lean(overlap), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
         linked = sums.join(pairs, ["a", "b"]).filter(F.col("shared") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * percent)
         return linked.select("a", "b").distinct()
 

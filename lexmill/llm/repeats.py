@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import chunks
 from lexmill.llm.chunks import mix
+from lexmill.llm.common import lean
 
 WINDOW, ROUNDS, LEAST, FAR = 20, 2, 2, 1 << 40
 #: A window as it is asked: 96 bits of its name, then where the chunk has it first.
@@ -161,7 +162,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             w = _Work(chunks.unpacked(row["payload"]))
             yield from chunks.ask(row["chunk"], w.names << np.uint64(16), w.names << np.uint64(1) | w.twice.astype(np.uint64), buckets)
 
-    symbols = chunks.answers(packed.mapInArrow(ask_symbols, chunks.ASKED), np.dtype("<u8"), _symbols_twice)
+    symbols = chunks.answers(packed.mapInArrow(lean(ask_symbols), chunks.ASKED), np.dtype("<u8"), _symbols_twice)
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The places of the candidates, a bit per word."""
         for row in chunks.each(batches):
@@ -171,7 +172,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             places[starts] = True
             yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([np.packbits(places).tobytes()], pa.binary())], names=["chunk", "places"])
 
-    places = chunks.cut(packed.join(symbols.hint("shuffle_hash"), "chunk", "left").mapInArrow(find, "chunk long, places binary"))
+    places = chunks.cut(packed.join(symbols.hint("shuffle_hash"), "chunk", "left").mapInArrow(lean(find), "chunk long, places binary"))
     placed = packed.join(places.hint("shuffle_hash"), "chunk")
 
     def candidates(row: dict) -> tuple[_Work, np.ndarray]:
@@ -188,7 +189,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             rows["a"], rows["b"], rows["doc"], rows["tie"], rows["start"] = key["a"], key["b"], ids[w.doc[first]], ties[w.doc[first]], first - w.bounds[w.doc[first]]
             yield from chunks.ask(row["chunk"], key["a"], rows, buckets)
 
-    windows = chunks.answers(placed.mapInArrow(ask_windows, chunks.ASKED), ASK, _windows_first)
+    windows = chunks.answers(placed.mapInArrow(lean(ask_windows), chunks.ASKED), ASK, _windows_first)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in chunks.each(batches):
@@ -199,7 +200,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield _results(w.batch, w.bounds, _covered(gone, len(w.hash)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_words long, n_removed long, removed array<struct<start:long,stop:long>>, kept_text string"
-    return placed.join(windows.hint("shuffle_hash"), "chunk", "left").mapInArrow(finish, schema)
+    return placed.join(windows.hint("shuffle_hash"), "chunk", "left").mapInArrow(lean(finish), schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:

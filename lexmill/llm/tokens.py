@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lexmill.llm.common import lean
 from lexmill.session import cut
 
 EOS, BLOCK, SUPER = 50256, 1 << 16, 1 << 10
@@ -60,7 +61,7 @@ def pack(docs: DataFrame, tokens=word_tokens, block: int = BLOCK) -> DataFrame:
                     yield from full(False)
         yield from full(True)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "file_id long, block_no long, tokens binary, ended array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "file_id long, block_no long, tokens binary, ended array<long>")
 
 
 def read_token_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
@@ -74,7 +75,7 @@ def read_token_files(spark: SparkSession, path: str, block: int = BLOCK) -> Data
                     part = raw.slice(at, min(2 * block, raw.size - at)).to_pybytes()
                     yield pa.RecordBatch.from_pydict({"file_id": [name], "block_no": pa.array([i], pa.int64()), "tokens": [part]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file_id string, block_no long, tokens binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lean(run), "file_id string, block_no long, tokens binary")
 
 
 def count_tokens(blocks: DataFrame, eos: int = EOS, block: int = BLOCK) -> DataFrame:
@@ -99,7 +100,7 @@ def count_tokens(blocks: DataFrame, eos: int = EOS, block: int = BLOCK) -> DataF
             yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("block_no"), *(pa.array(rows[k], t) for k, t in zip(rows, kinds, strict=True))], names=["file_id", "block_no", *rows])
 
     schema = f"file_id {kind}, block_no long, n long, first long, last long, stop long, lengths array<long>"
-    summary = cut(blocks.select("file_id", "block_no", "tokens").mapInArrow(scan, schema)).withColumn("part", F.floor(F.col("block_no") / SUPER))
+    summary = cut(blocks.select("file_id", "block_no", "tokens").mapInArrow(lean(scan), schema)).withColumn("part", F.floor(F.col("block_no") / SUPER))
     before = lambda w, order: w.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     parts = summary.groupBy("file_id", "part").agg(F.sum("n").alias("part_n"), F.max("last").alias("part_last"), F.max("stop").alias("part_stop"))
     w = before(W.partitionBy("file_id"), "part")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import chunks
+from lexmill.llm.common import lean
 from lexmill.session import cut
 
 BITS, STEM, Z, DRIFT, PRIOR = 18, 5, 4.0, 0.05, 0.05
@@ -196,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000) -> Model
     share = min(1.0, max_labelled / max(n, 1))
     sample = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left")  # at most about max_labelled rows of two numbers
-    counts = chunks.totals(known.select("text", "label").mapInArrow(_count, chunks.SLICED), (3, 2 * CELLS), SLICES)
+    counts = chunks.totals(known.select("text", "label").mapInArrow(lean(_count), chunks.SLICED), (3, 2 * CELLS), SLICES)
     model = Model(log_odds(counts))
     model.scale = scale_of(model.score, counts[0])
 
@@ -207,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000) -> Model
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
-    scanned = cut(labelled.mapInArrow(scan, "label int, n long, found array<double>"))
+    scanned = cut(labelled.mapInArrow(lean(scan), "label int, n long, found array<double>"))
     chance = scanned.filter("label = 0").agg(F.count("*").alias("k"), F.sum(F.col("n") * F.exp(F.lit(-model.scale) * F.coalesce(F.array_max("found"), F.lit(0.0)))).alias("e")).first()
     if chance.k and chance.e:
         model.constant = float(chance.k / chance.e)

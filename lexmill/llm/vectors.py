@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lexmill.llm.common import lean
 from lexmill.llm.components import components
 from lexmill.session import cut
 
@@ -144,7 +145,7 @@ def near_duplicates(table: DataFrame, least: float = 0.93) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int32()))], names=[*b.schema.names, "cell"])
 
     kind = vectors.schema["label"].dataType.simpleString()
-    placed = vectors.select("vec_id", "label", "dim", "embedding").mapInArrow(cells, f"vec_id long, label {kind}, dim int, embedding array<double>, cell array<int>")
+    placed = vectors.select("vec_id", "label", "dim", "embedding").mapInArrow(lean(cells), f"vec_id long, label {kind}, dim int, embedding array<double>, cell array<int>")
     order = ["label", "dim", "cell", "vec_id"]
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +173,7 @@ def near_duplicates(table: DataFrame, least: float = 0.93) -> DataFrame:
     label_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = cut(
-        placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(pack, f"block long, label {kind}, dim int, ids binary, own binary, lo array<double>, hi array<double>")
+        placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lean(pack), f"block long, label {kind}, dim int, ids binary, own binary, lo array<double>, hi array<double>")
     )
     # blocks meet in the cells of the first axis that both reach; boxes decide which meetings are joined
     ends = blocks.select("block", "label", "dim", "lo", "hi", F.floor(F.col("lo")[0] / eps).alias("from"), F.floor(F.col("hi")[0] / eps).alias("to"))
@@ -203,7 +204,7 @@ def near_duplicates(table: DataFrame, least: float = 0.93) -> DataFrame:
                 rows = [pa.array(np.concatenate([ids[n > 0], tree[:, 0]])), pa.array(np.concatenate([n[n > 0], np.zeros(len(tree), np.int64)])), pa.array(np.concatenate([ids[n > 0], tree[:, 1]]))]
                 yield pa.RecordBatch.from_arrays(rows, names=["a", "n", "b"])
 
-    found = cut(joined.mapInArrow(verify, "a long, n long, b long"))
+    found = cut(joined.mapInArrow(lean(verify), "a long, n long, b long"))
     counts = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
     groups = components(found.select("a", "b")).withColumnRenamed("id", "vec_id")
     out = every.select("vec_id").join(counts, "vec_id", "left").join(groups, "vec_id", "left")
@@ -316,8 +317,8 @@ def nearest(table: DataFrame, is_query: F.Column, k: int = 10) -> DataFrame:
     schema, columns = "block long, dim int, ids binary, own binary", ["vec_id", "dim", "embedding"]
     size = lambda rows, of: max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // of)))
     asked = vectors.filter(is_query)
-    index = cut(vectors.select(columns).repartition(size(vectors.count(), INDEX_BLOCK), "vec_id").mapInArrow(pack(INDEX_BLOCK), schema))
-    queries = cut(asked.select(columns).repartition(size(asked.count(), QUERY_BLOCK), "vec_id").mapInArrow(pack(QUERY_BLOCK), schema))
+    index = cut(vectors.select(columns).repartition(size(vectors.count(), INDEX_BLOCK), "vec_id").mapInArrow(lean(pack(INDEX_BLOCK)), schema))
+    queries = cut(asked.select(columns).repartition(size(asked.count(), QUERY_BLOCK), "vec_id").mapInArrow(lean(pack(QUERY_BLOCK)), schema))
     # every index block goes to each of the slots that hold the query blocks
     slots = size(asked.count(), QUERY_BLOCK)
     held = queries.select(F.pmod(F.shiftright("block", 32), F.lit(slots)).cast("int").alias("slot"), "dim", F.col("block").alias("query_block"), F.struct("ids", "own").alias("asked"))
@@ -332,6 +333,6 @@ def nearest(table: DataFrame, is_query: F.Column, k: int = 10) -> DataFrame:
                 found = [(q, v, s) for q, x in zip(ids.tolist(), own, strict=True) for s, v in built.search(q, x, k, radii)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    best = met.mapInArrow(search, "query_id long, vec_id long, score double")
+    best = met.mapInArrow(lean(search), "query_id long, vec_id long, score double")
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
