@@ -24,6 +24,15 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 DIGITS, LEVELS = 2, 3
 #: The exponent's interval is cut into FAN parts, ROUNDS times: 48 halvings.
 FAN, ROUNDS = 64, 8
+#: Bytes of a per-source plan up to which it is broadcast; beyond that it is joined by shuffles.
+BROADCAST_BYTES = 8 << 20
+
+
+def _sent(sources: DataFrame, name: str = "source") -> DataFrame:
+    """``sources``, written and to be broadcast if its measured size allows that, so that documents need not move."""
+    sources = cut(sources)
+    size = sources.agg(F.sum(F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + F.lit(128)).cast("long")).first()[0] or 0
+    return F.broadcast(sources) if size <= BROADCAST_BYTES else sources
 
 
 def _place(seed: str, epoch: Column, doc_id: Column) -> Column:
@@ -80,7 +89,8 @@ def plan(docs: DataFrame, *, target_entropy: float = 0.97, max_repeats: float =
         "epochs", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(F.lit(1)).cast("long")
     )
     quotas = cut(quotas.withColumn("left", F.col("quota") - F.col("epochs") * F.col("tokens")))
-    rest = slim.join(quotas.filter("left > 0").select(F.col("source").alias("s"), "epochs", "left"), F.col("source").eqNullSafe(F.col("s"))).select(
+    partial = _sent(quotas.filter("left > 0").select(F.col("source").alias("s"), "epochs", "left"), "s")
+    rest = slim.join(partial, F.col("source").eqNullSafe(F.col("s"))).select(
         "source", "n_tokens", "left", _place(seed, F.col("epochs") + 1, F.col("doc_id")).alias("place")
     )
     ends = _ends(rest)
@@ -107,7 +117,7 @@ def _ends(rest: DataFrame) -> DataFrame:
 
 def realise(docs: DataFrame, mix: DataFrame, seed: str = "mix") -> DataFrame:
     """Rows of ``docs`` once per epoch that holds them, with epoch, block and weight; other columns stay as they are."""
-    named = mix.select(F.struct("source", "weight", "epochs", "cut").alias("mix_plan"))
+    named = _sent(mix.select(F.struct("source", "weight", "epochs", "cut").alias("mix_plan")), "mix_plan.source")
     joined = docs.join(named, docs["source"].eqNullSafe(F.col("mix_plan.source")))
     extra = F.coalesce(_place(seed, F.col("mix_plan.epochs") + 1, F.col("doc_id")) <= F.col("mix_plan.cut"), F.lit(False))
     copies = F.col("mix_plan.epochs") + extra.cast("long")
