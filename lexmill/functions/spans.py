@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 MARK = "\u0001"
+STRETCH = 1 << 12
 
 
 def scan(docs: DataFrame, pattern: str, text: str = "text", look: int = 30) -> DataFrame:
@@ -42,7 +43,14 @@ def concatenate(pages: DataFrame, text: str = "cleaned_text") -> DataFrame:
 
 
 def spanned_pages(spans: DataFrame, offsets: DataFrame, keys: list[str], start: str = "char_start", end: str = "char_end") -> DataFrame:
-    """``keys`` and source_pages: the pages whose offsets overlap each span."""
-    met = spans.select("doc_id", *keys, F.col(start).alias("_s"), F.col(end).alias("_e")).join(offsets, "doc_id")
-    met = met.filter((F.col("pe") > F.col("_s")) & (F.col("ps") < F.col("_e")))
+    """``keys`` and source_pages: the pages whose offsets overlap each span.
+
+    Spans and pages meet in stretches of STRETCH characters, so a long document's spans aren't paired with all its
+    pages; a pair counts in the stretch in which the later of the two begins.
+    """
+    stretch = lambda c: F.floor(c / STRETCH)
+    within = lambda lo, hi: F.explode(F.sequence(stretch(lo), stretch(F.greatest(lo, hi - 1)))).alias("_at")
+    asked = spans.select("doc_id", *keys, F.col(start).alias("_s"), F.col(end).alias("_e"), within(F.col(start), F.col(end)))
+    met = asked.join(offsets.select("*", within(F.col("ps"), F.col("pe"))), ["doc_id", "_at"])
+    met = met.filter((F.col("pe") > F.col("_s")) & (F.col("ps") < F.col("_e")) & (F.col("_at") == stretch(F.greatest("ps", "_s"))))
     return met.groupBy("doc_id", *keys).agg(F.array_sort(F.collect_list("page_num")).alias("source_pages"))

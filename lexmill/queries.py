@@ -116,6 +116,15 @@ def pages_of_spans(spark, sf):
     return spans.spanned_pages(ranges, spans.page_offsets(pages), ["k"]).withColumn("source_pages", joined(F.col("source_pages")))
 
 
+@query(f"WITH {PAGES} SELECT doc_id, k, string_agg(page_num, ',' ORDER BY page_num) AS source_pages FROM o JOIN (SELECT doc_id, unnest(range(0, max(pe) // 100 + 1))::INT AS k FROM o GROUP BY doc_id) s USING (doc_id) WHERE pe > k * 100 AND ps < k * 100 + 150 GROUP BY doc_id, k")
+def pages_of_all_spans(spark, sf):
+    """Spans up to the end of each document; ``pages_of_spans`` asks for the first 20 only, as its SQL does."""
+    offsets = spans.page_offsets(_pages(spark, sf))
+    ranges = offsets.groupBy("doc_id").agg(F.max("pe").alias("end")).select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("end") / 100).cast("int"))).alias("k"))
+    ranges = ranges.select("doc_id", "k", (F.col("k") * 100).alias("char_start"), (F.col("k") * 100 + 150).alias("char_end"))
+    return spans.spanned_pages(ranges, offsets, ["k"]).withColumn("source_pages", joined(F.col("source_pages")))
+
+
 @query("SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_pages, length(text) - len(string_split(text, chr(10))) + 1 AS n_chars FROM documents WHERE text IS NOT NULL")
 def source_pages_of_documents(spark, sf):
     pages = pages_of(table(spark, sf, "documents").filter("text IS NOT NULL"))

@@ -9,6 +9,7 @@ from lexmill.functions import text as T
 from lexmill.operators import annotate, chunking, graph, quality, structure
 from lexmill.plans.answer import answer_batch, retrieve
 from lexmill.plans.index import chunk_pages, stage_chunk, stage_embed, stage_load
+from lexmill.queries import QUERIES
 
 CONFIG = CorpusConfig("XX-LAW-1", "قانون", "2020-01-01", "1")
 LONG = "تمهيد " + "نص " * 520
@@ -62,6 +63,20 @@ def test_page_offsets_rebuild_the_text(spark, pages):
     assert {r.k: r.source_pages for r in spanned.collect()} == {1: [1], 2: [1, 2, 3]}
 
 
+def test_spans_reach_the_end_of_each_document(spark, tmp_path):
+    turns = [(1, t, "user", "x" * (t % 700)) for t in range(60)] + [(2, 0, "user", "y" * 20_000), (2, 1, "user", None), (2, 2, "user", ""), (3, 0, "user", "")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    at, want = {}, {}
+    for c, t, _, text in turns:
+        ps = at.get(c, 0)
+        at[c] = (pe := ps + len(text or "")) + 1
+        for k in range(pe // 100 + 1):
+            if pe > k * 100 and ps < k * 100 + 150:
+                want.setdefault((c, k), []).append(str(t))
+    got = {(r.doc_id, r.k): r.source_pages for r in QUERIES["pages_of_all_spans"](spark, str(tmp_path)).collect()}
+    assert got == {key: ",".join(v) for key, v in want.items()} and max(k for _, k in got) == 200
+
+
 def test_renumbering(spark):
     df = spark.createDataFrame([([1, None, 5, 99, 2],)], "n array<int>")
     assert df.select(structure.renumber(F.col("n"))).first()[0] == [1, 2, 5, 6, 2]
