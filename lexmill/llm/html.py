@@ -4,10 +4,13 @@ Each text node counts toward its root-to-leaf tag path: characters outside links
 Per path the two ratios (characters and punctuation per node) are fused; the blocks of a page, in page order, take
 their path's value, which is smoothed over neighbouring blocks; blocks above the threshold are the core of the
 article, and the element that holds the whole core is the article, so its short headings and paragraphs stay.
-Elements that never hold article text, by tag or by name, take no part.
+Elements that never hold article text by their tag take no part. Nor do those with a name (class, id or role) that
+sites give to what is not the article, but a name alone hides no element that holds an article or main element, and
+none whose kind (same tag and names) holds most of the core that the page has with all names ignored, unless it lies
+beside an article or main element with text and the listed word is a whole name.
 
-Defined cases: null or empty html gives an empty text; unclosed tags end where HTML lets them end; other columns
-and repeated rows are left alone; an empty table gives an empty result.
+Defined cases: null or empty html gives an empty text; unclosed tags end where HTML lets them end, and of elements that
+are skipped as a whole only script and style take the rest of the page when unclosed; other columns and repeated rows are left alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 # Elements by their meaning in HTML, and names that sites give to what is not the article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea iframe svg math object select canvas".split())
+CODE = {"script", "style"}  # without an end, all that follows is theirs
 NOT_ARTICLE = RAW | set("head nav footer aside form button dialog menu".split())
 INLINE = set("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -40,43 +44,46 @@ SMOOTHING = np.array([0.25, 0.5, 0.25])
 
 
 class _Block:
-    __slots__ = ("parts", "chain", "counts")
+    __slots__ = ("parts", "chain", "counts", "named")
 
     def __init__(self, chain: tuple):
-        self.parts, self.chain, self.counts = [], chain, {}
+        self.parts, self.chain, self.counts, self.named = [], chain, {}, {}
 
 
-def blocks(page: str) -> list[_Block]:
-    """Blocks of text outside the elements that never hold article text, in page order."""
-    out: list[_Block] = []
+class _Piece:
+    """A text node: the number of its block, the block's open elements, the path, the kinds of named elements around it."""
+
+    __slots__ = ("text", "block", "chain", "key", "linked", "named")
+
+    def __init__(self, *values):
+        self.text, self.block, self.chain, self.key, self.linked, self.named = values
+
+
+def pieces(page: str) -> tuple[list[_Piece], set[tuple]]:
+    """Text outside the elements that never hold article text by their tag, in page order, and the kinds of named elements that hold an article or main."""
+    out: list[_Piece] = []
     stack: list[tuple[str, int]] = []  # open elements: name and a number of its own
     path: list[str] = []
-    hidden, inner_link, n, at, block = 0, 0, 0, 0, None
+    hidden, inner_link, n, at, block = 0, 0, 0, 0, 0
     hides: list[bool] = []
+    kinds: list[tuple | None] = []  # of the open elements, where named
+    holders: set[tuple] = set()
 
     def text(piece: str) -> None:
-        nonlocal block
-        if hidden or not piece:
-            return
-        piece = entities.unescape(piece)
-        if block is None:
-            if not piece.strip():
-                return
-            out.append(block := _Block(tuple(x for x in stack if x[0] not in INLINE)))
-        block.parts.append(piece)
-        if stripped := piece.strip():
-            key = "/".join(path)
-            had = block.counts.get(key, (0, 0, 0))
-            block.counts[key] = (had[0] + (0 if inner_link else len(stripped)), had[1] + len(PUNCTUATION.findall(stripped)), had[2] + 1)
+        if not hidden and piece:
+            same = out and out[-1].block == block
+            chain = out[-1].chain if same else tuple(x for x in stack if x[0] not in INLINE)
+            out.append(_Piece(entities.unescape(piece), block, chain, "/".join(path), inner_link > 0, tuple(k for k in kinds if k)))
 
     def pop() -> None:
         nonlocal hidden, inner_link, block
         name, _ = stack.pop()
         path.pop()
+        kinds.pop()
         hidden -= hides.pop()
         inner_link -= name == "a"
         if name not in INLINE:
-            block = None
+            block += 1
 
     def close(names: set[str], scope: set[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -102,13 +109,13 @@ def blocks(page: str) -> list[_Block]:
         if m[1]:
             close({name}, set() if name in CLOSES_P else {"table", "article", "body"} - {name})
             if name not in INLINE:
-                block = None
+                block += 1
             continue
         if name == "br":
             text(" ")
             continue
         if name in VOID or m[3].endswith("/"):
-            block = block if name in VOID and name != "hr" else None
+            block += name not in VOID or name == "hr"
             continue
         if name in CLOSES_P:
             close({"p"}, {"div", "td", "th", "li", "section", "article", "table", "button"})
@@ -116,26 +123,52 @@ def blocks(page: str) -> list[_Block]:
             close(CLOSED_BY_OWN[name], {"ul", "ol", "dl", "table", "select"})
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            at = end.end() if end else size if name in CODE else at
             continue
         n += 1
         if name not in INLINE:
-            block = None
+            block += 1
         own = name in NOT_ARTICLE or (name == "header" and not any(x[0] in ("article", "main") for x in stack))
-        if not own and m[3] and name not in ("html", "body", "article", "main"):
-            own = any(NAMES.search(a or b or c) for a, b, c in NAMED.findall(m[3]))
+        kind = None
+        if name in ("article", "main"):
+            holders.update(k for k in kinds if k)
+        elif not own and m[3] and name not in ("html", "body"):
+            names = tuple(a or b or c for a, b, c in NAMED.findall(m[3]))
+            kind = (name, *names) if any(map(NAMES.search, names)) else None
         stack.append((name, n))
         path.append(name)
         hides.append(own)
+        kinds.append(kind)
         hidden += own
         inner_link += name == "a"
+    return out, holders
+
+
+def blocks(found: list[_Piece], hidden: set[tuple]) -> list[_Block]:
+    """Blocks of the text outside elements of the hidden kinds, in page order."""
+    out: list[_Block] = []
+    now = None
+    for p in found:
+        if p.named and not hidden.isdisjoint(p.named):
+            continue
+        stripped = p.text.strip()
+        if p.block != now:
+            if not stripped:
+                continue
+            out.append(_Block(p.chain))
+            now = p.block
+        block = out[-1]
+        block.parts.append(p.text)
+        if stripped:
+            had = block.counts.get(p.key, (0, 0, 0))
+            block.counts[p.key] = (had[0] + (0 if p.linked else len(stripped)), had[1] + len(PUNCTUATION.findall(stripped)), had[2] + 1)
+            for kind in set(p.named):
+                block.named[kind] = block.named.get(kind, 0) + len(stripped)
     return out
 
 
-def main_text(page: str | None) -> str:
-    found = [b for b in blocks(page or "") if "".join(b.parts).strip()]
-    if not found:
-        return ""
+def core_of(found: list[_Block]) -> np.ndarray:
+    """Which blocks are the core of the article, by the ratios of their paths."""
     paths: dict[str, list[int]] = {}
     for b in found:
         for key, counts in b.counts.items():
@@ -143,7 +176,34 @@ def main_text(page: str | None) -> str:
     ratio = {key: np.sqrt(chars / nodes * (1 + marks / nodes)) for key, (chars, marks, nodes) in paths.items()}
     value = np.array([max(ratio[key] for key in b.counts) for b in found])
     smooth = np.convolve(np.pad(value, 1, mode="edge"), SMOOTHING, mode="valid")
-    core = smooth >= min(max(smooth.std(), 0.3 * smooth.max()), smooth.max())
+    return smooth >= min(max(smooth.std(), 0.3 * smooth.max()), smooth.max())
+
+
+def article_blocks(page: str) -> list[_Block]:
+    """Blocks that may belong to the article."""
+    found, holders = pieces(page)
+    hidden = {k for p in found for k in p.named} - holders
+    if not hidden:
+        return blocks(found, hidden)
+    every = blocks(found, set())
+    core = [b for b, k in zip(every, core_of(every), strict=True) if k] if every else []
+    held = dict.fromkeys(hidden, 0)
+    for b in core:
+        for kind in hidden.intersection(b.named):
+            held[kind] += b.named[kind]
+    whole = sum(len(p.strip()) for b in core for p in b.parts)
+    inside = [p for p in found if any(x[0] in ("article", "main") for x in p.chain) and p.text.strip()]
+    apart = hidden.difference(*(p.named for p in inside)) if inside else set()  # beside an article of the page's own
+    told = {k for k in apart if any(map(NAMES.fullmatch, " ".join(k[1:]).split()))}
+    # where names would leave nothing, they say nothing
+    return blocks(found, told | {k for k in hidden if 2 * held[k] <= whole}) or every
+
+
+def main_text(page: str | None) -> str:
+    found = article_blocks(page or "")
+    if not found:
+        return ""
+    core = core_of(found)
     chains = [b.chain[:-1] if len(b.chain) > 1 and b.chain[-1][0] not in ("article", "main", "body", "div", "section") else b.chain for b in found]
     held = [c for c, k in zip(chains, core, strict=True) if k]
     depth = 0

@@ -249,3 +249,29 @@ def test_pages(spark):
     text = "Big & title\nFirst paragraph, with several words, commas, and a bold part.\nSecond paragraph — it is long enough, as well, to count as text."
     assert got == [(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0)]
     assert html.extract_main_text(df.limit(0)).count() == 0
+
+
+CORE = "<p>First paragraph, with several words, commas, and more text to read.<p>Second one, it is long enough, as well, to count."
+CORE_TEXT = "First paragraph, with several words, commas, and more text to read.\nSecond one, it is long enough, as well, to count."
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-header", "content social-enabled", "sidebar"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main><div>{}</div></main>", "<section>{}</section>", "{}"])
+def test_a_name_alone_hides_no_article(name, inner):
+    page = f"<html><body><div class='{name}'>{inner.format(CORE)}</div><div class='side'><p>Links, and others.</p></div></body></html>"
+    assert html.main_text(page) == CORE_TEXT
+
+
+def test_names_of_single_paragraphs_and_of_the_only_text():
+    assert html.main_text("<body>" + "".join(f"<p class='meta-text'>{x}" for x in CORE.split("<p>")[1:])) == CORE_TEXT
+    assert html.main_text("<body><div class='ad'><p>One, two.</div><div class='menu'><p>Six, ten.</div>") == "One, two.\nSix, ten."
+
+
+def test_a_name_beside_an_article_still_hides():
+    assert html.main_text(f"<body><div class='ad'>{CORE}</div><article><p>Short.</article>") == "Short."
+    assert html.main_text(f"<body><div class='content'>{CORE}<div class='share'><p>Share.</div></div>") == CORE_TEXT
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "select", "canvas", "iframe", "noscript", "template", "textarea"])
+def test_unclosed_elements_take_nothing_along(tag):
+    assert html.main_text(f"<html><body><div><{tag} id=x></div><article>{CORE}</article></body></html>") == CORE_TEXT
