@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies (5 words, 0.8); rows without an id stay."""
-    classes, _ = jaccard.join(docs, n=5, percent=80)
+    classes, _ = jaccard.join(docs, n=5, percent=80, every_link=False)
     kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
     held = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     first = F.row_number().over(W.partitionBy("doc_id").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != "doc_id")))

@@ -6,9 +6,11 @@ and go on as one. A pair can only link if it shares an n-gram among each set's f
 their fragments and meet there; lengths and places bound the overlap and drop most meetings. For the pairs left the
 sets are cut at the fragments, every fragment counts its part of a pair's overlap, and the parts are summed per pair.
 
-Groups stay linear: a group around an n-gram first tries its documents against one member and their neighbours in
-length. Only documents that verified links leave in different components are tried against each other, so no link
-that matters is lost and a group of near copies doesn't become all its pairs.
+A group around an n-gram first tries its documents against one member and their neighbours in
+length. After that a join tries every other pair of a group that places, sizes and sketches leave possible, and returns
+every link. Where only the components are asked for, it tries just the pairs that verified links leave in different
+components: components stay exact, links inside one may be missing, and a group of near copies doesn't become all
+its pairs.
 
 Defined cases: null and empty texts and texts without words have no set and link with nothing; a text of fewer words
 than n has one n-gram, the whole; rows that repeat a doc_id share its links, each with its own set; rows with a null
@@ -123,7 +125,7 @@ def _meet(rows: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _meet_others(rows: np.ndarray, label: np.ndarray, fold: np.ndarray, percent: int) -> np.ndarray:
-    """All other pairs of a group whose documents are in different components and whose short sketches don't show
+    """All other pairs of a group whose documents have different labels and whose short sketches don't show
     that they differ too much; ``rows`` by size, then document."""
     size = rows["size"].astype(np.int64)
     reach = np.searchsorted(size, size * 100 // percent, "right")  # sizes beyond can't link
@@ -135,7 +137,8 @@ def _meet_others(rows: np.ndarray, label: np.ndarray, fold: np.ndarray, percent:
             y = y[(label[y] != label[x]) & (y != leader)]
             y = y[_may_link(rows, np.full(len(y), x), y, percent)]
             most = size[x] + size[y] - 2 * _needed(size[y], size[x], percent)
-            y = y[np.bitwise_count(fold[y] ^ fold[x]).sum(axis=1) <= most]
+            # unsigned, as of a negative number numpy counts the bits of its absolute value
+            y = y[np.bitwise_count((fold[y] ^ fold[x]).view(np.uint64)).sum(axis=1) <= most]
             found.append(_as_pairs(rows, np.full(len(y), x), y))
     return np.unique(np.concatenate(found), axis=0)
 
@@ -223,8 +226,8 @@ class Join:
 
         return sent.mapInArrow(lean(meet), PAIRS).distinct()
 
-    def other_pairs(self, sent: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
-        """a, b and their sizes: what ``pairs`` left out and is in different components of ``groups(id, component_id)``.
+    def other_pairs(self, sent: DataFrame, groups: DataFrame | None, members: DataFrame) -> DataFrame:
+        """a, b and their sizes: what ``pairs`` left out and, with ``groups(id, component_id)``, is in different components.
 
         Rows carry their sketch, folded to FOLD words, so that only pairs that may link leave a group.
         """
@@ -239,7 +242,11 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(rows["key"].view(np.int64)), *(pa.array(rows[f].astype(np.int64)) for f in ("doc", "size", "at"))], names=["key", "doc", "size", "at"])
 
         folded = F.array(*(reduce(Column.bitwiseXOR, [F.col("sketch")[i] for i in range(k, SKETCH // 64, FOLD)]) for k in range(FOLD)))
-        known = members.select("doc_id", folded.alias("fold")).join(groups, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("label"), "fold")
+        known = members.select("doc_id", folded.alias("fold"))
+        if groups is None:
+            known = known.select("doc_id", F.col("doc_id").alias("label"), "fold")
+        else:
+            known = known.join(groups, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("label"), "fold")
         rows = sent.mapInArrow(lean(large), "key long, doc long, size long, at long").join(known, F.col("doc") == F.col("doc_id")).drop("doc_id")
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
         rows = rows.join(mixed, "key").repartition(self.parts, "key").sortWithinPartitions("key", "size", "doc")
@@ -355,11 +362,12 @@ def _pairs(found: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(4)], names=["a", "b", "size_a", "size_b"])
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, n: int = 5, percent: int = 80, every_link: bool = True) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets with their component, and the verified links between class representatives.
 
-    Returns ``doc_id, n_shingles, class_id, component_id`` per row of ``docs(doc_id, text)`` and ``a, b`` per link
-    found. Components are exact; of the links inside a component only those needed to know it are verified.
+    Returns ``doc_id, n_shingles, class_id, component_id`` per row of ``docs(doc_id, text)`` and ``a, b`` per link, a < b.
+    Components are exact; without ``every_link`` only those links inside a component are found that are needed to know
+    it.
     """
     work = Join(docs, n, percent)
     rank = work.rank()
@@ -367,13 +375,26 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Dat
     members = every.filter("class_id = doc_id").select("chunk", "row", "doc_id", "sketch")
     sent = work.sent(members, rank)
     links = cut(work.verified(work.likely(work.pairs(sent), members), members, rank))
-    more = work.likely(work.other_pairs(sent, components(links), members), members)
+    more = work.likely(work.other_pairs(sent, None if every_link else components(links), members), members)
     links = cut(links.union(work.verified(more, members, rank)).distinct())
     groups = components(links)
     out = every.join(groups, every.class_id == groups.id, "left")
     return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id", "doc_id").alias("component_id")), links
 
 
+def link_counts(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id and n_links, the other documents it links with, of every row of a join with every link.
+
+    Documents of the same class link with each other. Meant for doc_ids that don't repeat; a null one links with nothing.
+    """
+    size = classes.filter("doc_id IS NOT NULL AND class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("size"))
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(size, F.col("b") == F.col("class_id")).groupBy("a").agg(F.sum("size").alias("others"))
+    per_class = size.join(linked, F.col("class_id") == F.col("a"), "left").select("class_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    n = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links")
+    return classes.join(per_class, "class_id", "left").select("doc_id", n)
+
+
 SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]

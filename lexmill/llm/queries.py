@@ -38,7 +38,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes, _ = jaccard.join(table(spark, sf_dir, "documents"), n=3, percent=90)
+    classes, _ = jaccard.join(table(spark, sf_dir, "documents"), n=3, percent=90, every_link=False)
     return classes.select("doc_id", "n_shingles", "component_id")
 
 

@@ -123,6 +123,42 @@ def test_join_of_repeated_null_and_no_ids(docs):
     assert jaccard.join(docs([(1, "a", "s")]).limit(0), n=3, percent=90)[0].count() == 0
 
 
+def links_by_hand(sets, percent):
+    ids = sorted(i for i in sets if sets[i])
+    return {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("n,percent", [(1, 90), (3, 80), (2, 50)])
+def test_join_finds_every_link(docs, n, percent):
+    common = [f"c{i}" for i in range(1000)]
+    quartet = [" ".join([*common, *(f"o{k}_{j}" for j in range(k))]) for k in range(4)]
+    near = [" ".join([*(f"n{i}" for i in range(60)), *(f"v{k}_{j}" for j in range(k % 4))]) for k in range(14)]
+    texts = [*quartet, *near, quartet[2], *random_texts(40, n), *ODD]
+    sets = {i: shingles(t, n) for i, t in enumerate(texts)}
+    want = links_by_hand(sets, percent)
+    classes, links = jaccard.join(table_of(docs, texts), n=n, percent=percent)
+    class_of = {i: min(j for j in sets if sets[j] == s) for i, s in sets.items() if s}
+    found = [(r.a, r.b) for r in links.collect()]
+    assert sorted(found) == sorted((a, b) for a, b in want if class_of[a] == a and class_of[b] == b)
+    counts = {r.doc_id: r.n_links for r in jaccard.link_counts(classes, links).collect()}
+    assert counts == {i: sum(i in pair for pair in want) for i in sets}
+
+
+def test_short_sketches_that_differ_in_a_sign_bit_still_meet():
+    rows = np.zeros(4, jaccard.SENT)
+    rows["doc"], rows["size"] = [1, 2, 3, 4], 19
+    fold = np.zeros((4, jaccard.FOLD), np.int64)
+    fold[3, 0] = -(1 << 63) + 1  # two bits, as many as sets of 19 that link may differ in
+    assert jaccard._meet_others(rows, rows["doc"].astype(np.int64), fold, 90)[:, :2].tolist() == [[2, 4]]
+
+
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_components_alone_are_those_of_every_link(docs, n, percent):
+    texts = random_texts(80, n) + ODD
+    got, _ = jaccard.join(table_of(docs, texts), n=n, percent=percent, every_link=False)
+    assert {r.doc_id: r.component_id for r in got.collect()} == components_by_hand({i: shingles(t, n) for i, t in enumerate(texts)}, percent)
+
+
 # -- BPE ---------------------------------------------------------------------------------------------------------
 
 
