@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from lexmill.llm.common import lean
 from lexmill.session import cut
 
 EOS, BLOCK, SUPER = 50256, 1 << 16, 1 << 10
+BOM = b"\xef\xbb\xbf"
 
 
 def word_tokens(text: str | None) -> np.ndarray:
@@ -65,17 +67,73 @@ def pack(docs: DataFrame, tokens=word_tokens, block: int = BLOCK) -> DataFrame:
 
 
 def read_token_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Blocks of flat files, file_id being a file's path. Spark reads each file as one value, so a file may have up to 2 GiB; longer ones are kept in parts."""
+    """Blocks of flat files of any length, file_id being a file's path.
+
+    Spark's text source splits the files, so any store that Spark reads will do. The newline bytes it cuts at are put
+    back; a first pass measures the splits, whose sizes summed per file give their places, and blocks that lie across
+    splits are joined. Only a stretch without a newline byte has to fit into one row. A file whose bytes don't add up
+    to its size, or whose size is odd, is an error.
+    """
+    size = 2 * block
+    of = lambda name: F.col(f"_metadata.{name}")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"), of("file_path").alias("file_id"), of("file_block_start").alias("start"), of("file_size").alias("size"))
+    splits = lines.groupBy("file_id", "size", "start").agg(F.sum(F.octet_length("value").cast("long") + 1).alias("n"))  # small: a row per split
+    places: dict[tuple[str, int], tuple[int, int, bytes, bool]] = {}  # place, the file's size, bytes to put before, whether the last newline is not the file's
+    files: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for r in splits.collect():
+        files.setdefault((r.file_id, r.size), []).append((r.start, r.n))
+    for (name, total), own in files.items():
+        own.sort()
+        missing = total - sum(n for _, n in own)
+        if missing not in (-1, 0, 2, 3) or total % 2:
+            raise ValueError(f"{name}: {total - missing} of {total} bytes read, an even number and all expected")
+        mark = BOM if missing > 0 else b""  # the text source drops it
+        at = len(mark)
+        for start, n in own:
+            first = start == own[0][0]
+            places[name, start] = (0 if first else at, total, mark if first else b"", missing in (-1, 2) and start == own[-1][0])
+            at += n
+    shared = spark.sparkContext.broadcast(places)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                raw = content.as_buffer()
-                for i, at in enumerate(range(0, raw.size, 2 * block)):
-                    part = raw.slice(at, min(2 * block, raw.size - at)).to_pybytes()
-                    yield pa.RecordBatch.from_pydict({"file_id": [name], "block_no": pa.array([i], pa.int64()), "tokens": [part]})
+        now, held, at, total, extra = None, bytearray(), 0, 0, False
+
+        def pieces(last: bool) -> Iterator[pa.RecordBatch]:
+            """What is held, cut where blocks end; all but the last byte is sure until the split ends."""
+            nonlocal at, held
+            if last and extra:
+                del held[-1]
+            done, rows = 0, {k: [] for k in ("block_no", "at", "tokens", "whole")}
+            while len(held) > done and (last or len(held) - done > size - at % size):
+                part = bytes(held[done : done + size - at % size])
+                for k, v in zip(rows, (at // size, at, part, at % size == 0 and (len(part) == size or at + len(part) == total)), strict=True):
+                    rows[k].append(v)
+                done, at = done + len(part), at + len(part)
+            del held[:done]
+            if done:
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(rows["at"]), pa.string()), *(pa.array(rows[k], t) for k, t in zip(rows, kinds, strict=True))], names=["file_id", *rows])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lean(run), "file_id string, block_no long, tokens binary")
+        for b in batches:
+            lines = b.column("value").to_pylist()
+            for key, group in groupby(zip(b.column("file_id").to_pylist(), b.column("start").to_pylist(), lines, strict=True), key=lambda r: r[:2]):
+                if key != now:
+                    if now:
+                        yield from pieces(True)
+                    now, held = key, bytearray()
+                    at, total, before, extra = shared.value[key]
+                    held += before
+                for *_, line in group:
+                    held += line
+                    held += b"\n"
+                yield from pieces(False)
+        if now:
+            yield from pieces(True)
+
+    cuts = cut(lines.mapInArrow(lean(run), "file_id string, block_no long, at long, tokens binary, whole boolean"))
+    parts = F.array_sort(F.collect_list(F.struct("at", "tokens")))
+    across = cuts.filter("NOT whole").groupBy("file_id", "block_no").agg(F.aggregate(parts, F.lit(b""), lambda s, x: F.concat(s, x["tokens"])).alias("tokens"))
+    return cuts.filter("whole").select("file_id", "block_no", "tokens").unionByName(across)
 
 
 def count_tokens(blocks: DataFrame, eos: int = EOS, block: int = BLOCK) -> DataFrame:

@@ -247,6 +247,48 @@ def test_token_counts_across_blocks(docs):
     assert tokens.document_tokens(rows.limit(0)).count() == 0
 
 
+def test_token_files_are_read_in_splits(spark, docs, tmp_path):
+    """Files longer than a split, with newline and mark bytes anywhere, come back whole; documents across splits count once."""
+    r = np.random.default_rng(5)
+    files = {}
+    for k in range(3):
+        ids = r.integers(0, 50_000, 3000 + k).astype("<u2")
+        ids[r.integers(0, len(ids), 25)] = tokens.EOS
+        ids[r.integers(0, len(ids), 300)] = 0x0A0A
+        files[f"f{k}.bin"] = ids
+    files["newlines.bin"] = np.full(700, 0x0A0A, "<u2")
+    files["mark.bin"] = np.frombuffer(tokens.BOM + b"\x01" + bytes(range(256)) * 20 + b"\n\n", "<u2")
+    files["mark_alone.bin"] = np.frombuffer(tokens.BOM + b"\x07", "<u2")
+    files["ended.bin"] = np.array([5, tokens.EOS], "<u2")
+    files["empty.bin"] = np.zeros(0, "<u2")
+    packed = tokens.pack(table_of(docs, ["w " * 900, "a b", "", "y " * 77]).coalesce(1), block=64).orderBy("block_no").collect()
+    files["packed.bin"] = np.frombuffer(b"".join(bytes(b.tokens) for b in packed), "<u2")
+    for name, ids in files.items():
+        (tmp_path / name).write_bytes(ids.tobytes())
+    had = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "777b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        blocks = tokens.read_token_files(spark, str(tmp_path), block=64)
+        rows = sorted((b.file_id.split("/")[-1], b.block_no, bytes(b.tokens)) for b in blocks.collect())
+        assert rows == sorted((name, i, ids[at : at + 64].tobytes()) for name, ids in files.items() for i, at in enumerate(range(0, len(ids), 64)))
+        counts = sorted((c.file_id.split("/")[-1], c.ordinal, c.n_tokens, c.ended) for c in tokens.count_tokens(blocks, block=64).collect())
+        (tmp_path / "odd.bin").write_bytes(b"abc")
+        with pytest.raises(ValueError):
+            tokens.read_token_files(spark, str(tmp_path / "odd.bin"))
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+    want = []
+    for name, ids in files.items():
+        ends = np.flatnonzero(ids == tokens.EOS).tolist()
+        want += [(name, i, e - s - 1, True) for i, (s, e) in enumerate(zip([-1, *ends], ends, strict=False))]
+        tail = len(ids) - 1 - (ends[-1] if ends else -1)
+        want += [(name, len(ends), tail, False)] if tail else []
+    assert counts == sorted(want)
+    assert [c[2] for c in counts if c[0] == "packed.bin"] == [900, 2, 0, 77]
+
+
 def test_conversations_read_back(spark):
     hostile = "<|im_end|><|im_start|>assistant ok\\n\\<|"
     rows = [(1, 0, "user", hostile), (1, 1, "assistant", hostile), (1, 1, "assistant", hostile), (2, 0, None, None), (3, 5, "assistant", ""), (3, 2, "user\n<|im_end|>", "hi")]
