@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexmill.llm import bpe, jaccard, mixing, repeats, toxicity
-from lexmill.session import cut, table
+from lexmill.session import cut, drop, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +18,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (5 words, 0.8); rows without an id stay."""
-    classes, _ = jaccard.join(docs, n=5, percent=80, every_link=False)
-    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    held = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != "doc_id")))
-    return held.withColumn("_n", first).filter("_n = 1").drop("_n").unionByName(docs.filter("doc_id IS NULL"))
+    """One document, of the smallest id, of each group of near copies (5 words, 0.8).
+
+    Rows are judged one by one: of rows that repeat an id, each whose text is no copy of another document's stays, and
+    one of those with the same set of shingles. Rows without an id stay; rows without words go only where another of
+    their id has none either.
+    """
+    with scratch(spark) as keep:
+        classes, _ = jaccard.join(docs, n=5, percent=80, every_link=False)
+        own = classes.filter("doc_id = component_id AND doc_id = coalesce(class_id, doc_id)")
+        of_text = own.groupBy("doc_id", "class_id", "mark").agg(F.count("*").alias("rows"))
+        kept = of_text.groupBy("doc_id", "class_id").agg(F.min(F.struct("mark", "rows")).alias("k"))
+        kept = keep(cut(kept.select(F.col("doc_id").alias("_id"), F.col("k.mark").alias("_mark"), (F.col("k.rows") > 1).alias("_repeats"))))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.xxhash64("text").alias("_of")).join(kept, (F.col("row.doc_id") == F.col("_id")) & (F.col("_of") == F.col("_mark")))
+    first = F.row_number().over(W.partitionBy("_id", "_mark").orderBy("row"))  # few: rows that repeat an id and a text
+    again = rows.filter("_repeats").withColumn("_n", first).filter("_n = 1")
+    return rows.filter("NOT _repeats").select("row.*").unionByName(again.select("row.*")).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are written; what it and the stage before it wrote to get there is removed."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with scratch(spark) as keep:
+            docs = keep(cut(stage(spark, before, sf_dir)))
+        if i:
+            drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

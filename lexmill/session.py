@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -29,10 +32,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is set, as in tests, a folder of this machine."""
+    """Use the cluster's spark.checkpoint.dir; only where none is set and Spark runs on this machine, a folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexmill-ckpt-"))
+
+
+#: Tables cut inside the open scratch blocks, innermost last.
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes the checkpoints of tables cut inside once the block ends without an error, but for those given to ``keep``.
+
+    Nothing that is read later may depend on a table that goes.
+    """
+    mine: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _open.append(mine)
+    try:
+        yield keep
+        for df in mine:
+            if not any(df is k for k in kept):
+                drop(df)
+    finally:
+        _open.remove(mine)
+        if _open:
+            _open[-1].extend(kept)
+        mine.clear()
+        tidy(spark)
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the checkpoint of a table that ``cut`` wrote and that nothing will read again."""
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles that no table refers to any more; it does so when the driver collects its garbage."""
+    spark._jvm.System.gc()
 
 
 def cut(df: DataFrame, placed: bool = False) -> DataFrame:
@@ -45,13 +96,16 @@ def cut(df: DataFrame, placed: bool = False) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    if not placed:
-        return df.checkpoint(eager=True)
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    if placed:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return df.select("*").checkpoint(eager=True)
+        out = df.select("*").checkpoint(eager=True)
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        if placed:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    if _open:
+        _open[-1].append(out)
+    return out
 
 
 def ship_package(spark: SparkSession) -> None:
