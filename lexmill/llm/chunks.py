@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import lean
 from lexmill.session import cut
 
-CHUNK_BYTES, PER_PARTITION = 2 << 20, 4
+#: Buckets per shuffle partition. A chunk holds CHUNK_BYTES of text, more where there are many buckets, so that its message
+#: to each stays worth a row and their number doesn't grow with the square of the input; MOST_BYTES is what a task can hold.
+PER_PARTITION, CHUNK_BYTES, BYTES_PER_BUCKET, MOST_BYTES = 4, 2 << 20, 4 << 10, 32 << 20
 SMALL = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
@@ -45,6 +47,8 @@ def tie_of(text: str | None) -> int:
 def pack(docs: DataFrame) -> DataFrame:
     """``chunk, payload``, written and partitioned by chunk, so that answers come to it and it never moves again: rows of ``docs(doc_id, text, ...)`` in chunks, ordered by doc_id (null first) and text inside each."""
 
+    bytes_ = min(max(CHUNK_BYTES, partitions(docs) * PER_PARTITION * BYTES_PER_BUCKET), MOST_BYTES)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, n = [], 0, TaskContext.get().partitionId() << 32
 
@@ -60,11 +64,11 @@ def pack(docs: DataFrame) -> DataFrame:
             at, ends = 0, np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)) if b.num_rows else []
             while at < b.num_rows:  # a chunk takes what fits, at least one row
                 done = int(ends[at - 1]) if at else 0
-                stop = max(at + 1, int(np.searchsorted(ends, done + CHUNK_BYTES - size, "right")))
+                stop = max(at + 1, int(np.searchsorted(ends, done + bytes_ - size, "right")))
                 held.append(b.slice(at, stop - at))
                 size += int(ends[stop - 1]) - done
                 at = stop
-                if size >= CHUNK_BYTES or at < b.num_rows:
+                if size >= bytes_ or at < b.num_rows:
                     yield chunk()
         if held:
             yield chunk()

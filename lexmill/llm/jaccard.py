@@ -2,15 +2,23 @@
 
 A document's set is its distinct n-grams, as 64-bit hashes. One order of all n-grams, rare ones first (by counts of
 all documents in 2**BITS cells, then by hash), is cut into fragments by hash. Documents with equal sets form a class
-and go on as one. A pair can only link if it shares an n-gram among each set's first few, so these beginnings go to
-their fragments and meet there; lengths and places bound the overlap and drop most meetings. For the pairs left the
-sets are cut at the fragments, every fragment counts its part of a pair's overlap, and the parts are summed per pair.
+and go on as one.
 
-A group around an n-gram first tries its documents against one member and their neighbours in
-length. After that a join tries every other pair of a group that places, sizes and sketches leave possible, and returns
-every link. Where only the components are asked for, it tries just the pairs that verified links leave in different
-components: components stay exact, links inside one may be missing, and a group of near copies doesn't become all
-its pairs.
+Candidates. A set of PIECE n-grams or more is cut by hash into as many pieces as its size has doublings above that; two
+sets of Jaccard similarity s have it, or more, in at least one piece, since overlaps and sizes both add up over pieces.
+Within a piece such sets share an n-gram among the first few of each, so these beginnings go to their fragments and
+meet there, and the first one shared lies so early that each set has enough n-grams left; places, sizes and parity
+sketches of the pieces drop nearly all other meetings. Larger sets take part in the pieces of every size they can link
+with, so a pair meets in those of the smaller set.
+
+Decision. For the pairs left the sets are cut at the fragments, every fragment counts its part of a pair's overlap, and
+the parts are summed per pair.
+
+A group around an n-gram first tries its documents against one member and their neighbours in size. After that a join
+tries every other pair of a group that places, sizes and sketches leave possible, and returns every link. Where only
+the components are asked for, it tries just the pairs that verified links leave in different components: components
+stay exact, links inside one may be missing, and a group of near copies doesn't become all its pairs. Large groups are
+dealt over tasks by pairs of salts, GROUP rows or so a salt.
 
 Defined cases: null and empty texts and texts without words have no set and link with nothing; a text of fewer words
 than n has one n-gram, the whole; rows that repeat a doc_id share its links, each with its own set; rows with a null
@@ -32,14 +40,21 @@ from lexmill.llm import chunks
 from lexmill.llm.chunks import mix
 from lexmill.llm.common import lean
 from lexmill.llm.components import components
-from lexmill.session import cut
+from lexmill.session import cut, scratch, tidy
 
 BITS, SLICES, CUTS, SPREAD = 18, 64, 4, 8
-#: Bits of a set's parity sketch, and 64-bit words of its short form: two sets differ in at least as many n-grams as
+#: Sets of less than twice as many n-grams are one piece; rows of a group that one task compares with each other.
+PIECE, GROUP = 256, 1024
+#: Bits of a piece's parity sketch, and 64-bit words of its short form: two pieces differ in at least as many n-grams as
 #: their sketches, or short forms, in bits.
-SKETCH, FOLD = 2048, 8
-#: An n-gram of a set's beginning as it is sent: its place in the order, the document, the set's size, its place in it.
-SENT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("size", "<u4"), ("at", "<u4")])
+SKETCH, FOLD = 1024, 8
+WORDS = SKETCH // 64
+#: An n-gram of a piece's beginning as it is sent: its place in the order, the document, the sizes of its set and of the
+#: piece, its place in the piece, the piece (2**level + number).
+SENT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("size", "<u4"), ("own", "<u4"), ("at", "<u4"), ("part", "<u4")])
+FIELDS = ("doc", "size", "own", "at", "part")
+#: What deals the rows of groups over tasks: the n-gram and two salts; rows that a task holds before it pairs them.
+DEALT, HELD = ("key", "lo", "hi"), 1 << 16
 
 
 def sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,33 +104,67 @@ def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a.astype(np.int64) + b.astype(np.int64)) // (100 + percent))
 
 
-def _may_link(rows: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the sizes, and the shared n-gram's places, allow a pair of sent n-grams to belong to a link."""
-    a, b = rows["size"][x].astype(np.int64), rows["size"][y].astype(np.int64)
-    i, j = rows["at"][x].astype(np.int64), rows["at"][y].astype(np.int64)
-    most = np.minimum(i, j) + 1 + np.minimum(a - i, b - j) - 1
-    return (rows["doc"][x] != rows["doc"][y]) & (most >= _needed(a, b, percent))
+def _level(size: np.ndarray) -> np.ndarray:
+    """Doublings of a set's size above PIECE; its pieces are 2**level."""
+    return np.maximum(np.frexp(size / PIECE)[1] - 1, 0).astype(np.int64)
 
 
-def _sketches(rows: np.ndarray, gram: np.ndarray, n: int) -> pa.Array:
-    odd = np.bincount(rows * SKETCH + (gram % np.uint64(SKETCH)).astype(np.int64), minlength=n * SKETCH).astype(np.uint8) & 1
-    return pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(odd).view(np.int64)), SKETCH // 64).cast(pa.list_(pa.int64()))
+def pieces(rows: np.ndarray, gram: np.ndarray, n: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each n-gram's place in the input and its piece, level after level; larger sets come with each level that a set
+    they can link with may have."""
+    size = np.bincount(rows, minlength=n)
+    high, low = _level(size), _level(-(-percent * size // 100))
+    for back in range(int((high - low).max(initial=0)) + 1):
+        level = high - back
+        use = np.flatnonzero((level >= low)[rows])
+        at = level[rows[use]].astype(np.uint64)
+        yield use, (np.uint64(1) << at) + np.where(at > 0, gram[use] >> (np.uint64(64) - np.maximum(at, np.uint64(1))), np.uint64(0))
 
 
-def _leaders(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Groups of equal keys: rows sorted by key, size and document, bounds of the groups, and each row's leader (the group's smallest document)."""
-    rows = rows[np.lexsort((rows["doc"], rows["size"], rows["key"]))]
-    fresh = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])
-    starts = np.flatnonzero(fresh)
-    bounds = np.concatenate([starts, [len(rows)]])
-    by_doc = np.lexsort((rows["doc"], rows["key"]))
-    leader = np.repeat(by_doc[starts], np.diff(bounds))
-    return rows, bounds, leader, fresh
+def _may_link(rows: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a pair of sent n-grams can be the first that the pieces of a link share, in pieces of the smaller set's level."""
+    a, b = rows["size"][x].astype(np.int64), rows["size"][y].astype(np.int64)
+    own_a, own_b = rows["own"][x].astype(np.int64), rows["own"][y].astype(np.int64)
+    left = np.minimum(own_a - rows["at"][x], own_b - rows["at"][y])
+    level = np.frexp(rows["part"][x].astype(float))[1] - 1
+    fits = (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (_level(np.minimum(a, b)) == level)
+    return (rows["doc"][x] != rows["doc"][y]) & fits & (left >= _needed(own_a, own_b, percent))
+
+
+def _sketches(unit: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+    """Parity sketches of ``n`` units, WORDS numbers each; ``unit`` ascending."""
+    out = np.zeros((n, WORDS), np.int64)
+    for lo in range(0, n, 1024):
+        a, b = np.searchsorted(unit, [lo, min(lo + 1024, n)])
+        m = min(1024, n - lo)
+        odd = np.bincount((unit[a:b] - lo) * SKETCH + (gram[a:b] % np.uint64(SKETCH)).astype(np.int64), minlength=m * SKETCH).astype(np.uint8) & 1
+        out[lo : lo + m] = np.packbits(odd).view(np.int64).reshape(m, WORDS)
+    return out
+
+
+def _piece_sketches(rows: np.ndarray, gram: np.ndarray, n: int, percent: int) -> pa.Array:
+    """For each of ``n`` rows the sketches of its pieces, one after the other, each behind the piece's number; ``gram`` ascending in each row."""
+    of, parts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, WORDS), np.int64)]
+    for use, part in pieces(rows, gram, n, percent):
+        if len(use):
+            fresh = np.concatenate([[True], (rows[use][1:] != rows[use][:-1]) | (part[1:] != part[:-1])])
+            unit = np.cumsum(fresh) - 1
+            of.append(rows[use][fresh])
+            parts.append(part[fresh].astype(np.int64))
+            found.append(_sketches(unit, gram[use], int(unit[-1]) + 1))
+    doc = np.concatenate(of)
+    order = np.argsort(doc, kind="stable")
+    flat = np.concatenate([np.concatenate(parts)[:, None], np.concatenate(found)], axis=1)[order]
+    ends = np.searchsorted(doc[order], np.arange(n + 1)) * (WORDS + 1)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.reshape(-1)))
 
 
 def _meet(rows: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of documents (and sizes) to try first in one bucket of sent n-grams: each row with its group's leader and with the next in size."""
-    rows, _, leader, fresh = _leaders(rows)
+    """Pairs to try first in one bucket of sent n-grams: each row with its group's smallest document and with the next in size."""
+    rows = rows[np.lexsort((rows["doc"], rows["size"], rows["key"]))]
+    fresh = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])
+    starts = np.flatnonzero(fresh)
+    leader = np.repeat(np.lexsort((rows["doc"], rows["key"]))[starts], np.diff(np.concatenate([starts, [len(rows)]])))
     next_to = np.flatnonzero(~fresh)
     found = []
     for x, y in ((np.arange(len(rows)), leader), (next_to - 1, next_to)):
@@ -124,29 +173,51 @@ def _meet(rows: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0)
 
 
-def _meet_others(rows: np.ndarray, label: np.ndarray, fold: np.ndarray, percent: int) -> np.ndarray:
-    """All other pairs of a group whose documents have different labels and whose short sketches don't show
-    that they differ too much; ``rows`` by size, then document."""
-    size = rows["size"].astype(np.int64)
-    reach = np.searchsorted(size, size * 100 // percent, "right")  # sizes beyond can't link
-    leader = int(np.argmin(rows["doc"]))
-    found = [np.zeros((0, 4), np.int64)]
-    for x in range(len(rows) - 2):
-        if x != leader:
-            y = np.arange(x + 2, int(reach[x]))
-            y = y[(label[y] != label[x]) & (y != leader)]
-            y = y[_may_link(rows, np.full(len(y), x), y, percent)]
-            most = size[x] + size[y] - 2 * _needed(size[y], size[x], percent)
-            # unsigned, as of a negative number numpy counts the bits of its absolute value
-            y = y[np.bitwise_count((fold[y] ^ fold[x]).view(np.uint64)).sum(axis=1) <= most]
-            found.append(_as_pairs(rows, np.full(len(y), x), y))
+def _useful(rows: np.ndarray, percent: int) -> np.ndarray:
+    """The rows of groups of three and more (two have met already) that some partner of their group's sizes could link."""
+    rows = rows[np.argsort(rows["key"], kind="stable")]
+    starts = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+    n = np.diff(np.concatenate([starts, [len(rows)]]))
+    own = rows["own"].astype(np.int64)
+    least = np.maximum(np.repeat(np.minimum.reduceat(own, starts), n), -(-percent * own // 100))
+    return rows[(np.repeat(n, n) > 2) & (own - rows["at"] >= _needed(own, least, percent))]
+
+
+def _meet_others(table: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of the rows (of DEALT, FIELDS, label, salt, fold) of each group, of one salt or of two, whose documents have
+    different labels and whose short sketches don't show that they differ too much."""
+    n = len(DEALT) + len(FIELDS)
+    doc, size = table[:, len(DEALT)], table[:, len(DEALT) + 1]
+    group = np.cumsum(np.concatenate([[False], (table[1:, : len(DEALT)] != table[:-1, : len(DEALT)]).any(axis=1)]))
+    table = table[np.lexsort((doc, size, group))]
+    rows = np.zeros(len(table), SENT)
+    for i, f in enumerate(FIELDS):
+        rows[f] = table[:, len(DEALT) + i]
+    label, salt, fold, within = table[:, n], table[:, n + 1], table[:, n + 2 :].view(np.uint64), table[:, 1] == table[:, 2]
+    size, own = rows["size"].astype(np.int64), rows["own"].astype(np.int64)
+    found, x, step = [np.zeros((0, 7), np.int64)], np.arange(len(rows)), 0
+    while len(x):  # each row with the first, second, ... after it, as long as that is in its group and small enough
+        step += 1
+        x = x[x + step < len(rows)]
+        y = x + step
+        on = (group[y] == group[x]) & (size[x] * 100 >= size[y] * percent)
+        x, y = x[on], y[on]
+        try_ = (label[y] != label[x]) & (within[x] | (salt[y] != salt[x]))
+        i, j = x[try_], y[try_]
+        may = _may_link(rows, i, j, percent)
+        i, j = i[may], j[may]
+        # unsigned, as of a negative number numpy counts the bits of its absolute value
+        close = np.bitwise_count(fold[i] ^ fold[j]).sum(axis=1) <= own[i] + own[j] - 2 * _needed(own[i], own[j], percent)
+        found.append(_as_pairs(rows, i[close], j[close]))
     return np.unique(np.concatenate(found), axis=0)
 
 
 def _as_pairs(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    pairs = np.stack([rows["doc"][x], rows["doc"][y], rows["size"][x], rows["size"][y]], 1).astype(np.int64).reshape(-1, 4)
+    """a, b, size_a, size_b, own_a, own_b, part; a < b."""
+    columns = (rows[f][i] for f in ("doc", "size", "own") for i in (x, y))
+    pairs = np.stack([*columns, rows["part"][x]], 1).astype(np.int64).reshape(-1, 7)
     swap = pairs[:, 0] > pairs[:, 1]
-    pairs[swap] = pairs[swap][:, [1, 0, 3, 2]]
+    pairs[swap] = pairs[swap][:, [1, 0, 3, 2, 5, 4, 6]]
     return pairs
 
 
@@ -155,7 +226,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, n: int, percent: int):
         self.n, self.percent = n, percent
-        self.packed = chunks.pack(docs.select("doc_id", "text"))
+        self.packed = chunks.pack(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")))
         self.parts = chunks.partitions(docs)
         self.buckets = self.parts * chunks.PER_PARTITION
 
@@ -172,9 +243,9 @@ class Join:
         counts = chunks.totals(self.packed.mapInArrow(lean(count), chunks.SLICED), (1 << BITS,), SLICES)
         return np.clip(np.floor(4 * np.log2((counts + 1) / (counts.mean() + 1))), 0, 255).astype(np.uint64)
 
-    def classes(self) -> DataFrame:
-        """chunk, row, doc_id, n_shingles, sketch, class_id (smallest doc_id with the same set; null without a set) of every row."""
-        n = self.n
+    def digests(self) -> DataFrame:
+        """chunk, row, doc_id, mark (of the text), n_shingles, name (of the set; null without one) and sketch of every row."""
+        n, percent = self.n, self.percent
 
         def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in chunks.each(batches):
@@ -183,16 +254,39 @@ class Join:
                 bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
                 names = [xxhash.xxh3_128_digest(gram[a:b].tobytes()) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(batch.num_rows, row["chunk"])), pa.array(np.arange(batch.num_rows)), batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(names, pa.binary()), _sketches(rows, gram, batch.num_rows)],
-                    names=["chunk", "row", "doc_id", "n_shingles", "name", "sketch"],
+                    [
+                        pa.array(np.full(batch.num_rows, row["chunk"])),
+                        pa.array(np.arange(batch.num_rows)),
+                        batch.column("doc_id"),
+                        batch.column("mark"),
+                        pa.array(np.diff(bounds)),
+                        pa.array(names, pa.binary()),
+                        _piece_sketches(rows, gram, batch.num_rows, percent),
+                    ],
+                    names=["chunk", "row", "doc_id", "mark", "n_shingles", "name", "sketch"],
                 )
 
-        every = cut(self.packed.mapInArrow(lean(digest), "chunk long, row long, doc_id long, n_shingles long, name binary, sketch array<long>"))
-        least = every.filter("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("class_id"))
-        return cut(every.join(least, "name", "left").drop("name"))
+        return cut(self.packed.mapInArrow(lean(digest), "chunk long, row long, doc_id long, mark long, n_shingles long, name binary, sketch array<long>"))
+
+    def classes(self, digests: DataFrame) -> DataFrame:
+        """chunk, row, doc_id, mark, n_shingles, class_id (smallest doc_id with the same set; null without a set) of every row."""
+        every = digests.drop("sketch")
+        several = every.filter("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").withColumnRenamed("name", "of")
+        # rows without a set get a key of their own, so they don't meet in one task
+        key = F.coalesce("name", F.concat(F.lit("-"), F.hex("chunk"), F.lit("-"), F.hex("row")).cast("binary"))
+        found = every.join(several, key == F.col("of"), "left")
+        own = F.when(F.col("name").isNotNull(), F.when(F.col("n") > 1, F.col("least")).otherwise(F.col("doc_id")))
+        return cut(found.select("chunk", "row", "doc_id", "mark", "n_shingles", own.alias("class_id")))
+
+    def sketches(self, digests: DataFrame) -> DataFrame:
+        """doc_id, part and sketch (WORDS numbers) of the pieces of every set."""
+        step = WORDS + 1
+        entry = lambda i: F.struct(F.element_at("sketch", i * step + 1).alias("part"), F.slice("sketch", i * step + 2, WORDS).alias("sketch"))
+        each = F.transform(F.sequence(F.lit(0), (F.size("sketch") / step).cast("int") - 1), entry)
+        return digests.filter("doc_id IS NOT NULL AND size(sketch) > 0").select("doc_id", F.explode(each).alias("p")).select("doc_id", "p.part", "p.sketch")
 
     def sent(self, members: DataFrame, rank: np.ndarray) -> DataFrame:
-        """Beginnings of the sets of ``members(chunk, row)``, as messages to the fragments, written in their order."""
+        """Beginnings of the pieces of the sets of ``members(chunk, row)``, as messages to the fragments, written in their order."""
         n, percent, buckets = self.n, self.percent, self.buckets
         shared = members.sparkSession.sparkContext.broadcast(rank)
         rows = members.groupBy("chunk").agg(F.collect_list("row").alias("members"))  # rows of one chunk
@@ -203,13 +297,25 @@ class Join:
                 picked = np.zeros(batch.num_rows, bool)
                 picked[row["members"]] = True
                 rows, key = _ordered(*sets(batch, n), shared.value)
-                bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-                size, at = np.diff(bounds), np.arange(len(rows)) - bounds[rows]
-                first = at <= size[rows] - -(-percent * size[rows] // 100)
-                use = first & picked[rows]
-                out = np.zeros(int(use.sum()), SENT)
+                size = np.bincount(rows, minlength=batch.num_rows)
                 ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-                out["key"], out["doc"], out["size"], out["at"] = key[use], ids[rows[use]], size[rows[use]], at[use]
+                found = [np.zeros(0, SENT)]
+                for use, part in pieces(rows, _hash_of(key), batch.num_rows, percent):
+                    unit = rows[use] << 32 | part.astype(np.int64)
+                    if (unit[1:] < unit[:-1]).any():  # in the order of all n-grams inside each piece
+                        order = np.argsort(unit, kind="stable")
+                        use, unit = use[order], unit[order]
+                    starts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else np.zeros(0, np.int64)
+                    length = np.diff(np.concatenate([starts, [len(unit)]])).astype(np.int64)
+                    own, at = np.repeat(length, length), np.arange(len(unit)) - np.repeat(starts, length)
+                    first = (at <= own - -(-percent * own // 100)) & picked[rows[use]]
+                    out = np.zeros(int(first.sum()), SENT)
+                    use, unit = use[first], unit[first]
+                    out["part"] = unit & 0xFFFFFFFF
+                    out["key"] = key[use] ^ (np.frexp(out["part"].astype(float))[1] - 1).astype(np.uint64)  # levels don't meet
+                    out["doc"], out["size"], out["own"], out["at"] = ids[rows[use]], size[rows[use]], own[first], at[first]
+                    found.append(out)
+                out = np.concatenate(found)
                 out = out[np.argsort(out["key"], kind="stable")]
                 yield from chunks.ask(row["chunk"], _hash_of(out["key"]), out, buckets)
 
@@ -217,7 +323,7 @@ class Join:
         return cut(asked.repartition(self.parts, "bucket").sortWithinPartitions("bucket"))
 
     def pairs(self, sent: DataFrame) -> DataFrame:
-        """a, b and their sizes: the first pairs that meet in the fragments."""
+        """The first pairs that meet in the fragments."""
         percent = self.percent
 
         def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,55 +332,54 @@ class Join:
 
         return sent.mapInArrow(lean(meet), PAIRS).distinct()
 
-    def other_pairs(self, sent: DataFrame, groups: DataFrame | None, members: DataFrame) -> DataFrame:
-        """a, b and their sizes: what ``pairs`` left out and, with ``groups(id, component_id)``, is in different components.
+    def other_pairs(self, sent: DataFrame, groups: DataFrame | None, sketches: DataFrame) -> DataFrame:
+        """All pairs that meet and, with ``groups(id, component_id)``, are in different components.
 
-        Rows carry their sketch, folded to FOLD words, so that only pairs that may link leave a group.
+        Rows carry their piece's sketch, folded to FOLD words, so that only pairs that may link leave a group.
         """
         percent = self.percent
 
-        def large(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """The rows of groups of three and more; two have met already."""
+        def useful(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _buckets(batches):
-                rows = rows[np.argsort(rows["key"], kind="stable")]
-                _, of, n = np.unique(rows["key"], return_inverse=True, return_counts=True)
-                rows = rows[n[of] > 2]
-                yield pa.RecordBatch.from_arrays([pa.array(rows["key"].view(np.int64)), *(pa.array(rows[f].astype(np.int64)) for f in ("doc", "size", "at"))], names=["key", "doc", "size", "at"])
+                rows = _useful(rows, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["key"].view(np.int64)), *(pa.array(rows[f].astype(np.int64)) for f in FIELDS)], names=["key", *FIELDS])
 
-        folded = F.array(*(reduce(Column.bitwiseXOR, [F.col("sketch")[i] for i in range(k, SKETCH // 64, FOLD)]) for k in range(FOLD)))
-        known = members.select("doc_id", folded.alias("fold"))
+        rows = sent.mapInArrow(lean(useful), "key long, " + ", ".join(f"{f} long" for f in FIELDS))
         if groups is None:
-            known = known.select("doc_id", F.col("doc_id").alias("label"), "fold")
+            rows = rows.withColumn("label", F.col("doc"))
         else:
-            known = known.join(groups, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("label"), "fold")
-        rows = sent.mapInArrow(lean(large), "key long, doc long, size long, at long").join(known, F.col("doc") == F.col("doc_id")).drop("doc_id")
-        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        rows = rows.join(mixed, "key").repartition(self.parts, "key").sortWithinPartitions("key", "size", "doc")
+            rows = rows.join(groups, F.col("doc") == F.col("id"), "left").withColumn("label", F.coalesce("component_id", "doc")).drop("id", "component_id")
+        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / GROUP).alias("salts")).filter("low < high").select("key", "salts")
+        folded = F.array(*(reduce(Column.bitwiseXOR, [F.col("sketch")[i] for i in range(k, WORDS, FOLD)]) for k in range(FOLD)))
+        rows = rows.join(mixed, "key").join(sketches.select(F.col("doc_id").alias("doc"), "part", folded.alias("fold")), ["doc", "part"])
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")))
+        other = F.when(F.col("salts") > 1, F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).otherwise(F.array("salt"))
+        rows = rows.withColumn("_t", F.explode(other)).withColumn("lo", F.least("salt", "_t")).withColumn("hi", F.greatest("salt", "_t"))
+        columns = (*DEALT, *FIELDS, "label", "salt")
+        rows = rows.select(*columns, "fold").repartition(self.parts, *DEALT).sortWithinPartitions(*DEALT)
 
         def others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, now = [], None
+            held: list[np.ndarray] = []
             for b in batches:
-                key = b.column("key").to_numpy()
-                table = np.concatenate([np.stack([b.column(c).to_numpy() for c in ("doc", "size", "at", "label")], 1), b.column("fold").flatten().to_numpy().reshape(-1, FOLD)], 1)
-                for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
-                    if len(part):
-                        if key[part[0]] != now and held:
-                            yield _pairs(_meet_others(*_group(held), percent))
-                            held = []
-                        now = key[part[0]]
-                        held.append(table[part])
+                own = np.stack([b.column(c).to_numpy() for c in columns], 1)
+                held.append(np.concatenate([own, b.column("fold").flatten().to_numpy().reshape(-1, FOLD)], 1))
+                if sum(map(len, held)) >= HELD:  # all groups but the last are complete
+                    table = np.concatenate(held)
+                    last = int(np.argmax((table[:, : len(DEALT)] == table[-1, : len(DEALT)]).all(axis=1)))
+                    yield _pairs(_meet_others(table[:last], percent))
+                    held = [table[last:]]
             if held:
-                yield _pairs(_meet_others(*_group(held), percent))
+                yield _pairs(_meet_others(np.concatenate(held), percent))
 
         return rows.mapInArrow(lean(others), PAIRS).distinct()
 
-    def likely(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
-        """The pairs whose sketches don't already show that their sets differ too much."""
-        sketch = lambda side: members.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"sketch_{side}"))
+    def likely(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """The pairs whose pieces' sketches don't already show that they differ too much: a, b, size_a, size_b."""
+        sketch = lambda side: sketches.select(F.col("doc_id").alias(side), "part", F.col("sketch").alias(f"sketch_{side}"))
         apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        both = F.col("size_a") + F.col("size_b")
+        both = F.col("own_a") + F.col("own_b")
         allowed = both - 2 * F.ceil(both * self.percent / (100 + self.percent))
-        return cut(pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(apart <= allowed).select("a", "b", "size_a", "size_b").distinct())
+        return cut(pairs.join(sketch("a"), ["a", "part"]).join(sketch("b"), ["b", "part"]).filter(apart <= allowed).select("a", "b", "size_a", "size_b").distinct())
 
     def verified(self, pairs: DataFrame, members: DataFrame, rank: np.ndarray) -> DataFrame:
         """a and b of the pairs that link: overlaps counted per fragment and summed per pair.
@@ -334,7 +439,7 @@ class Join:
         return linked.select("a", "b").distinct()
 
 
-PAIRS = "a long, b long, size_a long, size_b long"
+PAIRS = "a long, b long, size_a long, size_b long, own_a long, own_b long, part long"
 
 
 def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -351,35 +456,36 @@ def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _group(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    table = np.concatenate(held)
-    rows = np.zeros(len(table), SENT)
-    rows["doc"], rows["size"], rows["at"] = table[:, 0], table[:, 1], table[:, 2]
-    return rows, table[:, 3], table[:, 4:]
-
-
 def _pairs(found: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(4)], names=["a", "b", "size_a", "size_b"])
+    names = PAIRS.replace(" long", "").split(", ")
+    return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(len(names))], names=names)
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, every_link: bool = True) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets with their component, and the verified links between class representatives.
 
-    Returns ``doc_id, n_shingles, class_id, component_id`` per row of ``docs(doc_id, text)`` and ``a, b`` per link, a < b.
-    Components are exact; without ``every_link`` only those links inside a component are found that are needed to know
-    it.
+    Returns ``doc_id, mark, n_shingles, class_id, component_id`` per row of ``docs(doc_id, text)`` (mark is Spark's
+    xxhash64 of the text, to tell rows that repeat an id apart) and ``a, b`` per link, a < b. Components are exact;
+    without ``every_link`` only those links inside a component are found that are needed to know it.
     """
-    work = Join(docs, n, percent)
-    rank = work.rank()
-    every = work.classes()
-    members = every.filter("class_id = doc_id").select("chunk", "row", "doc_id", "sketch")
-    sent = work.sent(members, rank)
-    links = cut(work.verified(work.likely(work.pairs(sent), members), members, rank))
-    more = work.likely(work.other_pairs(sent, None if every_link else components(links), members), members)
-    links = cut(links.union(work.verified(more, members, rank)).distinct())
-    groups = components(links)
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        work = Join(docs, n, percent)
+        rank = work.rank()
+        digests = work.digests()
+        tidy(spark)
+        every, sketches = keep(work.classes(digests)), work.sketches(digests)
+        members = every.filter("class_id = doc_id").select("chunk", "row", "doc_id")
+        sent = work.sent(members, rank)
+        tidy(spark)
+        tried = work.likely(work.pairs(sent), sketches)
+        links = cut(work.verified(tried, members, rank))
+        others = work.other_pairs(sent, None if every_link else components(links), sketches)
+        more = work.likely(others.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sketches)
+        links = keep(cut(links.union(work.verified(more, members, rank)).distinct()))
+        groups = keep(cut(components(links)))
     out = every.join(groups, every.class_id == groups.id, "left")
-    return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id", "doc_id").alias("component_id")), links
+    return out.select("doc_id", "mark", "n_shingles", "class_id", F.coalesce("component_id", "class_id", "doc_id").alias("component_id")), links
 
 
 def link_counts(classes: DataFrame, links: DataFrame) -> DataFrame:

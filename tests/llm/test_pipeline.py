@@ -65,3 +65,15 @@ def test_mixing_and_encoding(steps):
 def test_run_is_the_stages(spark, steps, small):
     key = lambda df: sorted((r.doc_id, bytes(r.ids)) for r in df.collect())
     assert key(P.run(spark, small)) == key(steps[-1])
+
+
+LONG = " ".join(f"word{i}" for i in range(60))
+
+
+def test_near_copies_are_judged_by_row(spark, docs):
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, LONG, "s"), (5, LONG, "s"), (5, other, "t"), (5, other, "t"), (7, LONG + " more", "s"), (8, None, "s"), (8, "", "s"), (9, " ", "s"), (None, LONG, "s")]
+    got = [(r.doc_id, r.text) for r in P.drop_near_copies(spark, docs(rows), "").collect()]
+    assert sorted(x for x in got if x[0] not in (None, 8)) == [(1, LONG), (5, other), (9, " ")]
+    assert sum(x[0] == 8 for x in got) == 1 and (None, LONG) in got
+    assert P.drop_near_copies(spark, docs(rows).limit(0), "").count() == 0

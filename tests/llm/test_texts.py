@@ -144,12 +144,51 @@ def test_join_finds_every_link(docs, n, percent):
     assert counts == {i: sum(i in pair for pair in want) for i in sets}
 
 
+def group_rows(n, size, fold):
+    """Rows of one group and one salt, as tasks get them: DEALT, FIELDS (doc, size, own, at, part), label, salt, fold."""
+    rows = [[7, 0, 0, d, size, size, 0, 1, d, 0, *f] for d, f in zip(range(1, n + 1), fold, strict=True)]
+    return np.array(rows, np.int64)
+
+
 def test_short_sketches_that_differ_in_a_sign_bit_still_meet():
-    rows = np.zeros(4, jaccard.SENT)
-    rows["doc"], rows["size"] = [1, 2, 3, 4], 19
     fold = np.zeros((4, jaccard.FOLD), np.int64)
     fold[3, 0] = -(1 << 63) + 1  # two bits, as many as sets of 19 that link may differ in
-    assert jaccard._meet_others(rows, rows["doc"].astype(np.int64), fold, 90)[:, :2].tolist() == [[2, 4]]
+    assert [2, 4] in jaccard._meet_others(group_rows(4, 19, fold), 90)[:, :2].tolist()
+    fold[3, 0] += 2
+    assert jaccard._meet_others(group_rows(4, 19, fold), 90)[:, :2].tolist() == [[1, 2], [1, 3], [2, 3]]
+
+
+def long_texts(seed):
+    """Texts of many pieces at and about the thresholds, and of sizes on both sides of a level."""
+    r = random.Random(seed)
+    out = []
+    for size in (480, 540, 1000, 1100, 2100, 2600):
+        base = [f"b{size}_{i}" for i in range(size)]
+        for k in range(5):
+            own = [w if r.random() > 0.002 * k else f"e{k}_{i}" for i, w in enumerate(base)]
+            out.append(" ".join(own[: size - r.randrange(size // 6)]))
+    return out
+
+
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80), (2, 40)])
+def test_join_of_long_texts(docs, n, percent):
+    texts = [*long_texts(n), "x", "a b c d e f g"]
+    sets = {i: shingles(t, n) for i, t in enumerate(texts)}
+    classes, links = jaccard.join(table_of(docs, texts), n=n, percent=percent)
+    want = links_by_hand(sets, percent)
+    assert len(want) > 5 and sorted((r.a, r.b) for r in links.collect()) == sorted(want)
+    assert {r.doc_id: r.component_id for r in classes.collect()} == components_by_hand(sets, percent)
+
+
+def test_a_group_dealt_by_salts_keeps_its_links(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 4)
+    monkeypatch.setattr(jaccard, "HELD", 3)
+    base = [f"b{i}" for i in range(40)]
+    texts = [" ".join([*base, *(f"v{k}_{j}" for j in range(k % 6))]) for k in range(30)]
+    sets = {i: shingles(t, 3) for i, t in enumerate(texts)}
+    _, links = jaccard.join(table_of(docs, texts), n=3, percent=85)
+    class_of = {i: min(j for j in sets if sets[j] == s) for i, s in sets.items()}
+    assert sorted((r.a, r.b) for r in links.collect()) == sorted((a, b) for a, b in links_by_hand(sets, 85) if class_of[a] == a and class_of[b] == b)
 
 
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
