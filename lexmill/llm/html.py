@@ -1,16 +1,24 @@
 """Main text of web pages by tag-path ratios.
 
-Each text node counts toward its root-to-leaf tag path: characters outside links, punctuation marks and nodes.
-Per path the two ratios (characters and punctuation per node) are fused; the blocks of a page, in page order, take
-their path's value, which is smoothed over neighbouring blocks; blocks above the threshold are the core of the
-article, and the element that holds the whole core is the article, so its short headings and paragraphs stay.
-Elements that never hold article text by their tag take no part. Nor do those with a name (class, id or role) that
-sites give to what is not the article, but a name alone hides no element that holds an article or main element, and
-none whose kind (same tag and names) holds most of the core that the page has with all names ignored, unless it lies
-beside an article or main element with text and the listed word is a whole name.
+Each text node counts toward its root-to-leaf tag path: characters outside links, punctuation marks and nodes. Per path
+the two ratios (characters and punctuation per node) are fused to one value. Along the page the blocks' values are
+smoothed over neighbours, the more the longer the beginning that their paths share, and a path's smoothed value is the
+mean over its blocks. Paths of at least THRESHOLD of the greatest value are the core.
+
+The content's root is the deepest beginning of paths that holds nearly all of the core's value. Paths below it are
+content as well, such as short headings, lists and captions, unless links make up most of their text or a step below the
+root bears a name of what is not the article; such paths are content only as core, and paths elsewhere only from
+ELSEWHERE of the greatest value. An article or main element around the root takes its place, and a title that stands
+right beside the root is content.
+
+A step of a path is the tag; containers add their classes. Names (classes, ids, roles) that sites give to what is not
+the article never hide anything: a path with such a name counts PENALTY of its value, and since values are only compared
+inside a page, a name around the whole page says nothing. Elements that hold no article text by their tag (scripts,
+forms, navigation, footers, asides) take no part.
 
 Defined cases: null or empty html gives an empty text; unclosed tags end where HTML lets them end, and of elements that
-are skipped as a whole only script and style take the rest of the page when unclosed; other columns and repeated rows are left alone; an empty table gives an empty result.
+are skipped as a whole only script and style take the rest of the page when unclosed; a "<" that begins no tag is text;
+other columns and repeated rows are left alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:![^>]*|\?[^>]*)>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+from lexmill.llm.common import lean
+
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:![^>]*|\?[^>]*)>|<(/?)([A-Za-z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
-# Elements by their meaning in HTML, and names that sites give to what is not the article.
+# Elements by their meaning in HTML, and parts of names that sites give to what is not the article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea iframe svg math object select canvas".split())
 CODE = {"script", "style"}  # without an end, all that follows is theirs
@@ -34,64 +44,87 @@ NOT_ARTICLE = RAW | set("head nav footer aside form button dialog menu".split())
 INLINE = set("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|toc|pagination|pager|footer|header|masthead|topbar|share|sharing|social|related|recommended|widget|comment|comments|disqus|reply|replies|respond|"
-    r"search|contentinfo|complementary|skip|copyright|legal|disclaimer|tags|meta)(?:$|[\s_-])",
-    re.I,
+CONTAINERS = set("article div main section td".split())
+OTHER_NAMES = set(
+    "ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent notice notices popup modal overlay newsletter subscribe signup login sidebar menu nav navbar navigation "
+    "breadcrumb breadcrumbs toc pagination pager footer topbar share sharing social related recommended widget comment comments disqus reply replies respond contentinfo complementary copyright legal disclaimer".split()
 )
-SMOOTHING = np.array([0.25, 0.5, 0.25])
+WHOLE_NAMES = set("alert meta search side skip tags".split())  # only as they stand
+HEAD_NAMES = {"header", "masthead", "banner"}  # of the site, or of the article
+TOLD = {"no", "not", "has", "with", "without", "is", "enabled", "disabled"}  # a name with such a part tells what else the page has
+#: Weights of a block and its neighbours; value left to named paths; share of the greatest value that makes core, and
+#: that makes content outside the root; share of the core's value below the content's root.
+SMOOTHING, PENALTY, THRESHOLD, ELSEWHERE, HELD = (0.25, 0.5, 0.25), 0.05, 0.4, 0.6, 0.9
 
 
-class _Block:
-    __slots__ = ("parts", "chain", "counts", "named")
+class Block:
+    """Text between two borders of block elements: its pieces and the path of each, with counts, and its elements."""
 
-    def __init__(self, chain: tuple):
-        self.parts, self.chain, self.counts, self.named = [], chain, {}, {}
+    __slots__ = ("parts", "counts", "path")
 
+    def __init__(self, path: tuple):
+        self.parts, self.counts, self.path = [], [0, 0, 0], path
 
-class _Piece:
-    """A text node: the number of its block, the block's open elements, the path, the kinds of named elements around it."""
 
-    __slots__ = ("text", "block", "chain", "key", "linked", "named")
+def marks_of(attributes: str) -> tuple[str, bool, bool]:
+    """The classes, and whether a name is one of what is not the article, or of a head."""
+    classes, other, head = "", False, False
+    for kind, *value in NAMED.findall(attributes):
+        for token in " ".join(value).lower().split():
+            parts = re.split(r"[-_]+", token)
+            if TOLD.isdisjoint(parts):
+                other |= token in WHOLE_NAMES or not OTHER_NAMES.isdisjoint(parts)
+                head |= token in HEAD_NAMES
+        if kind.lower() == "class":
+            classes += "".join("." + x for x in sorted(" ".join(value).lower().split()))
+    return classes, other and not head, head
 
-    def __init__(self, *values):
-        self.text, self.block, self.chain, self.key, self.linked, self.named = values
 
+def blocks(page: str) -> list[Block]:
+    """The text outside elements that never hold article text by their tag, in page order.
 
-def pieces(page: str) -> tuple[list[_Piece], set[tuple]]:
-    """Text outside the elements that never hold article text by their tag, in page order, and the kinds of named elements that hold an article or main."""
-    out: list[_Piece] = []
-    stack: list[tuple[str, int]] = []  # open elements: name and a number of its own
-    path: list[str] = []
-    hidden, inner_link, n, at, block = 0, 0, 0, 0, 0
+    A path is a tuple of steps (tag with classes, whether named as something else, whether a head) below the body.
+    """
+    out: list[Block] = []
+    stack: list[str] = []  # open elements
+    steps: list[tuple] = []  # of those that aren't inline
     hides: list[bool] = []
-    kinds: list[tuple | None] = []  # of the open elements, where named
-    holders: set[tuple] = set()
-
-    def text(piece: str) -> None:
-        if not hidden and piece:
-            same = out and out[-1].block == block
-            chain = out[-1].chain if same else tuple(x for x in stack if x[0] not in INLINE)
-            out.append(_Piece(entities.unescape(piece), block, chain, "/".join(path), inner_link > 0, tuple(k for k in kinds if k)))
+    hidden, inner_link, at, fresh = 0, 0, 0, True
+
+    def text(raw: str) -> None:
+        nonlocal fresh
+        if hidden or not raw:
+            return
+        piece = entities.unescape(raw)
+        stripped = piece.strip()
+        if fresh:
+            if not stripped:
+                return
+            out.append(Block(tuple(x for x in steps if x[0] not in ("html", "body"))))
+            fresh = False
+        block = out[-1]
+        block.parts.append(piece)
+        if stripped:
+            block.counts[0] += 0 if inner_link else len(stripped)
+            block.counts[1] += len(PUNCTUATION.findall(stripped))
+            block.counts[2] += len(stripped)
 
     def pop() -> None:
-        nonlocal hidden, inner_link, block
-        name, _ = stack.pop()
-        path.pop()
-        kinds.pop()
+        nonlocal hidden, inner_link, fresh
+        name = stack.pop()
         hidden -= hides.pop()
         inner_link -= name == "a"
         if name not in INLINE:
-            block += 1
+            steps.pop()
+            fresh = True
 
     def close(names: set[str], scope: set[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
+            if stack[i] in names:
                 while len(stack) > i:
                     pop()
                 return
-            if stack[i][0] in scope:
+            if stack[i] in scope:
                 return
 
     size = len(page)
@@ -108,14 +141,13 @@ def pieces(page: str) -> tuple[list[_Piece], set[tuple]]:
         name = m[2].lower()
         if m[1]:
             close({name}, set() if name in CLOSES_P else {"table", "article", "body"} - {name})
-            if name not in INLINE:
-                block += 1
+            fresh |= name not in INLINE
             continue
         if name == "br":
             text(" ")
             continue
         if name in VOID or m[3].endswith("/"):
-            block += name not in VOID or name == "hr"
+            fresh |= name not in VOID or name == "hr"
             continue
         if name in CLOSES_P:
             close({"p"}, {"div", "td", "th", "li", "section", "article", "table", "button"})
@@ -125,99 +157,85 @@ def pieces(page: str) -> tuple[list[_Piece], set[tuple]]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else size if name in CODE else at
             continue
-        n += 1
         if name not in INLINE:
-            block += 1
-        own = name in NOT_ARTICLE or (name == "header" and not any(x[0] in ("article", "main") for x in stack))
-        kind = None
-        if name in ("article", "main"):
-            holders.update(k for k in kinds if k)
-        elif not own and m[3] and name not in ("html", "body"):
-            names = tuple(a or b or c for a, b, c in NAMED.findall(m[3]))
-            kind = (name, *names) if any(map(NAMES.search, names)) else None
-        stack.append((name, n))
-        path.append(name)
-        hides.append(own)
-        kinds.append(kind)
-        hidden += own
+            fresh = True
+            classes, other, head = marks_of(m[3]) if m[3] and name not in ("html", "body") else ("", False, False)
+            steps.append((name + classes * (name in CONTAINERS), other, head or name == "header"))
+        stack.append(name)
+        hides.append(name in NOT_ARTICLE)
+        hidden += name in NOT_ARTICLE
         inner_link += name == "a"
-    return out, holders
+    return out
 
 
-def blocks(found: list[_Piece], hidden: set[tuple]) -> list[_Block]:
-    """Blocks of the text outside elements of the hidden kinds, in page order."""
-    out: list[_Block] = []
-    now = None
-    for p in found:
-        if p.named and not hidden.isdisjoint(p.named):
-            continue
-        stripped = p.text.strip()
-        if p.block != now:
-            if not stripped:
-                continue
-            out.append(_Block(p.chain))
-            now = p.block
-        block = out[-1]
-        block.parts.append(p.text)
-        if stripped:
-            had = block.counts.get(p.key, (0, 0, 0))
-            block.counts[p.key] = (had[0] + (0 if p.linked else len(stripped)), had[1] + len(PUNCTUATION.findall(stripped)), had[2] + 1)
-            for kind in set(p.named):
-                block.named[kind] = block.named.get(kind, 0) + len(stripped)
-    return out
+def _shared(a: tuple, b: tuple) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
 
 
-def core_of(found: list[_Block]) -> np.ndarray:
-    """Which blocks are the core of the article, by the ratios of their paths."""
-    paths: dict[str, list[int]] = {}
+def path_values(found: list[Block]) -> dict[tuple, float]:
+    """The fused, smoothed value of each path."""
+    sums: dict[tuple, list[int]] = {}
     for b in found:
-        for key, counts in b.counts.items():
-            paths[key] = [x + y for x, y in zip(paths.get(key, (0, 0, 0)), counts, strict=True)]
-    ratio = {key: np.sqrt(chars / nodes * (1 + marks / nodes)) for key, (chars, marks, nodes) in paths.items()}
-    value = np.array([max(ratio[key] for key in b.counts) for b in found])
-    smooth = np.convolve(np.pad(value, 1, mode="edge"), SMOOTHING, mode="valid")
-    return smooth >= min(max(smooth.std(), 0.3 * smooth.max()), smooth.max())
-
-
-def article_blocks(page: str) -> list[_Block]:
-    """Blocks that may belong to the article."""
-    found, holders = pieces(page)
-    hidden = {k for p in found for k in p.named} - holders
-    if not hidden:
-        return blocks(found, hidden)
-    every = blocks(found, set())
-    core = [b for b, k in zip(every, core_of(every), strict=True) if k] if every else []
-    held = dict.fromkeys(hidden, 0)
-    for b in core:
-        for kind in hidden.intersection(b.named):
-            held[kind] += b.named[kind]
-    whole = sum(len(p.strip()) for b in core for p in b.parts)
-    inside = [p for p in found if any(x[0] in ("article", "main") for x in p.chain) and p.text.strip()]
-    apart = hidden.difference(*(p.named for p in inside)) if inside else set()  # beside an article of the page's own
-    told = {k for k in apart if any(map(NAMES.fullmatch, " ".join(k[1:]).split()))}
-    # where names would leave nothing, they say nothing
-    return blocks(found, told | {k for k in hidden if 2 * held[k] <= whole}) or every
+        own = sums.setdefault(b.path, [0, 0, 0])
+        own[0], own[1], own[2] = own[0] + b.counts[0], own[1] + b.counts[1], own[2] + 1
+    fused = {}
+    for path, (chars, marks, nodes) in sums.items():
+        fused[path] = float(np.sqrt(chars / nodes * (1 + marks / nodes)))
+    share = {path: PENALTY if any(other or head for _, other, head in path) else 1.0 for path in fused}
+    smoothed: dict[tuple, list[float]] = {}
+    side, own = SMOOTHING[0], SMOOTHING[1]
+    for i, b in enumerate(found):
+        total, weight = own * fused[b.path], own
+        for j in (i - 1, i + 1):
+            if 0 <= j < len(found):
+                near = found[j].path
+                w = side * (1 + _shared(b.path, near)) / (1 + max(len(b.path), len(near)))
+                total, weight = total + w * share[near] * fused[near], weight + w
+        smoothed.setdefault(b.path, []).append(total / weight)
+    return {path: share[path] * sum(v) / len(v) for path, v in smoothed.items()}
+
+
+def content_paths(found: list[Block]) -> set[tuple]:
+    """The paths whose blocks are the page's content."""
+    values = path_values(found)
+    most = max(values.values(), default=0.0)
+    core = {p for p, v in values.items() if v >= THRESHOLD * most}
+    mass: dict[tuple, float] = {}
+    chars: dict[tuple, int] = {}
+    linked: dict[tuple, int] = {}
+    for b in found:
+        chars[b.path] = chars.get(b.path, 0) + b.counts[2]
+        linked[b.path] = linked.get(b.path, 0) + b.counts[2] - b.counts[0]
+        if b.path in core:
+            for depth in range(len(b.path)):  # below the block's own element nothing is a root
+                mass[b.path[:depth]] = mass.get(b.path[:depth], 0.0) + values[b.path] * b.counts[0]
+    whole = mass.get((), 0.0)
+    root = max((p for p, m in mass.items() if m >= HELD * whole), key=len, default=())
+    for kind in ("main", "article"):  # such an element around the root is the root
+        for depth in range(len(root), 0, -1):
+            if root[depth - 1][0].split(".")[0] == kind:
+                root = root[:depth]
+                break
+    if not root:
+        return core  # the page itself is no root
+    clean = lambda steps: not any(other for _, other, _ in steps)
+    below = {p for p in values if p[: len(root)] == root and clean(p[len(root) :]) and 3 * linked[p] <= 2 * chars[p]}
+    first = next((i for i, b in enumerate(found) if b.path in below), 0)
+    around = root[:-1]
+    beside = (b.path for b in found[:first] if b.path and b.path[: len(around)] == around)
+    titles = {p for p in beside if p[-1][0] in ("h1", "h2") and clean(p[len(around) :]) and (around or not any(head for *_, head in p))}
+    return {p for p in core if p[: len(root)] == root or values[p] >= ELSEWHERE * most} | below | titles
 
 
 def main_text(page: str | None) -> str:
-    found = article_blocks(page or "")
-    if not found:
-        return ""
-    core = core_of(found)
-    chains = [b.chain[:-1] if len(b.chain) > 1 and b.chain[-1][0] not in ("article", "main", "body", "div", "section") else b.chain for b in found]
-    held = [c for c, k in zip(chains, core, strict=True) if k]
-    depth = 0
-    while all(len(c) > depth for c in held) and len({c[depth] for c in held}) == 1:
-        depth += 1
-    article = held[0][:depth]
-    # an article element, where the core lies in one, is the whole article
-    for i, (name, _) in enumerate(article):
-        if name in ("article", "main"):
-            article = article[: i + 1]
-            break
-    wide = not article or article[-1][0] in ("html", "body")
-    kept = [b for b, k in zip(found, core, strict=True) if (k if wide else b.chain[: len(article)] == article)]
-    return "\n".join(" ".join("".join(b.parts).split()) for b in kept)
+    found = blocks(page or "")
+    kept = content_paths(found)
+    return "\n".join(" ".join("".join(b.parts).split()) for b in found if b.path in kept)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -228,4 +246,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             texts = [main_text(h.as_py()) for h in b.column("html")]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
