@@ -85,3 +85,74 @@ def test_recall(spark, sf):
         hit += len(got[int(ids[q])] & set(ids[order].tolist()))
         total += len(order)
     assert hit >= 0.9 * total
+
+
+def clustered(n, seed):
+    """Directions in 64 dimensions, a tenth of them near copies of others."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, 64))
+    x[-n // 10 :] = x[: n // 10] + r.normal(size=(n // 10, 64)) * 0.1
+    return x
+
+
+def of_table(sf):
+    import os
+
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no such table here")
+    import pandas as pd
+
+    return np.stack([np.asarray(v, float) for v in pd.read_parquet(path).embedding])
+
+
+@pytest.mark.parametrize("vectors_of", [lambda: of_table("sf0.1"), lambda: clustered(50_000, 1)], ids=["sf0.1", "50000"])
+def test_nearly_all_pairs_of_single_vectors_are_skipped(vectors_of):
+    x = vectors_of()[:8000]
+    axes = vectors.axes_of(x)
+    eps = float(np.sqrt(2 - 2 * 0.93)) + vectors.SLACK
+    order = np.lexsort(np.floor(vectors._unit(x) @ axes / eps).T[::-1])
+    s = vectors.Sequence(np.arange(len(x)), x[order], axes)
+    na, nb, _, full = vectors._join(s, s, 0.93, eps)
+    u = vectors._unit(x[order])
+    assert ((na + nb) == ((u @ u.T) >= 0.93).sum(axis=1) - 1).all()
+    assert full < 0.02 * len(x) * (len(x) - 1) / 2
+
+
+@pytest.mark.parametrize("vectors_of", [lambda: of_table("sf0.1"), lambda: clustered(50_000, 2)], ids=["sf0.1", "50000"])
+def test_few_vectors_are_verified_at_high_recall(vectors_of):
+    x = vectors_of()
+    typical = vectors.scale_of(x[:1000])
+    blocks = [vectors.Index(np.arange(a, min(a + 8192, len(x))), x[a : a + 8192]) for a in range(0, len(x), 8192)]
+    queries, hit = range(0, len(x), max(100, len(x) // 25)), 0
+    for q in queries:
+        best = []
+        for b in blocks:
+            best = b.search(q, x[q], 10, typical, best)
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit += len({i for _, i in best} & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.9 * 10 * len(queries)
+    assert sum(b.verified for b in blocks) < 0.1 * len(x) * len(queries)
+
+
+def test_links_of_a_larger_table(spark):
+    of_table("check_s")
+    df = table(spark, "/root/testdata/check_s", "embeddings")
+    rows = df.select("vec_id", "label", "embedding").toPandas()
+    x = np.stack([np.asarray(v, float) for v in rows.embedding])
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df).collect()}
+    for label in rows.label.unique():
+        at = np.flatnonzero(rows.label.to_numpy() == label)
+        u = vectors._unit(x[at])
+        assert [got[i] for i in rows.vec_id.to_numpy()[at].tolist()] == (((u @ u.T) >= 0.93).sum(axis=1) - 1).tolist()
+
+
+@pytest.mark.parametrize("kind", ["double", "float", "boolean", "date", "decimal(10,2)", "binary", "string", "bigint", "struct<a:int>"])
+def test_labels_of_any_type_and_rows_without_an_id(spark, kind):
+    label = {"boolean": "x % 2 = 0", "date": "date_add(date'2020-01-01', x % 2)", "struct<a:int>": "named_struct('a', x % 2)", "binary": "binary(cast(x % 2 as string))"}.get(kind, f"cast(x % 2 as {kind})")
+    df = spark.range(8).selectExpr("id AS vec_id", "cast(id / 4 AS int) AS x").selectExpr("vec_id", f"{label} AS label", "array(1.0D, 2.0D) AS embedding")
+    df = df.union(df.filter("vec_id < 2").selectExpr("CAST(NULL AS long)", "label", "embedding"))
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(i, 3, i // 4 * 4, i % 4 == 0) for i in range(8)] + [(None, 0, None, True)] * 2, key=str)
+    assert {r.query_id for r in vectors.nearest(df, F.col("vec_id") == 3).collect()} == {3}
