@@ -6,6 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def records(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
@@ -33,3 +34,20 @@ def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         release()
 
     return whole
+
+
+def free_names(df: DataFrame, made: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` without the names that an operator makes: such columns get ``_input`` appended, as often as needed.
+
+    Also returns the new names by the old ones. Names differ if they do in more than case, as in Spark.
+    """
+    taken = {c.lower() for c in df.columns} | {c.lower() for c in made}
+    moved = {}
+    for c in df.columns:
+        if c.lower() in {m.lower() for m in made}:
+            new = c + "_input"
+            while new.lower() in taken:
+                new += "_input"
+            taken.add(new.lower())
+            moved[c] = new
+    return df.withColumnsRenamed(moved), moved

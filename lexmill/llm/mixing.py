@@ -8,7 +8,8 @@ T tokens gives floor(q / T) whole epochs and the beginning of one more; each epo
 
 Defined cases: a null source is a source of its own; null or empty texts and sources without any word count no
 tokens and are kept once; rows that repeat an id share its place in the permutation and come or go together;
-an empty table gives an empty result.
+an empty table gives an empty result; other columns are kept, those named like a column that is made (MADE) with
+``_input`` appended.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lexmill.llm.common import free_names
 from lexmill.session import cut
 
+MADE = ("mix_epoch", "mix_block", "mix_weight")
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Hash digits that each level of blocks adds, and the number of levels.
 DIGITS, LEVELS = 2, 3
@@ -117,6 +120,7 @@ def _ends(rest: DataFrame) -> DataFrame:
 
 def realise(docs: DataFrame, mix: DataFrame, seed: str = "mix") -> DataFrame:
     """Rows of ``docs`` once per epoch that holds them, with epoch, block and weight; other columns stay as they are."""
+    docs, _ = free_names(docs, (*MADE, "mix_plan"))
     named = _sent(mix.select(F.struct("source", "weight", "epochs", "cut").alias("mix_plan")), "mix_plan.source")
     joined = docs.join(named, docs["source"].eqNullSafe(F.col("mix_plan.source")))
     extra = F.coalesce(_place(seed, F.col("mix_plan.epochs") + 1, F.col("doc_id")) <= F.col("mix_plan.cut"), F.lit(False))

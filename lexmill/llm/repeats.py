@@ -9,7 +9,8 @@ round, counted over all documents, clears nearly all other windows. The rest are
 compared over the corpus and every occurrence but the first is marked.
 
 Defined cases: null texts have no words; documents of fewer words than a window keep all; rows that repeat an id
-are ordered by their text's hash (equal rows by place); a null id comes before all others; other columns are kept.
+are ordered by their text's hash (equal rows by place); a null id comes before all others; other columns are kept,
+those named like a column that is made (MADE) with ``_input`` appended.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import chunks
 from lexmill.llm.chunks import mix
-from lexmill.llm.common import lean
+from lexmill.llm.common import free_names, lean
 
+MADE = ("n_words", "n_removed", "removed", "kept_text")
 WINDOW, ROUNDS, LEAST, FAR = 20, 2, 2, 1 << 40
 #: A window as it is asked: 96 bits of its name, then where the chunk has it first.
 ASK = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<i4")])
@@ -153,6 +155,7 @@ def _results(batch: pa.RecordBatch, bounds: np.ndarray, gone: np.ndarray) -> pa.
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The columns of ``docs(doc_id, text, ...)`` with n_words, n_removed, removed (spans of words) and kept_text."""
+    docs, moved = free_names(docs, (*MADE, "_tie"))
     packed = chunks.pack(docs)
     n = chunks.partitions(docs)
     buckets = n * chunks.PER_PARTITION
@@ -199,8 +202,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             gone = starts[~(keeps[number] & (first[number] == starts))]
             yield _results(w.batch, w.bounds, _covered(gone, len(w.hash)))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_words long, n_removed long, removed array<struct<start:long,stop:long>>, kept_text string"
-    return placed.join(windows.hint("shuffle_hash"), "chunk", "left").mapInArrow(lean(finish), schema)
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_words long, n_removed long, removed array<struct<start:long,stop:long>>, kept_text string"
+    return placed.join(windows.hint("shuffle_hash"), "chunk", "left").mapInArrow(lean(finish), schema).withColumnsRenamed({new: old for old, new in moved.items() if old.lower() == "_tie"})
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import chunks
-from lexmill.llm.common import lean
+from lexmill.llm.common import free_names, lean
 from lexmill.session import cut
 
 BITS, STEM, Z, DRIFT, PRIOR = 18, 5, 4.0, 0.05, 0.05
@@ -221,8 +221,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 60_000) -> Model
     return model
 
 
+MADE = ("toxicity", "toxic_spans")
+
+
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` with toxicity (the probability) and toxic_spans (first and last word, bits) added."""
+    """The columns of ``docs`` with toxicity (the probability) and toxic_spans (first and last word, bits) added.
+
+    Null texts are scored as empty ones. Columns of ``docs`` with a name of MADE get ``_input`` appended.
+    """
+    docs, _ = free_names(docs, (*MADE, "toxicity_made"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<p double, spans array<struct<start:long,stop:long,bits:double>>>")

@@ -412,14 +412,14 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), vectors.count()
     rows = min(MOST_INDEX, max(LEAST_INDEX, -(-total // parts)))
     queries = vectors.filter(is_query)
-    index = _packed(vectors, rows, max(1, -(-total // (rows * HOLDS)) if total > rows * parts else -(-total // rows)))
+    slots = max(1, -(-total // (rows * HOLDS)) if total > rows * parts else -(-total // rows))
+    index = _packed(vectors, rows, slots)
     asked = _packed(queries, QUERY_BLOCK, max(1, min(parts, -(-queries.count() // QUERY_BLOCK))))
     # a slot is the index blocks of one task; queries, fewer than the index, go to each
     slotted = index.withColumn("slot", F.shiftright("block", 32).cast("int"))
-    slots = cut(slotted.select("slot").distinct())
     rows_of = lambda df, side: df.select("slot", F.lit(side).alias("side"), "block", "dim", "ids", "own")
-    sent = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(int(slots.agg(F.max("slot")).first()[0] or 0)))))
-    met = rows_of(slotted, 0).union(rows_of(sent, 1)).repartition(parts, "slot").sortWithinPartitions("slot", "side", "block")
+    sent = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    met = rows_of(slotted, 0).union(rows_of(sent, 1)).repartitionById(slots, F.col("slot")).sortWithinPartitions("slot", "side", "block")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Index] = []

@@ -6,6 +6,7 @@ import corpus_pipeline as P
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexmill.llm import mixing, toxicity
@@ -77,3 +78,18 @@ def test_near_copies_are_judged_by_row(spark, docs):
     assert sorted(x for x in got if x[0] not in (None, 8)) == [(1, LONG), (5, other), (9, " ")]
     assert sum(x[0] == 8 for x in got) == 1 and (None, LONG) in got
     assert P.drop_near_copies(spark, docs(rows).limit(0), "").count() == 0
+
+
+def test_odd_rows_pass_through_every_stage(spark, docs, small):
+    rows = docs([(1, LONG, "s"), (1, LONG + " x y z", "s"), (2, None, None), (3, "", "s"), (None, "a b", "s"), (4, " ".join([LONG] * 300), "t"), (5, "word " * 40, "t")])
+    rows = rows.withColumns({"toxicity": F.lit("t"), "n_words": F.lit("n"), "mix_weight": F.lit("w"), "_tie": F.lit(1)})
+    for start in (rows, rows.limit(0)):
+        out = start
+        for name, stage in P.STAGES:
+            before, out = out, cut(stage(spark, out, small))
+            if name != "encoding":
+                assert out.columns == rows.columns
+                assert {(r.toxicity, r.n_words, r.mix_weight, r["_tie"]) for r in out.collect()} <= {("t", "n", "w", 1)}
+            else:
+                assert out.count() == before.count()
+        assert {None, 1, 2, 3, 5} <= {r.doc_id for r in out.collect()} or start is not rows

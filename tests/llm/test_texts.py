@@ -392,3 +392,33 @@ def test_a_name_beside_an_article_still_hides():
 @pytest.mark.parametrize("tag", ["svg", "math", "object", "select", "canvas", "iframe", "noscript", "template", "textarea"])
 def test_unclosed_elements_take_nothing_along(tag):
     assert html.main_text(f"<html><body><div><{tag} id=x></div><article>{CORE}</article></body></html>") == CORE_TEXT
+
+
+# -- clashing names, very long texts ---------------------------------------------------------------------------
+
+
+def test_columns_with_the_names_of_made_ones_come_back(docs):
+    base = docs([(1, "a b " * 30, "s"), (2, None, "s"), (3, "c", None)]).withColumns({"n_words": F.lit("own"), "Removed": F.lit(1), "kept_text": F.lit("k"), "_tie": F.lit("t")})
+    out = repeats.remove_repeats(base)
+    assert {"n_words_input", "Removed_input", "kept_text_input", "_tie", "n_words", "removed"} < set(out.columns)
+    assert {(r.n_words_input, r.Removed_input, r["_tie"]) for r in out.collect()} == {("own", 1, "t")}
+    base = docs([(1, "a b", "s"), (2, None, "s"), (3, "c", None)]).withColumns({"mix_epoch": F.lit("e"), "mix_plan": F.lit("p"), "mix_weight": F.lit("own")})
+    assert {(r.mix_epoch_input, r.mix_plan_input, r.mix_weight_input) for r in mixing.mix_sources(base).collect()} == {("e", "p", "own")}
+    base = docs([(1, "a b", "s"), (2, None, "s")]).withColumns({"toxicity": F.lit("own"), "toxicity_input": F.lit(2), "toxicity_made": F.lit("m")})
+    out = toxicity.score_documents(base, toxicity.Model(np.zeros((3, 2 * toxicity.CELLS))[0]))
+    assert {(r.toxicity_input_input, r.toxicity_input, r.toxicity_made_input) for r in out.collect()} == {("own", 2, "m")}
+
+
+def test_very_long_texts(spark, docs):
+    r = random.Random(8)
+    long = " ".join(f"w{r.randrange(40_000)}" for _ in range(220_000)) + "y" * 1_100_000  # over a MiB, and one word of that size
+    texts = [long, long + " end", "short one"]
+    df = table_of(docs, texts)
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in repeats.digests(df).collect()} == repeats_by_hand(list(enumerate(texts)))
+    got, _ = jaccard.join(df, n=3, percent=90)
+    assert {x.doc_id: x.component_id for x in got.collect()} == {0: 0, 1: 0, 2: 2}
+    known = Tokenizer.from_file(VOCABULARY)
+    known.no_truncation()
+    for x in bpe.digests(df, VOCABULARY).collect():
+        ids = np.array(known.encode(texts[x.doc_id], add_special_tokens=False).ids, "<u4")
+        assert (x.n_tokens, x.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
