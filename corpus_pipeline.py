@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``: five stages, each applied to all rows that the one before it kept."""
+"""A training corpus from ``documents``: five stages, each applied to all rows that the one before it kept.
+
+Defined cases, for each stage: null texts count as empty and stay null; rows with a null id are judged like others, but
+are no near copies; rows that repeat an id are judged one by one; columns whose names clash with those that an operator
+makes come back unchanged; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexmill.llm import bpe, jaccard, mixing, repeats, toxicity
+from lexmill.llm.common import free_names
 from lexmill.session import cut, drop, scratch, table
 
 
+def _as_before(out: DataFrame, docs: DataFrame, moved: dict[str, str]) -> DataFrame:
+    """The columns of ``docs`` under their own names."""
+    return out.select(*(F.col(f"`{moved.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being toxic is under a half."""
-    scored = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.filter("toxicity < 0.5").select(docs.columns)
+    own, moved = free_names(docs, toxicity.MADE)
+    scored = toxicity.score_documents(own, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return _as_before(scored.filter("toxicity < 0.5"), docs, moved)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,18 +51,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 20 words or more that an earlier one has; untouched texts stay as they are."""
-    out = repeats.remove_repeats(docs)
+    own, moved = free_names(docs, repeats.MADE)
+    out = repeats.remove_repeats(own)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return _as_before(out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")), docs, moved)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, those of scarce sources repeated as the target weights ask."""
-    return mixing.mix_sources(docs).select(docs.columns)
+    own, moved = free_names(docs, mixing.MADE)
+    return _as_before(mixing.mix_sources(own), docs, moved)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every row."""
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every row; a null text has no tokens."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
