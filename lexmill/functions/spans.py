@@ -15,13 +15,16 @@ def scan(docs: DataFrame, pattern: str, text: str = "text", look: int = 30) -> D
 
     Columns: pos (from 1), start (offset of the match), segment (text from the match to the next), ahead (the first
     ``look`` characters after the segment). The text is split, not joined back, so each part of it moves once.
+    Offsets run along each text: by doc_id and, where a document comes in several, char_start. U+0001, which no text
+    needs, marks the cuts; it is deleted first and counts in no offset.
     """
     marked = F.regexp_replace(F.translate(F.col(text), MARK, ""), pattern, MARK + "$0")
     parts = F.split(marked, MARK)
     cut = F.transform(parts, lambda s, i: F.struct(s.alias("segment"), F.substring(F.coalesce(F.get(F.col("_parts"), i + 1), F.lit("")), 1, look).alias("ahead")))
     keys = [c for c in docs.columns if c != text]
     rows = docs.withColumn("_parts", parts).select(*keys, F.posexplode(cut).alias("pos", "_s"))
-    run = F.sum(F.length("segment")).over(W.partitionBy("doc_id").orderBy("pos")) - F.length("segment")
+    one = [c for c in ("doc_id", "char_start") if c in keys]
+    run = F.sum(F.length("segment")).over(W.partitionBy(*one).orderBy("pos")) - F.length("segment")
     return rows.select(*keys, "pos", "_s.segment", "_s.ahead").withColumn("start", run.cast("int")).filter("pos > 0")
 
 

@@ -96,6 +96,12 @@ def page_int(s: Column) -> Column:
     return F.when(token.rlike(f"^[0-9{EASTERN}{PERSIAN}]+$"), western_digits(forward).try_cast("int"))
 
 
+def digits_int(s: Column) -> Column:
+    """``page_int`` of a token that is known to hold digits only, without patterns; null if they are of other alphabets."""
+    forward = F.when(F.translate(s, EASTERN, "") == "", F.reverse(s)).otherwise(s)
+    return western_digits(forward).try_cast("int")
+
+
 def estimate_tokens(s: Column) -> Column:
     return F.greatest(F.lit(1), F.rint(F.length(s) / F.lit(3.4)).cast("int"))
 

@@ -18,7 +18,7 @@ def cross_refs(text: Column, max_article: Column, own: Column | None = None) ->
     """Sorted article numbers that a text refers to, up to max_article, without its own."""
     plain = T.strip_diacritics(text)
     lists = F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(SEVERAL), F.lit(1)), lambda s: F.split(s, "(?U)[\\s،,]+")))
-    numbers = F.transform(F.concat(F.regexp_extract_all(plain, F.lit(ONE), F.lit(1)), lists), T.page_int)
+    numbers = F.transform(F.concat(F.regexp_extract_all(plain, F.lit(ONE), F.lit(1)), lists), T.digits_int)
     found = F.array_distinct(F.filter(numbers, lambda n: n.between(1, max_article)))
     return F.array_sort(F.filter(found, lambda n: ~n.eqNullSafe(own)) if own is not None else found)
 
@@ -31,11 +31,12 @@ def external_refs(text: Column) -> Column:
 def terms_used(texts: DataFrame, terms: DataFrame, key: str = "node_id") -> DataFrame:
     """``key`` and sorted terms of ``terms(term, variants)`` that a text uses: a variant is among its tokens, or its
     stem among their stems. A variant of several words is never one token, so such terms are not found."""
-    tokens = texts.select(key, F.explode(T.arabic_tokens(F.col("text"))).alias("token"))
-    variants = terms.select("term", F.explode("variants").alias("variant"))
-    plain = tokens.select(key, F.col("token").alias("form"), F.lit(0).alias("stem")).union(tokens.select(key, T.stem(F.col("token")), F.lit(1))).distinct()
-    wanted = variants.select("term", F.col("variant").alias("form"), F.lit(0).alias("stem")).union(variants.select("term", T.stem(F.col("variant")), F.lit(1))).distinct()
-    return plain.join(wanted, ["form", "stem"]).groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("defined_terms_used"))
+    law = [c for c in ("law_id",) if c in texts.columns and c in terms.columns]
+    tokens = texts.select(key, *law, F.explode(T.arabic_tokens(F.col("text"))).alias("token"))
+    variants = terms.select(*law, "term", F.explode("variants").alias("variant"))
+    plain = tokens.select(key, *law, F.col("token").alias("form"), F.lit(0).alias("stem")).union(tokens.select(key, *law, T.stem(F.col("token")), F.lit(1))).distinct()
+    wanted = variants.select(*law, "term", F.col("variant").alias("form"), F.lit(0).alias("stem")).union(variants.select(*law, "term", T.stem(F.col("variant")), F.lit(1))).distinct()
+    return plain.join(wanted, [*law, "form", "stem"]).groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("defined_terms_used"))
 
 
 def max_article(articles: DataFrame) -> DataFrame:
@@ -43,10 +44,15 @@ def max_article(articles: DataFrame) -> DataFrame:
     return articles.agg(F.coalesce(F.max("article_number"), F.lit(0)).alias("max_article"))
 
 
-def annotate(chunks: DataFrame, glossary: DataFrame, greatest: int) -> DataFrame:
-    """``chunks`` with cross_refs, external_refs and defined_terms_used; definitions get no terms."""
-    terms = glossary.select("term", T.term_variants(F.col("term"), (T.TATWEEL_PREFIX,)).alias("variants"))
-    used = terms_used(chunks.filter("node_type <> 'Definition'").select("chunk_order", "doc_id", "text").withColumn("_k", F.struct("doc_id", "chunk_order")), terms, "_k")
+def annotate(chunks: DataFrame, glossary: DataFrame) -> DataFrame:
+    """``chunks`` with cross_refs, external_refs and defined_terms_used; definitions get no terms.
+
+    Each law has its own articles and terms; a glossary without law_id holds for all.
+    """
+    greatest = chunks.filter("node_type = 'Article'").groupBy("law_id").agg(F.max("article_number").alias("_top"))
+    chunks = chunks.join(greatest, "law_id", "left")
+    terms = glossary.select(*(c for c in glossary.columns if c == "law_id"), "term", T.term_variants(F.col("term"), (T.TATWEEL_PREFIX,)).alias("variants"))
+    used = terms_used(chunks.filter("node_type <> 'Definition'").select("chunk_order", "doc_id", "law_id", "text").withColumn("_k", F.struct("doc_id", "chunk_order")), terms, "_k")
     used = used.select("_k.doc_id", "_k.chunk_order", "defined_terms_used")
-    out = chunks.withColumn("cross_refs", cross_refs(F.col("text"), F.lit(greatest), F.col("article_number"))).withColumn("external_refs", external_refs(F.col("text")))
+    out = chunks.withColumn("cross_refs", cross_refs(F.col("text"), F.coalesce("_top", F.lit(0)), F.col("article_number"))).withColumn("external_refs", external_refs(F.col("text"))).drop("_top")
     return out.join(used, ["doc_id", "chunk_order"], "left").withColumn("defined_terms_used", F.coalesce("defined_terms_used", F.array().cast("array<string>")))

@@ -21,9 +21,10 @@ def pick(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def upserted(df: DataFrame, key: str = "node_id", order: str = "chunk_order") -> DataFrame:
-    """Last write wins."""
+    """Last write wins: by ``order``, then by document, then by the other columns that order."""
     rest = F.struct(*(c for c in df.columns if c != key))
-    return df.groupBy(key).agg(F.max_by(rest, F.col(order)).alias("_r")).select(key, "_r.*")
+    by = [order, *(c for c in ("doc_id", "char_count", "text") if c in df.columns and c != order)]
+    return df.groupBy(key).agg(F.max_by(rest, F.struct(*by)).alias("_r")).select(key, "_r.*")
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:

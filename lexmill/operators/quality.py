@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+STRETCH = 1 << 16
+
+
 def gaps(numbers: DataFrame, column: str) -> DataFrame:
     """Numbers from 1 to the greatest that are missing."""
     have = numbers.select(F.col(column).cast("long").alias("number")).filter("number IS NOT NULL").distinct()
-    want = have.agg(F.max("number").alias("top")).filter("top >= 1").select(F.explode(F.sequence(F.lit(1).cast("long"), "top")).alias("number"))
+    top = have.agg(F.max("number").alias("top")).filter("top >= 1")
+    blocks = top.select("top", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / STRETCH))).alias("block")).repartition("block")
+    within = F.sequence(F.greatest(F.col("block") * STRETCH, F.lit(1)), F.least((F.col("block") + 1) * STRETCH - 1, F.col("top")))
+    want = blocks.select(F.explode(within).alias("number"))
     return want.join(have, "number", "left_anti")
 
 

@@ -80,7 +80,9 @@ def seeds(found: DataFrame) -> DataFrame:
 def hop(seeds: DataFrame, edges: DataFrame, per_seed: Column | int, row_cap: int | None = 100) -> DataFrame:
     """qid, target and pos: targets one edge away, at most ``per_seed`` of each seed among a question's first
     ``row_cap`` rows, each once. The order, which decides what the limits keep, is by seed and target."""
-    met = seeds.join(edges.select(F.col("src").alias("node_id"), F.col("dst").alias("target")).distinct(), "node_id")
+    # only edges from seeds are made distinct
+    asked = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("target")).join(seeds.select("node_id").distinct(), "node_id", "left_semi")
+    met = seeds.join(asked.distinct(), "node_id")
     if row_cap is not None:
         met = met.withColumn("_n", F.row_number().over(W.partitionBy("qid").orderBy("node_id", "target"))).filter(F.col("_n") <= row_cap)
     met = met.withColumn("_k", F.row_number().over(W.partitionBy("qid", "node_id").orderBy("target"))).filter(F.col("_k") <= per_seed)

@@ -26,7 +26,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def usable(v: Column) -> Column:
-    return F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False))
+    return F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -79,7 +79,7 @@ def topk(queries: DataFrame, nodes: DataFrame, k: Column | int) -> DataFrame:
                 for q, s in zip(r["q_ids"], scores, strict=True):
                     if q["k"] and q["k"] > 0:
                         least = np.partition(s, -q["k"])[-q["k"]] if q["k"] < len(s) else -1.0
-                        keep = np.flatnonzero(s >= least)  # ties are settled after the merge
+                        keep = np.flatnonzero(s >= least - 1e-12)  # ties, also those that rounding parts, are settled after the merge
                         rows += [(q["qid"], q["k"], r["label"], ids[j], float(s[j])) for j in keep.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(types)], names=["qid", "k", "label", "node_id", "score"])
 

@@ -11,18 +11,23 @@ from lexmill.config import CorpusConfig
 from lexmill.functions import spans
 from lexmill.operators import annotate, chunking, graph, quality, structure, vector
 from lexmill.providers import HashEmbedding, embed
+from lexmill.session import cut
 from lexmill.sources.files import read_tables, write_tables
 
 GRAPH = ("Law", "Book", "Part", "Chapter", "Article", "ArticleSegment", "Definition", "ExternalLaw", "edges")
 
 
 def chunk_pages(pages: DataFrame, config: CorpusConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chunks with annotations, glossary and articles of ``pages(doc_id, page_num, cleaned_text)``."""
-    articles = structure.parse(spans.concatenate(pages), config.max_title)
+    """Chunks with annotations, glossary and articles of ``pages(doc_id, page_num, cleaned_text)``.
+
+    The articles are written once, as chunks, glossary and counters all start from them.
+    """
+    articles = cut(structure.parse(spans.concatenate(pages), config.max_title))
+    if "law_id" in pages.columns:
+        articles = articles.join(pages.groupBy("doc_id").agg(F.min("law_id").alias("law_id")), "doc_id")
     chunks = chunking.build_chunks(articles, spans.page_offsets(pages), config)
     terms = chunking.glossary(chunks)
-    top = annotate.max_article(articles).first()["max_article"]
-    return annotate.annotate(chunks, terms, top), terms, articles
+    return annotate.annotate(chunks, terms), terms, articles
 
 
 def stage_chunk(pages: DataFrame, path: str, config: CorpusConfig) -> DataFrame:

@@ -61,6 +61,23 @@ def embed(df: DataFrame, text: str, provider: Callable[[list[str]], list[list[fl
     return df.withColumn(out, run(F.col(text)))
 
 
-def extractive_answer(prompt: Column) -> Column:
+def answering(call: Callable[[str, str, int], str], attempts: int = ATTEMPTS, delay: float = DELAY) -> Callable[[Column, Column, Column], Column]:
+    """An answer provider from ``call(prompt, system prompt, max_tokens)``, with retries; a row whose call fails in the end
+    gets the error in place of an answer, and the others go on."""
+
+    @F.pandas_udf("struct<answer string, error string>")
+    def run(prompts: pd.Series, systems: pd.Series, limits: pd.Series) -> pd.DataFrame:
+        rows = []
+        for prompt, system, limit in zip(prompts, systems, limits, strict=True):
+            try:
+                rows.append((with_retries(lambda p=prompt, s=system, n=limit: call(p, s, int(n)), attempts, delay), None))
+            except Exception as error:  # whatever a service raises, it is the row's
+                rows.append((None, f"{type(error).__name__}: {error}"))
+        return pd.DataFrame(rows, columns=["answer", "error"])
+
+    return run
+
+
+def extractive_answer(prompt: Column, system: Column | None = None, max_tokens: Column | None = None) -> Column:
     """The default answer: the first reference text of a prompt, empty if there is none."""
     return F.coalesce(F.regexp_extract(prompt, "(?s)\n\n\\[[^\\]]+\\]\n(.*?)\n---", 1), F.lit(""))

@@ -44,21 +44,21 @@ def joined(c: Column) -> Column:
 # -- text --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, sha256(translate(text, '0123456789', '٠١٢٣٤٥٦٧٨٩')) AS eastern, sha256(text) AS western FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, sha256(translate(text, '0123456789', '٠١٢٣٤٥٦٧٨٩')) AS eastern, sha256(text) AS western FROM documents")
 def text_digits(spark, sf):
     east = T.eastern_digits(F.col("text"))
-    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", sha(east).alias("eastern"), sha(T.western_digits(east)).alias("western"))
+    return table(spark, sf, "documents").select("doc_id", sha(east).alias("eastern"), sha(T.western_digits(east)).alias("western"))
 
 
-@query(f"SELECT doc_id, greatest(1, round_even(length(text) / 3.4::DOUBLE, 0))::INT AS tokens, sha256(trim(regexp_replace(text, '{SPACE}+', ' ', 'g'))) AS flat FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, greatest(1, round_even(length(text) / 3.4::DOUBLE, 0))::INT AS tokens, sha256(trim(regexp_replace(text, '{SPACE}+', ' ', 'g'))) AS flat FROM documents")
 def text_flat_and_size(spark, sf):
-    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), sha(T.squeeze(F.col("text"))).alias("flat"))
+    return table(spark, sf, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), sha(T.squeeze(F.col("text"))).alias("flat"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN contains(t, chr(10) || chr(10)) THEN split_part(t, chr(10) || chr(10), 1) ELSE '' END AS crumb FROM (SELECT conv_id, turn, role || chr(10) || chr(10) || text AS t FROM conversations WHERE text IS NOT NULL)")
+@query("SELECT conv_id, turn, CASE WHEN contains(t, chr(10) || chr(10)) THEN split_part(t, chr(10) || chr(10), 1) ELSE '' END AS crumb FROM (SELECT conv_id, turn, role || chr(10) || chr(10) || text AS t FROM conversations)")
 def text_breadcrumb_of(spark, sf):
     text = F.concat("role", F.lit("\n\n"), "text")
-    return table(spark, sf, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", T.breadcrumb_of(text).alias("crumb"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.breadcrumb_of(text).alias("crumb"))
 
 
 @query(
@@ -75,9 +75,9 @@ def text_slug(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.slug(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_size"))).alias("slug"))
 
 
-@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(the)', '<mark>\\1</mark>', 'gi'), '(mark)', '<mark>\\1</mark>', 'gi')) AS marked FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(the)', '<mark>\\1</mark>', 'gi'), '(mark)', '<mark>\\1</mark>', 'gi')) AS marked FROM documents")
 def text_highlight(spark, sf):
-    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", sha(T.highlight(F.col("text"), F.lit("the of? mark!"))).alias("marked"))
+    return table(spark, sf, "documents").select("doc_id", sha(T.highlight(F.col("text"), F.lit("the of? mark!"))).alias("marked"))
 
 
 @query(
@@ -108,17 +108,18 @@ def pages_concatenated(spark, sf):
     return spans.concatenate(_pages(spark, sf)).select("doc_id", sha(F.col("text")).alias("text_sha"))
 
 
-@query(f"WITH {PAGES} SELECT doc_id, k, string_agg(page_num, ',' ORDER BY page_num) AS source_pages FROM o JOIN (SELECT DISTINCT doc_id, unnest(range(0, 20))::INT AS k FROM p) s USING (doc_id) WHERE pe > k * 100 AND ps < k * 100 + 150 GROUP BY doc_id, k")
+@query(f"WITH {PAGES} SELECT doc_id, k, string_agg(page_num, ',' ORDER BY page_num) AS source_pages FROM o JOIN (SELECT doc_id, unnest(range(0, max(pe) // 1000 + 1))::INT AS k FROM o GROUP BY doc_id) s USING (doc_id) WHERE pe > k * 1000 AND ps < k * 1000 + 1500 GROUP BY doc_id, k")
 def pages_of_spans(spark, sf):
-    pages = _pages(spark, sf)
-    ranges = pages.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
-    ranges = ranges.select("doc_id", "k", (F.col("k") * 100).alias("char_start"), (F.col("k") * 100 + 150).alias("char_end"))
-    return spans.spanned_pages(ranges, spans.page_offsets(pages), ["k"]).withColumn("source_pages", joined(F.col("source_pages")))
+    """Long spans, most over several pages, up to the end of each document."""
+    offsets = spans.page_offsets(_pages(spark, sf))
+    ranges = offsets.groupBy("doc_id").agg(F.max("pe").alias("end")).select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("end") / 1000).cast("int"))).alias("k"))
+    ranges = ranges.select("doc_id", "k", (F.col("k") * 1000).alias("char_start"), (F.col("k") * 1000 + 1500).alias("char_end"))
+    return spans.spanned_pages(ranges, offsets, ["k"]).withColumn("source_pages", joined(F.col("source_pages")))
 
 
 @query(f"WITH {PAGES} SELECT doc_id, k, string_agg(page_num, ',' ORDER BY page_num) AS source_pages FROM o JOIN (SELECT doc_id, unnest(range(0, max(pe) // 100 + 1))::INT AS k FROM o GROUP BY doc_id) s USING (doc_id) WHERE pe > k * 100 AND ps < k * 100 + 150 GROUP BY doc_id, k")
 def pages_of_all_spans(spark, sf):
-    """Spans up to the end of each document; ``pages_of_spans`` asks for the first 20 only, as its SQL does."""
+    """Short spans up to the end of each document."""
     offsets = spans.page_offsets(_pages(spark, sf))
     ranges = offsets.groupBy("doc_id").agg(F.max("pe").alias("end")).select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("end") / 100).cast("int"))).alias("k"))
     ranges = ranges.select("doc_id", "k", (F.col("k") * 100).alias("char_start"), (F.col("k") * 100 + 150).alias("char_end"))
@@ -203,10 +204,10 @@ def route_questions(spark, sf):
 
 
 @query(
-    "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'user' END AS mode, CASE WHEN turn % 2 = 0 THEN turn::INT ELSE 5 END AS primary_k, 12 AS max_context_chunks FROM conversations"
+    "SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'lawyer' ELSE 'user' END AS mode, CASE WHEN turn % 2 = 0 THEN turn::INT WHEN role = 'assistant' THEN 8 ELSE 5 END AS primary_k, CASE WHEN role = 'assistant' THEN 20 ELSE 12 END AS max_context_chunks FROM conversations"
 )
 def route_profiles(spark, sf):
-    asked = table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("mode"), F.when(F.col("turn") % 2 == 0, F.col("turn").cast("int")).alias("primary_k"))
+    asked = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "assistant", F.lit("lawyer")).otherwise(F.col("role")).alias("mode"), F.when(F.col("turn") % 2 == 0, F.col("turn").cast("int")).alias("primary_k"))
     return retrieval.resolved(asked).select("conv_id", "turn", "mode", "primary_k", "max_context_chunks")
 
 
@@ -362,10 +363,10 @@ def context_sources(spark, sf):
 
 @query(
     "SELECT event_id, event_id % 1000 + user_id AS total, CASE WHEN event_type = 'click' THEN 'direct' WHEN event_id % 8 > 0 THEN printf('similarity %.3f', (event_id % 8) / 8) ELSE 'expansion' END AS label, "
-    "CASE event_id % 4 WHEN 0 THEN 'paused' WHEN 1 THEN 'missing_model' WHEN 2 THEN 'authentication' ELSE 'backend' END AS error FROM events WHERE event_type IS NOT NULL"
+    "CASE event_id % 4 WHEN 0 THEN 'paused' WHEN 1 THEN 'missing_model' WHEN 2 THEN 'authentication' ELSE 'backend' END AS error FROM events"
 )
 def presentation_labels(spark, sf):
-    events = table(spark, sf, "events").filter("event_type IS NOT NULL")
+    events = table(spark, sf, "events")
     elapsed = F.create_map(F.lit("route"), F.col("event_id") % 1000, F.lit("embed"), F.col("user_id"))
     source = F.when(F.col("event_type") == "click", F.lit("explicit")).otherwise(F.lit("primary"))
     message = F.element_at(F.array(F.lit("Instance is PAUSED"), F.lit("DeploymentNotFound"), F.lit("HTTP 401"), F.lit("other")), (F.col("event_id") % 4 + 1).cast("int"))

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from lexmill.config import CorpusConfig
 from lexmill.functions import spans
 from lexmill.functions import text as T
-from lexmill.operators import annotate, chunking, graph, quality, structure
-from lexmill.plans.answer import answer_batch, retrieve
+from lexmill.operators import annotate, chunking, graph, quality, structure, vector
+from lexmill.plans.answer import answer_batch, answer_timed, retrieve
 from lexmill.plans.index import chunk_pages, stage_chunk, stage_embed, stage_load
+from lexmill.providers import RateLimited, answering, with_retries
 from lexmill.queries import QUERIES
+from lexmill.sources import files
 
 CONFIG = CorpusConfig("XX-LAW-1", "قانون", "2020-01-01", "1")
 LONG = "تمهيد " + "نص " * 520
@@ -167,3 +169,95 @@ def test_a_book_alone_holds_no_article(spark):
     df = spark.createDataFrame(rows, "node_id string, node_type string, law_id string, book_number int, part_number int, chapter_number int, article_number int")
     got = {(r.src, r.dst) for r in graph.hierarchy_edges(df).filter("type = 'HAS_ARTICLE'").collect()}
     assert got == {("part:L/1/2/", "b"), ("chapter:L/1/2/3/", "c")}
+
+
+def test_bodies_of_one_document_stand_alone(spark):
+    alone = [(1, 0, "1- الأول: أ 2- الثاني: ب")]
+    both = [*alone, (1, 500, "7- السابع: ج - الثامن: د 9- التاسع: ه")]
+    schema = "doc_id long, char_start int, body_text string"
+    got = chunking.definitions(spark.createDataFrame(both, schema)).orderBy("char_start", "idx").collect()
+    assert [(r.char_start, r.number, r.term) for r in got] == [(0, 1, "الأول"), (0, 2, "الثاني"), (500, 7, "السابع"), (500, 8, "الثامن"), (500, 9, "التاسع")]
+    first = chunking.definitions(spark.createDataFrame(alone, schema)).orderBy("idx").collect()
+    assert [(r.number, r.term, r.definition) for r in first] == [(r.number, r.term, r.definition) for r in got[:2]]
+    offsets = spans.scan(spark.createDataFrame([(1, 0, "ab ab"), (1, 9, "x ab")], "doc_id long, char_start int, text string"), "ab").orderBy("char_start", "pos")
+    assert [(r.char_start, r.start) for r in offsets.collect()] == [(0, 0), (0, 3), (9, 2)]
+
+
+def test_terms_of_a_long_body_stay_in_order(spark):
+    body = " ".join(f"{i % 90 + 1}- حد{chr(0x621 + i % 20)}: نص." for i in range(1500))
+    rows = spark.createDataFrame([(1, 1, body, 0), (1, 2, "نص", 1)], "doc_id long, article_number int, body_text string, char_start int")
+    rows = rows.withColumn("char_end", F.col("char_start") + F.length("body_text"))
+    for level in ("book", "part", "chapter"):
+        rows = rows.withColumn(f"{level}_number", F.lit(None).cast("int")).withColumn(f"{level}_title", F.lit(""))
+    pages = spark.createDataFrame([(1, 1, "x")], "doc_id long, page_num int, cleaned_text string")
+    chunks = chunking.build_chunks(rows, spans.page_offsets(pages), CONFIG).orderBy("chunk_order").collect()
+    assert chunks[-1].article_number == 2 and [c.node_type for c in chunks[1:-1]] == ["Definition"] * 1500
+    assert len({c.chunk_order for c in chunks}) == len(chunks)
+
+
+def test_several_laws_keep_their_articles_terms_and_references(spark):
+    texts = {1: "مادة (1): 1- العامل: كل شخص. مادة (2): العامل وفق المادة (3)", 2: "مادة (1): 1- الأجر: مال. مادة (2): العامل والأجر وفق المادة (1) والمادة 3"}
+    pages = spark.createDataFrame([(d, 1, t) for d, t in texts.items()], "doc_id long, page_num int, cleaned_text string")
+    chunks, terms, _ = chunk_pages(pages, CONFIG)
+    rows = {r.node_id: r for r in chunks.collect()}
+    assert len(rows) == chunks.count() == 6 and {r.law_id for r in rows.values()} == {"XX-LAW-1-1", "XX-LAW-1-2"}
+    assert rows["xx-law-1-1-art002"].cross_refs == [] and rows["xx-law-1-2-art002"].cross_refs == [1]
+    assert rows["xx-law-1-1-art002"].defined_terms_used == ["العامل"] and rows["xx-law-1-2-art002"].defined_terms_used == ["الأجر"]
+    assert {(r.law_id, r.term) for r in terms.collect()} == {("XX-LAW-1-1", "العامل"), ("XX-LAW-1-2", "الأجر")}
+    tables = graph.build_graph(chunks, CONFIG)
+    assert tables["Article"].count() == 4 and tables["Law"].count() == 2
+    named, _, _ = chunk_pages(pages.withColumn("law_id", F.concat(F.lit("L"), "doc_id")), CONFIG)
+    assert {r.law_id for r in named.select("law_id").distinct().collect()} == {"L1", "L2"}
+
+
+def test_an_infinite_vector_takes_no_neighbours_along(spark):
+    rows = [(i, "a", [1.0, i / 10]) for i in range(5)] + [(9, "a", [float("inf"), 1.0]), (10, "a", [float("nan"), 1.0]), (11, "a", None)]
+    nodes = spark.createDataFrame(rows, "node_id long, label string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("inf"), 0.0])], "qid long, embedding array<double>")
+    for k in (1, 2, 5, 7):
+        assert [r.node_id for r in vector.topk(asked, nodes, k).orderBy("rank").collect()] == list(range(5))[:k]
+
+
+def test_answers_know_their_prompts_limits_errors_and_times(spark, pages, tmp_path):
+    path = str(tmp_path / "index")
+    stage_chunk(pages, path, CONFIG)
+    stage_embed(spark, path)
+    tables = stage_load(spark, path, CONFIG)
+    questions = spark.createDataFrame([(1, "ما تنص عليه المادة 4؟", "lawyer", None), (2, "العامل", None, None)], "qid long, question string, mode string, primary_k int")
+
+    def call(prompt, system, limit):
+        if prompt.startswith("السؤال: العامل"):
+            raise ValueError("refused")
+        return f"{system[:7]} {limit}"
+
+    rows = {r.qid: r for r in answer_timed(questions, tables, answer=answering(call, 2, 0.0)).collect()}
+    assert (rows[1].answer, rows[1].error) == ("Analyse 4096", None)
+    assert (rows[2].answer, rows[2].error) == ("", "ValueError: refused")
+    assert set(rows[1].elapsed_ms) == {"route", "embed", "retrieve", "generate"} and min(rows[1].elapsed_ms.values()) >= 1
+    waits = []
+    with pytest.raises(RuntimeError):
+        with_retries(lambda: (_ for _ in ()).throw(RateLimited()), sleep=waits.append)
+    assert waits == [2.0, 4.0, 8.0, 16.0, 32.0]
+
+
+def test_sources_go_round(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "Article", 1), ("b", None, None)], "node_id string, node_type string, article_number int")
+    files.write_jsonl(rows, str(tmp_path / "rows"))
+    assert sorted(files.read_jsonl(spark, str(tmp_path / "rows"), "node_id string, node_type string, article_number int").collect()) == sorted(rows.collect())
+    (tmp_path / "g.json").write_text('{\n "a b": "x-1",\n "c": "x-2"\n}', encoding="utf-8")
+    assert {(r.term, r.node_id) for r in files.read_glossary(spark, str(tmp_path / "g.json")).collect()} == {("a b", "x-1"), ("c", "x-2")}
+    (tmp_path / "law.txt").write_text("first\fsecond", encoding="utf-8")
+    assert [(r.page_num, r.raw_text) for r in files.read_pages(spark, str(tmp_path / "law.txt")).orderBy("page_num").collect()] == [(1, "first"), (2, "second")]
+    files.write_tables({"t": rows}, str(tmp_path / "tables"))
+    assert files.read_tables(spark, str(tmp_path / "tables"), ["t"])["t"].count() == 2
+
+
+def test_gaps_of_large_numbers(spark):
+    got = quality.gaps(spark.createDataFrame([(1,), (200_000,), (None,)], "n long"), "n")
+    assert got.count() == 199_998 and got.filter("number IN (1, 200000)").count() == 0
+    assert quality.gaps(spark.createDataFrame([(0,), (-3,)], "n long"), "n").count() == 0
+
+
+def test_numbers_without_patterns(spark):
+    inputs = ["٤١", "۴۱", "٤1", "", "5", "٥", "१२", None]
+    assert values(spark, T.digits_int, inputs) == values(spark, T.page_int, inputs)
