@@ -48,7 +48,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     """term and node_id from one JSON object."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("term", "node_id"))
 
 
