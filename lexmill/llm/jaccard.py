@@ -45,6 +45,8 @@ from lexmill.session import cut, scratch, tidy
 BITS, SLICES, CUTS, SPREAD = 18, 64, 4, 8
 #: Sets of less than twice as many n-grams are one piece; rows of a group that one task compares with each other.
 PIECE, GROUP = 256, 1024
+#: Sets with more rows than HOT are looked up in SALTS tasks.
+HOT, SALTS = 256, 64
 #: Bits of a piece's parity sketch, and 64-bit words of its short form: two pieces differ in at least as many n-grams as
 #: their sketches, or short forms, in bits.
 SKETCH, FOLD = 1024, 8
@@ -272,10 +274,15 @@ class Join:
         """chunk, row, doc_id, mark, n_shingles, class_id (smallest doc_id with the same set; null without a set) of every row."""
         every = digests.drop("sketch")
         several = every.filter("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").withColumnRenamed("name", "of")
-        # rows without a set get a key of their own, so they don't meet in one task
-        key = F.coalesce("name", F.concat(F.lit("-"), F.hex("chunk"), F.lit("-"), F.hex("row")).cast("binary"))
-        found = every.join(several, key == F.col("of"), "left")
-        own = F.when(F.col("name").isNotNull(), F.when(F.col("n") > 1, F.col("least")).otherwise(F.col("doc_id")))
+        # names of many rows are met in SALTS tasks, not in one; what needs no partner gets a key of its own
+        salt = F.pmod(F.xxhash64("chunk", "row"), F.lit(SALTS))
+        hot = several.filter(F.col("n") > HOT).select(F.col("of").alias("hot"), F.col("least").alias("hot_least"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        alone = F.concat(F.lit("-"), F.hex("chunk"), F.lit("-"), F.hex("row")).cast("binary")
+        found = every.withColumn("at", salt).withColumn("key", F.coalesce("name", alone))
+        found = found.join(hot, (F.col("key") == F.col("hot")) & (F.col("at") == F.col("salt")), "left")
+        found = found.withColumn("key", F.when(F.col("hot").isNotNull(), alone).otherwise(F.col("key")))
+        found = found.join(several.filter(F.col("n") <= HOT), F.col("key") == F.col("of"), "left")
+        own = F.when(F.col("name").isNotNull(), F.coalesce("hot_least", F.when(F.col("n") > 1, F.col("least")).otherwise(F.col("doc_id"))))
         return cut(found.select("chunk", "row", "doc_id", "mark", "n_shingles", own.alias("class_id")))
 
     def sketches(self, digests: DataFrame) -> DataFrame:

@@ -422,3 +422,34 @@ def test_very_long_texts(spark, docs):
     for x in bpe.digests(df, VOCABULARY).collect():
         ids = np.array(known.encode(texts[x.doc_id], add_special_tokens=False).ids, "<u4")
         assert (x.n_tokens, x.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+
+
+def test_many_copies_of_one_text_are_one_class(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    rows = [(i, "one two three four", "s") for i in range(3, 40)] + [(100 + i, f"other {i % 3} text here", "s") for i in range(9)] + [(i, None, "s") for i in range(200, 210)]
+    got, _ = jaccard.join(docs(rows), n=3, percent=90)
+    assert {r.doc_id: r.class_id for r in got.collect()} == {**dict.fromkeys(range(3, 40), 3), **{100 + i: 100 + i % 3 for i in range(9)}, **dict.fromkeys(range(200, 210))}
+
+
+def maximal_segments(s, lo=0):
+    """The segment of the greatest sum, then the same on either side of it."""
+    best, at = 0.0, None
+    for i in range(len(s)):
+        run = 0.0
+        for j in range(i, len(s)):
+            run += s[j]
+            if run > best + 1e-12:
+                best, at = run, (i, j + 1)
+    if at is None:
+        return []
+    i, j = at
+    return maximal_segments(s[:i], lo) + [(lo + i, lo + j)] + maximal_segments(s[j:], lo + j)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_all_maximal_segments_are_found(seed):
+    r = np.random.default_rng(seed)
+    s = r.normal(-0.2, 1, size=int(r.integers(0, 60)))
+    got = toxicity.segments(s)
+    assert [(a, b) for a, b, _ in got] == maximal_segments(s.tolist())
+    assert all(abs(x - s[a:b].sum()) < 1e-9 for a, b, x in got)
