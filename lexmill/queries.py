@@ -88,6 +88,18 @@ def text_numbers(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", T.page_int(east).alias("stored"), T.typed_int(east).alias("typed"))
 
 
+@query("SELECT doc_id, sha256(regexp_replace(replace(text, 'e', 'e\u064e\u0640'), '[\\x{064B}-\\x{065F}\\x{0670}\\x{06D6}-\\x{06ED}\\x{0640}]', '', 'g')) AS bare FROM documents")
+def text_diacritics(spark, sf):
+    marked = F.replace("text", F.lit("e"), F.lit("e\u064e\u0640"))
+    return table(spark, sf, "documents").select("doc_id", sha(T.strip_diacritics(marked)).alias("bare"))
+
+
+@query("SELECT doc_id, sha256(text) AS bare FROM documents")
+def text_private_use(spark, sf):
+    marked = F.replace("text", F.lit("t"), F.lit("t\ue000\uf8ff"))
+    return table(spark, sf, "documents").select("doc_id", sha(T.strip_private_use(marked)).alias("bare"))
+
+
 # -- pages, structure, chunks ------------------------------------------------------------------------------------
 
 
@@ -358,6 +370,19 @@ def context_sources(spark, sf):
     return listed.select("qid", F.size("sources").alias("n"), first["node_id"].alias("first_node"), first["score"].alias("first_score"), first["excerpt"].alias("first_excerpt"))
 
 
+@query(f"SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN '{context.SYSTEM['lawyer'].replace(chr(39), chr(39) * 2)}' ELSE '{context.SYSTEM['user'].replace(chr(39), chr(39) * 2)}' END AS told FROM conversations")
+def context_system_prompts(spark, sf):
+    mode = F.when(F.col("role") == "assistant", F.lit("lawyer")).otherwise(F.lit("user"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", context.system_prompt(mode).alias("told"))
+
+
+@query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def vector_cosine(spark, sf):
+    one = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    other = one.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return one.join(other, "vec_id").select("vec_id", F.round(vector.cosine(F.col("embedding"), F.col("next")), 6).alias("similarity"))
+
+
 # -- presentation ------------------------------------------------------------------------------------------------
 
 
