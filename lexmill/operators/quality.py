@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lexmill.session import cut
+
 
 STRETCH = 1 << 16
 
@@ -41,10 +43,14 @@ def page_violations(articles: DataFrame) -> DataFrame:
 def at_index(values: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
     """n, p50 (interpolated, cut), and the values at index int(n * share) of the sorted list, from 0; max.
 
-    Equal values are counted first, so what is sorted is at most one row per distinct value.
+    Equal values are counted first, then ordered by ranges; a range's place follows from the sums of those before it, so
+    no task sorts all values.
     """
     counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c")).filter("v IS NOT NULL")
-    run = counts.withColumn("upto", F.sum("c").over(W.orderBy("v"))).withColumn("n", F.sum("c").over(W.partitionBy()))
+    ranged = cut(counts.repartitionByRange("v")).withColumn("_p", F.spark_partition_id())
+    sums = ranged.groupBy("_p").agg(F.sum("c").alias("own"))  # one row a range
+    sums = sums.select("_p", (F.sum("own").over(W.orderBy("_p")) - F.col("own")).alias("_before"), F.sum("own").over(W.partitionBy()).alias("n"))
+    run = ranged.join(sums, "_p").withColumn("upto", F.sum("c").over(W.partitionBy("_p").orderBy("v")) + F.col("_before"))
     picks = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * F.lit(s)), F.col("v"))).alias(f"p{round(s * 100)}") for s in shares]
     low, high = F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) / 2), F.col("v"))), F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v")))
     return run.agg(F.max("n").alias("n"), ((low + high) / 2).cast("int").alias("p50"), *picks, F.max("v").alias("max"))
