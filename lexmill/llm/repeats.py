@@ -2,11 +2,15 @@
 
 Rounds rename the words of all documents at once: a run of equal symbols gets one name from the symbol and its
 length, then each adjacent pair whose first symbol falls on the left and whose second on the right side of the
-round's division of names gets one name from both. Names and sides depend on content alone, so equal passages get
-equal symbols except near their ends; each symbol carries the stretch of words that decides it. A window that
-repeats can only hold decided symbols that the corpus has twice, so one question about the symbols of the last
-round, counted over all documents, clears nearly all other windows. The rest are verified: their 96-bit names are
-compared over the corpus and every occurrence but the first is marked.
+round's division of names gets one name from both. Names and sides depend on content alone, so all chunks agree on
+them without being told, and equal passages get equal symbols except near their ends.
+
+Symbols reveal repeats: each carries the stretch of words that decides it, a window that repeats can only hold decided
+symbols that the corpus has twice, and one question about the symbols of an early round, counted over all documents,
+clears nearly all other windows. Symbols also verify them: a window is spelled by what its surroundings can't change,
+round by round until nothing is left inside: the cut runs at its ends and the symbols there that might pair outwards.
+Equal windows have one spelling and different ones differ; their 96-bit names are compared over the corpus and every
+occurrence but the first is marked.
 
 Defined cases: null texts have no words; documents of fewer words than a window keep all; rows that repeat an id
 are ordered by their text's hash (equal rows by place); a null id comes before all others; other columns are kept,
@@ -16,6 +20,7 @@ those named like a column that is made (MADE) with ``_input`` appended.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +33,45 @@ from lexmill.llm.common import free_names, lean
 
 MADE = ("n_words", "n_removed", "removed", "kept_text")
 WINDOW, ROUNDS, LEAST, FAR = 20, 2, 2, 1 << 40
+#: Multipliers of the two hashes of a spelling, and of a run's length in it.
+ODD, COUNT = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)), np.uint64(0xD6E8FEB86659FD93)
 #: A window as it is asked: 96 bits of its name, then where the chunk has it first.
 ASK = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<i4")])
 
 
+class Round(NamedTuple):
+    """A round over a sequence of symbols: its runs, then the symbols made of them."""
+
+    at: np.ndarray  # first symbol of each run
+    size: np.ndarray  # symbols in it
+    runs: tuple[np.ndarray, ...]  # its names
+    right: np.ndarray  # its side
+    heads: np.ndarray  # whether it begins a symbol of the next sequence
+    names: tuple[np.ndarray, ...]  # the next sequence
+    doc: np.ndarray
+
+
+def one_round(names: tuple[np.ndarray, ...], doc: np.ndarray, r: int) -> Round:
+    """``names`` hold one or more independent hashes per symbol, of which the first decides; ``doc`` its document."""
+    salt = np.uint64(0x51 + 2 * r)
+    joins = (names[0][1:] == names[0][:-1]) & (doc[1:] == doc[:-1])
+    at = np.flatnonzero(np.concatenate([[True], ~joins]))
+    size = np.diff(at, append=len(doc))
+    long = np.flatnonzero(size > 1)
+    doc, runs, out = doc[at], tuple(x[at] for x in names), []
+    for x in runs:
+        x[long] = mix(x[long] + mix(size[long].astype(np.uint64) * salt))
+    right = (mix(runs[0] * salt) >> np.uint64(63)).astype(bool)
+    pair = np.flatnonzero(~right[:-1] & right[1:] & (doc[1:] == doc[:-1]))
+    heads = np.ones(len(at), bool)
+    heads[pair + 1] = False
+    for x in runs:
+        y = x.copy()
+        y[pair] = mix(x[pair] * np.uint64(3) + x[pair + 1] * salt)
+        out.append(y[heads])
+    return Round(at, size, runs, right, heads, tuple(out), doc[heads])
+
+
 def recompress(name: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
     """Symbols after ``rounds``: names, first and end word, first and end word of the stretch that decides them.
 
@@ -40,36 +80,70 @@ def recompress(name: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple
     """
     start = np.arange(len(name))
     stop, lo, hi = start + 1, start.copy(), start + 1
-    for r in range(rounds):
-        salt = np.uint64(0x51 + 2 * r)
-        if not len(name):
-            break
+    for r in range(rounds if len(name) else 0):
+        step = one_round((name,), doc, r)
         # runs; each is as long as it is only beside its neighbours
-        joins = (name[1:] == name[:-1]) & (doc[1:] == doc[:-1])
-        at = np.flatnonzero(np.concatenate([[True], ~joins]))
-        last = np.concatenate([at[1:], [len(name)]]) - 1
-        size = (last - at + 1).astype(np.uint64)
-        run = np.where(size > 1, mix(name[at] + mix(size * salt)), name[at])
-        before = np.concatenate([[-FAR], np.where(doc[at[1:]] == doc[at[1:] - 1], lo[at[1:] - 1], -FAR)])
-        after = np.concatenate([np.where(doc[last[:-1]] == doc[last[:-1] + 1], hi[last[:-1] + 1], FAR), [FAR]])
-        name, start, stop, doc, lo, hi = run, start[at], stop[last], doc[at], np.minimum(lo[at], before), np.maximum(hi[last], after)
+        at, last = step.at, step.at + step.size - 1
+        same = doc[at[1:]] == doc[last[:-1]]
+        before = np.concatenate([[-FAR], np.where(same, lo[last[:-1]], -FAR)])
+        after = np.concatenate([np.where(same, hi[at[1:]], FAR), [FAR]])
+        start, stop, lo, hi = start[at], stop[last], np.minimum(lo[at], before), np.maximum(hi[last], after)
         # pairs of a left and a right symbol
-        right = (mix(name * salt) >> np.uint64(63)).astype(bool)
-        same = doc[1:] == doc[:-1]
-        pair = np.concatenate([~right[:-1] & right[1:] & same, [False]])
-        second = np.concatenate([[False], pair[:-1]])
+        second = ~step.heads
+        pair = np.concatenate([second[1:], [False]])
         next_hi = np.concatenate([np.where(same, hi[1:], FAR), [FAR]])
         past_lo = np.concatenate([[-FAR], np.where(same, lo[:-1], -FAR)])
         alone = ~pair & ~second
-        hi = np.where(pair | (alone & ~right), np.maximum(hi, next_hi), hi)
-        lo = np.where(alone & right, np.minimum(lo, past_lo), lo)
+        hi = np.where(pair | (alone & ~step.right), np.maximum(hi, next_hi), hi)
+        lo = np.where(alone & step.right, np.minimum(lo, past_lo), lo)
         lo[:-1] = np.where(pair[:-1], np.minimum(lo[:-1], lo[1:]), lo[:-1])
-        name = np.where(pair, mix(name * np.uint64(3) + np.roll(name, -1) * salt), name)
         stop = np.where(pair, np.roll(stop, -1), stop)
-        name, start, stop, doc, lo, hi = (x[~second] for x in (name, start, stop, doc, lo, hi))
+        start, stop, lo, hi = (x[step.heads] for x in (start, stop, lo, hi))
+        name, doc = step.names[0], step.doc
     return name, start, stop, lo, hi
 
 
+def spelled(names: tuple[np.ndarray, ...], doc: np.ndarray, starts: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """A hash, for each of ``names``, of the spelling of each window of ``width`` words at ``starts``.
+
+    Each round spells the runs at both ends by symbol and length inside the window, and, of what is then left, a first
+    symbol of the right side and a last one of the left side, as those might belong to a pair that begins or ends
+    outside. All between is named alike wherever the window stands and goes on to the next round, until nothing is left:
+    at least a run goes in each. Only words that a window covers take part.
+    """
+    covered = _covered(starts, len(doc), width)
+    at = np.flatnonzero(covered)
+    stretch = at + doc[at] - np.arange(len(at))  # one number for words of a document that follow each other
+    names, doc, starts = tuple(x[at] for x in names), stretch, (np.cumsum(covered) - 1)[starts]
+    out = tuple(np.zeros(len(starts), np.uint64) for _ in names)
+    live, i, j, r = np.arange(len(starts)), starts, starts + width, 0
+    sums = list(out)
+    while len(live):
+        step = one_round(names, doc, r)
+        run, top = np.repeat(np.arange(len(step.at)), step.size), len(step.at) - 1
+        first, last = run[i], run[j - 1]
+        left, rest = np.minimum(step.at[first] + step.size[first], j) - i, np.where(first < last, j - step.at[last], 0)
+        a, b = first + 1, last  # the runs that are whole
+        pop_a = (a < b) & step.right[np.minimum(a, top)]
+        a = a + pop_a
+        pop_b = (a < b) & ~step.right[b - 1]
+        for k, (name, own) in enumerate(zip(names, step.runs, strict=True)):
+            odd = ODD[k]
+            s = sums[k] * odd + name[i] + left.astype(np.uint64) * COUNT
+            s = s * odd + np.where(rest > 0, name[j - 1] + rest.astype(np.uint64) * COUNT, np.uint64(0))
+            s = s * odd + np.where(pop_a, own[a - 1], np.uint64(0))
+            sums[k] = s * odd + np.where(pop_b, own[b - 1], np.uint64(0))
+        b = b - pop_b
+        more = a < b
+        for k, s in enumerate(sums):
+            out[k][live[~more]] = mix(s[~more])
+            sums[k] = s[more]
+        number = np.cumsum(step.heads) - 1
+        live, i, j = live[more], number[a[more]], number[b[more] - 1] + 1
+        names, doc, r = step.names, step.doc, r + 1
+    return out
+
+
 class _Work:
     """The words of a chunk and its symbols worth a question."""
 
@@ -98,12 +172,9 @@ class _Work:
 
     def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct names of the windows at ``starts``, where each is first, and each window's number among them."""
-        a, b = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-        for j in range(WINDOW):
-            a = a * np.uint64(0xBF58476D1CE4E5B9) + self.hash[starts + j, 0]
-            b = b * np.uint64(0x94D049BB133111EB) + self.hash[starts + j, 1]
+        a, b = spelled(tuple(np.ascontiguousarray(self.hash.T)), self.doc, starts)
         key = np.zeros(len(starts), np.dtype([("a", "<u8"), ("b", "<u4")]))
-        key["a"], key["b"] = mix(a), mix(b).astype(np.uint32)
+        key["a"], key["b"] = a, b.astype(np.uint32)
         order = np.lexsort((starts, key["b"], key["a"]))
         fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.zeros(0, bool)
         number = np.empty(len(starts), np.int64)
@@ -126,11 +197,11 @@ def _windows_first(rows: np.ndarray, chunk: np.ndarray) -> np.ndarray:
     return out
 
 
-def _covered(starts: np.ndarray, n: int) -> np.ndarray:
+def _covered(starts: np.ndarray, n: int, width: int = WINDOW) -> np.ndarray:
     """Words within the windows at ``starts``, all different."""
     edge = np.zeros(n + 1, np.int64)
     edge[starts] += 1
-    edge[starts + WINDOW] -= 1
+    edge[starts + width] -= 1
     return np.cumsum(edge[:n]) > 0
 
 

@@ -64,6 +64,33 @@ def test_repeats(docs, seed):
     assert got == repeats_by_hand(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("vocabulary", [1, 2, 3, 50])
+def test_windows_are_spelled_alike_if_and_only_if_they_are_equal(vocabulary):
+    r = random.Random(vocabulary)
+    passage = [r.randrange(vocabulary) for _ in range(60)]
+    docs = [[r.randrange(vocabulary) for _ in range(r.randrange(30))] + passage[r.randrange(9) :] * (d % 2) + [r.randrange(vocabulary)] * (d % 7) for d in range(60)]
+    hashes = np.random.default_rng(0).integers(1, 1 << 63, (2, vocabulary), dtype=np.uint64)
+    flat, doc = np.array([w for d in docs for w in d]), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    for width in (1, 2, 7, 20):
+        starts = np.flatnonzero([s + width <= len(flat) and doc[s] == doc[s + width - 1] for s in range(len(flat))])
+        names = list(zip(*(x.tolist() for x in repeats.spelled(tuple(hashes[:, flat]), doc, starts, width)), strict=True))
+        words = [tuple(flat[s : s + width].tolist()) for s in starts]
+        assert len(set(words)) == len(set(names)) == len(set(zip(words, names, strict=True)))
+        assert len({a for a, _ in names}) == len({b for _, b in names}) == len(set(words))
+
+
+def test_symbols_settle_long_windows():
+    """Interior symbols, not words, name a long window: it has few of them at the top and at its ends."""
+    r = random.Random(4)
+    passage = [r.randrange(900) for _ in range(400)]
+    flat, doc = np.array([1, 2, 3, *passage, 5, 6, *passage, 8]), np.repeat([0, 1], [403, 403])
+    name = np.random.default_rng(1).integers(1, 1 << 63, 900, dtype=np.uint64)[flat]
+    symbols, start, stop, lo, hi = repeats.recompress(name, doc, rounds=9)
+    inside = [(lo >= b) & (hi <= b + 400) for b in (3, 405)]
+    assert [s.tolist() for s in (symbols[inside[0]], start[inside[0]] - 3)] == [s.tolist() for s in (symbols[inside[1]], start[inside[1]] - 405)]
+    assert (stop - start)[inside[0]].sum() > 200 and (stop - start)[inside[0]].max() > 12
+
+
 def test_repeats_keep_columns_and_take_empty_tables(docs):
     rows = docs([(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s")])
     out = repeats.remove_repeats(rows)
