@@ -41,7 +41,7 @@ PLAIN = regex.compile(WORDS.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}").re
 NEW = regex.compile(f"[{NEW_LETTERS}{NEW_NUMBERS}]")
 L, N = rf"[\p{{L}}--[{NEW_LETTERS}]]", rf"[\p{{N}}--[{NEW_NUMBERS}]]"
 CAREFUL = regex.compile(WORDS.replace("{L}", L).replace("{N}", N).replace("{l}", L).replace("{n}", N), regex.V1)
-PIECE, CACHED, CACHE_WORD = 1 << 20, 400_000, 64
+PIECE, CACHED, CACHE_WORD, SENT = 1 << 20, 400_000, 64, 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -195,6 +195,17 @@ def _encoder(shared) -> Encoder:
     return _made[id(shared.value)]
 
 
+def _parts(ids: pa.Array, made: Iterable[bytes | str], kind: pa.DataType, name: str) -> Iterator[pa.RecordBatch]:
+    """Each of ``ids`` with what is made of its row, handed on at every SENT bytes: what a whole batch gives is never held."""
+    at, held, size = 0, [], 0
+    for x in made:
+        held.append(x)
+        size += len(x)
+        if size >= SENT or at + len(held) == len(ids):
+            yield pa.RecordBatch.from_arrays([ids.slice(at, len(held)), pa.array(held, kind)], names=["doc_id", name])
+            at, held, size = at + len(held), [], 0
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers, as binary) of every row of ``docs(doc_id, text)``."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
@@ -202,8 +213,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for b in batches:
-            ids = [encoder.encode(t.as_py() or "") for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            yield from _parts(b.column("doc_id"), (encoder.encode(t.as_py() or "") for t in b.column("text")), pa.binary(), "ids")
 
     return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids binary")
 
@@ -215,8 +225,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for b in batches:
-            texts = [encoder.decode(i.as_py() or b"") for i in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            yield from _parts(b.column("doc_id"), (encoder.decode(i.as_py() or b"") for i in b.column("ids")), pa.string(), "text")
 
     return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 

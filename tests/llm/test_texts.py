@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -247,6 +248,16 @@ def test_bpe_equals_the_tokenizers_library(spark, docs, small):
 # -- toxicity ----------------------------------------------------------------------------------------------------
 
 
+def test_identifiers_are_handed_on_in_parts(docs, monkeypatch):
+    monkeypatch.setattr(bpe, "SENT", 64)
+    texts = ["a few words " * k for k in range(40)] + ODD
+    parts = list(bpe._parts(pa.array(range(40)), (b"x" * (k % 30) for k in range(40)), pa.binary(), "ids"))
+    assert [i for b in parts for i in b["doc_id"].to_pylist()] == list(range(40)) and all(b["ids"].nbytes < 600 for b in parts) and len(parts) > 5
+    coded = bpe.encode(table_of(docs, texts), VOCABULARY)
+    assert {r.doc_id: r.text for r in bpe.decode(coded, VOCABULARY).collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
+
 def test_segments_are_maximal():
     r = np.random.default_rng(3)
     for _ in range(50):
