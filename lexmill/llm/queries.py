@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, chat, html, jaccard, mixing, repeats, tokens, toxicity, vectors
+from lexmill.llm import bpe, chat, html, jaccard, langid, mixing, negatives, repeats, runs, tokens, toxicity, vectors
 from lexmill.session import table
 
 
@@ -54,6 +54,19 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_vectors": op2_vectors,
@@ -65,6 +78,9 @@ QUERIES = {
     "op8_tokens": op8_tokens,
     "op9_neighbours": op9_neighbours,
     "op10_html": op10_html,
+    "op11_negatives": op11_negatives,
+    "op12_runs": op12_runs,
+    "op13_languages": op13_languages,
 }
 
 ORACLE = {
@@ -74,4 +90,5 @@ ORACLE = {
     "op5_mixing": mixing.SQL,
     "op7_jaccard": jaccard.SQL,
     "op8_tokens": tokens.SQL,
+    "op11_negatives": negatives.SQL,
 }
