@@ -15,6 +15,7 @@ class CorpusConfig:
     gazette_issue: str = ""
     long_article: int = 1500  # bodies of more characters are split
     max_title: int = 100
+    per_document: bool = True  # each document is a law of its own; else all are one law, and the later article of a number counts
 
     @property
     def prefix(self) -> str:

@@ -60,11 +60,13 @@ def definitions(articles: DataFrame) -> DataFrame:
 
 
 def with_law(articles: DataFrame, config: CorpusConfig) -> DataFrame:
-    """``articles`` with law_id, and its lower-case form that node ids begin with."""
+    """``articles`` with law_id, and its lower-case form that node ids begin with.
+
+    What is not given follows from the row and the config alone, so a document has the same ids in every load.
+    """
     if "law_id" not in articles.columns:
-        ends = articles.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
-        one = ends["least"] == ends["most"] or ends["least"] is None
-        articles = articles.withColumn("law_id", F.lit(config.law_id) if one else F.concat(F.lit(f"{config.law_id}-"), F.col("doc_id").cast("string")))
+        own = F.concat(F.lit(f"{config.law_id}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        articles = articles.withColumn("law_id", own if config.per_document else F.lit(config.law_id))
     return articles.withColumn("_prefix", F.lower("law_id"))
 
 
@@ -81,7 +83,7 @@ def build_chunks(articles: DataFrame, offsets: DataFrame, config: CorpusConfig)
 
     The article with number 1 gives definitions; bodies longer than the limit with two marks or more give segments.
     Node ids begin with the law: the column law_id of ``articles`` where there is one; else the config's, followed by the
-    doc_id if there are several documents.
+    doc_id unless the config says that all documents are one law.
     """
     articles = with_law(articles, config)
     pages = spans.spanned_pages(articles, offsets, ["char_start"])

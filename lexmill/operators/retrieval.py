@@ -96,8 +96,14 @@ def expand(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, kind: str, per_
 
 
 def dedupe_and_cap(found: DataFrame, cap: Column | int) -> DataFrame:
-    """First of each node by source, then place; then the first ``cap`` of each question, at least one."""
+    """First of each node by source, then place; then the first ``cap`` of each question, at least one.
+
+    Rows of equal source and place go by score, greatest first, then by their other columns (nulls first), so the rows
+    that stay don't depend on how the input is partitioned. Null ids count as one node; an unknown source comes first.
+    """
     priority = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
-    first = found.withColumn("_n", F.row_number().over(W.partitionBy("qid", "node_id").orderBy(priority, "pos"))).filter("_n = 1").drop("_n")
+    rest = [c for c in ("node_type", "article_number", "breadcrumb", "text", "source") if c in found.columns]
+    order = [priority, "pos", *([F.desc("score")] if "score" in found.columns else []), *rest]
+    first = found.withColumn("_n", F.row_number().over(W.partitionBy("qid", "node_id").orderBy(*order))).filter("_n = 1").drop("_n")
     placed = first.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(priority, "pos", "node_id")))
     return placed.filter(F.col("rank") <= F.greatest(F.lit(cap) if isinstance(cap, int) else cap, F.lit(1)))

@@ -48,7 +48,7 @@ def _blocks(df: DataFrame, id_type: str, arrow: pa.DataType, rows: int) -> DataF
             yield out(k, n, ids, vs)
 
     def out(k: tuple, n: int, ids: list, vs: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"dim": pa.array([k[0]], pa.int32()), "label": [k[1]], "block": pa.array([(TaskContext.get().partitionId() << 32) + n], pa.int64()), "ids": pa.array([ids], pa.list_(arrow)), "vs": [np.array(vs, float).tobytes()]})
+        return pa.RecordBatch.from_pydict({"dim": pa.array([k[0]], pa.int32()), "label": pa.array([k[1]], pa.string()), "block": pa.array([(TaskContext.get().partitionId() << 32) + n], pa.int64()), "ids": pa.array([ids], pa.list_(arrow)), "vs": [np.array(vs, float).tobytes()]})
 
     return df.mapInArrow(run, f"dim int, label string, block long, ids array<{id_type}>, vs binary")
 
@@ -57,17 +57,19 @@ def topk(queries: DataFrame, nodes: DataFrame, k: Column | int) -> DataFrame:
     """The k nearest nodes per query and label: qid, label, node_id, score ((1 + cosine) / 2), rank.
 
     ``queries(qid, k, embedding)``, ``nodes(node_id, label, embedding)``; vectors that are null, zero or broken are in
-    no index. Blocks of nodes go to every slot of queries, each task keeps its k best, and those are merged.
+    no index, and queries without a positive k find nothing. Blocks of nodes are dealt evenly over slots, one a shuffle
+    partition; blocks of queries go to each. What a block gives for a query is its k best, and those are merged.
     """
     spark = queries.sparkSession
-    ask = queries.filter(usable(F.col("embedding"))).select(F.struct("qid", (F.lit(k) if isinstance(k, int) else k).cast("int").alias("k")).alias("id"), F.size("embedding").alias("dim"), F.lit("").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    asked_k = (F.lit(k) if isinstance(k, int) else k).cast("int").alias("k")
+    ask = queries.filter(usable(F.col("embedding"))).select(F.struct("qid", asked_k).alias("id"), F.size("embedding").alias("dim"), F.lit("").alias("label"), F.col("embedding").cast("array<double>").alias("v")).filter("id.k > 0")
     have = nodes.filter(usable(F.col("embedding"))).select(F.col("node_id").alias("id"), F.size("embedding").alias("dim"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
-    slots = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-queries.count() // SLOT)))
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = nodes.schema["node_id"].dataType.simpleString()
     qid_type = queries.schema["qid"].dataType.simpleString()
-    asked = _blocks(ask.repartition(slots, "id"), f"struct<qid:{qid_type},k:int>", pa.struct([("qid", ARROW[qid_type]), ("k", pa.int32())]), SLOT).select(F.pmod(F.shiftright("block", 32), F.lit(slots)).cast("int").alias("slot"), "dim", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
-    spread = _blocks(have, id_type, ARROW[id_type], BLOCK).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    met = spread.join(asked, ["slot", "dim"])
+    asked = _blocks(ask, f"struct<qid:{qid_type},k:int>", pa.struct([("qid", ARROW[qid_type]), ("k", pa.int32())]), SLOT).select("dim", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    index = _blocks(have, id_type, ARROW[id_type], BLOCK).withColumn("slot", F.pmod(F.xxhash64("block", "label"), F.lit(slots)).cast("int"))
+    met = index.join(asked, ["slot", "dim"])
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = lambda raw, d: (lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True)))(np.frombuffer(raw).reshape(-1, d))
@@ -75,13 +77,12 @@ def topk(queries: DataFrame, nodes: DataFrame, k: Column | int) -> DataFrame:
             for i in range(b.num_rows):
                 r = {c: b.column(c)[i].as_py() for c in b.schema.names}
                 scores = (1 + unit(r["q_vs"], r["dim"]) @ unit(r["vs"], r["dim"]).T) / 2
-                ids, rows = np.array(r["ids"], object), []
-                for q, s in zip(r["q_ids"], scores, strict=True):
-                    if q["k"] and q["k"] > 0:
-                        least = np.partition(s, -q["k"])[-q["k"]] if q["k"] < len(s) else -1.0
-                        keep = np.flatnonzero(s >= least - 1e-12)  # ties, also those that rounding parts, are settled after the merge
-                        rows += [(q["qid"], q["k"], r["label"], ids[j], float(s[j])) for j in keep.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(types)], names=["qid", "k", "label", "node_id", "score"])
+                n, most = scores.shape[1], max(q["k"] for q in r["q_ids"])
+                least = np.partition(scores, n - most, axis=1)[:, n - most] if most < n else np.full(len(scores), -1.0)
+                rows, found = np.nonzero(scores >= least[:, None] - 1e-12)  # ties, also those that rounding parts, are settled after the merge
+                ids, asked = r["ids"], r["q_ids"]
+                columns = [[asked[q]["qid"] for q in rows], [asked[q]["k"] for q in rows], [r["label"]] * len(rows), [ids[j] for j in found], scores[rows, found]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["qid", "k", "label", "node_id", "score"])
 
     types = [ARROW[qid_type], pa.int32(), pa.string(), ARROW[id_type], pa.float64()]
     found = met.mapInArrow(search, f"qid {qid_type}, k int, label string, node_id {id_type}, score double")

@@ -341,7 +341,7 @@ def _found(spark: SparkSession, sf: str) -> DataFrame:
 FOUND = (
     "f AS (SELECT o_custkey AS qid, 'p' || l_partkey AS node_id, CASE WHEN l_linestatus = 'F' THEN 'Definition' ELSE 'Article' END AS node_type, l_partkey::INT AS article_number, 'text ' || l_partkey AS text, l_discount / 3 AS score, "
     "l_linenumber % 4 AS pri, ['explicit', 'primary', 'definition', 'cross_ref'][l_linenumber % 4 + 1] AS source, (l_orderkey * 10 + l_linenumber)::INT AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey), "
-    "d AS (SELECT *, row_number() OVER (PARTITION BY qid, node_id ORDER BY pri, pos) AS n FROM f), "
+    "d AS (SELECT *, row_number() OVER (PARTITION BY qid, node_id ORDER BY pri, pos, score DESC, node_type, article_number, text) AS n FROM f), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pri, pos, node_id)::INT AS rank FROM d WHERE n = 1), k AS (SELECT * FROM r WHERE rank <= 12)"
 )
 

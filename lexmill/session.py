@@ -7,7 +7,9 @@ import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,15 +43,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexmill-ckpt-"))
 
 
-#: Tables cut inside the open scratch blocks, innermost last.
-_open: list[list[DataFrame]] = []
+#: Tables cut inside this thread's open scratch blocks, innermost last. Threads that share a session don't see each other's.
+_open: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open_scratch", default=())
+#: Held while adaptive execution is off for a session, so that what is set back is what was there.
+_adaptive = RLock()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Removes the checkpoints of tables cut inside once the block ends without an error, but for those given to ``keep``.
 
-    Nothing that is read later may depend on a table that goes.
+    Nothing that is read later may depend on a table that goes. Blocks belong to the thread that opened them.
     """
     mine: list[DataFrame] = []
     kept: list[DataFrame] = []
@@ -58,16 +62,16 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(df)
         return df
 
-    _open.append(mine)
+    token = _open.set((*_open.get(), mine))
     try:
         yield keep
         for df in mine:
             if not any(df is k for k in kept):
                 drop(df)
     finally:
-        _open.remove(mine)
-        if _open:
-            _open[-1].extend(kept)
+        _open.reset(token)
+        if _open.get():
+            _open.get()[-1].extend(kept)
         mine.clear()
         tidy(spark)
 
@@ -95,16 +99,18 @@ def cut(df: DataFrame, placed: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     if placed:
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
+        with _adaptive:
+            adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            try:
+                out = df.select("*").checkpoint(eager=True)
+            finally:
+                spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    else:
         out = df.select("*").checkpoint(eager=True)
-    finally:
-        if placed:
-            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    if _open:
-        _open[-1].append(out)
+    if _open.get():
+        _open.get()[-1].append(out)
     return out
 
 

@@ -1,19 +1,23 @@
 """From pages to a graph, on a small statute of our own with the quirks that matter."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill import session
 from lexmill.config import CorpusConfig
 from lexmill.functions import spans
 from lexmill.functions import text as T
-from lexmill.operators import annotate, chunking, graph, quality, structure, vector
+from lexmill.operators import annotate, chunking, graph, quality, retrieval, structure, vector, vector_index
 from lexmill.plans.answer import answer_batch, answer_timed, retrieve
 from lexmill.plans.index import chunk_pages, stage_chunk, stage_embed, stage_load
 from lexmill.providers import RateLimited, answering, with_retries
 from lexmill.queries import QUERIES
 from lexmill.sources import files
 
-CONFIG = CorpusConfig("XX-LAW-1", "قانون", "2020-01-01", "1")
+CONFIG = CorpusConfig("XX-LAW-1", "قانون", "2020-01-01", "1", per_document=False)
+EACH = CorpusConfig("XX-LAW-1", "قانون", "2020-01-01", "1")
 LONG = "تمهيد " + "نص " * 520
 TEXT = [
     "الكتاب الأول أحكام عامة الباب الأول تعريفات مادة (1): يقصد بالآتي 1- العامل: كل شخص يعمل. 2- الأجر: ما يعطى، - المتدرج: من يتعلم 4- صاحب العمل: كل من يستخدم.",
@@ -198,15 +202,17 @@ def test_terms_of_a_long_body_stay_in_order(spark):
 def test_several_laws_keep_their_articles_terms_and_references(spark):
     texts = {1: "مادة (1): 1- العامل: كل شخص. مادة (2): العامل وفق المادة (3)", 2: "مادة (1): 1- الأجر: مال. مادة (2): العامل والأجر وفق المادة (1) والمادة 3"}
     pages = spark.createDataFrame([(d, 1, t) for d, t in texts.items()], "doc_id long, page_num int, cleaned_text string")
-    chunks, terms, _ = chunk_pages(pages, CONFIG)
+    chunks, terms, _ = chunk_pages(pages, EACH)
     rows = {r.node_id: r for r in chunks.collect()}
+    alone, _, _ = chunk_pages(pages.filter("doc_id = 1"), EACH)  # a document has the same ids in every load
+    assert {r.node_id for r in alone.collect()} == {k for k, r in rows.items() if r.doc_id == 1}
     assert len(rows) == chunks.count() == 6 and {r.law_id for r in rows.values()} == {"XX-LAW-1-1", "XX-LAW-1-2"}
     assert rows["xx-law-1-1-art002"].cross_refs == [] and rows["xx-law-1-2-art002"].cross_refs == [1]
     assert rows["xx-law-1-1-art002"].defined_terms_used == ["العامل"] and rows["xx-law-1-2-art002"].defined_terms_used == ["الأجر"]
     assert {(r.law_id, r.term) for r in terms.collect()} == {("XX-LAW-1-1", "العامل"), ("XX-LAW-1-2", "الأجر")}
-    tables = graph.build_graph(chunks, CONFIG)
+    tables = graph.build_graph(chunks, EACH)
     assert tables["Article"].count() == 4 and tables["Law"].count() == 2
-    named, _, _ = chunk_pages(pages.withColumn("law_id", F.concat(F.lit("L"), "doc_id")), CONFIG)
+    named, _, _ = chunk_pages(pages.withColumn("law_id", F.concat(F.lit("L"), "doc_id")), EACH)
     assert {r.law_id for r in named.select("law_id").distinct().collect()} == {"L1", "L2"}
 
 
@@ -261,3 +267,102 @@ def test_gaps_of_large_numbers(spark):
 def test_numbers_without_patterns(spark):
     inputs = ["٤١", "۴۱", "٤1", "", "5", "٥", "१२", None]
     assert values(spark, T.digits_int, inputs) == values(spark, T.page_int, inputs)
+
+
+def test_ties_fall_the_same_way_however_rows_are_dealt(spark):
+    kinds = [("Article", 0.2), ("Definition", 0.2), ("Article", 0.5), (None, None)]
+    rows = [(q, "n1", kinds[(i * 7 + q) % 4][0], i % 3, "b", f"t{i % 5}", kinds[(i * 7 + q) % 4][1], "primary", 1) for q in range(3) for i in range(40)]
+    rows += [(q, None, "Article", 1, "b", "x", 0.1, s, 2) for q in range(3) for s in ("primary", "explicit", None)]
+    schema = "qid long, node_id string, node_type string, article_number int, breadcrumb string, text string, score double, source string, pos int"
+    found = spark.createDataFrame(rows, schema)
+    seen = {str(sorted(map(str, retrieval.dedupe_and_cap(found.repartition(n, F.rand(n)), 12).collect()))) for n in (1, 3, 8, 40)}
+    assert len(seen) == 1
+    first = retrieval.dedupe_and_cap(found, 12).filter("node_id = 'n1' AND qid = 0").collect()
+    assert [(r.node_type, r.score) for r in first] == [("Article", 0.5)]
+
+
+def test_scratch_blocks_of_two_threads_leave_each_other_alone(spark):
+    opened, written = threading.Event(), threading.Event()
+    got: list = []
+
+    def other():
+        opened.wait()
+        got.append(session.cut(spark.range(7)))
+        written.set()
+
+    worker = threading.Thread(target=other)
+    worker.start()
+    with session.scratch(spark) as keep:
+        mine = session.cut(spark.range(3))
+        kept = keep(session.cut(spark.range(4)))
+        opened.set()
+        written.wait()
+    worker.join()
+    assert got[0].count() == 7 and kept.count() == 4
+    with pytest.raises(Exception):
+        mine.count()
+
+
+def test_adaptive_execution_is_set_back_by_threads(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    workers = [threading.Thread(target=lambda: session.cut(spark.range(50).repartition(4, "id"), placed=True)) for _ in range(4)]
+    for w in workers:
+        w.start()
+    for w in workers:
+        w.join()
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
+
+
+def clustered(spark, n, dim, centres, seed=5):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    at = r.standard_normal((centres, dim))
+    x = at[r.integers(0, centres, n)] + 0.35 * r.standard_normal((n, dim))
+    rows = [(i, ("a", "b", None)[i % 3], v) for i, v in enumerate(x.astype("float32").tolist())]
+    return spark.createDataFrame(rows, "node_id long, label string, embedding array<float>")
+
+
+def ranks(df):
+    return sorted((r.qid, r.label or "", r["rank"], r.node_id, round(r.score, 9)) for r in df.collect())
+
+
+def test_a_stored_index_with_all_lists_is_the_exact_search(spark, tmp_path):
+    path = str(tmp_path / "index")
+    nodes = clustered(spark, 1500, 12, 20)
+    odd = spark.createDataFrame([(9000, "a", [0.0] * 12), (9001, "a", None), (9002, "a", [1.0] * 5), (9003, "new", [1.0, 2.0, 3.0] * 4), (3, "a", [0.5] * 12)], nodes.schema)
+    every = nodes.union(odd)
+    asked = nodes.filter("node_id % 50 = 0").select(F.col("node_id").alias("qid"), "embedding", F.when(F.col("node_id") % 100 == 0, 4).otherwise(700).alias("k"))
+    asked = asked.union(spark.createDataFrame([(-1, [1.0] * 5, 3), (-2, None, 3), (-3, [1.0] * 12, 0)], asked.schema))
+    vector_index.build(nodes.filter("node_id < 1000"), path, lists=16, parts=4, codewords=32)
+    vector_index.add(nodes.filter("node_id >= 1000").union(odd), path, parts=4, codewords=32)
+    want = ranks(vector.topk(asked, every, F.col("k")))
+    assert ranks(vector_index.search(asked, path, F.col("k"), None, None)) == want and len(want) > 20_000
+    some = vector_index.search(asked, path, F.col("k"), 1, 2)
+    assert {r[:2] for r in ranks(some)} <= {r[:2] for r in want}
+    vector_index.build(nodes.limit(0), str(tmp_path / "none"))
+    assert vector_index.search(asked, str(tmp_path / "none"), 3).count() == 0
+
+
+def test_recall_of_a_stored_index_and_the_lists_it_reads(spark, tmp_path):
+    path = str(tmp_path / "index")
+    nodes = clustered(spark, 50_000, 32, 400).withColumn("label", F.lit("a"))
+    asked = nodes.filter("node_id % 500 = 0").select(F.col("node_id").alias("qid"), "embedding")
+    vector_index.build(nodes, path, lists=200)
+    sizes = [r["count"] for r in spark.read.parquet(f"{path}/vectors").groupBy("list").count().collect()]
+    assert len(sizes) >= 190 and max(sizes) <= 3 * 50_000 / len(sizes)
+    exact = {(r.qid, r.node_id) for r in vector.topk(asked, nodes, 10).collect()}
+    found = {(r.qid, r.node_id) for r in vector_index.search(asked, path, 10, probe=16).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)  # of each query under a tenth of the lists is read
+    one = vector_index.search(asked.filter("qid = 0"), path, 10, probe=16)
+    plan = one._jdf.queryExecution().explainString(one.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [(space" in plan.replace("isnotnull(space", "(space") or "PartitionFilters: [" in plan and "list" in plan.split("PartitionFilters: [")[1][:200]
+
+
+def test_no_key_of_the_exact_search_is_constant(spark):
+    nodes = clustered(spark, 4000, 8, 9).repartition(12)
+    asked = nodes.filter("node_id % 40 = 0").select(F.col("node_id").alias("qid"), "embedding")
+    got = vector.topk(asked, nodes, 3)
+    assert got.count() == 100 * 3 * 3
+    slots = vector._blocks(nodes.select(F.col("node_id").alias("id"), F.lit(8).alias("dim"), "label", F.col("embedding").cast("array<double>").alias("v")), "bigint", vector.ARROW["bigint"], 128)
+    assert slots.select(F.pmod(F.xxhash64("block", "label"), F.lit(8))).distinct().count() == 8
