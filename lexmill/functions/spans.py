@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 MARK = "\u0001"
-STRETCH = 1 << 12
+STRETCH, PAGES = 1 << 12, 1 << 12
 
 
 def scan(docs: DataFrame, pattern: str, text: str = "text", look: int = 30) -> DataFrame:
@@ -33,10 +33,18 @@ def matched(pattern: str, group: int = 0) -> Column:
     return F.regexp_extract("segment", f"^(?:{pattern})", group)
 
 
-def page_offsets(pages: DataFrame, text: str = "cleaned_text") -> DataFrame:
-    """doc_id, page_num, ps, pe of the pages of a document joined by one space (half open)."""
-    run = F.sum(F.length(text) + 1).over(W.partitionBy("doc_id").orderBy("page_num"))
-    return pages.select("doc_id", "page_num", (run - F.length(text) - 1).cast("int").alias("ps"), (run - 1).cast("int").alias("pe"))
+def page_offsets(pages: DataFrame, text: str = "cleaned_text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, page_num, ps, pe of the pages of a document joined by one space (half open), and the columns to ``keep``.
+
+    Pages are summed in stretches of PAGES numbers, and those over a document, so no task holds all its pages.
+    """
+    rows = pages.withColumn("_size", F.coalesce(F.length(text), F.lit(0)).cast("long") + 1).withColumn("_at", F.floor(F.col("page_num") / PAGES))
+    sums = rows.groupBy("doc_id", "_at").agg(F.sum("_size").alias("_own"))
+    sums = sums.select(F.col("doc_id").alias("_doc"), F.col("_at").alias("_of"), (F.sum("_own").over(W.partitionBy("doc_id").orderBy("_at")) - F.col("_own")).alias("_before"))
+    met = rows.join(sums, rows["doc_id"].eqNullSafe(sums["_doc"]) & (rows["_at"] == sums["_of"]))
+    end = F.col("_before") + F.sum("_size").over(W.partitionBy("doc_id", "_at").orderBy("page_num"))
+    kind = "int" if keep is None else "long"
+    return met.select("doc_id", "page_num", *(keep or []), (end - F.col("_size")).cast(kind).alias("ps"), (end - 1).cast(kind).alias("pe"))
 
 
 def concatenate(pages: DataFrame, text: str = "cleaned_text") -> DataFrame:

@@ -29,15 +29,22 @@ def dangling(refs: DataFrame, targets: DataFrame, column: str) -> DataFrame:
     return refs.join(targets.select(column).distinct(), column, "left_anti")
 
 
-def running_max(df: DataFrame, value: Column, partition: str, order: list[str]) -> Column:
-    """The greatest value of the last row before that has one; 0 before all."""
-    return F.coalesce(F.last(value, True).over(W.partitionBy(partition).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+def page_violations(articles: DataFrame, bucket: int = 10_000) -> DataFrame:
+    """Articles whose first page lies over one page before the last page of the last article before that has pages, by number.
 
-
-def page_violations(articles: DataFrame) -> DataFrame:
-    """Articles whose first page lies over one page before the last page of the article before, by number."""
-    before = running_max(articles, F.when(F.size("source_pages") > 0, F.array_max("source_pages")), "law_id", ["article_number", "chunk_order"])
-    return articles.withColumn("before", before).filter((F.size("source_pages") > 0) & (F.get("source_pages", F.lit(0)) < F.col("before") - 1))
+    Buckets of numbers are ordered apart; what the last bucket before leaves stands for all before it, so no task holds
+    a whole law. Articles without a number come first; null laws are one law.
+    """
+    last = F.when(F.size("source_pages") > 0, F.array_max("source_pages"))
+    rows = articles.withColumn("_last", last).withColumn("_at", F.coalesce(F.floor(F.col("article_number") / bucket), F.lit(-(1 << 40))))
+    order = F.struct(F.coalesce("article_number", F.lit(-(1 << 31))).alias("n"), "chunk_order")
+    ends = rows.groupBy("law_id", "_at").agg(F.max_by("_last", F.when(F.col("_last").isNotNull(), order)).alias("_end"))
+    before = F.last("_end", True).over(W.partitionBy("law_id").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select(F.col("law_id").alias("_law"), F.col("_at").alias("_of"), before.alias("_before"))
+    met = rows.join(ends, rows["law_id"].eqNullSafe(ends["_law"]) & (rows["_at"] == ends["_of"]))
+    own = F.last("_last", True).over(W.partitionBy("law_id", "_at").orderBy("article_number", "chunk_order").rowsBetween(W.unboundedPreceding, -1))
+    met = met.withColumn("before", F.coalesce(own, "_before", F.lit(0)))
+    return met.filter((F.size("source_pages") > 0) & (F.get("source_pages", F.lit(0)) < F.col("before") - 1)).drop("_last", "_at", "_law", "_of", "_before")
 
 
 def at_index(values: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:

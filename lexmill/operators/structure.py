@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from lexmill.functions import spans
 from lexmill.functions.text import TITLE_SIGNS, page_int, squeeze, trim_signs
+from lexmill.operators import scan
 
 # Header patterns, level order, and ordinals in the order in which they are tried (so a bare second
 # to sixth hides the compounds 12 to 16).
@@ -36,6 +40,10 @@ ORDINALS = (
 )
 PRIORITY = {"book": 0, "part": 1, "chapter": 2, "article": 3}
 LOOKAHEAD, NEAR = 30, 3
+#: Characters of a range, and of the text behind it that its last header and title may need.
+RANGE, BEHIND = 1 << 16, 1 << 10
+#: Any header: an article, or a level above it with an ordinal behind it.
+HEADER = f"(?U){NOT_INSIDE}(?:{ARTICLE.removeprefix('(?U)')}|(?:{'|'.join(LEVELS.values())})\\s+(?=(?:{'|'.join(p for _, p in ORDINALS)})))"
 
 
 def ordinal(s: Column) -> Column:
@@ -44,23 +52,6 @@ def ordinal(s: Column) -> Column:
     return F.struct(number.alias("number"), F.length(F.regexp_extract(s, "(?U)^(?:" + "|".join(p for _, p in ORDINALS) + ")", 0)).alias("length"))
 
 
-def article_markers(docs: DataFrame) -> DataFrame:
-    """doc_id, level, number (null if unread), start, end, segment of each article header."""
-    found = spans.scan(docs.select("doc_id", "text"), "(?U)" + NOT_INSIDE + ARTICLE.removeprefix("(?U)"))
-    head = spans.matched(ARTICLE)
-    return found.select("doc_id", F.lit("article").alias("level"), page_int(spans.matched(ARTICLE, 1)).alias("number"), "start", (F.col("start") + F.length(head)).alias("end"), "segment", "ahead")
-
-
-def level_markers(docs: DataFrame, level: str) -> DataFrame:
-    """The same for one level above; a keyword without an ordinal after it is no header."""
-    word = LEVELS[level]
-    found = spans.scan(docs.select("doc_id", "text"), f"(?U){NOT_INSIDE}{word}\\s+(?=ال)")
-    key = F.length(F.regexp_extract("segment", f"(?U)^{word}\\s+", 0))
-    after = F.substring(F.concat(F.expr(f"substring(segment, length(regexp_extract(segment, '(?U)^{word}\\\\s+', 0)) + 1)"), F.col("ahead")), 1, LOOKAHEAD)
-    found = found.withColumn("o", ordinal(after)).filter("o.number IS NOT NULL")
-    return found.select("doc_id", F.lit(level).alias("level"), F.col("o.number").alias("number"), "start", (F.col("start") + key + F.col("o.length")).alias("end"), "segment", "ahead")
-
-
 def renumber(numbers: Column) -> Column:
     """Article numbers along a document: an unread one, or one far ahead, gives way to the sequence; one that is at
     most NEAR ahead, or further back, is taken."""
@@ -69,41 +60,154 @@ def renumber(numbers: Column) -> Column:
     return F.aggregate(numbers, start, lambda acc, c: F.struct((step(acc, c) + 1).alias("next"), F.concat(acc["out"], F.array(step(acc, c))).alias("out")), lambda acc: acc["out"])
 
 
-def renumbered(markers: DataFrame) -> DataFrame:
-    """``markers(doc_id, number, start, ...)`` with numbers resolved; only numbers and places are gathered per document."""
-    rows = markers.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "number"))).alias("m"))
-    fixed = rows.withColumn("n", renumber(F.transform("m", lambda x: x["number"]))).select("doc_id", F.explode(F.arrays_zip(F.transform("m", lambda x: x["start"]).alias("start"), F.col("n").alias("n"))).alias("z"))
-    return markers.drop("number").join(fixed.select("doc_id", F.col("z.start").alias("start"), F.col("z.n").alias("number")), ["doc_id", "start"])
+class Renumbering:
+    """What a stretch of read numbers does to the number expected next, as a function of that number.
+
+    Numbers below ``free`` meet nothing that is near enough and only move on by ``moved``; above, each interval ends at one
+    value. A read number takes all values in its reach together, so every row adds one value at most.
+    """
 
+    def __init__(self) -> None:
+        self.free, self.moved = math.inf, 0
+        self.values: list[tuple[float, list[int]]] = []  # a heap of (less the value, but for what all have moved), beginnings of intervals
+
+    def push(self, read: int | None) -> None:
+        taken: list[int] = []
+        if read is not None and read >= 1:
+            least = read - NEAR
+            begin = max(1, least - self.moved)
+            if begin < self.free:
+                taken, self.free = [begin], begin
+            while self.values and -self.values[0][0] + self.moved >= least:
+                more = heapq.heappop(self.values)[1]
+                taken, more = (taken, more) if len(taken) >= len(more) else (more, taken)
+                taken += more
+        self.moved += 1
+        if taken:
+            heapq.heappush(self.values, (-(read + 1 - self.moved), taken))
+
+    def function(self) -> list:
+        pieces = sorted((begin, int(-value) + self.moved) for value, begins in self.values for begin in begins)
+        kept = [p for i, p in enumerate(pieces) if not i or pieces[i - 1][1] != p[1]]
+        return [None if self.free == math.inf else self.free, self.moved, *zip(*kept, strict=True)] if kept else [None, self.moved, [], []]
+
+
+def expected_after(function: list, expected: int) -> int:
+    """The number expected after the rows of a ``Renumbering``."""
+    free, moved, begins, values = function
+    return expected + moved if free is None or expected < free else values[bisect.bisect_right(begins, expected) - 1]
+
+
+class Places:
+    """A machine for ``segmented``: resolved numbers, and the book, part and chapter in which each header stands.
+
+    A state is the number expected, the three levels as (number, title), and the last header as (start, end, whether it is
+    an article's). A function is a renumbering, the levels that were set or cleared, and the last header.
+    """
 
-def carry(markers: DataFrame) -> DataFrame:
-    """Each marker with the book, part and chapter it stands in; a new level clears those below it."""
-    order = [F.col("start"), F.col("priority")]
-    at = lambda *keys: W.partitionBy("doc_id", *keys).orderBy(*order)
-    own = lambda level, c: F.when(F.col("level") == level, F.col(c))
-    seen = lambda level, w: F.sum((F.col("level") == level).cast("int")).over(w)
-    out = markers.withColumn("_b", seen("book", at())).withColumn("_p", seen("part", at("_b")))
-    for level, w in (("book", at()), ("part", at("_b")), ("chapter", at("_b", "_p"))):
-        out = out.withColumn(f"{level}_number", F.last(own(level, "number"), True).over(w)).withColumn(f"{level}_title", F.coalesce(F.last(own(level, "title"), True).over(w), F.lit("")))
-    return out.drop("_b", "_p")
+    reads = ("level", "number", "title", "start", "end")
+    adds = "owner long, owner_end long, of_article boolean, article_number int, " + ", ".join(f"{x}_number int, {x}_title string" for x in LEVELS)
+
+    def start(self) -> list:
+        return [1, [None, ""], [None, ""], [None, ""], None]
+
+    class builder:  # noqa: N801
+        def __init__(self) -> None:
+            self.numbers, self.levels, self.last = Renumbering(), [None, None, None], None
+
+        def push(self, row: tuple) -> None:
+            level, number, title, start, end = row
+            if level == "article":
+                self.numbers.push(number)
+            elif level is not None:
+                i = PRIORITY[level]
+                self.levels = self.levels[:i] + [[number, title]] + [[None, ""]] * (2 - i)
+            if level is not None:
+                self.last = [start, end, level == "article"]
+
+        def function(self) -> list:
+            return [self.numbers.function(), self.levels, self.last]
+
+    def after(self, function: list, state: list) -> list:
+        numbers, levels, last = function
+        return [expected_after(numbers, state[0]), *(s if f is None else f for f, s in zip(levels, state[1:4], strict=True)), last or state[4]]
+
+    def step(self, state: list, row: tuple) -> tuple[list, tuple]:
+        level, number, title, start, end = row
+        expected, *levels, last = state
+        resolved = None
+        if level == "article":
+            resolved = number if number is not None and 1 <= number <= expected + NEAR else expected
+            expected = resolved + 1
+        elif level is not None:
+            i = PRIORITY[level]
+            levels = levels[:i] + [[number, title]] + [[None, ""]] * (2 - i)
+        if level is not None:
+            last = [start, end, level == "article"]
+        return [expected, *levels, last], (*(last or (None, None, None)), resolved, *(x for pair in levels for x in pair))
+
+
+def ranges(pages: DataFrame) -> DataFrame:
+    """doc_id, range, begin and text: each document's pages, joined by one space, as stretches of RANGE characters with
+    the character before them and BEHIND behind, which hold what its headers look at. ``begin`` is where text begins."""
+    plain = pages.select("doc_id", "page_num", F.translate(F.coalesce("cleaned_text", F.lit("")), spans.MARK, "").alias("cleaned_text"))
+    offsets = spans.page_offsets(plain, keep=["cleaned_text"])
+    own = F.when(F.col("ps") > 0, F.concat(F.lit(" "), "cleaned_text")).otherwise(F.col("cleaned_text"))
+    whole = offsets.select("doc_id", own.alias("t"), F.greatest(F.col("ps") - 1, F.lit(0)).cast("long").alias("ps"), F.col("pe").cast("long"))
+    first, last = F.greatest(F.floor((F.col("ps") - BEHIND) / RANGE), F.lit(0)), F.floor(F.col("pe") / RANGE)
+    cut_ = whole.filter("pe > ps").withColumn("range", F.explode(F.sequence(first, last)))
+    lo, hi = F.greatest("ps", F.col("range") * RANGE - 1), F.least("pe", (F.col("range") + 1) * RANGE + BEHIND)
+    pieces = cut_.withColumn("lo", lo).filter(F.col("lo") < hi).select("doc_id", "range", "lo", F.expr("t").substr((lo - F.col("ps") + 1).cast("int"), (hi - lo).cast("int")).alias("t"))
+    ordered = F.array_sort(F.collect_list(F.struct("lo", "t")))
+    return pieces.groupBy("doc_id", "range").agg(F.min("lo").alias("begin"), F.concat_ws("", F.transform(ordered, lambda x: x["t"])).alias("text"))
+
+
+def pieces(pages: DataFrame, max_title: int) -> DataFrame:
+    """doc_id, start, end, level, number and title of each header, and of what a range holds before its first (level is
+    null), with ``body``: the text behind it in its range, and where that begins, ``at``."""
+    parts = F.split(F.regexp_replace("text", HEADER, spans.MARK + "$0"), spans.MARK)
+    rows = ranges(pages).select("doc_id", "range", "begin", F.posexplode(parts).alias("pos", "segment"))
+    upto = F.sum(F.length("segment")).over(W.partitionBy("doc_id", "range").orderBy("pos")) - F.length("segment")  # placed by (doc_id, range) already
+    rows = rows.withColumn("start", F.col("begin") + upto).withColumns({"lo": F.col("range") * RANGE, "hi": (F.col("range") + 1) * RANGE})
+    rows = rows.filter("start < hi AND start + length(segment) > lo")
+    word = F.regexp_extract("segment", f"(?U)^(?:({'|'.join(LEVELS.values())})\\s+)?", 1)
+    key = F.length(F.regexp_extract("segment", f"(?U)^(?:{'|'.join(LEVELS.values())})\\s+", 0))
+    header = (F.col("pos") > 0) & (F.col("start") >= F.col("lo"))  # one that begins before is the range's before
+    level = reduce(lambda rest, x: F.when(word == x[1], F.lit(x[0])).otherwise(rest), LEVELS.items(), F.lit("article"))
+    rows = rows.withColumn("level", F.when(header, level))
+    found = ordinal(F.expr(f"substring(segment, length(regexp_extract(segment, '(?U)^(?:{'|'.join(LEVELS.values())})\\\\s+', 0)) + 1, {LOOKAHEAD})"))
+    above = F.col("level").isin(*LEVELS)
+    rows = rows.withColumn("o", F.when(above, found)).withColumn("number", F.when(above, F.col("o.number")).when(header, page_int(spans.matched(ARTICLE, 1))))
+    size = F.when(above, key + F.col("o.length")).when(header, F.length(spans.matched(ARTICLE))).otherwise(F.lit(0))
+    rows = rows.withColumn("size", size).withColumn("end", F.col("start") + F.col("size"))
+    title = F.substring(squeeze(F.substring_index(trim_signs(F.expr("substring(segment, size + 1)"), TITLE_SIGNS), "مادة", 1)), 1, max_title)
+    at = F.greatest("end", "lo")
+    body = F.expr("segment").substr((at - F.col("start") + 1).cast("int"), F.greatest(F.least(F.col("start") + F.length("segment"), F.col("hi")) - at, F.lit(0)).cast("int"))
+    start = F.when(header, F.col("start")).otherwise(F.col("lo"))
+    return rows.select("doc_id", start.alias("start"), F.col("end").cast("long").alias("end"), "level", "number", F.when(above, title).alias("title"), at.cast("long").alias("at"), body.alias("body"))
+
+
+def parse_pages(pages: DataFrame, max_title: int = 100, parts: int | None = None) -> DataFrame:
+    """Articles of ``pages(doc_id, page_num, cleaned_text)``: number, body, hierarchy and character span in the document,
+    which is its pages joined by one space.
+
+    Every header ends what stands before it, also a level that a body only mentions. Headers are found in ranges of
+    characters and resolved by a segmented scan, so no task holds a document; only an article has to fit a row. Null
+    pages are empty; null documents are one; without pages there are no articles.
+    """
+    # a range's first piece and a header at its beginning start alike
+    placed = scan.segmented(pieces(pages, max_title).withColumn("first", F.col("level").isNotNull().cast("int")), "doc_id", ["start", "first"], Places(), parts)
+    own = placed.filter("of_article")
+    skipped = F.greatest(F.col("owner_end") - F.col("at"), F.lit(0)).cast("int")  # a header may run into the next range
+    text = F.expr("body").substr(skipped + 1, F.greatest(F.length("body") - skipped, F.lit(0)))
+    levels = [f"{x}_{y}" for x in LEVELS for y in ("number", "title")]
+    place = F.when(F.col("level") == "article", F.struct("article_number", *levels))
+    last = F.greatest(F.col("at") + F.length("body"), F.col("owner_end"))
+    whole = own.groupBy("doc_id", "owner").agg(F.first(place, True).alias("p"), F.array_sort(F.collect_list(F.struct("at", text.alias("t")))).alias("t"), F.max(last).cast("int").alias("char_end"))
+    body = trim_signs(F.concat_ws("", F.transform("t", lambda x: x["t"])), TITLE_SIGNS)
+    return whole.select("doc_id", "p.article_number", body.alias("body_text"), *(f"p.{c}" for c in levels), F.col("owner").cast("int").alias("char_start"), "char_end")
 
 
 def parse(docs: DataFrame, max_title: int = 100) -> DataFrame:
-    """Articles of ``docs(doc_id, text)``: number, body, hierarchy and character span.
-
-    Every marker ends what stands before it, also a level that a body only mentions.
-    """
-    articles = renumbered(article_markers(docs)).select("doc_id", "level", "number", "start", "end", "segment", "ahead")
-    markers = reduce(DataFrame.unionByName, [articles, *(level_markers(docs, level) for level in LEVELS)])
-    priority = reduce(lambda rest, p: F.when(F.col("level") == p[0], F.lit(p[1])).otherwise(rest), PRIORITY.items(), F.lit(9))
-    markers = markers.withColumn("priority", priority).join(docs.select("doc_id", F.length(F.translate("text", spans.MARK, "")).alias("size")), "doc_id")
-    w = W.partitionBy("doc_id").orderBy("start", "priority")
-    markers = markers.withColumn("next", F.lead("start").over(w)).withColumn("next", F.coalesce("next", "size"))
-    # a title may run into what its own segment no longer holds; a level's segment ends at the next of its level
-    slice_ = F.expr("substring(segment, end - start + 1, next - end)")
-    title = F.substring(squeeze(F.substring_index(trim_signs(slice_, TITLE_SIGNS), "مادة", 1)), 1, max_title)
-    markers = carry(markers.withColumn("title", title))
-    body = trim_signs(slice_, TITLE_SIGNS)
-    return markers.filter("level = 'article' AND number IS NOT NULL").select(
-        "doc_id", F.col("number").alias("article_number"), body.alias("body_text"), "book_number", "book_title", "part_number", "part_title", "chapter_number", "chapter_title", F.col("start").alias("char_start"), F.col("next").alias("char_end")
-    )
+    """Articles of ``docs(doc_id, text)``, as of documents of one page."""
+    return parse_pages(docs.select("doc_id", F.lit(1).alias("page_num"), F.col("text").alias("cleaned_text")), max_title)

@@ -22,7 +22,7 @@ def chunk_pages(pages: DataFrame, config: CorpusConfig) -> tuple[DataFrame, Data
 
     The articles are written once, as chunks, glossary and counters all start from them.
     """
-    articles = cut(structure.parse(spans.concatenate(pages), config.max_title))
+    articles = cut(structure.parse_pages(pages, config.max_title))
     if "law_id" in pages.columns:
         articles = articles.join(pages.groupBy("doc_id").agg(F.min("law_id").alias("law_id")), "doc_id")
     chunks = chunking.build_chunks(articles, spans.page_offsets(pages), config)

@@ -1,15 +1,19 @@
 """From pages to a graph, on a small statute of our own with the quirks that matter."""
 
+import random
+import re
 import threading
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexmill import session
 from lexmill.config import CorpusConfig
 from lexmill.functions import spans
 from lexmill.functions import text as T
-from lexmill.operators import annotate, chunking, graph, quality, retrieval, structure, vector, vector_index
+from lexmill.operators import annotate, chunking, graph, quality, retrieval, scan, structure, vector, vector_index
 from lexmill.plans.answer import answer_batch, answer_timed, retrieve
 from lexmill.plans.index import chunk_pages, stage_chunk, stage_embed, stage_load
 from lexmill.providers import RateLimited, answering, with_retries
@@ -366,3 +370,111 @@ def test_no_key_of_the_exact_search_is_constant(spark):
     assert got.count() == 100 * 3 * 3
     slots = vector._blocks(nodes.select(F.col("node_id").alias("id"), F.lit(8).alias("dim"), "label", F.col("embedding").cast("array<double>").alias("v")), "bigint", vector.ARROW["bigint"], 128)
     assert slots.select(F.pmod(F.xxhash64("block", "label"), F.lit(8))).distinct().count() == 8
+
+
+def statute_text(seed, n, gap=40):
+    """A law with headers of all kinds, numbers that jump, are missing or come again, words that only look like headers."""
+    r = random.Random(seed)
+    eastern = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
+    names = ["الأول", "الثاني", "الثالث", "الحادي عشر", "غير"]
+    out = ["ديباجة"]
+    for i in range(n):
+        if r.random() < 0.2:
+            out.append(f"{r.choice(list(structure.LEVELS.values()))} {r.choice(names)} {'عنوان ' * r.randrange(4)}")
+        read = r.choice([str(i + 1), str(i + 1), "", str(r.randrange(1, n + 9)), "0", str(i + 3)])
+        out.append(f"مادة ({read if r.random() < 0.5 else read[::-1].translate(eastern)}) {'نص' * r.randrange(gap)} ومادة (1) {r.choice(['', 'كلمة ' * r.randrange(gap)])}")
+    return " ".join(out)
+
+
+def by_fold(text):
+    """The articles of a text by one loop over its headers."""
+    word = r"(?<![اوفبلكم])"
+    head = re.compile(word + r"(?:(?P<a>م\s?ا\s?د\s?ة\s*[()]\s*([\d٠-٩]*)\s*[():.،])|(?P<l>الكتاب|الباب|الفصل)\s+(?P<o>الأول|الثاني|الثالث|الحادي\s*عشر)\b)")
+    number = {"الأول": 1, "الثاني": 2, "الثالث": 3, "الحادي عشر": 11}
+    found = list(head.finditer(text))
+    expected, places, out = 1, [(None, ""), (None, ""), (None, "")], []
+    for m, until in zip(found, [*(m.start() for m in found[1:]), len(text)], strict=False):
+        body = text[m.end() : until].strip(" :-–،.()")
+        if m["l"]:
+            i = list(structure.LEVELS.values()).index(m["l"])
+            places = places[:i] + [(number[m["o"]], body.split("مادة")[0].strip()[:100])] + [(None, "")] * (2 - i)
+            continue
+        token = m[2][::-1] if len(m[2]) > 1 and m[2][0] in "٠١٢٣٤٥٦٧٨٩" else m[2]
+        read = int(token) if token else None
+        expected = (read if read is not None and 1 <= read <= expected + 3 else expected) + 1
+        out.append((expected - 1, body, *(x for p in places for x in p), m.start(), until))
+    return out
+
+
+def in_pages(spark, texts, size):
+    """Texts as pages cut at their blanks, so that the pages joined by one give the text again."""
+    rows = []
+    for d, text in texts.items():
+        words, page, n = text.split(" "), [], 1
+        for w in words:
+            page.append(w)
+            if sum(map(len, page)) >= size:
+                rows.append((d, n, " ".join(page)))
+                page, n = [], n + 1
+        rows.append((d, n, " ".join(page)))
+    return spark.createDataFrame(rows, "doc_id long, page_num int, cleaned_text string").repartition(3)
+
+
+def test_articles_of_a_document_in_many_ranges_and_partitions(spark, monkeypatch):
+    texts = {d: statute_text(d, n) for d, n in ((1, 150), (2, 2), (3, 60), (4, 0))} | {5: "", 6: "مادة (1) " + "طويل " * 900 + "مادة (2) آخر"}
+    want = sorted(((d, *a) for d, t in texts.items() for a in by_fold(t)), key=repr)
+    for size, width, behind, parts in ((50, 1 << 16, 1 << 10, None), (300, 700, 300, 9), (7, 400, 200, 23), (10_000, 333, 250, 60)):
+        monkeypatch.setattr(structure, "RANGE", width)
+        monkeypatch.setattr(structure, "BEHIND", behind)
+        got = structure.parse_pages(in_pages(spark, texts, size), parts=parts)
+        rows = ((r.doc_id, r.article_number, r.body_text, r.book_number, r.book_title, r.part_number, r.part_title, r.chapter_number, r.chapter_title, r.char_start, r.char_end) for r in got.collect())
+        assert sorted(rows, key=repr) == want
+
+
+def test_scans_of_one_key_run_in_many_tasks(spark):
+    r = random.Random(8)
+    kinds = [("article", None), ("article", 1), ("book", 2), ("part", 3), ("chapter", 4), (None, None)]
+    rows = []
+    for i in range(4000):
+        level, number = r.choice(kinds)
+        number = r.choice([None, i // 6, r.randrange(1, 900), 5]) if level == "article" else number
+        rows.append((None if i < 90 else 7 if i < 3900 else i // 20, i, level, number, f"t{i}" if level not in (None, "article") else None, i, i + 2))
+    df = spark.createDataFrame(rows, "doc_id long, at int, level string, number int, title string, start long, end long").repartition(5)
+    machine, want, now, state = structure.Places(), [], "none", None
+    for k, at, *row in rows:
+        if k != now:
+            now, state = k, machine.start()
+        state, made = machine.step(state, tuple(row))
+        want.append((at, *made))
+    for parts in (1, 16, 50):
+        out = scan.segmented(df, "doc_id", ["at"], machine, parts)
+        got = sorted(tuple(r)[1:2] + tuple(r)[7:] for r in out.collect())
+        assert got == want
+        assert parts == 1 or out.filter("doc_id = 7").select(F.spark_partition_id()).distinct().count() >= parts * 0.8
+
+
+@given(st.lists(st.one_of(st.none(), st.integers(-1, 14)), max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_renumbering_as_a_function_of_what_is_expected(reads):
+    numbers = structure.Renumbering()
+    for read in reads:
+        numbers.push(read)
+    for first in range(1, 30):
+        expected = first
+        for read in reads:
+            expected = (read if read is not None and 1 <= read <= expected + structure.NEAR else expected) + 1
+        assert structure.expected_after(numbers.function(), first) == expected
+
+
+def test_page_violations_across_stretches(spark):
+    r = random.Random(2)
+    rows = [("L", n, n, [] if r.random() < 0.4 else sorted({n // 9 + r.randrange(-4, 4), n // 9})) for n in r.sample(range(90_000), 700)] + [("M", 5, 1, [9]), ("M", 6, 2, [7]), (None, 7, 1, [9]), (None, None, 1, [1])]
+    df = spark.createDataFrame(rows, "law_id string, article_number int, chunk_order long, source_pages array<int>")
+    want = set()
+    for law in {x[0] for x in rows}:
+        before = 0
+        for _, n, o, pages in sorted((x for x in rows if x[0] == law), key=lambda x: (-1 if x[1] is None else x[1], x[2])):
+            if pages and pages[0] < before - 1:
+                want.add((law, n, o))
+            before = max(pages) if pages else before
+    assert {(x.law_id, x.article_number, x.chunk_order) for x in quality.page_violations(df).collect()} == want and len(want) > 20
