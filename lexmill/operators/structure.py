@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexmill.functions import spans
-from lexmill.functions.text import TITLE_SIGNS, page_int, squeeze, trim_signs
+from lexmill.functions.text import TITLE_SIGNS, digits_int, squeeze, trim_signs
 from lexmill.operators import scan
 
 # Header patterns, level order, and ordinals in the order in which they are tried (so a bare second
@@ -39,11 +39,11 @@ ORDINALS = (
     (16, "السادس\\s*عشر\\b"),
 )
 PRIORITY = {"book": 0, "part": 1, "chapter": 2, "article": 3}
-LOOKAHEAD, NEAR = 30, 3
+NEAR = 3
 #: Characters of a range, and of the text behind it that its last header and title may need.
 RANGE, BEHIND = 1 << 16, 1 << 10
-#: Any header: an article, or a level above it with an ordinal behind it.
-HEADER = f"(?U){NOT_INSIDE}(?:{ARTICLE.removeprefix('(?U)')}|(?:{'|'.join(LEVELS.values())})\\s+(?=(?:{'|'.join(p for _, p in ORDINALS)})))"
+#: Any header: an article with its number, or a level above it with an ordinal behind it.
+HEADER = f"(?U){NOT_INSIDE}(?:{ARTICLE.removeprefix('(?U)')}|({'|'.join(LEVELS.values())})\\s+({'|'.join(p for _, p in ORDINALS)}))"
 
 
 def ordinal(s: Column) -> Column:
@@ -159,32 +159,39 @@ def ranges(pages: DataFrame) -> DataFrame:
     lo, hi = F.greatest("ps", F.col("range") * RANGE - 1), F.least("pe", (F.col("range") + 1) * RANGE + BEHIND)
     pieces = cut_.withColumn("lo", lo).filter(F.col("lo") < hi).select("doc_id", "range", "lo", F.expr("t").substr((lo - F.col("ps") + 1).cast("int"), (hi - lo).cast("int")).alias("t"))
     ordered = F.array_sort(F.collect_list(F.struct("lo", "t")))
-    return pieces.groupBy("doc_id", "range").agg(F.min("lo").alias("begin"), F.concat_ws("", F.transform(ordered, lambda x: x["t"])).alias("text"))
+    out = pieces.groupBy("doc_id", "range").agg(F.min("lo").alias("begin"), F.concat_ws("", F.transform(ordered, lambda x: x["t"])).alias("text"))
+    # no header may begin at the character before: what stands there in place of a header's first letter hides headers alike
+    before = F.concat(F.translate(F.substring("text", 1, 1), "ما", "وو"), F.expr("substring(text, 2)"))
+    return out.withColumn("text", F.when(F.col("begin") < F.col("range") * RANGE, before).otherwise(F.col("text")))
 
 
 def pieces(pages: DataFrame, max_title: int) -> DataFrame:
     """doc_id, start, end, level, number and title of each header, and of what a range holds before its first (level is
     null), with ``body``: the text behind it in its range, and where that begins, ``at``."""
-    parts = F.split(F.regexp_replace("text", HEADER, spans.MARK + "$0"), spans.MARK)
-    rows = ranges(pages).select("doc_id", "range", "begin", F.posexplode(parts).alias("pos", "segment"))
-    upto = F.sum(F.length("segment")).over(W.partitionBy("doc_id", "range").orderBy("pos")) - F.length("segment")  # placed by (doc_id, range) already
+    # one pass marks each header, its number, its word and its ordinal; five parts a header follow what is before the first
+    m = spans.MARK
+    parts = F.split(F.regexp_replace("text", HEADER, f"{m}$1{m}$2{m}$3{m}$0{m}"), m)
+    rows = ranges(pages).select("doc_id", "range", "begin", parts.alias("p"))
+    names = ("read", "word", "ordinal", "head", "rest")
+    nothing = F.struct(*(F.lit("").alias(n) for n in names[:-1]), F.get("p", F.lit(0)).alias("rest"))
+    each = F.transform(F.sequence(F.lit(1), F.size("p") - 5, F.lit(5)), lambda i: F.struct(*(F.get(F.col("p"), i + k).alias(n) for k, n in enumerate(names))))
+    listed = F.when(F.size("p") < 6, F.array(nothing)).otherwise(F.concat(F.array(nothing), each))
+    rows = rows.select("doc_id", "range", "begin", F.posexplode(listed).alias("pos", "s")).select("doc_id", "range", "begin", "pos", "s.*")
+    size = F.length("head") + F.length("rest")
+    upto = F.sum(size).over(W.partitionBy("doc_id", "range").orderBy("pos")) - size  # placed by (doc_id, range) already
     rows = rows.withColumn("start", F.col("begin") + upto).withColumns({"lo": F.col("range") * RANGE, "hi": (F.col("range") + 1) * RANGE})
-    rows = rows.filter("start < hi AND start + length(segment) > lo")
-    word = F.regexp_extract("segment", f"(?U)^(?:({'|'.join(LEVELS.values())})\\s+)?", 1)
-    key = F.length(F.regexp_extract("segment", f"(?U)^(?:{'|'.join(LEVELS.values())})\\s+", 0))
+    rows = rows.filter((F.col("start") < F.col("hi")) & (F.col("start") + size > F.col("lo")))
     header = (F.col("pos") > 0) & (F.col("start") >= F.col("lo"))  # one that begins before is the range's before
-    level = reduce(lambda rest, x: F.when(word == x[1], F.lit(x[0])).otherwise(rest), LEVELS.items(), F.lit("article"))
-    rows = rows.withColumn("level", F.when(header, level))
-    found = ordinal(F.expr(f"substring(segment, length(regexp_extract(segment, '(?U)^(?:{'|'.join(LEVELS.values())})\\\\s+', 0)) + 1, {LOOKAHEAD})"))
+    level = reduce(lambda rest, x: F.when(F.col("word") == x[1], F.lit(x[0])).otherwise(rest), LEVELS.items(), F.lit("article"))
+    rows = rows.withColumn("level", F.when(header, level)).withColumn("end", F.col("start") + F.length("head"))
     above = F.col("level").isin(*LEVELS)
-    rows = rows.withColumn("o", F.when(above, found)).withColumn("number", F.when(above, F.col("o.number")).when(header, page_int(spans.matched(ARTICLE, 1))))
-    size = F.when(above, key + F.col("o.length")).when(header, F.length(spans.matched(ARTICLE))).otherwise(F.lit(0))
-    rows = rows.withColumn("size", size).withColumn("end", F.col("start") + F.col("size"))
-    title = F.substring(squeeze(F.substring_index(trim_signs(F.expr("substring(segment, size + 1)"), TITLE_SIGNS), "مادة", 1)), 1, max_title)
+    number = F.when(above, ordinal(F.col("ordinal"))["number"]).when(F.col("level") == "article", digits_int(F.col("read")))
+    title = F.substring(squeeze(F.substring_index(trim_signs(F.col("rest"), TITLE_SIGNS), "مادة", 1)), 1, max_title)
     at = F.greatest("end", "lo")
-    body = F.expr("segment").substr((at - F.col("start") + 1).cast("int"), F.greatest(F.least(F.col("start") + F.length("segment"), F.col("hi")) - at, F.lit(0)).cast("int"))
+    left = F.greatest(F.least(F.col("end") + F.length("rest"), F.col("hi")) - at, F.lit(0))
+    body = F.col("rest").substr((at - F.col("end") + 1).cast("int"), left.cast("int"))
     start = F.when(header, F.col("start")).otherwise(F.col("lo"))
-    return rows.select("doc_id", start.alias("start"), F.col("end").cast("long").alias("end"), "level", "number", F.when(above, title).alias("title"), at.cast("long").alias("at"), body.alias("body"))
+    return rows.select("doc_id", start.alias("start"), F.col("end").cast("long").alias("end"), "level", number.alias("number"), F.when(above, title).alias("title"), at.cast("long").alias("at"), body.alias("body"))
 
 
 def parse_pages(pages: DataFrame, max_title: int = 100, parts: int | None = None) -> DataFrame:
