@@ -102,6 +102,33 @@ def digits_int(s: Column) -> Column:
     return western_digits(forward).try_cast("int")
 
 
+#: What the classes of white space and digits of all alphabets hold, spelled out: patterns with them run quicker than with a flag.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def spelled(pattern: str) -> str:
+    """A pattern with the flag (?U) as one without it; for patterns whose classes are white space and digits."""
+    out: list[str] = []
+    i, body = 0, pattern.removeprefix("(?U)")
+    while i < len(body):
+        two = body[i : i + 2]
+        if two in ("\\s", "\\d"):
+            out.append("\\p{IsWhite_Space}" if two == "\\s" else "\\p{Nd}")
+            i += 2
+            continue
+        out.append(two if body[i] == "\\" else body[i])
+        i += len(out[-1])
+    return "".join(out)
+
+
+def runs_of_digits(match: Column, others: str) -> Column:
+    """The runs of digits in a string of digits, white space and the characters ``others``, in order.
+
+    Empty runs are dropped before anything is cast: what can't be cast is slow, as the cast fails by an exception."""
+    gone = SPACES + others
+    return F.filter(F.split(F.translate(match, gone, " " * len(gone)), " "), lambda t: t != "")
+
+
 def estimate_tokens(s: Column) -> Column:
     return F.greatest(F.lit(1), F.rint(F.length(s) / F.lit(3.4)).cast("int"))
 

@@ -14,18 +14,23 @@ SEVERAL = f"(?U){NOT_INSIDE}(?:ال|لل|بال)?مواد[يى]?\\s*[)(]\\s*([\\
 OTHER_LAW = "(?U)قانون[^،,.\\n]{1,80}رقم\\s*([\\d٠-٩۰-۹]+)\\s*لسنة\\s*([\\d٠-٩۰-۹]{4})"
 
 
+#: Either form in one pass, and what a match holds besides digits and white space.
+ANY = T.spelled(f"{NOT_INSIDE}(?:{ONE.removeprefix('(?U)' + NOT_INSIDE)}|{SEVERAL.removeprefix('(?U)' + NOT_INSIDE)})")
+OTHERS = "البلمةدتينىو()،,"
+LAW = T.spelled(OTHER_LAW)
+
+
 def cross_refs(text: Column, max_article: Column, own: Column | None = None) -> Column:
     """Sorted article numbers that a text refers to, up to max_article, without its own."""
-    plain = T.strip_diacritics(text)
-    lists = F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(SEVERAL), F.lit(1)), lambda s: F.split(s, "(?U)[\\s،,]+")))
-    numbers = F.transform(F.concat(F.regexp_extract_all(plain, F.lit(ONE), F.lit(1)), lists), T.digits_int)
-    found = F.array_distinct(F.filter(numbers, lambda n: n.between(1, max_article)))
-    return F.array_sort(F.filter(found, lambda n: ~n.eqNullSafe(own)) if own is not None else found)
+    matches = F.regexp_extract_all(T.strip_diacritics(text), F.lit(ANY), F.lit(0))
+    numbers = F.transform(F.flatten(F.transform(matches, lambda m: T.runs_of_digits(m, OTHERS))), T.digits_int)
+    good = (lambda n: n.between(1, max_article) & ~n.eqNullSafe(own)) if own is not None else (lambda n: n.between(1, max_article))
+    return F.sort_array(F.array_distinct(F.filter(numbers, good)))
 
 
 def external_refs(text: Column) -> Column:
     """Other laws in order of first mention."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(OTHER_LAW), F.lit(0)), T.squeeze))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LAW), F.lit(0)), T.squeeze))
 
 
 def terms_used(texts: DataFrame, terms: DataFrame, key: str = "node_id") -> DataFrame:

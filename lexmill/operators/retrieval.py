@@ -17,6 +17,10 @@ NUMBER = "[\\d٠-٩۰-۹]+"
 NAMED = f"(?U)(?<![اوفبلكم])(?:ال|لل|بال)?(?:مادة|مادتين|مادتي|مادتى)\\s*\\(?\\s*({NUMBER})\\s*\\)?(?:\\s*و\\s*\\(?\\s*({NUMBER})\\s*\\)?)?"
 LISTED = f"(?U)(?<![اوفبلكم])(?:ال|لل|بال)?مواد\\s+({NUMBER}(?:\\s*(?:و|إلى|الى|،|,|-)\\s*{NUMBER})+)"
 SPAN = f"(?U)({NUMBER})\\s*(?:إلى|الى|-)\\s*({NUMBER})"
+#: Either form in one pass, the word of a list, a range in it, and what a match holds besides digits and white space.
+ANY = T.spelled(f"(?:{NAMED.removeprefix('(?U)')}|{LISTED.removeprefix('(?U)')})")
+LIST_WORD, ANY_SPAN = "مواد", T.spelled(SPAN)
+OTHERS = "البلمةدتينىو()إ،,-"
 SOURCES = ("explicit", "primary", "definition", "cross_ref")
 COLUMNS = ["qid", "node_id", "node_type", "article_number", "breadcrumb", "text", "score", "source", "pos"]
 
@@ -25,15 +29,21 @@ def route(question: Column, config: RouteConfig = RouteConfig()) -> Column:
     """Sorted article numbers that a question names. In a list the first range, if it is valid and short enough,
     stands for the whole list; else every number counts."""
     valid = lambda n: n.between(1, config.total_articles)
-    single = F.transform(F.concat(F.regexp_extract_all(question, F.lit(NAMED), F.lit(1)), F.regexp_extract_all(question, F.lit(NAMED), F.lit(2))), T.typed_int)
 
-    def one_list(tail: Column) -> Column:
-        a, b = (T.typed_int(F.regexp_extract(tail, SPAN, g)) for g in (1, 2))
-        good = F.coalesce(valid(a) & valid(b) & (F.abs(b - a) <= config.max_span), F.lit(False))
-        return F.when(good, F.sequence(F.least(a, b), F.greatest(a, b))).otherwise(F.transform(F.regexp_extract_all(tail, F.lit(f"(?U){NUMBER}"), F.lit(0)), T.typed_int))
+    def numbers(match: Column) -> Column:
+        return F.transform(T.runs_of_digits(match, OTHERS), lambda t: T.western_digits(t).try_cast("int"))
 
-    lists = F.flatten(F.transform(F.regexp_extract_all(question, F.lit(LISTED), F.lit(1)), one_list))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(single, lists), valid)))
+    def with_span(match: Column) -> Column:
+        ends = F.filter(F.when(F.contains(match, F.lit(LIST_WORD)), numbers(F.regexp_extract(match, ANY_SPAN, 0))), lambda n: n.isNotNull())
+        return F.struct(match.alias("m"), F.get(ends, F.lit(0)).alias("a"), F.get(ends, F.lit(1)).alias("b"))
+
+    def named(x: Column) -> Column:
+        good = F.coalesce(valid(x["a"]) & valid(x["b"]) & (F.abs(x["b"] - x["a"]) <= config.max_span), F.lit(False))
+        return F.when(good, F.sequence(F.least(x["a"], x["b"]), F.greatest(x["a"], x["b"]))).otherwise(numbers(x["m"]))
+
+    # a match is looked at once: its first range first, then its numbers
+    matches = F.transform(F.regexp_extract_all(question, F.lit(ANY), F.lit(0)), with_span)
+    return F.sort_array(F.array_distinct(F.filter(F.flatten(F.transform(matches, named)), valid)))
 
 
 def resolved(questions: DataFrame) -> DataFrame:

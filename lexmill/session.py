@@ -22,6 +22,7 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.openCostInBytes", "512k")  # small files are read by several tasks
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
