@@ -9,16 +9,19 @@ The content's root is the deepest beginning of paths that holds nearly all of th
 content as well, such as short headings, lists and captions, unless links make up most of their text or a step below the
 root bears a name of what is not the article; such paths are content only as core, and paths elsewhere only from
 ELSEWHERE of the greatest value. An article or main element around the root takes its place, and a title that stands
-right beside the root is content.
+right beside the root is content. Where the core lies in several elements right under the body, the body is the root,
+of which containers without any core are no part.
 
 A step of a path is the tag; containers add their classes. Names (classes, ids, roles) that sites give to what is not
-the article never hide anything: a path with such a name counts PENALTY of its value, and since values are only compared
-inside a page, a name around the whole page says nothing. Elements that hold no article text by their tag (scripts,
-forms, navigation, footers, asides) take no part.
+the article lower a path's value to PENALTY of it; a compound name counts by its last noun, so the analysis of a
+``legal-analysis`` is article. Since values are only compared inside a page and names only count below the root, a name
+around the whole article says nothing. A form that holds under HALF of the page's text counts as named so, a larger one
+wraps the page. Elements that hold no article text by their tag (scripts, navigation, footers, asides) take no part.
 
 Defined cases: null or empty html gives an empty text; unclosed tags end where HTML lets them end, and of elements that
 are skipped as a whole only script and style take the rest of the page when unclosed; a "<" that begins no tag is text;
-other columns and repeated rows are left alone; an empty table gives an empty result.
+elements nested deeper than DEEP share the path of the one at DEEP; other columns and repeated rows are left alone; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,10 +41,13 @@ NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 # Elements by their meaning in HTML, and parts of names that sites give to what is not the article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea iframe svg math object select canvas".split())
+RAW = set("script style noscript template textarea iframe svg select canvas annotation annotation-xml".split())
 CODE = {"script", "style"}  # without an end, all that follows is theirs
-NOT_ARTICLE = RAW | set("head nav footer aside form button dialog menu".split())
-INLINE = set("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+NOT_ARTICLE = RAW | set("head nav footer aside button dialog menu".split())
+INLINE = set(
+    "a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark object q s samp small span strike strong sub sup time tt u var "
+    "math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split()
+)
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = set("article div main section td".split())
@@ -50,11 +56,13 @@ OTHER_NAMES = set(
     "breadcrumb breadcrumbs toc pagination pager footer topbar share sharing social related recommended widget comment comments disqus reply replies respond contentinfo complementary copyright legal disclaimer".split()
 )
 WHOLE_NAMES = set("alert meta search side skip tags".split())  # only as they stand
+#: Nouns that end a name without telling what the element is.
+PLACES = set("area bar block body box button buttons container content group holder inner item items link links list outer panel post posts region row section slot title top unit wrap wrapper zone".split())
 HEAD_NAMES = {"header", "masthead", "banner"}  # of the site, or of the article
 TOLD = {"no", "not", "has", "with", "without", "is", "enabled", "disabled"}  # a name with such a part tells what else the page has
 #: Weights of a block and its neighbours; value left to named paths; share of the greatest value that makes core, and
 #: that makes content outside the root; share of the core's value below the content's root.
-SMOOTHING, PENALTY, THRESHOLD, ELSEWHERE, HELD = (0.25, 0.5, 0.25), 0.05, 0.4, 0.6, 0.9
+SMOOTHING, PENALTY, THRESHOLD, ELSEWHERE, HELD, HALF, DEEP = (0.25, 0.5, 0.25), 0.05, 0.4, 0.6, 0.9, 0.5, 100
 
 
 class Block:
@@ -66,6 +74,14 @@ class Block:
         self.parts, self.counts, self.path = [], [0, 0, 0], path
 
 
+def noun_of(name: str) -> str:
+    """The part of a compound name that tells what it names."""
+    parts = [x for x in re.split(r"[-_]+", name) if x and not x.isdigit()]
+    while len(parts) > 1 and parts[-1] in PLACES:
+        parts.pop()
+    return parts[-1] if parts else ""
+
+
 def marks_of(attributes: str) -> tuple[str, bool, bool]:
     """The classes, and whether a name is one of what is not the article, or of a head."""
     classes, other, head = "", False, False
@@ -73,7 +89,7 @@ def marks_of(attributes: str) -> tuple[str, bool, bool]:
         for token in " ".join(value).lower().split():
             parts = re.split(r"[-_]+", token)
             if TOLD.isdisjoint(parts):
-                other |= token in WHOLE_NAMES or not OTHER_NAMES.isdisjoint(parts)
+                other |= token in WHOLE_NAMES or noun_of(token) in OTHER_NAMES
                 head |= token in HEAD_NAMES
         if kind.lower() == "class":
             classes += "".join("." + x for x in sorted(" ".join(value).lower().split()))
@@ -100,7 +116,7 @@ def blocks(page: str) -> list[Block]:
         if fresh:
             if not stripped:
                 return
-            out.append(Block(tuple(x for x in steps if x[0] not in ("html", "body"))))
+            out.append(Block(tuple(x for x in steps[:DEEP] if x[0] not in ("html", "body"))))
             fresh = False
         block = out[-1]
         block.parts.append(piece)
@@ -177,6 +193,21 @@ def _shared(a: tuple, b: tuple) -> int:
     return n
 
 
+def with_forms(found: list[Block]) -> list[Block]:
+    """The blocks with the steps of small forms named as something else."""
+    chars: dict[tuple, int] = {}
+    whole = sum(b.counts[0] for b in found)
+    for b in found:
+        for depth, step in enumerate(b.path, 1):
+            if step[0] == "form":
+                chars[b.path[:depth]] = chars.get(b.path[:depth], 0) + b.counts[0]
+    small = {p for p, n in chars.items() if n < HALF * whole}
+    for b in found:
+        if small:
+            b.path = tuple((name, other or b.path[: i + 1] in small, head) for i, (name, other, head) in enumerate(b.path))
+    return found
+
+
 def path_values(found: list[Block]) -> dict[tuple, float]:
     """The fused, smoothed value of each path."""
     sums: dict[tuple, list[int]] = {}
@@ -211,18 +242,21 @@ def content_paths(found: list[Block]) -> set[tuple]:
     for b in found:
         chars[b.path] = chars.get(b.path, 0) + b.counts[2]
         linked[b.path] = linked.get(b.path, 0) + b.counts[2] - b.counts[0]
-        if b.path in core:
-            for depth in range(len(b.path)):  # below the block's own element nothing is a root
-                mass[b.path[:depth]] = mass.get(b.path[:depth], 0.0) + values[b.path] * b.counts[0]
-    whole = mass.get((), 0.0)
+    for p in core:
+        own = values[p] * (chars[p] - linked[p])
+        for depth in range(len(p)):  # below the block's own element nothing is a root
+            mass[p[:depth]] = mass.get(p[:depth], 0.0) + own
+    whole = sum(values[p] * (chars[p] - linked[p]) for p in core)
     root = max((p for p, m in mass.items() if m >= HELD * whole), key=len, default=())
     for kind in ("main", "article"):  # such an element around the root is the root
         for depth in range(len(root), 0, -1):
             if root[depth - 1][0].split(".")[0] == kind:
                 root = root[:depth]
                 break
-    if not root:
-        return core  # the page itself is no root
+    if not root:  # the page itself, but for its containers without any core
+        tops = {p[:1] for p in core}
+        within = {p for p in values if p[:1] in tops or (p and p[0][0].split(".")[0] not in (*CONTAINERS, "header", "form"))}
+        return core | {p for p in within if not any(other or head for _, other, head in p) and 3 * linked[p] <= 2 * chars[p]}
     clean = lambda steps: not any(other for _, other, _ in steps)
     below = {p for p in values if p[: len(root)] == root and clean(p[len(root) :]) and 3 * linked[p] <= 2 * chars[p]}
     first = next((i for i, b in enumerate(found) if b.path in below), 0)
@@ -233,7 +267,7 @@ def content_paths(found: list[Block]) -> set[tuple]:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+    found = with_forms(blocks(page or ""))
     kept = content_paths(found)
     return "\n".join(" ".join("".join(b.parts).split()) for b in found if b.path in kept)
 
