@@ -104,8 +104,16 @@ def segment_edges(chunks: DataFrame) -> DataFrame:
 
 def reference_edges(chunks: DataFrame) -> DataFrame:
     """REFERENCES to articles of the same law; references to itself or to no article vanish."""
+    return resolved_references(references(chunks), chunks)
+
+
+def references(chunks: DataFrame) -> DataFrame:
+    """law_id, node_id and ref of each reference of a chunk, but to its own article."""
+    return chunks.select("law_id", "node_id", "article_number", F.explode("cross_refs").alias("ref")).filter("NOT (ref <=> article_number)")
+
+
+def resolved_references(found: DataFrame, chunks: DataFrame) -> DataFrame:
     articles = chunks.filter("node_type = 'Article'").select("law_id", F.col("article_number").alias("ref"), F.col("node_id").alias("target")).distinct()
-    found = chunks.select("law_id", "node_id", "article_number", F.explode("cross_refs").alias("ref")).filter("NOT (ref <=> article_number)")
     return edges(found.join(articles, ["law_id", "ref"]), F.col("node_id"), F.col("target"), "REFERENCES")
 
 
@@ -115,14 +123,27 @@ def external_edges(chunks: DataFrame) -> DataFrame:
 
 def term_edges(chunks: DataFrame) -> DataFrame:
     """USES_TERM from all but definitions to each definition of a term."""
+    return resolved_terms(uses(chunks), chunks)
+
+
+def uses(chunks: DataFrame) -> DataFrame:
+    """law_id, node_id and term of each use of a defined term."""
+    return chunks.filter("node_type <> 'Definition'").select("law_id", "node_id", F.explode("defined_terms_used").alias("term"))
+
+
+def resolved_terms(found: DataFrame, chunks: DataFrame) -> DataFrame:
     terms = chunks.filter("node_type = 'Definition'").select("law_id", F.col("defined_term").alias("term"), F.col("node_id").alias("target")).distinct()
-    found = chunks.filter("node_type <> 'Definition'").select("law_id", "node_id", F.explode("defined_terms_used").alias("term"))
     return edges(found.join(terms, ["law_id", "term"]), F.col("node_id"), F.col("target"), "USES_TERM")
 
 
+def laws(chunks: DataFrame, config: CorpusConfig) -> DataFrame:
+    told = {"title": config.law_title, "issued_date": config.issued_date, "gazette_issue": config.gazette_issue}
+    return chunks.select("law_id").distinct().select(F.col("law_id").alias("id"), *(F.lit(v).alias(k) for k, v in told.items()))
+
+
 def build_graph(chunks: DataFrame, config: CorpusConfig) -> dict[str, DataFrame]:
     """All vertex tables by label, and ``edges``."""
-    law = chunks.select("law_id").distinct().select(F.col("law_id").alias("id"), F.lit(config.law_title).alias("title"), F.lit(config.issued_date).alias("issued_date"), F.lit(config.gazette_issue).alias("gazette_issue"))
+    law = laws(chunks, config)
     levels = {level.capitalize(): hierarchy_nodes(chunks, level) for level in KEYS}
     texts = {kind: text_nodes(chunks, kind) for kind in ("Article", "ArticleSegment", "Definition")}
     other = chunks.select(F.explode("external_refs").alias("description")).distinct()

@@ -14,6 +14,7 @@ from lexmill.config import CorpusConfig
 from lexmill.functions import spans
 from lexmill.functions import text as T
 from lexmill.operators import annotate, chunking, graph, quality, retrieval, scan, structure, vector, vector_index
+from lexmill.plans import delta
 from lexmill.plans.answer import answer_batch, answer_timed, retrieve
 from lexmill.plans.index import chunk_pages, stage_chunk, stage_embed, stage_load
 from lexmill.providers import RateLimited, answering, with_retries
@@ -478,3 +479,59 @@ def test_page_violations_across_stretches(spark):
                 want.add((law, n, o))
             before = max(pages) if pages else before
     assert {(x.law_id, x.article_number, x.chunk_order) for x in quality.page_violations(df).collect()} == want and len(want) > 20
+
+
+def some_chunks(spark, r, docs):
+    rows = []
+    for d in docs:
+        numbers = [r.choice([i, i, i + 300, 3]) for i in range(1, r.randrange(2, 9))]
+        for i, n in enumerate(numbers):
+            place = [r.choice([None, 1, 2]) for _ in range(3)]
+            refs, terms, laws = r.sample(range(1, 9), 2) + [301], r.sample(["t1", "t2", "t3"], 2), r.sample(["x", "y", "z"], r.randrange(3))
+            common = (d, f"L{d % 3}", f"L{d % 3}-art{n:03}", "Article", *place, r.choice(["a", "b"]), n, None, None, None, refs, laws, terms, f"text {r.randrange(3)}", 100 * i)
+            rows.append(common)
+            if r.random() < 0.5:
+                rows.append((*common[:2], f"{common[2]}-seg01", "ArticleSegment", *common[4:9], None, 1, 1, *common[12:16], 100 * i + 1))
+            if r.random() < 0.3:
+                t = r.choice(["t1", "t2", "t3"])
+                rows.append((*common[:2], f"L{d % 3}-def-{t}", "Definition", *common[4:9], t, None, None, [], [], [], "def", 100 * i + 2))
+    schema = "doc_id long, law_id string, node_id string, node_type string, book_number int, part_number int, chapter_number int, book_title string, article_number int, defined_term string, segment_index int, segment_total int, cross_refs array<int>, external_refs array<string>, defined_terms_used array<string>, text string, chunk_order long"
+    df = spark.createDataFrame(rows, schema)
+    none = F.lit(None)
+    return df.withColumns({"part_title": F.col("book_title"), "chapter_title": F.col("book_title"), "term_variants": F.array("text"), "text_normalized": F.col("text"), "char_count": F.length("text"), "token_count_est": F.lit(1), "source_pages": F.array(F.lit(1)), "embedding": none.cast("array<float>")})
+
+
+def test_loads_one_after_the_other_equal_a_build_from_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delta, "BUCKET", 2)
+    monkeypatch.setattr(delta, "PARTS", 4)
+    r, path = random.Random(11), str(tmp_path / "graph")
+    chunks = session.cut(some_chunks(spark, r, range(6)))
+    delta.store(graph.build_graph(chunks, EACH), path)
+    for step in range(3):
+        docs = r.sample(range(8), 2)
+        new = session.cut(some_chunks(spark, r, docs[:1] if step != 1 else docs))
+        gone = spark.createDataFrame([(docs[1],)], "doc_id long") if step == 2 else None
+        chunks, touched = delta.load(chunks, new, path, EACH, gone)
+        chunks = session.cut(chunks)
+        assert touched["edges"] > 0
+        for name, want in graph.build_graph(chunks, EACH).items():
+            have = spark.read.schema(want.schema).parquet(f"{path}/{name}").select(want.columns)
+            assert sorted(map(str, have.collect())) == sorted(map(str, want.collect())), (step, name)
+    again = chunks.filter("doc_id = 3")
+    assert set(delta.load(chunks, again, path, EACH)[1].values()) == {0}
+
+
+def test_rows_touched_follow_the_change(spark, tmp_path):
+    def law(n, moved):
+        rows = [(1, "L", f"L-art{i:05}", "Article", 1, 1, 1, i + (10_000 if i == moved else 0), [i % 97 + 1], i) for i in range(1, n)]
+        df = spark.createDataFrame(rows, "doc_id long, law_id string, node_id string, node_type string, book_number int, part_number int, chapter_number int, article_number int, cross_refs array<int>, chunk_order long")
+        text = {"text": F.lit("x"), "text_normalized": F.lit("x"), "char_count": F.lit(1), "token_count_est": F.lit(1), "source_pages": F.array(F.lit(1)), "embedding": F.lit(None).cast("array<float>"), "defined_term": F.lit(None).cast("string"), "term_variants": F.array().cast("array<string>")}
+        more = {f"{x}_title": F.lit("t") for x in ("book", "part", "chapter")} | {"segment_index": F.lit(None).cast("int"), "segment_total": F.lit(None).cast("int"), "external_refs": F.array().cast("array<string>"), "defined_terms_used": F.array().cast("array<string>")}
+        return session.cut(df.withColumns(text | more))
+
+    for n in (400, 1600):
+        before, after = law(n, None), law(n, 333)
+        path = str(tmp_path / str(n))
+        delta.store(graph.build_graph(before, EACH), path)
+        touched = delta.load(before, after, path, EACH)[1]
+        assert touched["edges"] <= 8 and touched["Article"] == 2
