@@ -27,6 +27,8 @@ from lexmill.session import cut
 
 EOS, BLOCK, SUPER = 50256, 1 << 16, 1 << 10
 BOM = b"\xef\xbb\xbf"
+#: Splits whose places are sent to every task; a row is a path and a few numbers.
+BROADCAST_SPLITS = 50_000
 
 
 def word_tokens(text: str | None) -> np.ndarray:
@@ -70,30 +72,29 @@ def read_token_files(spark: SparkSession, path: str, block: int = BLOCK) -> Data
     """Blocks of flat files of any length, file_id being a file's path.
 
     Spark's text source splits the files, so any store that Spark reads will do. The newline bytes it cuts at are put
-    back; a first pass measures the splits, whose sizes summed per file give their places, and blocks that lie across
-    splits are joined. Only a stretch without a newline byte has to fit into one row. A file whose bytes don't add up
+    back; a first pass measures the splits, whose sizes summed per file give their places, which are broadcast up to
+    BROADCAST_SPLITS of them and joined beyond; blocks that lie across splits are joined. Only a stretch without a newline byte has to fit into one row. A file whose bytes don't add up
     to its size, or whose size is odd, is an error.
     """
     size = 2 * block
     of = lambda name: F.col(f"_metadata.{name}")
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"), of("file_path").alias("file_id"), of("file_block_start").alias("start"), of("file_size").alias("size"))
-    splits = lines.groupBy("file_id", "size", "start").agg(F.sum(F.octet_length("value").cast("long") + 1).alias("n"))  # small: a row per split
-    places: dict[tuple[str, int], tuple[int, int, bytes, bool]] = {}  # place, the file's size, bytes to put before, whether the last newline is not the file's
-    files: dict[tuple[str, int], list[tuple[int, int]]] = {}
-    for r in splits.collect():
-        files.setdefault((r.file_id, r.size), []).append((r.start, r.n))
-    for (name, total), own in files.items():
-        own.sort()
-        missing = total - sum(n for _, n in own)
-        if missing not in (-1, 0, 2, 3) or total % 2:
-            raise ValueError(f"{name}: {total - missing} of {total} bytes read, an even number and all expected")
-        mark = BOM if missing > 0 else b""  # the text source drops it
-        at = len(mark)
-        for start, n in own:
-            first = start == own[0][0]
-            places[name, start] = (0 if first else at, total, mark if first else b"", missing in (-1, 2) and start == own[-1][0])
-            at += n
-    shared = spark.sparkContext.broadcast(places)
+    splits = cut(lines.groupBy("file_id", "size", "start").agg(F.sum(F.octet_length("value").cast("long") + 1).alias("n")))  # a row a split
+    file = W.partitionBy("file_id")
+    missing = (F.col("size") - F.sum("n").over(file)).alias("missing")
+    places = splits.select("*", missing, (F.sum("n").over(file.orderBy("start")) - F.col("n")).alias("upto"), F.min("start").over(file).alias("begin"), F.max("start").over(file).alias("end"))
+    bad = places.filter("missing NOT IN (-1, 0, 2, 3) OR size % 2 <> 0").first()
+    if bad:
+        raise ValueError(f"{bad.file_id}: {bad.size - bad.missing} of {bad.size} bytes read, an even number and all expected")
+    # the text source drops a mark at the beginning, and adds a newline to a last line without one
+    first, mark = F.col("start") == F.col("begin"), F.col("missing") > 0
+    at = F.when(first, 0).otherwise(F.col("upto") + F.when(mark, len(BOM)).otherwise(0))
+    places = places.select("file_id", "start", at.cast("long").alias("at"), (first & mark).alias("marked"), ((F.col("start") == F.col("end")) & F.col("missing").isin(-1, 2)).alias("extra"))
+    if splits.count() <= BROADCAST_SPLITS:
+        met = lines.join(F.broadcast(places), ["file_id", "start"])  # lines stay in order
+    else:
+        met = lines.withColumn("_line", F.monotonically_increasing_id()).join(places.hint("merge"), ["file_id", "start"]).sortWithinPartitions("file_id", "start", "_line")
+    met = met.select("file_id", "start", "size", "value", "at", "marked", "extra")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, at, total, extra = None, bytearray(), 0, 0, False
@@ -115,14 +116,13 @@ def read_token_files(spark: SparkSession, path: str, block: int = BLOCK) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(rows["at"]), pa.string()), *(pa.array(rows[k], t) for k, t in zip(rows, kinds, strict=True))], names=["file_id", *rows])
 
         for b in batches:
-            lines = b.column("value").to_pylist()
-            for key, group in groupby(zip(b.column("file_id").to_pylist(), b.column("start").to_pylist(), lines, strict=True), key=lambda r: r[:2]):
-                if key != now:
+            columns = [b.column(c).to_pylist() for c in ("file_id", "start", "size", "at", "marked", "extra", "value")]
+            for key, group in groupby(zip(*columns, strict=True), key=lambda r: r[:6]):
+                if key[:2] != now:
                     if now:
                         yield from pieces(True)
-                    now, held = key, bytearray()
-                    at, total, before, extra = shared.value[key]
-                    held += before
+                    now, held = key[:2], bytearray(BOM if key[4] else b"")
+                    total, at, extra = key[2], key[3], key[5]
                 for *_, line in group:
                     held += line
                     held += b"\n"
@@ -130,7 +130,7 @@ def read_token_files(spark: SparkSession, path: str, block: int = BLOCK) -> Data
         if now:
             yield from pieces(True)
 
-    cuts = cut(lines.mapInArrow(lean(run), "file_id string, block_no long, at long, tokens binary, whole boolean"))
+    cuts = cut(met.mapInArrow(lean(run), "file_id string, block_no long, at long, tokens binary, whole boolean"))
     parts = F.array_sort(F.collect_list(F.struct("at", "tokens")))
     across = cuts.filter("NOT whole").groupBy("file_id", "block_no").agg(F.aggregate(parts, F.lit(b""), lambda s, x: F.concat(s, x["tokens"])).alias("tokens"))
     return cuts.filter("whole").select("file_id", "block_no", "tokens").unionByName(across)

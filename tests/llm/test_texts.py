@@ -324,8 +324,10 @@ def test_token_counts_across_blocks(docs):
     assert tokens.document_tokens(rows.limit(0)).count() == 0
 
 
-def test_token_files_are_read_in_splits(spark, docs, tmp_path):
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_token_files_are_read_in_splits(spark, docs, tmp_path, monkeypatch, broadcast):
     """Files longer than a split, with newline and mark bytes anywhere, come back whole; documents across splits count once."""
+    monkeypatch.setattr(tokens, "BROADCAST_SPLITS", broadcast)
     r = np.random.default_rng(5)
     files = {}
     for k in range(3):
