@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import spans
 from lexmill.functions import text as T
-from lexmill.operators import annotate, chunking, context, graph, presentation, quality, retrieval, structure, vector
-from lexmill.session import table
+from lexmill.operators import annotate, chunking, context, graph, presentation, quality, retrieval, structure, vector, vector_index
+from lexmill.session import shared_folder, table
 from lexmill.sources.files import pages_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,6 +158,24 @@ def structure_articles(spark, sf):
     return structure.parse(texts).select("doc_id", "article_number", "body_text", "book_number", "book_title", "char_start")
 
 
+@query(
+    "WITH a AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderpriority AS body FROM orders) "
+    "SELECT doc_id, n::INT AS article_number, body AS body_text, CASE WHEN (n - 1) // 4 % 2 = 0 THEN 1 ELSE 2 END AS book_number, 'ك ' || (n - (n - 1) % 4) AS book_title, 3 AS part_number, 'ب ' || (n - (n - 1) % 2) AS part_title, "
+    "CASE WHEN n % 3 = 0 OR n % 6 = 4 THEN 4 END AS chapter_number, CASE WHEN n % 3 = 0 THEN 'ف ' || n WHEN n % 6 = 4 THEN 'ف ' || (n - 1) ELSE '' END AS chapter_title FROM a"
+)
+def structure_places(spark, sf):
+    """A text per customer, an article per order, on pages of one order each: a book before every fourth, a part before
+    every second, which clears the chapter, a chapter before every third."""
+    from pyspark.sql.window import Window as W
+
+    rows = table(spark, sf, "orders").withColumn("n", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")))
+    n = F.col("n").cast("string")
+    book = F.when(F.col("n") % 4 == 1, F.concat(F.when(F.col("n") % 8 == 1, F.lit("الكتاب الأول ك ")).otherwise(F.lit("الكتاب الثاني ك ")), n))
+    part, chapter = F.when(F.col("n") % 2 == 1, F.concat(F.lit("الباب الثالث ب "), n)), F.when(F.col("n") % 3 == 0, F.concat(F.lit("الفصل الرابع ف "), n))
+    pages = rows.select(F.col("o_custkey").alias("doc_id"), F.col("n").alias("page_num"), F.concat_ws(" ", book, part, chapter, F.concat(F.lit("مادة ("), n, F.lit("): "), "o_orderpriority")).alias("cleaned_text"))
+    return structure.parse_pages(pages).select("doc_id", "article_number", "body_text", *(f"{x}_{y}" for x in structure.LEVELS for y in ("number", "title")))
+
+
 @query(
     "SELECT k AS o_orderkey, i::INT AS number FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN [1, 2, 3, 4] WHEN o_orderkey % 4 = 1 THEN [2, 3, 6, 7] WHEN o_orderkey % 4 = 2 THEN [1, 2, 1, 2] ELSE [1, 2, 3, 1] END AS l FROM orders), LATERAL (SELECT unnest(l) AS i)"
 )
@@ -305,6 +323,25 @@ def vector_topk(spark, sf):
     return vector.topk(*_vectors(spark, sf), 5).select("qid", "label", "node_id", F.round("score", 9).alias("score"), "rank")
 
 
+@query(f"WITH {NEAREST} SELECT qid, label, node_id, round(score, 9) AS score, n::INT AS rank FROM l WHERE n <= 5")
+def vector_index_exact(spark, sf):
+    """The same from a stored index that reads all its lists and bounds every distance: built by half of the rows, the others added."""
+    asked, nodes = _vectors(spark, sf)
+    path = f"{shared_folder(spark)}/index"
+    vector_index.build(nodes.filter("node_id % 2 = 0"), path)
+    vector_index.add(nodes.filter("node_id % 2 <> 0"), path)
+    return vector_index.search(asked, path, 5, None, None).select("qid", "label", "node_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query()
+def vector_index_nearest(spark, sf):
+    """Of each query's nearest lists only, ranked exactly; tests measure the recall."""
+    asked, nodes = _vectors(spark, sf)
+    path = f"{shared_folder(spark)}/index"
+    vector_index.build(nodes, path)
+    return vector_index.search(asked, path, 5, 8, 8).select("qid", "label", "node_id", F.round("score", 9).alias("score"), "rank")
+
+
 @query(f"WITH {NEAREST}, m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, label, node_id) AS r FROM l WHERE n <= 8) SELECT qid, label, node_id, round(score, 9) AS score, r::INT AS rank FROM m WHERE r <= 8")
 def vector_topk_merged(spark, sf):
     return vector.topk_merged(*_vectors(spark, sf), 8, ("0", "1", "2")).select("qid", "label", "node_id", F.round("score", 9).alias("score"), "rank")

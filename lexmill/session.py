@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -44,6 +45,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexmill-ckpt-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name inside the checkpoint folder, which driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
 #: Tables cut inside this thread's open scratch blocks, innermost last. Threads that share a session don't see each other's.
 _open: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open_scratch", default=())
 #: Held while adaptive execution is off for a session, so that what is set back is what was there.
