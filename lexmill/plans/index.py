@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.config import CorpusConfig
 from lexmill.functions import spans
 from lexmill.operators import annotate, chunking, graph, quality, structure, vector
-from lexmill.providers import HashEmbedding, embed
+from lexmill.providers import HashEmbedding, embed_stored
 from lexmill.session import cut
 from lexmill.sources.files import read_tables, write_tables
 
@@ -38,8 +38,9 @@ def stage_chunk(pages: DataFrame, path: str, config: CorpusConfig) -> DataFrame:
 
 
 def stage_embed(spark: SparkSession, path: str, provider: Callable[[list[str]], list[list[float]]] = HashEmbedding()) -> None:
+    """Write the chunks with their embeddings; vectors are kept by text, so a run that died, or a changed chunk, costs only what is new."""
     chunks = read_tables(spark, path, ["chunks"])["chunks"]
-    write_tables({"embedded": embed(chunks, "text_normalized", provider)}, path)
+    write_tables({"embedded": embed_stored(chunks, "text_normalized", provider, f"{path}/vectors_by_text")}, path)
 
 
 def stage_load(spark: SparkSession, path: str, config: CorpusConfig) -> dict[str, DataFrame]:

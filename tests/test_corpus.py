@@ -1,8 +1,11 @@
 """From pages to a graph, on a small statute of our own with the quirks that matter."""
 
+import glob
+import os
 import random
 import re
 import threading
+import uuid
 
 import pytest
 from hypothesis import given, settings
@@ -17,7 +20,7 @@ from lexmill.operators import annotate, chunking, graph, quality, retrieval, sca
 from lexmill.plans import delta
 from lexmill.plans.answer import answer_batch, answer_timed, retrieve
 from lexmill.plans.index import chunk_pages, stage_chunk, stage_embed, stage_load
-from lexmill.providers import RateLimited, answering, with_retries
+from lexmill.providers import Paced, RateLimited, answering, embed_stored, with_retries
 from lexmill.queries import QUERIES
 from lexmill.sources import files
 
@@ -534,3 +537,48 @@ def test_rows_touched_follow_the_change(spark, tmp_path):
         delta.store(graph.build_graph(before, EACH), path)
         touched = delta.load(before, after, path, EACH)[1]
         assert touched["edges"] <= 8 and touched["Article"] == 2
+
+
+def counting(folder):
+    """A provider that notes what it is sent, and fails while a file says so; and what it was sent so far."""
+
+    def provider(texts):
+        if os.path.exists(f"{folder}/broken") and any(t.startswith("late") for t in texts):
+            raise ValueError("down")
+        with open(f"{folder}/{uuid.uuid4().hex}.sent", "w", encoding="utf-8") as f:
+            f.write("\n".join(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    return provider, lambda: [x for p in glob.glob(f"{folder}/*.sent") for x in open(p, encoding="utf-8").read().split("\n")]
+
+
+def test_embedding_is_taken_up_where_it_broke_off(spark, tmp_path):
+    (provider, sent), path = counting(str(tmp_path)), str(tmp_path / "store")
+    texts = [f"{'late' if i % 10 == 0 else 'text'} {i % 60}" for i in range(120)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    (tmp_path / "broken").touch()
+    with pytest.raises(Exception):
+        embed_stored(df, "t", provider, path, batch=2, per_round=7, attempts=1, delay=0.0).count()
+    stood = spark.read.schema("key string").parquet(path).count() if os.path.exists(path) else 0
+    os.remove(tmp_path / "broken")
+    before = len(sent())
+    rows = embed_stored(df, "t", provider, path, batch=2, per_round=7, attempts=1, delay=0.0, calls_per_minute=60_000).collect()
+    assert len(rows) == 122 and all(r.embedding == [float(len(r.t or "")), 1.0] for r in rows)
+    assert len(sent()) - before == 61 - stood  # what stands isn't sent again, and equal texts are sent once
+    again = len(sent())
+    assert embed_stored(df, "t", provider, path).count() == 122 and len(sent()) == again
+    assert embed_stored(df.limit(0), "t", provider, str(tmp_path / "none")).count() == 0
+
+
+def test_calls_keep_their_distance():
+    now, waits = [0.0], []
+
+    def sleep(s):
+        waits.append(s)
+        now[0] += s
+
+    paced = Paced(lambda texts: texts, 3.0, sleep, lambda: now[0])
+    for _ in range(3):
+        paced(["x"])
+        now[0] += 1.0
+    assert waits == [2.0, 2.0]
