@@ -90,6 +90,12 @@ def validate(chunks: DataFrame, glossary: DataFrame, *, articles: int = 298, def
     return reduce(DataFrame.unionByName, rows)
 
 
+def verdict(checks: DataFrame) -> tuple[list[str], int]:
+    """A line for each check, in order of their names, and the exit status: 0 if all passed, else 1. For the few rows of ``validate``."""
+    rows = sorted(checks.select("check", "ok", "n").collect())
+    return [f"{'PASS' if r['ok'] else 'FAIL'} {r['check']} ({r['n']})" for r in rows], int(not all(r["ok"] for r in rows))
+
+
 def counters(pages: DataFrame, articles: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: pages, chars, articles, chunks, definitions, with_refs, with_terms."""
     a = pages.agg(F.count("*").alias("pages"), F.sum(F.length("cleaned_text")).alias("chars"))

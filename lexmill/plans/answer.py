@@ -65,7 +65,8 @@ def answer_batch(questions: DataFrame, graph: dict[str, DataFrame], embedder: Ca
 
 
 def answer_timed(questions: DataFrame, graph: dict[str, DataFrame], embedder: Callable = HashEmbedding(), answer: Answer = extractive_answer, config: RouteConfig = RouteConfig()) -> DataFrame:
-    """``answer_batch`` stage by stage, each written, with elapsed_ms (of the batch, by stage) and one line in the log."""
+    """``answer_batch`` stage by stage, each written, with elapsed_ms (of the batch, by stage), one line in the log for the
+    batch, and log_line for each question: what was asked, the articles it names, the chunks found and the times."""
     took: dict[str, int] = {}
 
     def stage(name: str, df: DataFrame) -> DataFrame:
@@ -79,4 +80,7 @@ def answer_timed(questions: DataFrame, graph: dict[str, DataFrame], embedder: Ca
     found = stage("retrieve", found_for(asked, graph, config))
     out = stage("generate", generate(asked, found, answer))
     log.info("answered a batch: %s", ", ".join(f"{k} {v} ms" for k, v in took.items()))
-    return out.withColumn("elapsed_ms", F.create_map(*(F.lit(x) for pair in took.items() for x in pair)))
+    times = F.lit(" ".join(f"{k}_ms={v}" for k, v in took.items()))
+    refs = F.array_join(F.transform("detected_refs", lambda n: n.cast("string")), ",")
+    line = F.format_string("question=%s refs=[%s] chunks=%d %s", F.coalesce("question", F.lit("")), refs, F.when(F.col("sources").isNull(), 0).otherwise(F.size("sources")), times)
+    return out.withColumn("elapsed_ms", F.create_map(*(F.lit(x) for pair in took.items() for x in pair))).withColumn("log_line", line)

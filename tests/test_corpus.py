@@ -173,6 +173,9 @@ def test_stages_graph_and_answers(spark, pages, tmp_path):
     assert answers[1].detected_refs == [4] and answers[1].answer == rows[0].text
     assert answers[1].sources[0].excerpt == rows[0].text[:300]
     report = {r["check"]: r for r in quality.validate(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/glossary")).collect()}
+    lines, status = quality.verdict(quality.validate(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/glossary")))
+    assert status == 1 and "FAIL article gaps (1)" in lines and "PASS glossary consistency (0)" in lines and len(lines) == 7
+    assert quality.verdict(spark.createDataFrame([("a", True, 0)], "check string, ok boolean, n long")) == (["PASS a (0)"], 0)
     assert not report["article gaps"].ok and report["article gaps"].n == 1 and report["glossary consistency"].ok
 
 
@@ -248,6 +251,7 @@ def test_answers_know_their_prompts_limits_errors_and_times(spark, pages, tmp_pa
     assert (rows[1].answer, rows[1].error) == ("Analyse 4096", None)
     assert (rows[2].answer, rows[2].error) == ("", "ValueError: refused")
     assert set(rows[1].elapsed_ms) == {"route", "embed", "retrieve", "generate"} and min(rows[1].elapsed_ms.values()) >= 1
+    assert rows[1].log_line.startswith(f"question={rows[1].question} refs=[4] chunks={len(rows[1].sources)} route_ms=") and " generate_ms=" in rows[1].log_line
     waits = []
     with pytest.raises(RuntimeError):
         with_retries(lambda: (_ for _ in ()).throw(RateLimited()), sleep=waits.append)
