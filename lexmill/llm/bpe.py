@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -41,7 +41,7 @@ PLAIN = regex.compile(WORDS.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}").re
 NEW = regex.compile(f"[{NEW_LETTERS}{NEW_NUMBERS}]")
 L, N = rf"[\p{{L}}--[{NEW_LETTERS}]]", rf"[\p{{N}}--[{NEW_NUMBERS}]]"
 CAREFUL = regex.compile(WORDS.replace("{L}", L).replace("{N}", N).replace("{l}", L).replace("{n}", N), regex.V1)
-PIECE, CACHED, CACHE_WORD, SENT = 1 << 20, 400_000, 64, 2 << 20
+PIECE, CACHED, CACHE_WORD, SENT = 1 << 20, 200_000, 64, 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -195,6 +195,21 @@ def _encoder(shared) -> Encoder:
     return _made[id(shared.value)]
 
 
+def _encoding(shared, run: Callable[[Encoder, pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with this worker's encoder. What it cached goes at the end of each task: workers live on in later stages."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared)
+        try:
+            for b in batches:
+                yield from run(encoder, b)
+        finally:
+            encoder.cache.clear()
+            encoder.pairs.clear()
+
+    return lean(whole)
+
+
 def _parts(ids: pa.Array, made: Iterable[bytes | str], kind: pa.DataType, name: str) -> Iterator[pa.RecordBatch]:
     """Each of ``ids`` with what is made of its row, handed on at every SENT bytes: what a whole batch gives is never held."""
     at, held, size = 0, [], 0
@@ -210,39 +225,33 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers, as binary) of every row of ``docs(doc_id, text)``."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
-        for b in batches:
-            yield from _parts(b.column("doc_id"), (encoder.encode(t.as_py() or "") for t in b.column("text")), pa.binary(), "ids")
+    def run(encoder: Encoder, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield from _parts(b.column("doc_id"), (encoder.encode(t.as_py() or "") for t in b.column("text")), pa.binary(), "ids")
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(_encoding(shared, run), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of every row of ``encoded(doc_id, ids)``."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
-        for b in batches:
-            yield from _parts(b.column("doc_id"), (encoder.decode(i.as_py() or b"") for i in b.column("ids")), pa.string(), "text")
+    def run(encoder: Encoder, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield from _parts(b.column("doc_id"), (encoder.decode(i.as_py() or b"") for i in b.column("ids")), pa.string(), "text")
 
-    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(_encoding(shared, run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of ``docs``: encoded, then decoded, in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
-        for b in batches:
-            n, ids_hex, text_hex = [], [], []
-            for t in b.column("text"):
-                ids = encoder.encode(t.as_py() or "")
-                n.append(len(ids) // 4)
-                ids_hex.append(hashlib.sha256(ids).hexdigest())
-                text_hex.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(encoder: Encoder, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n, ids_hex, text_hex = [], [], []
+        for t in b.column("text"):
+            ids = encoder.encode(t.as_py() or "")
+            n.append(len(ids) // 4)
+            ids_hex.append(hashlib.sha256(ids).hexdigest())
+            text_hex.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(_encoding(shared, run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

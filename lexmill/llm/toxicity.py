@@ -59,7 +59,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64), flat.indices.to_numpy(), flat.dictionary.to_pylist()
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     """A batch in parts of bounded text."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
