@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill import schemas
 from lexmill.functions.text import clean_page
+from lexmill.sources import pdf
 
 FORM_FEED = b"\x0c"
 
@@ -19,16 +21,43 @@ def form_feed_pages(content: bytes) -> list[str]:
     return [p.decode("utf-8", "replace") for p in content.split(FORM_FEED)]
 
 
-def read_pages(spark: SparkSession, path: str, parser: Callable[[bytes], list[str]] = form_feed_pages) -> DataFrame:
-    """doc_id (a hash of the path), page_num from 1, raw_text, cleaned_text of all files; a missing path is an error."""
+def _read(files: DataFrame, parser: Callable[[bytes], Iterable[str]], stop: type[Exception] | tuple[type[Exception], ...]) -> DataFrame:
+    """A row a page of each file, in small batches; an error of a kind in ``stop`` is a row and ends its file."""
+
+    def rows(doc: int, content: bytes) -> Iterator[tuple]:
+        number = 0
+        try:
+            for number, text in enumerate(parser(content), 1):
+                yield doc, number, text, None
+        except stop as error:
+            yield doc, number + 1, None, str(error)
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = [(doc, i, t) for doc, content in zip(p.doc_id, p.content, strict=True) for i, t in enumerate(parser(bytes(content)), 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "page_num", "raw_text"])
+            found = (r for doc, content in zip(p.doc_id, p.content, strict=True) for r in rows(doc, bytes(content)))
+            while batch := list(islice(found, 64)):
+                yield pd.DataFrame(batch, columns=["doc_id", "page_num", "raw_text", "error"])
+
+    out = files.mapInPandas(run, "doc_id long, page_num int, raw_text string, error string")
+    return out.withColumn("cleaned_text", clean_page(F.col("raw_text"))).select("doc_id", "page_num", "raw_text", "cleaned_text", "error")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), "content")
+
+
+def read_pages(spark: SparkSession, path: str, parser: Callable[[bytes], Iterable[str]] = form_feed_pages) -> DataFrame:
+    """doc_id (a hash of the path), page_num from 1, raw_text, cleaned_text of all files; a missing path is an error."""
+    return _read(_files(spark, path), parser, ()).drop("error")
+
+
+def read_pdf(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id (a hash of the path), page_num from 1, raw_text, cleaned_text and error of all PDF files; a missing path is an error.
 
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), "content")
-    return files.mapInPandas(run, "doc_id long, page_num int, raw_text string").withColumn("cleaned_text", clean_page(F.col("raw_text")))
+    A file that can't be read, or not to its end, gives the pages before that and then one row with its error and no
+    text; empty files give no rows. A file is a row (under 2 GiB) and is read by one task, page by page.
+    """
+    return _read(_files(spark, path), pdf.pages, pdf.PdfError)
 
 
 def pages_of(documents: DataFrame, text: str = "text", separator: str = "\n") -> DataFrame:
