@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import spans
 from lexmill.functions import text as T
-from lexmill.operators import annotate, chunking, context, graph, presentation, quality, retrieval, structure, vector, vector_index
+from lexmill.operators import adjacency, annotate, chunking, context, graph, presentation, quality, retrieval, structure, vector, vector_index
 from lexmill.session import shared_folder, table
 from lexmill.sources.files import pages_of
+from lexmill.streaming import history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -358,6 +359,14 @@ def retrieval_hop(spark, sf):
     return retrieval.hop(seeds, edges, 3)
 
 
+@query(ORACLE["retrieval_hop"])
+def retrieval_hop_blocks(spark, sf):
+    """The same rows from sorted lists of targets, of which the limits decide how much is read."""
+    seeds = table(spark, sf, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("node_id"))
+    edges = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return adjacency.hop(seeds, adjacency.build(edges), 3)
+
+
 @query("SELECT o_custkey AS qid, 'art' || o_orderkey AS node_id, o_orderkey::INT AS article_number, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS pos, 1.0::DOUBLE AS score FROM orders")
 def retrieval_explicit(spark, sf):
     asked = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("qid")).agg(F.collect_list(F.col("o_orderkey").cast("int")).alias("refs"))
@@ -479,3 +488,35 @@ def quality_page_order(spark, sf):
     pages = F.when(F.col("o_orderkey") % 5 > 0, F.array(lo, lo + 1)).otherwise(F.array().cast("array<int>"))
     rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("law_id"), F.col("o_orderkey").alias("article_number"), F.col("o_orderkey").alias("chunk_order"), pages.alias("source_pages"))
     return quality.page_violations(rows).select("o_orderkey", "before")
+
+
+# -- sessions ----------------------------------------------------------------------------------------------------
+
+#: Users are sessions and an error clears; a day without an event is a silence.
+TOLD = (
+    "e AS (SELECT user_id AS session, epoch_us(ts) AS us, event_id AS seq, event_type = 'error' AS clear FROM events), "
+    "o AS (SELECT *, us - lag(us) OVER w > 86400000000 OR lag(clear) OVER w AS opens FROM e WINDOW w AS (PARTITION BY session ORDER BY us, seq)), "
+    "h AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY session ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS history FROM o), "
+    "n AS (SELECT session, seq, us, row_number() OVER t AS turn, first_value(us) OVER t AS began, first_value(seq) OVER t AS began_seq FROM h WHERE NOT clear WINDOW t AS (PARTITION BY session, history ORDER BY us, seq)), "
+    "told AS (SELECT session, seq, us, began, began_seq, turn FROM n UNION ALL SELECT session, seq, us, NULL, NULL, 0 FROM h WHERE clear)"
+)
+
+
+def _told(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", history.CLEAR).otherwise(F.col("event_type")).alias("kind")
+    events = table(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), kind)
+    return history.replay(events, 86_400)
+
+
+@query(f"WITH {TOLD} SELECT session, seq, began, began_seq, turn::BIGINT AS turn FROM told")
+def session_turns(spark, sf):
+    told = _told(spark, sf)
+    return told.select("session", "seq", history.micros(told, "began_at").alias("began"), "began_seq", "turn")
+
+
+@query(
+    f"WITH {TOLD} SELECT session, count(*) AS events, arg_max(turn, (us, seq))::BIGINT AS turns, "
+    "CASE WHEN arg_max(turn, (us, seq)) > 0 THEN max(began_seq) FILTER (turn > 0 AND began_seq IS NOT NULL) END AS began_seq FROM told GROUP BY session"
+)
+def session_shown(spark, sf):
+    return history.shown(_told(spark, sf)).select("session", "events", "turns", "began_seq")
