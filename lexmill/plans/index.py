@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.config import CorpusConfig
-from lexmill.functions import spans
+from lexmill.functions import spans, text
 from lexmill.operators import annotate, chunking, graph, quality, structure, vector
 from lexmill.providers import HashEmbedding, embed_stored
+from lexmill.plans.stages import Stages, of_rows
 from lexmill.session import cut
 from lexmill.sources.files import read_tables, write_tables
 
@@ -20,12 +21,12 @@ GRAPH = ("Law", "Book", "Part", "Chapter", "Article", "ArticleSegment", "Definit
 def chunk_pages(pages: DataFrame, config: CorpusConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chunks with annotations, glossary and articles of ``pages(doc_id, page_num, cleaned_text)``.
 
-    The articles are written once, as chunks, glossary and counters all start from them.
+    Articles and chunks are written once: chunks, glossary and counters start from the former, annotation and glossary from the latter.
     """
     articles = cut(structure.parse_pages(pages, config.max_title))
     if "law_id" in pages.columns:
         articles = articles.join(pages.groupBy("doc_id").agg(F.min("law_id").alias("law_id")), "doc_id")
-    chunks = chunking.build_chunks(articles, spans.page_offsets(pages), config)
+    chunks = cut(chunking.build_chunks(articles, spans.page_offsets(pages), config))
     terms = chunking.glossary(chunks)
     return annotate.annotate(chunks, terms), terms, articles
 
@@ -49,3 +50,35 @@ def stage_load(spark: SparkSession, path: str, config: CorpusConfig) -> dict[str
     vector.dimension(chunks.select(F.col("node_id"), "embedding")).first()
     write_tables(graph.build_graph(chunks, config), f"{path}/graph")
     return read_tables(spark, f"{path}/graph", GRAPH)
+
+
+def build_index(pages: DataFrame, path: str, config: CorpusConfig, provider: Callable[[list[str]], list[list[float]]] = HashEmbedding(), model: str = "hash") -> dict[str, bool]:
+    """Bring the stages chunk, embed and graph under ``path`` up to date; returns which of them were stale.
+
+    A stage is stale if its input, settings or code changed since its tables were written, and its tables change at once
+    when it ends. ``model`` names what ``provider`` asks; another name makes all vectors anew. Read with ``read_index``.
+    """
+    spark, ran = pages.sparkSession, {}
+    at = Stages(spark, path)
+
+    def chunked() -> dict[str, DataFrame]:
+        chunks, terms, _ = chunk_pages(pages, config)
+        return {"chunks": chunks, "glossary": terms}
+
+    def embedded() -> dict[str, DataFrame]:
+        return {"embedded": embed_stored(at.read("chunk")["chunks"], "text_normalized", provider, f"{path}/vectors_by_text/{model}")}
+
+    def loaded() -> dict[str, DataFrame]:
+        chunks = at.read("embed")["embedded"]
+        vector.dimension(chunks.select(F.col("node_id"), "embedding")).first()
+        return graph.build_graph(chunks, config)
+
+    ran["chunk"] = at.run("chunk", chunked, [of_rows(pages)], config, [chunk_pages, structure, chunking, annotate, spans, text])
+    ran["embed"] = at.run("embed", embedded, [at.fingerprint("chunk")], model, [embed_stored])
+    ran["graph"] = at.run("graph", loaded, [at.fingerprint("embed")], config, [graph])
+    return ran
+
+
+def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the stage graph as the last run that ended left them."""
+    return Stages(spark, path).read("graph")

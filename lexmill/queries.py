@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import spans
 from lexmill.functions import text as T
 from lexmill.operators import adjacency, annotate, chunking, context, graph, presentation, quality, retrieval, structure, vector, vector_index
+from lexmill.providers import embed_stored
 from lexmill.session import shared_folder, table
 from lexmill.sources.files import pages_of
 from lexmill.streaming import history
@@ -104,6 +105,28 @@ def text_private_use(spark, sf):
 # -- pages, structure, chunks ------------------------------------------------------------------------------------
 
 
+#: A page between a gazette's header and a line that holds only its number, in any digits.
+HEADED = "الجريدة الرسمية العدد 14 مكرر سنة ٢٠٢٥ "
+
+
+@query(
+    f"SELECT doc_id, sha256(regexp_replace(regexp_replace('{HEADED}' || text || chr(10) || ' ١2 ' || chr(10) || 'end', 'الجر{SPACE}*[^\\x{{0009}}-\\x{{000D}} ]{{0,5}}{SPACE}*[يی]دة{SPACE}+الرسم[يی]ة(.|\\n){{1,250}}?سنة{SPACE}*[0-9٠-٩۰-۹]+', ' ', 'g'), "
+    f"'(?m)^{SPACE}*[0-9٠-٩۰-۹]{{1,4}}{SPACE}*$', '', 'g')) AS kept FROM documents".replace("\\\\", "\\")
+)
+def text_page_artifacts(spark, sf):
+    page = F.concat(F.lit(HEADED), F.col("text"), F.lit("\n ١2 \nend"))
+    return table(spark, sf, "documents").select("doc_id", sha(T.strip_page_artifacts(page)).alias("kept"))
+
+
+@query("SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, 'a', '')) AS letters FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+def embed_documents(spark, sf):
+    """Vectors by text, each text sent once: a provider that tells a text's length and its letters a."""
+    provider = lambda texts: [[float(len(t)), float(t.count("a"))] for t in texts]
+    out = embed_stored(table(spark, sf, "documents").select("doc_id", "text"), "text", provider, f"{shared_folder(spark)}/vectors")
+    part = lambda i: F.get("embedding", F.lit(i)).cast("long")
+    return out.select("doc_id", part(0).alias("chars"), part(1).alias("letters"))
+
+
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_num"), F.coalesce("text", F.lit("")).alias("cleaned_text"))
 
@@ -295,6 +318,39 @@ def graph_reference_edges(spark, sf):
     return graph.reference_edges(_statute(spark, sf).unionByName(_segments(spark, sf), allowMissingColumns=True)).select("src", "dst", "type")
 
 
+def _terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as definitions, a law a type; line items as articles that use the terms of their part and of the part after it."""
+    part = table(spark, sf, "part")
+    term = lambda key: F.concat(F.lit("term "), key.cast("string"))
+    law = F.col("p_type").alias("law_id")
+    own = part.select(law, F.concat(F.lit("def"), F.col("p_partkey").cast("string")).alias("node_id"), F.lit("Definition").alias("node_type"), term(F.col("p_partkey")).alias("defined_term"), F.col("p_partkey").alias("chunk_order"), F.col("p_name").alias("text"))
+    lines = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    node = F.concat_ws("-", F.lit("art"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    used = F.array(term(F.col("p_partkey")), term(F.col("p_partkey") + 1))
+    uses = lines.select(law, node.alias("node_id"), F.lit("Article").alias("node_type"), used.alias("defined_terms_used"), F.array("l_returnflag", "l_linestatus").alias("external_refs"))
+    rows = own.unionByName(uses, allowMissingColumns=True)
+    more = {"text_normalized": F.upper("text"), "char_count": F.length("text"), "token_count_est": T.estimate_tokens(F.col("text")), "source_pages": F.array(F.lit(1)), "term_variants": T.term_variants(F.col("text"))}
+    return rows.withColumns(more)
+
+
+@query(
+    "WITH u AS (SELECT p_type, 'art-' || l_orderkey || '-' || l_linenumber AS src, unnest([p_partkey, p_partkey + 1]) AS used FROM lineitem JOIN part ON l_partkey = p_partkey) "
+    "SELECT DISTINCT src, 'def' || p_partkey AS dst, 'USES_TERM' AS type FROM u JOIN part p ON p.p_partkey = used AND p.p_type = u.p_type"
+)
+def graph_term_edges(spark, sf):
+    return graph.term_edges(_terms(spark, sf)).select("src", "dst", "type")
+
+
+@query("SELECT DISTINCT 'art-' || l_orderkey || '-' || l_linenumber AS src, unnest([l_returnflag, l_linestatus]) AS dst, 'EXTERNAL_REF' AS type FROM lineitem JOIN part ON l_partkey = p_partkey")
+def graph_external_edges(spark, sf):
+    return graph.external_edges(_terms(spark, sf)).select("src", "dst", "type")
+
+
+@query("SELECT 'def' || p_partkey AS node_id, 'term ' || p_partkey AS term, p_name AS definition_text, upper(p_name) AS text_normalized, length(p_name)::INT AS char_count FROM part")
+def graph_definitions(spark, sf):
+    return graph.text_nodes(_terms(spark, sf), "Definition").select("node_id", "term", "definition_text", "text_normalized", "char_count")
+
+
 @query("SELECT p_brand, max_by(p_name, p_partkey) AS p_name, max(p_partkey) AS p_partkey FROM part GROUP BY p_brand")
 def graph_upsert(spark, sf):
     return graph.upserted(table(spark, sf, "part").select("p_brand", "p_name", "p_partkey"), "p_brand", "p_partkey")
@@ -367,6 +423,22 @@ def retrieval_hop_blocks(spark, sf):
     return adjacency.hop(seeds, adjacency.build(edges), 3)
 
 
+@query(
+    ORACLE["retrieval_hop"].rsplit("SELECT qid, target,", 1)[0]
+    + ", p AS (SELECT qid, target, row_number() OVER (PARTITION BY qid ORDER BY node_id, target)::INT AS pos FROM f) "
+    "SELECT qid, p_partkey AS node_id, p_size::INT AS article_number, p_brand AS breadcrumb, sha256(p_brand || chr(10) || chr(10) || p_name) AS text, 0::DOUBLE AS score, 'cross_ref' AS source, pos FROM p JOIN part ON target = p_partkey"
+)
+def retrieval_expanded(spark, sf):
+    """Nodes one edge away as chunks of a question: parts that the lines of a customer's orders name."""
+    seeds = table(spark, sf, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("node_id"), F.lit(3).alias("per"))
+    edges = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("REFERENCES").alias("type"))
+    others = edges.select("src", F.col("src").alias("dst"), F.lit("NEXT").alias("type"))
+    part = table(spark, sf, "part")
+    nodes = part.select(F.col("p_partkey").alias("node_id"), F.lit("Article").alias("node_type"), F.col("p_size").cast("int").alias("article_number"), F.concat_ws("\n\n", "p_brand", "p_name").alias("text"))
+    found = retrieval.expand(seeds, edges.union(others), nodes, "REFERENCES", F.col("per"), "cross_ref")
+    return found.select("qid", "node_id", "article_number", "breadcrumb", sha(F.col("text")).alias("text"), "score", "source", "pos")
+
+
 @query("SELECT o_custkey AS qid, 'art' || o_orderkey AS node_id, o_orderkey::INT AS article_number, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS pos, 1.0::DOUBLE AS score FROM orders")
 def retrieval_explicit(spark, sf):
     asked = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("qid")).agg(F.collect_list(F.col("o_orderkey").cast("int")).alias("refs"))
@@ -454,6 +526,17 @@ def presentation_star(spark, sf):
     return presentation.star(retrieval.dedupe_and_cap(_found(spark, sf), 12))["edges"]
 
 
+@query(f"WITH {FOUND}, c AS (SELECT qid, 'article_' || article_number AS id, min_by(source, rank) AS kind FROM k GROUP BY ALL) SELECT * FROM c UNION ALL SELECT DISTINCT qid, 'question', 'question' FROM k")
+def presentation_star_nodes(spark, sf):
+    return presentation.star(retrieval.dedupe_and_cap(_found(spark, sf), 12))["nodes"]
+
+
+@query(f"WITH {FOUND} SELECT qid, rank, printf('[%-9s] score=%.3f  %s  (%s)', source, score, node_id, 'crumb of ' || node_id) AS line FROM k")
+def context_source_lines(spark, sf):
+    found = retrieval.dedupe_and_cap(_found(spark, sf), 12).withColumn("breadcrumb", F.concat(F.lit("crumb of "), F.col("node_id")))
+    return found.select("qid", "rank", context.source_line().alias("line"))
+
+
 @query(f"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda w: w <> ''))::INT AS n FROM documents WHERE text IS NOT NULL")
 def presentation_words(spark, sf):
     return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.size(presentation.answer_words(F.col("text"))).alias("n"))

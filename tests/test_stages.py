@@ -6,8 +6,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.config import CorpusConfig
 from lexmill.operators import adjacency, retrieval
 from lexmill.plans import stages
+from lexmill.plans.index import build_index, read_index
+from lexmill.providers import HashEmbedding
 from lexmill.streaming import history
 
 EVENT = "session long, at timestamp, seq long, kind string, body string"
@@ -143,3 +146,24 @@ def test_a_hub_is_not_exploded(spark):
     assert lists["rest"].count() == -(-20_000 // adjacency.BLOCK) - 1
     assert adjacency.hop(seeds, lists, 3).count() == 150
     assert adjacency.build(edges.limit(0))["first"].count() == 0
+
+
+def test_an_index_is_built_again_from_where_it_is_stale(spark, tmp_path):
+    text = "الباب الأول تعريفات مادة (1): يقصد بالآتي 1- العامل: كل شخص يعمل. 2- الأجر: ما يعطى مادة (2): يسري هذا على العامل وفق المادة (1) من هذا القانون."
+    pages = spark.createDataFrame([(d, 1, text, text) for d in (1, 2)], "doc_id long, page_num int, raw_text string, cleaned_text string")
+    config, path, asked = CorpusConfig("XX"), str(tmp_path), spark.sparkContext.accumulator(0)
+
+    def provider(texts):
+        asked.add(len(texts))
+        return HashEmbedding()(texts)
+
+    assert build_index(pages, path, config, provider) == {"chunk": True, "embed": True, "graph": True}
+    sent = asked.value
+    before = {k: v.count() for k, v in read_index(spark, path).items()}
+    assert before["Article"] == 4 and before["Definition"] == 4 and before["edges"] > 0 and sent > 0
+    assert build_index(pages.repartition(3), path, config, provider) == {"chunk": False, "embed": False, "graph": False}
+    more = pages.union(pages.limit(1).withColumn("doc_id", F.lit(3).cast("long")))
+    assert build_index(more, path, config, provider) == {"chunk": True, "embed": True, "graph": True}
+    assert read_index(spark, path)["Article"].count() == 6 and asked.value == sent  # its texts are known already
+    assert build_index(more, path, config, provider, model="other") == {"chunk": False, "embed": True, "graph": True}
+    assert asked.value == 2 * sent
