@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexmill.operators import scan
+from lexmill.session import cut
 
 BLOCK = 64
 
@@ -52,7 +53,7 @@ def build(edges: DataFrame, block: int = BLOCK, parts: int | None = None) -> dic
     """
     own = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
     placed = scan.segmented(own.withColumn("_key", F.col("src")), "_key", ["dst"], Running(), parts)
-    lists = placed.groupBy("src", F.floor(F.col("place") / block).alias("block")).agg(F.sort_array(F.collect_list("dst")).alias("targets"))
+    lists = cut(placed.groupBy("src", F.floor(F.col("place") / block).alias("block")).agg(F.sort_array(F.collect_list("dst")).alias("targets")))
     degrees = lists.groupBy("src").agg(F.sum(F.size("targets")).alias("degree"))
     first = lists.filter("block = 0").join(degrees, "src").select("src", "degree", "targets")
     return {"first": first, "rest": lists.filter("block > 0")}
@@ -79,7 +80,8 @@ def hop(seeds: DataFrame, lists: dict[str, DataFrame], per_seed: Column | int, r
     wanted = owed(seeds, lists["first"], per_seed, row_cap)
     cut_to = lambda n: F.explode(F.slice("targets", F.lit(1), n.cast("int"))).alias("target")
     met = wanted.select("qid", "node_id", cut_to(F.least("take", F.lit(block))))
-    if row_cap is None or row_cap > block:
+    most = min([n for n in (per_seed, row_cap) if isinstance(n, int)], default=block + 1)
+    if most > block:  # else no seed is owed more than a block
         owing = wanted.filter(F.col("take") > block).select("qid", F.col("node_id").alias("src"), "take")
         more = owing.join(lists["rest"], "src").filter(F.col("block") * block < F.col("take"))
         met = met.union(more.select("qid", F.col("src").alias("node_id"), cut_to(F.least(F.col("take") - F.col("block") * block, F.lit(block)))))
