@@ -6,10 +6,10 @@ out of like size; then a product code of what is left after the list's centre. E
 tasks and written to Parquet partitioned by space and list; weights and codes belong to the model, so rows that are added
 later fall into the same lists without a rebuild.
 
-A search picks each query's nearest lists, reads those partitions only (codes first, vectors of candidates last), and ranks
-candidates by exact cosine. With each code its distance to the true vector is stored, which bounds every distance from
-both sides: with ``refine=None`` no row of the lists read can be lost, and with all lists read the result is that of the
-exact search. A number for ``refine`` keeps so many times k candidates by their codes instead, which is quicker.
+A search picks each query's nearest lists and reads those partitions only. Blocks of rows meet blocks of the queries that are
+owed them, and one product of matrices compares the two. With ``refine=None`` the vectors themselves are compared, so no row of
+the lists read can be lost, and with all lists read the result is that of the exact search. A number for ``refine`` keeps so
+many times k candidates by their codes instead, and only their vectors are read and ranked by exact cosine.
 
 Defined cases: vectors that are null, empty, zero or broken are in no index; a null label is a label; an id that is added
 again is another row, as in the exact search; an empty table gives an empty index.
@@ -33,8 +33,11 @@ from lexmill.operators.vector import ARROW, cosine, usable
 from lexmill.session import cut
 
 MODEL = "kind string, id_type string, space int, label string, dim int, number int, sub int, weight double, centre array<double>"
-#: Codes of a block, and the tasks that share a list that many rows fall into; bytes of a model, which goes to every task, at most.
-BLOCK, SHARES, MODEL_BYTES = 4096, 8, 512 << 20
+#: Rows and queries of a block; rows that a task holds before it lets go of blocks that aren't full; the tasks that share a list
+#: that many rows fall into; bytes of a model, which goes to every task, at most.
+BLOCK, SLOT, HOLDS, SHARES, MODEL_BYTES = 4096, 1024, 1 << 16, 8, 512 << 20
+#: Stands for all lists of a space.
+ALL = -1
 
 
 @dataclass
@@ -54,24 +57,19 @@ class Space:
         """Squared distances to all centres and the lists' weights, but for what all lists share."""
         return (self.centres * self.centres).sum(axis=1) - 2 * x @ self.centres.T + self.weights
 
-    def coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """list, codes and the distance between the vector and what its code stands for."""
+    def coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """list and codes."""
         lists = np.concatenate([self.distances(x[i : i + BLOCK]).argmin(axis=1) for i in range(0, len(x), BLOCK)])
         left = x - self.centres[lists]
         codes, cut_at = np.zeros((len(x), len(self.books)), np.uint8), self.bounds()
-        gone = np.zeros(len(x))
         for j, book in enumerate(self.books):
             part = left[:, cut_at[j] : cut_at[j + 1]]
             codes[:, j] = ((book * book).sum(axis=1) - 2 * part @ book.T).argmin(axis=1)
-            gone += ((part - book[codes[:, j]]) ** 2).sum(axis=1)
-        return lists, codes, np.sqrt(gone)
+        return lists, codes
 
-    def away(self, q: np.ndarray, number: int, codes: np.ndarray) -> np.ndarray:
-        """Distances of a query from what the codes of a list stand for."""
-        left, cut_at, total = q - self.centres[number], self.bounds(), np.zeros(len(codes))
-        for j, book in enumerate(self.books):
-            total += ((left[cut_at[j] : cut_at[j + 1]] - book) ** 2).sum(axis=1)[codes[:, j]]
-        return np.sqrt(total)
+    def stood_for(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        return self.centres[lists] + np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -79,6 +77,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length."""
+    return np.array(column.flatten().to_pylist() if pa.types.is_decimal(column.type.value_type) else column.flatten(), float).reshape(len(column), -1)
+
+
 def _means(x: np.ndarray, n: int, rounds: int, balance: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Centres and weights of ``n`` lists; empty ones begin anew at the rows that are farthest from their centre."""
     centres, weights = x[rng.choice(len(x), n, replace=False)].copy(), np.zeros(n)
@@ -161,7 +164,7 @@ def load(spark: SparkSession, path: str) -> tuple[str, dict[int, Space]]:
 
 
 def _assigned(rows: DataFrame, spaces: dict[int, Space]) -> DataFrame:
-    """space, list, node_id, codes, err and embedding of every row."""
+    """space, list, node_id, codes and embedding of every row."""
     shared = rows.sparkSession.sparkContext.broadcast(spaces)
     kind = rows.schema["embedding"].dataType.simpleString()
     id_type = rows.schema["node_id"].dataType.simpleString()
@@ -173,12 +176,11 @@ def _assigned(rows: DataFrame, spaces: dict[int, Space]) -> DataFrame:
             for n in np.unique(of):
                 at = np.flatnonzero(of == n)
                 part = b.take(pa.array(at))
-                x = np.array(part.column("embedding").to_pylist(), float)
-                lists, codes, err = shared.value[n].coded(_unit(x))
-                made = [pa.array(np.full(len(at), n, np.int32)), pa.array(lists.astype(np.int32)), part.column("node_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), part.column("embedding")]
-                yield pa.RecordBatch.from_arrays(made, names=["space", "list", "node_id", "codes", "err", "embedding"])
+                lists, codes = shared.value[n].coded(_unit(_matrix(part.column("embedding"))))
+                made = [pa.array(np.full(len(at), n, np.int32)), pa.array(lists.astype(np.int32)), part.column("node_id"), pa.array([c.tobytes() for c in codes], pa.binary()), part.column("embedding")]
+                yield pa.RecordBatch.from_arrays(made, names=["space", "list", "node_id", "codes", "embedding"])
 
-    return rows.mapInArrow(run, f"space int, list int, node_id {id_type}, codes binary, err double, embedding {kind}")
+    return rows.mapInArrow(run, f"space int, list int, node_id {id_type}, codes binary, embedding {kind}")
 
 
 def _store(rows: DataFrame, spaces: dict[int, Space], path: str, mode: str) -> None:
@@ -210,27 +212,43 @@ def add(nodes: DataFrame, path: str, **how) -> None:
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
     meta = spark.read.schema(MODEL).parquet(f"{path}/model").filter("kind = 'meta'").select("id_type", "label").first()
-    return spark.read.schema(f"node_id {meta['id_type']}, codes binary, err double, embedding {meta['label']}, space int, list int").parquet(f"{path}/vectors")
+    return spark.read.schema(f"node_id {meta['id_type']}, codes binary, embedding {meta['label']}, space int, list int").parquet(f"{path}/vectors")
 
 
 def probes(queries: DataFrame, spaces: dict[int, Space], k: Column | int, probe: int | None) -> DataFrame:
-    """qid, k, space, list and q (the unit vector): the ``probe`` nearest lists (None: all) of each space for each query."""
+    """space, list, qids, ks and qs (the unit vectors): blocks of the queries that read a list, each the ``probe`` nearest of
+    its lists in each space. With None they read all, and a row stands for all lists of a space."""
     qid_type = queries.schema["qid"].dataType.simpleString()
     shared = queries.sparkSession.sparkContext.broadcast(spaces)
-    asked = queries.filter(usable(F.col("embedding"))).select("qid", (F.lit(k) if isinstance(k, int) else k).cast("int").alias("k"), F.col("embedding").cast("array<double>").alias("v")).filter("k > 0")
+    asked = queries.filter(usable(F.col("embedding"))).select("qid", (F.lit(k) if isinstance(k, int) else k).cast("int").alias("k"), F.size("embedding").alias("dim"), F.col("embedding").cast("array<double>").alias("v")).filter("k > 0")
+
+    def block(space: int, number: int, part: pa.RecordBatch, q: np.ndarray) -> pa.RecordBatch:
+        made = [pa.array([space], pa.int32()), pa.array([number], pa.int32()), pa.array([part.column("qid").to_pylist()], pa.list_(ARROW[qid_type])), pa.array([np.array(part.column("k"), np.int32).tobytes()]), pa.array([q.tobytes()])]
+        return pa.RecordBatch.from_arrays(made, names=["space", "list", "qids", "ks", "qs"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, v in enumerate(b.column("v").to_pylist()):
-                q = _unit(np.array([v]))
-                for number, space in shared.value.items():
-                    if space.dim == len(v):
-                        lists = np.argsort(space.distances(q)[0], kind="stable")[:probe].astype(np.int32)
-                        many = pa.array(np.zeros(len(lists), np.int64) + i)
-                        made = [b.column("qid").take(many), b.column("k").take(many), pa.array(np.full(len(lists), number, np.int32)), pa.array(lists), pa.array([q.tobytes()] * len(lists), pa.binary())]
-                        yield pa.RecordBatch.from_arrays(made, names=["qid", "k", "space", "list", "q"])
-
-    return asked.mapInArrow(run, f"qid {qid_type}, k int, space int, list int, q binary")
+            dims = np.array(b.column("dim"))
+            for dim in np.unique(dims):
+                every = np.flatnonzero(dims == dim)
+                for at in (every[i : i + SLOT] for i in range(0, len(every), SLOT)):
+                    part = b.take(pa.array(at))
+                    q = _unit(_matrix(part.column("v")))
+                    for number, space in shared.value.items():
+                        if space.dim != dim:
+                            continue
+                        if probe is None:
+                            yield block(number, ALL, part, q)
+                            continue
+                        lists = np.argsort(space.distances(q), axis=1, kind="stable")[:, :probe]
+                        who = np.repeat(np.arange(len(q)), lists.shape[1])
+                        order = np.argsort(lists.reshape(-1), kind="stable")
+                        found, begins = np.unique(lists.reshape(-1)[order], return_index=True)
+                        for one, rows in zip(found.tolist(), np.split(who[order], begins[1:]), strict=True):
+                            yield block(number, one, part.take(pa.array(rows)), q[rows])
+
+    # queries of many small partitions come together before they are packed
+    return asked.hint("rebalance").mapInArrow(run, f"space int, list int, qids array<{qid_type}>, ks binary, qs binary")
 
 
 def only_lists(stored: DataFrame, wanted: dict[int, list[int]]) -> DataFrame:
@@ -241,69 +259,101 @@ def only_lists(stored: DataFrame, wanted: dict[int, list[int]]) -> DataFrame:
     return stored.filter(keep)
 
 
-def search(queries: DataFrame, path: str, k: Column | int, probe: int | None = 16, refine: int | None = 8) -> DataFrame:
-    """The k nearest nodes per query and label, of the lists read: qid, label, node_id, score ((1 + cosine) / 2), rank."""
-    spark = queries.sparkSession
-    id_type, spaces = load(spark, path)
-    asked = cut(probes(queries, spaces, k, probe))
-    wanted: dict[int, list[int]] = {}
-    for r in asked.select("space", "list").distinct().collect():  # a row a list, as many as the model has
-        wanted.setdefault(r["space"], []).append(r["list"])
-    stored = only_lists(_read(spark, path), wanted)
-    shared = spark.sparkContext.broadcast(spaces)
-    qid_type = queries.schema["qid"].dataType.simpleString()
+def _packed(stored: DataFrame, vectors: bool, whole: bool, shares: int, id_type: str) -> DataFrame:
+    """space, list, share, ids, lists and rows (vectors or codes): blocks of rows of a list, or of a space if it is read whole."""
 
-    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        n = TaskContext.get().partitionId()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[pa.RecordBatch]] = {}
+        n, kept = TaskContext.get().partitionId(), 0
 
-        def block(key: tuple[int, int]) -> pa.RecordBatch:
+        def block(key: tuple[int, int], rows: pa.Table) -> pa.RecordBatch:
             nonlocal n
-            ids, codes, err = zip(*held.pop(key), strict=True)
             n += 1
-            made = [pa.array([x], pa.int32()) for x in (*key, n % SHARES)] + [pa.array([ids], pa.list_(ARROW[id_type])), pa.array([b"".join(codes)]), pa.array([np.array(err).tobytes()])]
-            return pa.RecordBatch.from_arrays(made, names=["space", "list", "share", "ids", "codes", "err"])
+            rows = rows.combine_chunks()
+            own = rows.column("row").combine_chunks()
+            raw = _matrix(own).tobytes() if vectors else b"".join(own.to_pylist())
+            made = [*(pa.array([x], pa.int32()) for x in (*key, n % shares)), pa.array([rows.column("node_id").to_pylist()], pa.list_(ARROW[id_type])), pa.array([np.array(rows.column("list"), np.int32).tobytes()]), pa.array([raw])]
+            return pa.RecordBatch.from_arrays(made, names=["space", "list", "share", "ids", "lists", "rows"])
+
+        def full(key: tuple[int, int], least: int) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held.pop(key))
+            for i in range(0, rows.num_rows, BLOCK):
+                part = rows.slice(i, BLOCK)
+                if part.num_rows >= least:
+                    yield block(key, part)
+                else:
+                    held[key] = part.to_batches()
 
         for b in batches:
-            for space, number, *row in zip(*(b.column(c).to_pylist() for c in ("space", "list", "node_id", "codes", "err")), strict=True):
-                held.setdefault((space, number), []).append(row)
-                if len(held[space, number]) == BLOCK:
-                    yield block((space, number))
+            spaces, lists = np.array(b.column("space")), np.array(b.column("list"))
+            keys = spaces if whole else spaces.astype(np.int64) << 32 | lists
+            for x in np.unique(keys).tolist():
+                key = (x, ALL) if whole else (x >> 32, x & 0xFFFFFFFF)
+                held.setdefault(key, []).append(b.take(pa.array(np.flatnonzero(keys == x))))
+                if sum(p.num_rows for p in held[key]) >= BLOCK:
+                    yield from full(key, BLOCK)
+            kept = sum(p.num_rows for parts in held.values() for p in parts)
+            for key in list(held) if kept > HOLDS else ():
+                yield from full(key, 1)
         for key in list(held):
-            yield block(key)
+            yield from full(key, 1)
+
+    rows = stored.select("space", "list", "node_id", F.col("embedding" if vectors else "codes").alias("row"))
+    return rows.mapInArrow(run, f"space int, list int, share int, ids array<{id_type}>, lists binary, rows binary")
+
+
+def search(queries: DataFrame, path: str, k: Column | int, probe: int | None = 16, refine: int | None = 8) -> DataFrame:
+    """The k nearest nodes per query and label, of the lists read: qid, label, node_id, score ((1 + cosine) / 2), rank.
+
+    What a block gives for a query is its k best (by codes: ``refine`` times k), and those are merged.
+    """
+    spark = queries.sparkSession
+    id_type, spaces = load(spark, path)
+    stored, shares = _read(spark, path), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = cut(probes(queries, spaces, k, probe))
+    if probe is not None:
+        wanted: dict[int, list[int]] = {}
+        for r in asked.select("space", "list").distinct().collect():  # a row a list, as many as the model has
+            wanted.setdefault(r["space"], []).append(r["list"])
+        stored, shares = only_lists(stored, wanted), SHARES
+    shared = spark.sparkContext.broadcast(spaces)
+    qid_type = queries.schema["qid"].dataType.simpleString()
 
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: list[tuple] = []
             for i in range(b.num_rows):
                 r = {c: b.column(c)[i].as_py() for c in b.schema.names}
-                space = shared.value[r["space"]]
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(r["ids"]), -1)
-                away, err = space.away(np.frombuffer(r["q"]), r["list"], codes), np.frombuffer(r["err"]) + 1e-9
-                low, high = np.maximum(away - err, 0), away + err
+                space, lists = shared.value[r["space"]], np.frombuffer(r["lists"], np.int32)
+                q, ks = np.frombuffer(r["qs"]).reshape(-1, space.dim), np.frombuffer(r["ks"], np.int32)
                 if refine is None:
-                    most = np.partition(high, r["k"] - 1)[r["k"] - 1] if r["k"] <= len(high) else math.inf
-                    keep = np.flatnonzero(low <= most)
+                    x = _unit(np.frombuffer(r["rows"]).reshape(-1, space.dim))
+                    away, slack = -(q @ x.T), 1e-11  # ties, also those that rounding parts, are settled after the merge
                 else:
-                    keep = np.argsort(away, kind="stable")[: refine * r["k"]]
-                found += [(r["qid"], r["k"], r["space"], r["list"], r["ids"][j], float(away[j]), float(low[j]), float(high[j])) for j in keep.tolist()]
-            types = [ARROW[qid_type], pa.int32(), pa.int32(), pa.int32(), ARROW[id_type], *[pa.float64()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(types)], names=["qid", "k", "space", "list", "node_id", "away", "low", "high"])
-
-    coded = stored.select("space", "list", "node_id", "codes", "err").mapInArrow(blocks, f"space int, list int, share int, ids array<{id_type}>, codes binary, err binary")
-    met = coded.join(asked.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))), ["space", "list", "share"])
-    close = met.mapInArrow(near, f"qid {qid_type}, k int, space int, list int, node_id {id_type}, away double, low double, high double")
-    of = W.partitionBy("qid", "space")
+                    x = space.stood_for(lists, np.frombuffer(r["rows"], np.uint8).reshape(len(lists), -1))
+                    away, slack = (x * x).sum(axis=1) - 2 * q @ x.T, 0.0
+                most = ks.astype(np.int64) * (refine or 1)
+                reach = np.full(len(q), np.inf)
+                for n in np.unique(most[most < len(x)]):
+                    of = np.flatnonzero(most == n)
+                    reach[of] = np.partition(away[of], n - 1, axis=1)[:, n - 1]
+                rows, found = np.nonzero(away <= reach[:, None] + slack)
+                # of pairs that stay the score is summed alike wherever they stand, so equal vectors have equal scores
+                by = np.concatenate([(1 + (q[rows[j : j + BLOCK]] * x[found[j : j + BLOCK]]).sum(axis=1)) / 2 for j in range(0, len(rows), BLOCK)]) if refine is None else away[rows, found]
+                qids = pa.array(r["qids"], ARROW[qid_type])
+                made = [qids.take(pa.array(rows)), pa.array(ks[rows]), pa.array(np.full(len(rows), r["space"], np.int32)), pa.array(lists[found]), pa.array(r["ids"], ARROW[id_type]).take(pa.array(found)), pa.array(by)]
+                yield pa.RecordBatch.from_arrays(made, names=["qid", "k", "space", "list", "node_id", "by"])
+
+    shared_out = asked.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    met = _packed(stored, refine is None, probe is None, shares, id_type).join(shared_out, ["space", "list", "share"])
+    close = met.mapInArrow(near, f"qid {qid_type}, k int, space int, list int, node_id {id_type}, by double")
     if refine is None:
-        close = cut(close)
-        most = close.withColumn("_n", F.row_number().over(of.orderBy("high"))).filter("_n <= k").groupBy("qid", "space").agg(F.when(F.count("*") == F.max("k"), F.max("high")).otherwise(F.lit(math.inf)).alias("most"))
-        close = close.join(most, ["qid", "space"]).filter("low <= most")
+        scored = close.withColumnRenamed("by", "score")
     else:
-        close = close.withColumn("_n", F.row_number().over(of.orderBy("away", "node_id"))).filter(F.col("_n") <= refine * F.col("k"))
-    candidates = close.select("qid", "k", "space", "list", "node_id").distinct()
-    full = candidates.join(stored.select("space", "list", "node_id", "embedding"), ["space", "list", "node_id"])
-    own = queries.select("qid", F.col("embedding").cast("array<double>").alias("_q"))
-    scored = full.join(own, "qid").withColumn("score", (1 + cosine(F.col("_q"), F.col("embedding").cast("array<double>"))) / 2)
+        of = W.partitionBy("qid", "space").orderBy("by", "node_id")
+        candidates = close.withColumn("_n", F.row_number().over(of)).filter(F.col("_n") <= refine * F.col("k")).select("qid", "k", "space", "list", "node_id").distinct()
+        full = candidates.join(stored.select("space", "list", "node_id", "embedding"), ["space", "list", "node_id"])
+        own = queries.select("qid", F.col("embedding").cast("array<double>").alias("_q"))
+        scored = full.join(own, "qid").withColumn("score", (1 + cosine(F.col("_q"), F.col("embedding").cast("array<double>"))) / 2)
     names = spark.createDataFrame([(n, s.label) for n, s in spaces.items()], "space int, label string")
     best = W.partitionBy("qid", "space").orderBy(F.desc(F.round("score", 12)), "node_id")
     ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= F.col("k"))

@@ -371,6 +371,20 @@ def test_recall_of_a_stored_index_and_the_lists_it_reads(spark, tmp_path):
     assert "PartitionFilters: [(space" in plan.replace("isnotnull(space", "(space") or "PartitionFilters: [" in plan and "list" in plan.split("PartitionFilters: [")[1][:200]
 
 
+def test_queries_meet_a_whole_index_in_blocks(spark, tmp_path):
+    path, nodes = str(tmp_path / "index"), clustered(spark, 600, 8, 9)
+    asked = nodes.filter("node_id % 20 = 0").select(F.col("node_id").alias("qid"), "embedding")
+    vector_index.build(nodes, path, lists=8, parts=2, codewords=16)
+    spaces = vector_index.load(spark, path)[1]
+    blocks = vector_index.probes(asked, spaces, 3, None)
+    assert blocks.count() <= len(spaces) * asked.hint("rebalance").rdd.getNumPartitions()  # not a row for each query and list
+    assert ranks(vector_index.search(asked, path, 3, None, None)) == ranks(vector.topk(asked, nodes, 3))
+    # copies lie in blocks of different places and size, and still tie
+    copies = nodes.filter("node_id < 5").crossJoin(spark.range(300)).select((F.col("node_id") + 1000 * F.col("id") + 1000).alias("node_id"), "label", "embedding")
+    vector_index.add(copies.repartition(7), path)
+    assert ranks(vector_index.search(asked, path, 7, None, None)) == ranks(vector.topk(asked, nodes.union(copies), 7))
+
+
 def test_no_key_of_the_exact_search_is_constant(spark):
     nodes = clustered(spark, 4000, 8, 9).repartition(12)
     asked = nodes.filter("node_id % 40 = 0").select(F.col("node_id").alias("qid"), "embedding")
