@@ -57,9 +57,13 @@ class Space:
         """Squared distances to all centres and the lists' weights, but for what all lists share."""
         return (self.centres * self.centres).sum(axis=1) - 2 * x @ self.centres.T + self.weights
 
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """The list of each vector."""
+        return np.concatenate([self.distances(x[i : i + BLOCK]).argmin(axis=1) for i in range(0, len(x), BLOCK)])
+
     def coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """list and codes."""
-        lists = np.concatenate([self.distances(x[i : i + BLOCK]).argmin(axis=1) for i in range(0, len(x), BLOCK)])
+        lists = self.own(x)
         left = x - self.centres[lists]
         codes, cut_at = np.zeros((len(x), len(self.books)), np.uint8), self.bounds()
         for j, book in enumerate(self.books):
@@ -86,10 +90,13 @@ def _means(x: np.ndarray, n: int, rounds: int, balance: float, rng: np.random.Ge
     """Centres and weights of ``n`` lists; empty ones begin anew at the rows that are farthest from their centre."""
     centres, weights = x[rng.choice(len(x), n, replace=False)].copy(), np.zeros(n)
     for r in range(rounds):
-        far = (centres * centres).sum(axis=1) - 2 * x @ centres.T
-        own = (far + weights).argmin(axis=1)
+        size, own, gap = (centres * centres).sum(axis=1), np.zeros(len(x), np.int64), np.zeros(len(x))
+        for i in range(0, len(x), BLOCK):  # distances to all centres are held for a block only
+            part = x[i : i + BLOCK]
+            far = size - 2 * part @ centres.T
+            own[i : i + BLOCK] = (far + weights).argmin(axis=1)
+            gap[i : i + BLOCK] = far[np.arange(len(part)), own[i : i + BLOCK]] + (part * part).sum(axis=1)
         sizes = np.bincount(own, minlength=n)
-        gap = far[np.arange(len(x)), own] + (x * x).sum(axis=1)
         for i, row in zip(np.flatnonzero(sizes == 0), np.argsort(-gap), strict=False):
             own[row], weights[i] = i, 0.0
         sizes = np.bincount(own, minlength=n)
@@ -105,7 +112,7 @@ def train(x: np.ndarray, label: str | None, lists: int, parts: int, codewords: i
     rng, x = np.random.default_rng(seed), _unit(x)
     centres, weights = _means(x, min(lists, len(x)), 20, balance, rng)
     space = Space(label, x.shape[1], centres, weights, [])
-    left = x - centres[space.distances(x).argmin(axis=1)]
+    left = x - centres[space.own(x)]
     for part in np.array_split(left, min(parts, x.shape[1]), axis=1):
         space.books.append(_means(part, min(codewords, len(part)), 10, 0.0, rng)[0])
     return space

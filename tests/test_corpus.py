@@ -385,6 +385,20 @@ def test_queries_meet_a_whole_index_in_blocks(spark, tmp_path):
     assert ranks(vector_index.search(asked, path, 7, None, None)) == ranks(vector.topk(asked, nodes.union(copies), 7))
 
 
+def test_training_holds_distances_of_a_block_only():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40_000, 4))
+    tracemalloc.start()
+    space = vector_index.train(x, "a", 200, 2, 16, 0.1, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert space.centres.shape == (200, 4) and space.weights.min() == 0 and peak < 8 * 40_000 * 200  # a matrix of all distances
+
+
 def test_no_key_of_the_exact_search_is_constant(spark):
     nodes = clustered(spark, 4000, 8, 9).repartition(12)
     asked = nodes.filter("node_id % 40 = 0").select(F.col("node_id").alias("qid"), "embedding")
