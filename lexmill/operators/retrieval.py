@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from lexmill.config import DEFAULT_MODE, PROFILES, RouteConfig
 from lexmill.functions import text as T
 from lexmill.operators import vector
+from lexmill.session import spread
 
 # How questions name articles, and suggestions by keyword are in presentation.
 NUMBER = "[\\d٠-٩۰-۹]+"
@@ -87,21 +88,26 @@ def seeds(found: DataFrame) -> DataFrame:
     return found.filter("node_type = 'Article'").select("qid", "node_id").distinct()
 
 
-def hop(seeds: DataFrame, edges: DataFrame, per_seed: Column | int, row_cap: int | None = 100) -> DataFrame:
+def hop(seeds: DataFrame, edges: DataFrame, per_seed: Column | int, row_cap: int | None = 100, parts: int | None = None) -> DataFrame:
     """qid, target and pos: targets one edge away, at most ``per_seed`` of each seed among a question's first
-    ``row_cap`` rows, each once. The order, which decides what the limits keep, is by seed and target."""
+    ``row_cap`` rows, each once. The order, which decides what the limits keep, is by seed and target.
+
+    ``parts`` is the number of partitions, where it has to grow with the tables (``parts_for``)."""
+    seeds = spread(seeds, parts, "node_id")
     # only edges from seeds are made distinct
-    asked = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("target")).join(seeds.select("node_id").distinct(), "node_id", "left_semi")
-    met = seeds.join(asked.distinct(), "node_id")
+    asked = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("target")).join(seeds.select("node_id").distinct(), "node_id", "left_semi").distinct()
+    if parts and row_cap is not None:  # dealt anew by question, rows past the cap would move; no seed has more than the cap
+        asked = asked.withColumn("_n", F.row_number().over(W.partitionBy("node_id").orderBy("target"))).filter(F.col("_n") <= row_cap).drop("_n")
+    met = spread(seeds.join(asked, "node_id"), parts, "qid")
     if row_cap is not None:
         met = met.withColumn("_n", F.row_number().over(W.partitionBy("qid").orderBy("node_id", "target"))).filter(F.col("_n") <= row_cap)
     met = met.withColumn("_k", F.row_number().over(W.partitionBy("qid", "node_id").orderBy("target"))).filter(F.col("_k") <= per_seed)
-    first = met.groupBy("qid", "target").agg(F.min(F.struct("node_id", "target")).alias("at"))
-    return first.select("qid", "target", F.row_number().over(W.partitionBy("qid").orderBy("at")).alias("pos"))
+    first = met.groupBy("qid", "target").agg(F.min("node_id").alias("at"))
+    return first.select("qid", "target", F.row_number().over(W.partitionBy("qid").orderBy("at", "target")).alias("pos"))
 
 
-def expand(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, kind: str, per_seed: Column, source: str, row_cap: int | None = 100) -> DataFrame:
-    reached = hop(seeds, edges.filter(F.col("type") == kind), per_seed, row_cap).withColumnRenamed("target", "node_id")
+def expand(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, kind: str, per_seed: Column, source: str, row_cap: int | None = 100, parts: int | None = None) -> DataFrame:
+    reached = hop(seeds, edges.filter(F.col("type") == kind), per_seed, row_cap, parts).withColumnRenamed("target", "node_id")
     return as_retrieved(reached.join(nodes, "node_id"), F.lit(0.0), source, F.col("pos"))
 
 

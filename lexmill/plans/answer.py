@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from lexmill.config import RouteConfig
 from lexmill.operators import context, retrieval
 from lexmill.providers import HashEmbedding, embed, extractive_answer
-from lexmill.session import cut
+from lexmill.session import cut, parts_for
 
 log = logging.getLogger(__name__)
 Answer = Callable[[Column, Column, Column], Column]
@@ -30,9 +30,9 @@ def found_for(asked: DataFrame, graph: dict[str, DataFrame], config: RouteConfig
     nodes = retrieval.node_view(graph)
     named, near = retrieval.explicit(asked, nodes), retrieval.primary(asked, nodes, config)
     start = retrieval.seeds(named.union(near)).join(asked.select("qid", "definitions_per_article", "crossrefs_per_article"), "qid")
-    cap = config.global_row_cap
-    terms = retrieval.expand(start, graph["edges"], nodes, "USES_TERM", F.col("definitions_per_article"), "definition", cap)
-    refs = retrieval.expand(start, graph["edges"], nodes.filter("node_type = 'Article'"), "REFERENCES", F.col("crossrefs_per_article"), "cross_ref", cap)
+    cap, parts = config.global_row_cap, parts_for(graph["edges"])
+    terms = retrieval.expand(start, graph["edges"], nodes, "USES_TERM", F.col("definitions_per_article"), "definition", cap, parts)
+    refs = retrieval.expand(start, graph["edges"], nodes.filter("node_type = 'Article'"), "REFERENCES", F.col("crossrefs_per_article"), "cross_ref", cap, parts)
     found = reduce(DataFrame.unionByName, [named, near, terms, refs]).join(asked.select("qid", "max_context_chunks"), "qid")
     return retrieval.dedupe_and_cap(found, F.col("max_context_chunks"))
 

@@ -15,7 +15,7 @@ from lexmill.functions import spans
 from lexmill.functions import text as T
 from lexmill.operators import adjacency, annotate, chunking, context, graph, presentation, quality, retrieval, structure, vector, vector_index
 from lexmill.providers import embed_stored
-from lexmill.session import shared_folder, table
+from lexmill.session import parts_for, shared_folder, table
 from lexmill.sources.files import pages_of
 from lexmill.streaming import history
 
@@ -412,7 +412,7 @@ def vector_topk_merged(spark, sf):
 def retrieval_hop(spark, sf):
     seeds = table(spark, sf, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("node_id"))
     edges = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return retrieval.hop(seeds, edges, 3)
+    return retrieval.hop(seeds, edges, 3, parts=parts_for(seeds, edges))
 
 
 @query(ORACLE["retrieval_hop"])

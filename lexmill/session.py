@@ -45,6 +45,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexmill-ckpt-"))
 
 
+def parts_for(*tables: DataFrame, rows: int = 1 << 20) -> int | None:
+    """How many partitions hold at most about ``rows`` rows of the tables each; None if Spark's own number is enough."""
+    spark = tables[0].sparkSession
+    least = -(-sum(t.count() for t in tables) // rows)
+    return least if least > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def spread(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``df`` dealt by its keys over ``parts`` partitions, which joins and windows on them keep; None leaves it to Spark."""
+    return df.repartition(parts, *keys) if parts else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's name inside the checkpoint folder, which driver and executors share."""
     ensure_checkpoint_dir(spark)

@@ -371,6 +371,23 @@ def test_recall_of_a_stored_index_and_the_lists_it_reads(spark, tmp_path):
     assert "PartitionFilters: [(space" in plan.replace("isnotnull(space", "(space") or "PartitionFilters: [" in plan and "list" in plan.split("PartitionFilters: [")[1][:200]
 
 
+def test_a_hop_over_more_partitions_finds_the_same(spark):
+    from lexmill.session import parts_for
+
+    seeds = spark.range(60).select((F.col("id") % 7).alias("qid"), (F.col("id") % 11).alias("node_id"), (F.col("id") % 4).cast("int").alias("per")).distinct()
+    edges = spark.range(3000).select((F.col("id") % 13).alias("src"), (F.col("id") * 7919 % F.when(F.col("id") % 13 == 3, 250).otherwise(6)).alias("dst"), F.lit("R").alias("type"))
+    assert parts_for(seeds, edges) is None and parts_for(edges, edges, rows=700) == 9
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for cap in (100, 20, None):
+        got = rows(retrieval.hop(seeds, edges, F.col("per"), cap, parts=9))
+        assert got == rows(retrieval.hop(seeds, edges, F.col("per"), cap)) and got
+    nodes = edges.select(F.col("dst").alias("node_id")).distinct().select("node_id", F.lit("Article").alias("node_type"), F.lit(1).alias("article_number"), F.lit("a").alias("text"))
+    ask = lambda **how: retrieval.expand(seeds, edges, nodes, "R", F.col("per"), "cross_ref", **how)
+    assert rows(ask(parts=9)) == rows(ask())
+    # each row of the hop lies in one of so many partitions, whatever the session's number
+    assert retrieval.hop(seeds, edges, 3, parts=9).rdd.getNumPartitions() == 9
+
+
 def test_queries_meet_a_whole_index_in_blocks(spark, tmp_path):
     path, nodes = str(tmp_path / "index"), clustered(spark, 600, 8, 9)
     asked = nodes.filter("node_id % 20 = 0").select(F.col("node_id").alias("qid"), "embedding")
