@@ -435,7 +435,7 @@ def retrieval_expanded(spark, sf):
     others = edges.select("src", F.col("src").alias("dst"), F.lit("NEXT").alias("type"))
     part = table(spark, sf, "part")
     nodes = part.select(F.col("p_partkey").alias("node_id"), F.lit("Article").alias("node_type"), F.col("p_size").cast("int").alias("article_number"), F.concat_ws("\n\n", "p_brand", "p_name").alias("text"))
-    found = retrieval.expand(seeds, edges.union(others), nodes, "REFERENCES", F.col("per"), "cross_ref")
+    found = retrieval.expand(seeds, edges.union(others), nodes, "REFERENCES", F.col("per"), "cross_ref", parts=parts_for(seeds, edges))
     return found.select("qid", "node_id", "article_number", "breadcrumb", sha(F.col("text")).alias("text"), "score", "source", "pos")
 
 
