@@ -53,7 +53,7 @@ def strip_private_use(s: Column) -> Column:
 
 def squeeze(s: Column) -> Column:
     """One space for each run of white space, none at the ends."""
-    return F.trim(F.regexp_replace(s, "(?U)\\s+", " "))
+    return F.trim(F.regexp_replace(s, "\\p{IsWhite_Space}+", " "))
 
 
 def strip(s: Column) -> Column:
@@ -129,6 +129,13 @@ def runs_of_digits(match: Column, others: str) -> Column:
     return F.filter(F.split(F.translate(match, gone, " " * len(gone)), " "), lambda t: t != "")
 
 
+def digits_ints(s: Column) -> Column:
+    """``digits_int`` of each run of digits in a string, in order; digits that nothing turns round are cast as they stand."""
+    runs = lambda x: F.regexp_extract_all(x, F.lit("\\p{Nd}+"), F.lit(0))
+    plain = F.transform(runs(western_digits(s)), lambda t: t.try_cast("int"))
+    return F.when(s.rlike(f"[{EASTERN}]"), F.transform(runs(s), digits_int)).otherwise(plain)
+
+
 def estimate_tokens(s: Column) -> Column:
     return F.greatest(F.lit(1), F.rint(F.length(s) / F.lit(3.4)).cast("int"))
 

@@ -14,16 +14,16 @@ SEVERAL = f"(?U){NOT_INSIDE}(?:ال|لل|بال)?مواد[يى]?\\s*[)(]\\s*([\\
 OTHER_LAW = "(?U)قانون[^،,.\\n]{1,80}رقم\\s*([\\d٠-٩۰-۹]+)\\s*لسنة\\s*([\\d٠-٩۰-۹]{4})"
 
 
-#: Either form in one pass, and what a match holds besides digits and white space.
-ANY = T.spelled(f"{NOT_INSIDE}(?:{ONE.removeprefix('(?U)' + NOT_INSIDE)}|{SEVERAL.removeprefix('(?U)' + NOT_INSIDE)})")
-OTHERS = "البلمةدتينىو()،,"
+#: Either form in one pass, tried only at letters that begin one.
+ANY = T.spelled(f"(?=[المب]){NOT_INSIDE}(?:{ONE.removeprefix('(?U)' + NOT_INSIDE)}|{SEVERAL.removeprefix('(?U)' + NOT_INSIDE)})")
 LAW = T.spelled(OTHER_LAW)
 
 
 def cross_refs(text: Column, max_article: Column, own: Column | None = None) -> Column:
     """Sorted article numbers that a text refers to, up to max_article, without its own."""
     matches = F.regexp_extract_all(T.strip_diacritics(text), F.lit(ANY), F.lit(0))
-    numbers = F.transform(F.flatten(F.transform(matches, lambda m: T.runs_of_digits(m, OTHERS))), T.digits_int)
+    # all matches are read as one string, which is named by a list of its own so that it is made once
+    numbers = F.flatten(F.transform(F.array(F.array_join(matches, " ")), T.digits_ints))
     good = (lambda n: n.between(1, max_article) & ~n.eqNullSafe(own)) if own is not None else (lambda n: n.between(1, max_article))
     return F.sort_array(F.array_distinct(F.filter(numbers, good)))
 

@@ -232,7 +232,9 @@ def annotate_references(spark, sf):
     s = lambda x: x.cast("string")
     text = F.concat(F.lit("وفقا للمادة "), s(a), F.lit(" من المواد ("), s(b), F.lit("، "), s(c), F.lit(") من قانون  العمل رقم "), s(a), F.lit(" لسنة 2003"))
     refs = annotate.cross_refs(text, F.lit(298), b + 1)
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", joined(refs).alias("refs"), F.array_join(annotate.external_refs(text), "|").alias("laws"))
+    # patterns take longer than reading, so rows of few large splits are dealt over all cores
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").hint("rebalance")
+    return lines.select("l_orderkey", "l_linenumber", joined(refs).alias("refs"), F.array_join(annotate.external_refs(text), "|").alias("laws"))
 
 
 @query(

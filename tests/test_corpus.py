@@ -371,6 +371,13 @@ def test_recall_of_a_stored_index_and_the_lists_it_reads(spark, tmp_path):
     assert "PartitionFilters: [(space" in plan.replace("isnotnull(space", "(space") or "PartitionFilters: [" in plan and "list" in plan.split("PartitionFilters: [")[1][:200]
 
 
+def test_runs_of_digits_of_all_matches_at_once(spark):
+    inputs = ["المادة 12 المواد (3، ٤١ ۱۲) x7", "", None, "٤1 99999999999 ٣"]
+    assert values(spark, T.digits_ints, inputs) == [[12, 3, 14, 12, 7], [], None, [41, None, 3]]
+    lines = QUERIES["annotate_references"](spark, "/root/testdata/sf0.1")
+    assert "RebalancePartitions" in lines._jdf.queryExecution().toString()  # the rows of one row group are dealt over the cores
+
+
 def test_a_hop_over_more_partitions_finds_the_same(spark):
     from lexmill.session import parts_for
 
