@@ -303,6 +303,8 @@ FROM embeddings e JOIN r ON r.id = e.vec_id GROUP BY e.vec_id
 
 #: Projections; half width of a window of radius 1; standard errors by which the threshold lies below the mean.
 PROJECTIONS, HALF_WIDTH, ERRORS, SEED = 256, 1.36, 0.8, 7
+#: Lines whose hits are summed in a byte.
+TALLY = 64
 #: The first radii, as shares of the sample's median distance; after the last each is STEP times the one before. A block
 #: starts at START of the k-th distance that blocks before it gave.
 RADII, STEP, START = (0.1, 0.25, 0.4, 0.5), 1.04, 0.85
@@ -310,54 +312,55 @@ THRESHOLD = math.ceil(PROJECTIONS * math.erf(HALF_WIDTH / math.sqrt(2)) - ERRORS
 
 
 class Index:
-    """Sorted arrays of a block's vectors, one per random line, laid end to end."""
+    """A block's vectors and their places on random lines, by line.
+
+    Places are kept as bytes, in 255 steps of the block's widest line, so hits in a window are counted by whole lines at once.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors, n = ids, vectors, len(ids)
+        self.ids, self.vectors = ids, vectors
         self.lines = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS))
         self.scale = max(float(np.abs(vectors).max(initial=0.0)), 1e-300)  # so that places stay finite
         places = (vectors / self.scale @ self.lines).T
-        self.order = np.argsort(places, axis=1, kind="stable").astype(np.int32).reshape(-1)
-        # one ascending sequence: every line's places are moved past those of the line before
-        self.apart = 4 * (float(np.abs(places).max(initial=0.0)) + 1.0)
-        self.shift = np.arange(PROJECTIONS) * self.apart
-        self.sorted = (np.sort(places, axis=1) + self.shift[:, None]).reshape(-1)
-        self.first, self.verified = np.arange(PROJECTIONS) * n, 0
-
-    def _ends(self, centre: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
-        reach = self.apart / 4
-        lo = np.searchsorted(self.sorted, np.clip(centre - width, -reach, 2 * reach) + self.shift)
-        hi = np.searchsorted(self.sorted, np.clip(centre + width, -2 * reach, reach) + self.shift, "right")
-        n = len(self.ids)
-        return np.clip(lo, self.first, self.first + n), np.clip(hi, self.first, self.first + n)
+        self.low = places.min(axis=1, initial=np.inf)
+        self.step = max(float((places.max(axis=1, initial=-np.inf) - self.low).max(initial=0.0)) / 254, 1e-300)
+        self.places = np.rint((places - self.low[:, None]) / self.step).astype(np.uint8, order="C")
+        self.past, self.inside = np.empty((TALLY, len(ids)), np.uint8), np.empty((TALLY, len(ids)), bool)
+        self.verified = 0
+
+    def hits(self, centre: np.ndarray, width: float) -> np.ndarray:
+        """In how many lines each vector lies within ``width`` of the query's place."""
+        lo = np.clip(np.ceil((centre - width - self.low) / self.step), 0, 255)
+        hi = np.clip(np.floor((centre + width - self.low) / self.step), -1, 254)
+        lo = np.where(lo > hi, 255, lo)  # a window that holds nothing: places end at 254
+        lo, wide = lo.astype(np.uint8)[:, None], np.maximum(hi - lo, 0).astype(np.uint8)[:, None]
+        met = np.zeros(len(self.ids), np.int16)
+        for i in range(0, PROJECTIONS, TALLY):
+            # unsigned bytes wrap round below a window's beginning, so one comparison holds both its ends
+            np.subtract(self.places[i : i + TALLY], lo[i : i + TALLY], out=self.past)
+            np.less_equal(self.past, wide[i : i + TALLY], out=self.inside)
+            met += np.add.reduce(self.inside.view(np.uint8), axis=0, dtype=np.uint8)
+        return met
 
     def search(self, query_id: int, q: np.ndarray, k: int, typical: float, best: list[tuple[float, int]]) -> list[tuple[float, int]]:
         """``best`` (the k nearest found so far, of other blocks) and those of this block: windows around the query
         widen until the k-th verified distance lies within the radius, or every vector is verified."""
-        n = len(self.ids)
         centre = np.clip(q / self.scale, -1e200, 1e200) @ self.lines
-        hits, done = np.zeros(n, np.int64), self.ids == query_id
-        lo = hi = self._ends(centre, 0.0)[0]
+        done = self.ids == query_id
         radius, step, bound = 0.0, 0, best[k - 1][0] if len(best) >= k else math.inf
         while not done.all() and bound > radius:
             radius = max(typical * RADII[step], radius * STEP) if step < len(RADII) else radius * (STEP if step < 64 else 2)
             step += 1
             radius = max(radius, START * bound) if step == 1 and bound < math.inf else radius
-            a, b = self._ends(centre, HALF_WIDTH * radius / self.scale)
-            parts = [self.order[x:y] for x, y in zip(a.tolist(), lo.tolist(), strict=True) if x < y]
-            parts += [self.order[x:y] for x, y in zip(hi.tolist(), b.tolist(), strict=True) if x < y]
-            lo, hi = np.minimum(a, lo), np.maximum(b, hi)
-            if parts:
-                hits += np.bincount(np.concatenate(parts), minlength=n)
-                new = np.flatnonzero((hits >= THRESHOLD) & ~done)
-                if len(new):
-                    done[new] = True
-                    self.verified += len(new)
-                    gap = self.vectors[new] - q
-                    far = np.sqrt((gap * gap).sum(axis=1))
-                    near = np.flatnonzero(far <= bound)
-                    best = sorted(best + list(zip(far[near].tolist(), self.ids[new[near]].tolist(), strict=True)))[:k]
-                    bound = best[k - 1][0] if len(best) >= k else math.inf
+            new = np.flatnonzero((self.hits(centre, HALF_WIDTH * radius / self.scale) >= THRESHOLD) & ~done)
+            if len(new):
+                done[new] = True
+                self.verified += len(new)
+                gap = self.vectors[new] - q
+                far = np.sqrt((gap * gap).sum(axis=1))
+                near = np.flatnonzero(far <= bound)
+                best = sorted(best + list(zip(far[near].tolist(), self.ids[new[near]].tolist(), strict=True)))[:k]
+                bound = best[k - 1][0] if len(best) >= k else math.inf
         return best
 
 
