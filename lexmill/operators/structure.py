@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexmill.functions import spans
-from lexmill.functions.text import TITLE_SIGNS, digits_int, squeeze, trim_signs
+from lexmill.functions.text import TITLE_SIGNS, digits_int, spelled, squeeze, trim_signs
 from lexmill.operators import scan
 
 # Header patterns, level order, and ordinals in the order in which they are tried (so a bare second
@@ -42,8 +42,9 @@ PRIORITY = {"book": 0, "part": 1, "chapter": 2, "article": 3}
 NEAR = 3
 #: Characters of a range, and of the text behind it that its last header and title may need.
 RANGE, BEHIND = 1 << 16, 1 << 10
-#: Any header: an article with its number, or a level above it with an ordinal behind it.
-HEADER = f"(?U){NOT_INSIDE}(?:{ARTICLE.removeprefix('(?U)')}|({'|'.join(LEVELS.values())})\\s+({'|'.join(p for _, p in ORDINALS)}))"
+#: Any header: an article with its number, or a level above it with an ordinal behind it; tried only at letters that begin one.
+#: Ends of words alone keep the flag.
+HEADER = spelled(f"(?=[ما]){NOT_INSIDE}(?:{ARTICLE.removeprefix('(?U)')}|({'|'.join(LEVELS.values())})\\s+({'|'.join(p for _, p in ORDINALS)}))").replace("\\b", "(?U:\\b)")
 
 
 def ordinal(s: Column) -> Column:
@@ -150,7 +151,7 @@ class Places:
 def ranges(pages: DataFrame) -> DataFrame:
     """doc_id, range, begin and text: each document's pages, joined by one space, as stretches of RANGE characters with
     the character before them and BEHIND behind, which hold what its headers look at. ``begin`` is where text begins."""
-    plain = pages.select("doc_id", "page_num", F.translate(F.coalesce("cleaned_text", F.lit("")), spans.MARK, "").alias("cleaned_text"))
+    plain = pages.select("doc_id", "page_num", F.replace(F.coalesce("cleaned_text", F.lit("")), F.lit(spans.MARK), F.lit("")).alias("cleaned_text"))
     offsets = spans.page_offsets(plain, keep=["cleaned_text"])
     own = F.when(F.col("ps") > 0, F.concat(F.lit(" "), "cleaned_text")).otherwise(F.col("cleaned_text"))
     whole = offsets.select("doc_id", own.alias("t"), F.greatest(F.col("ps") - 1, F.lit(0)).cast("long").alias("ps"), F.col("pe").cast("long"))

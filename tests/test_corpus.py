@@ -371,6 +371,14 @@ def test_recall_of_a_stored_index_and_the_lists_it_reads(spark, tmp_path):
     assert "PartitionFilters: [(space" in plan.replace("isnotnull(space", "(space") or "PartitionFilters: [" in plan and "list" in plan.split("PartitionFilters: [")[1][:200]
 
 
+def test_headers_are_tried_at_letters_that_begin_one(spark):
+    flagged = f"(?U){structure.NOT_INSIDE}(?:{structure.ARTICLE.removeprefix('(?U)')}|({'|'.join(structure.LEVELS.values())})\\s+({'|'.join(p for _, p in structure.ORDINALS)}))"
+    assert structure.HEADER.startswith("(?=[ما])") and "(?U)" not in structure.HEADER
+    inputs = [*TEXT, "الكتاب\u00a0الأولى الكتاب الأولX الباب الثانيَ و مادة (1): بمادة (2). م ا د ة\u2003)٣( الفصل الثان ي", ""]
+    marked = lambda p: values(spark, lambda x: F.regexp_replace(x, p, "|$1|$2|$3|$0|"), inputs)
+    assert marked(structure.HEADER) == marked(flagged) != inputs
+
+
 def test_runs_of_digits_of_all_matches_at_once(spark):
     inputs = ["المادة 12 المواد (3، ٤١ ۱۲) x7", "", None, "٤1 99999999999 ٣"]
     assert values(spark, T.digits_ints, inputs) == [[12, 3, 14, 12, 7], [], None, [41, None, 3]]
