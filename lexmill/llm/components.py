@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import cut
+from lexmill.session import cut, drop, tidy
 
 
 class Forest:
@@ -44,18 +44,31 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each id that points anywhere points to one id, which itself points nowhere."""
+    both = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return not both.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").count()
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """One large star and one small star."""
+    both = edges.union(edges.select("b", "a"))
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least).distinct()
+    return cut(small)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """id and component_id (the smallest id reachable) of every id in ``links(a long, b long)``."""
+    """id and component_id (the smallest id reachable) of every id in ``links(a long, b long)``.
+
+    What a round wrote and shuffled goes once the next one stands, so disk doesn't grow with the rounds.
+    """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").mapInArrow(_contract, "a long, b long").distinct())
-    before = None
-    while True:
-        state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.col("b").cast("decimal(38,0)")).alias("s")).first()
-        if state == before or not state.n:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component_id")).union(edges.select("b", "b").distinct())
-        before = state
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least).distinct()
-        edges = cut(small)
+    while not _all_stars(edges):
+        before, edges = edges, _round(edges)
+        drop(before)
+        del before
+        tidy(links.sparkSession)
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component_id")).union(edges.select("b", "b").distinct())

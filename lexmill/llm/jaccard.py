@@ -486,10 +486,16 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, every_link: bool = True
         sent = work.sent(members, rank)
         tidy(spark)
         tried = work.likely(work.pairs(sent), sketches)
+        tidy(spark)
         links = cut(work.verified(tried, members, rank))
-        others = work.other_pairs(sent, None if every_link else components(links), sketches)
-        more = work.likely(others.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sketches)
+        tidy(spark)
+        groups = None if every_link else components(links)
+        others = work.other_pairs(sent, groups, sketches).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        more = work.likely(others, sketches)
+        del others, groups  # their shuffles go with them
+        tidy(spark)
         links = keep(cut(links.union(work.verified(more, members, rank)).distinct()))
+        tidy(spark)
         groups = keep(cut(components(links)))
     out = every.join(groups, every.class_id == groups.id, "left")
     return out.select("doc_id", "mark", "n_shingles", "class_id", F.coalesce("component_id", "class_id", "doc_id").alias("component_id")), links

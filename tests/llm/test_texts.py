@@ -226,6 +226,24 @@ def test_components_alone_are_those_of_every_link(docs, n, percent):
     assert {r.doc_id: r.component_id for r in got.collect()} == components_by_hand({i: shingles(t, n) for i, t in enumerate(texts)}, percent)
 
 
+def test_components_leave_nothing_of_their_rounds(spark, monkeypatch):
+    from lexmill.llm import components
+
+    made = []
+    monkeypatch.setattr(components, "cut", lambda df, cut=components.cut: made.append(cut(df)) or made[-1])
+    chain = [(i, i + 1) for i in range(300)] + [(900, 901), (902, 901)]
+    random.Random(4).shuffle(chain)
+    got = components.components(spark.createDataFrame(chain, "a long, b long").repartition(16))
+    assert {r.id: r.component_id for r in got.collect()} == dict.fromkeys(range(301), 0) | dict.fromkeys((900, 901, 902), 900)
+    files = [spark._jvm.org.apache.hadoop.fs.Path(df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()) for df in made]
+    left = [df for df, f in zip(made, files, strict=True) if f.getFileSystem(spark._jsc.hadoopConfiguration()).exists(f)]
+    assert len(made) > 2 and len(left) == 1 and left[0] is made[-1]
+    rounds = len(made)
+    stars = components.components(spark.createDataFrame([(i, 0) for i in range(1, 40)], "a long, b long"))
+    assert len(made) == rounds + 1 and stars.filter("component_id = 0").count() == 40  # stars take no round
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # -- BPE ---------------------------------------------------------------------------------------------------------
 
 
