@@ -3,7 +3,8 @@
 For each prefix of a word exactly one token can end its encoding: the token t that matches there (an automaton over
 the vocabulary lists all matches, longest first) and is compatible with the last token of the prefix before t.
 Two tokens are compatible if merging their joined bytes never crosses the boundary between them. The table keeps
-that one token per prefix; following it back from the end gives the identifiers, in time linear in the word.
+that one token per prefix; following it back from the end gives the identifiers, in time linear in the word. As
+exactly one token fits, a prefix that no longer match fits ends in the token of its last byte, for which nothing is asked.
 
 The vocabulary file is read once by the driver; its tables (bounded by the vocabulary) are broadcast.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
@@ -41,7 +43,19 @@ PLAIN = regex.compile(WORDS.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}").re
 NEW = regex.compile(f"[{NEW_LETTERS}{NEW_NUMBERS}]")
 L, N = rf"[\p{{L}}--[{NEW_LETTERS}]]", rf"[\p{{N}}--[{NEW_NUMBERS}]]"
 CAREFUL = regex.compile(WORDS.replace("{L}", L).replace("{N}", N).replace("{l}", L).replace("{n}", N), regex.V1)
-PIECE, CACHED, CACHE_WORD, SENT = 1 << 20, 200_000, 64, 2 << 20
+
+
+def _spelled(pattern: str) -> str:
+    """The characters up to U+024F that a pattern matches, to stand in a set."""
+    return "".join(f"\\u{i:04x}" for i in range(0x250) if regex.match(pattern, chr(i)))
+
+
+# Up to U+024F, and with the signs of U+2010 to U+2027, words are found by Python's own engine, which runs sets that are spelled out faster.
+OTHER = re.compile("[^\\u0000-\\u024f\\u2010-\\u2027]")
+LATIN = re.compile(WORDS.replace("{L}", "[{l}]").replace("{N}", "[{n}]").replace("^\\s", "^{s}").replace("\\s", "[{s}]").replace("\\S", "[^{s}]").format(l=_spelled(r"\p{L}"), n=_spelled(r"\p{N}"), s=_spelled(r"\s")))
+#: What stands before each word of a table; no byte is written like it.
+BETWEEN = "\u0100"
+PIECE, CACHED, CACHE_WORD, SENT = 1 << 20, 100_000, 64, 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -84,11 +98,14 @@ class Vocabulary:
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.pairs, self.cache = vocabulary, {}, {}
-        self.automaton = ahocorasick.Automaton()
+        self.v, self.pairs, self.cache, self.older = vocabulary, {}, {}, {}
+        self.automaton, self.single = ahocorasick.Automaton(), {BETWEEN: -1}
         for i in vocabulary.usable:
             raw = vocabulary.bytes_of[i]
-            self.automaton.add_word(raw.decode("latin-1"), (len(raw), i))
+            if len(raw) > 1:
+                self.automaton.add_word(raw.decode("latin-1"), (len(raw), i))
+            else:
+                self.single[chr(raw[0])] = i
         self.automaton.make_automaton()
         self.bytes_at = [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of) + 1)]
         self.splitter = regex.compile("|".join(map(regex.escape, sorted(vocabulary.added, key=len, reverse=True)))) if vocabulary.added else None
@@ -112,16 +129,15 @@ class Encoder:
                     return False
         return True
 
-    def word(self, raw: bytes) -> bytes:
-        """Identifiers of one word, as little-endian unsigned 32-bit integers."""
-        last, back, pairs = [-1] * (len(raw) + 1), [0] * (len(raw) + 1), self.pairs
-        for end, (length, token) in self.automaton.iter(raw.decode("latin-1")):
-            end += 1
-            if back[end]:
+    def words(self, raws: list[bytes]) -> Iterator[bytes]:
+        """Identifiers of each word, as little-endian unsigned 32-bit integers; one table for all of them, each behind a mark."""
+        flat = BETWEEN + BETWEEN.join([raw.decode("latin-1") for raw in raws])
+        last, back, pairs = list(map(self.single.__getitem__, flat)), [1] * len(flat), self.pairs
+        for end, (length, token) in self.automaton.iter(flat):
+            if back[end] > 1:
                 continue  # the prefix has its token
-            start = end - length
-            if start:
-                before = last[start]
+            before = last[end - length]
+            if before >= 0:
                 key = before << 32 | token
                 good = pairs.get(key)
                 if good is None:
@@ -131,11 +147,15 @@ class Encoder:
                 if not good:
                     continue
             last[end], back[end] = token, length
-        out, at = [], len(raw)
-        while at:
-            out.append(last[at])
-            at -= back[at]
-        return array("I", out[::-1]).tobytes()
+        begin = 0
+        for raw in raws:
+            out, at = [], begin + len(raw)
+            while at > begin:
+                out.append(last[at])
+                at -= back[at]
+            out.reverse()
+            yield array("I", out).tobytes()
+            begin += len(raw) + 1
 
     def _pieces(self, text: str) -> Iterator[str]:
         """Parts of a long text; a word never spans what is neither white space before nor other than a space after."""
@@ -151,23 +171,25 @@ class Encoder:
         yield text[at:] if at else text
 
     def ordinary(self, text: str) -> Iterator[bytes]:
-        cache = self.cache
         for piece in self._pieces(text):
-            words = (PLAIN if piece.isascii() or not NEW.search(piece) else CAREFUL).findall(piece)
-            try:
-                yield b"".join([cache[w] for w in words])
-            except KeyError:
-                out = []
-                for w in words:
-                    ids = cache.get(w)
-                    if ids is None:
-                        ids = self.word(w.encode())
-                        if len(w) <= CACHE_WORD:
-                            if len(cache) >= CACHED:
-                                cache.clear()
-                            cache[w] = ids
-                    out.append(ids)
-                yield b"".join(out)
+            words = (LATIN if not OTHER.search(piece) else PLAIN if not NEW.search(piece) else CAREFUL).findall(piece)
+            cache = self.cache
+            made = {w: self.older.get(w) for w in words if w not in cache}
+            new = [w for w, ids in made.items() if ids is None]
+            made.update(zip(new, self.words([w.encode() for w in new]), strict=True))
+            yield b"".join([cache[w] if w in cache else made[w] for w in words] if made else map(cache.__getitem__, words))
+            self._keep(made)
+
+    def _keep(self, made: dict[str, bytes]) -> None:
+        """Keep short words for later texts: of those before the last CACHED, the ones that are still asked for."""
+        for word, ids in made.items():
+            if len(word) <= CACHE_WORD:
+                if len(self.cache) >= CACHED:
+                    self.cache, self.older = {}, self.cache
+                self.cache[word] = ids
+
+    def forget(self) -> None:
+        self.cache, self.older, self.pairs = {}, {}, {}
 
     def encode(self, text: str) -> bytes:
         if self.splitter is None:
@@ -204,8 +226,7 @@ def _encoding(shared, run: Callable[[Encoder, pa.RecordBatch], Iterator[pa.Recor
             for b in batches:
                 yield from run(encoder, b)
         finally:
-            encoder.cache.clear()
-            encoder.pairs.clear()
+            encoder.forget()
 
     return lean(whole)
 

@@ -263,6 +263,28 @@ def test_bpe_equals_the_tokenizers_library(spark, docs, small):
     assert bpe.digests(rows.limit(0), VOCABULARY).count() == 0
 
 
+def test_words_that_are_still_asked_for_stay_when_the_cache_is_full(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 8)
+    encoder, known, asked = bpe.Encoder(bpe.Vocabulary(VOCABULARY)), Tokenizer.from_file(VOCABULARY), []
+    words = encoder.words
+    monkeypatch.setattr(encoder, "words", lambda raws: asked.extend(raws) or words(raws))
+    for i in range(20):
+        text = f"often again {'un' * i}seen\u00e9{i}x it's {'ab' * 40} \n"
+        assert list(memoryview(encoder.encode(text)).cast("I")) == known.encode(text, add_special_tokens=False).ids
+    assert asked.count(b"often") == asked.count(b" again") == 1 and asked.count(b" " + b"ab" * 40) == 20
+    encoder.forget()
+    encoder.encode("often")
+    assert asked.count(b"often") == 2
+
+
+def test_words_up_to_024f_are_found_alike_by_both_engines():
+    r, letters = random.Random(8), [*map(chr, range(0x250)), *map(chr, range(0x2010, 0x2028))]
+    for odd in (letters, "ab1 \n'st\x1c\x85\xa0\u00b2\u00e9", "a \n\t"):
+        for _ in range(2000):
+            text = "".join(r.choice(odd) if r.random() < 0.7 else " " for _ in range(30))
+            assert not bpe.OTHER.search(text) and bpe.LATIN.findall(text) == bpe.PLAIN.findall(text)
+
+
 # -- toxicity ----------------------------------------------------------------------------------------------------
 
 
